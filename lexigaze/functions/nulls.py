@@ -135,6 +135,19 @@ def natural_join(
     )
 
 
+def attach(df: DataFrame, stats: DataFrame, group: Sequence[str], how: str = "left") -> DataFrame:
+    """Join per-group numbers back to the rows.
+
+    Without a group ``stats`` is the single row of a global aggregate, so it is sent to
+    every task.
+    """
+    if group:
+        return natural_join(df, stats, how, expect=list(group))
+    key = F.lit(1).alias("_all")
+    one_row = F.broadcast(stats.select("*", key))
+    return df.select("*", key).join(one_row, "_all", how).drop("_all")
+
+
 def _members(other: DataFrame, on: Mapping[str, str]) -> DataFrame:
     return other.select(*[F.col(o).alias(f"_m_{c}") for c, o in on.items()]).distinct()
 

@@ -221,7 +221,14 @@ def t_quantile(p: float, df: Column) -> Column:
 
         return F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.lit(z), step)
 
-    return F.when(df > 0, _bind(df.cast("double"), body))
+    def many(n: Column) -> Column:
+        # expansion around the normal quantile, exact to rounding for this many
+        first = (z ** 3 + z) / 4
+        second = (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96
+        third = (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384
+        return z + first / n + second / (n * n) + third / (n * n * n)
+
+    return F.when(df > 2000, many(df.cast("double"))).when(df > 0, _bind(df.cast("double"), body))
 
 
 def _normal_quantile_number(p: float) -> float:

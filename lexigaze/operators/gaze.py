@@ -167,8 +167,10 @@ def label_fixations(fixations: DataFrame, messages: DataFrame,
 
 # ------------------------------------------------------------------- low data
 
-def _too_low(n: Column, max_bins: int, max_missing: float, bin_ms: int) -> Column:
-    return (F.lit(max_bins) - n) * bin_ms > max_missing
+def low_data_flag(rows: Column, on_image: Column, max_bins: int = MAX_BINS,
+                  max_missing: float = MAX_MISSING_MS, bin_ms: int = BIN_MS) -> Column:
+    """TRUE when too much of the window lacks gaze on an image, NULL without window rows."""
+    return F.when(rows > 0, (F.lit(max_bins) - on_image) * bin_ms > max_missing)
 
 
 def flag_low_data(bins: DataFrame, window: str = "longwin", max_bins: int = MAX_BINS,
@@ -179,7 +181,8 @@ def flag_low_data(bins: DataFrame, window: str = "longwin", max_bins: int = MAX_
     no row in the window has a NULL flag.
     """
     per_trial = (bins.filter(F.col(window) == "Y").groupBy("SubjectNumber", "TrialNumber")
-                 .agg(_too_low(F.count("propt"), max_bins, max_missing, bin_ms).alias("lowdata")))
+                 .agg(low_data_flag(F.count(F.lit(1)), F.count("propt"), max_bins, max_missing, bin_ms)
+                      .alias("lowdata")))
     return natural_join(bins, per_trial, "left", expect=["SubjectNumber", "TrialNumber"])
 
 
@@ -192,7 +195,7 @@ def trial_facts(labelled: DataFrame, max_bins: int = MAX_BINS,
     on_image = F.sum(F.when(F.col("propt").isNotNull(), F.col("long_bins")).otherwise(F.lit(0)))
     return labelled.groupBy(*TRIAL_KEYS).agg(
         F.sum("pre_bins").alias("pre_bins"), F.sum("long_bins").alias("long_bins"),
-        F.when(F.sum("long_bins") > 0, _too_low(on_image, max_bins, max_missing, BIN_MS)).alias("lowdata"))
+        low_data_flag(F.sum("long_bins"), on_image, max_bins, max_missing).alias("lowdata"))
 
 
 def with_low_data(labelled: DataFrame, max_bins: int = MAX_BINS,

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lexigaze.functions.nulls import (
     n_missing, n_rows, natural_join, not_in_table, ratio, spread, strict,
 )
+from lexigaze.operators.gaze import MAX_BINS, MAX_MISSING_MS, low_data_flag
 from lexigaze.operators.outliers import flag_outliers, without_outliers
 
 SUBJECT = ["SubjectNumber", "subj", "month"]
@@ -51,21 +52,28 @@ def word_means_from_bins(bins: DataFrame, by_type: bool = False) -> DataFrame:
         spread(two_stage_means(bins, by_type), _word_keys(by_type), "whichwin", WINDOWS, "propt"))
 
 
-def word_means(labelled: DataFrame, by_type: bool = False) -> DataFrame:
+def word_means(labelled: DataFrame, by_type: bool = False, max_bins: int = MAX_BINS,
+               max_missing: float = MAX_MISSING_MS) -> DataFrame:
     """Same as ``word_means_from_bins`` from labelled fixations, never exploding them.
 
     All bins of a fixation share one ``propt``, so the mean over the bins of a trial is a
-    mean over its fixations weighted by their bins in the window. Both windows are
-    carried side by side, which leaves two shuffles: per trial, then per word.
+    mean over its fixations weighted by their bins in the window. A trial shows one
+    target, so the low-data rule is applied to the same per-trial rows instead of being
+    joined back. Both windows are carried side by side. That leaves two shuffles: per
+    trial, then per word.
     """
+    def seen(bins: str) -> Column:
+        return F.sum(F.when(F.col("propt").isNotNull(), F.col(bins)).otherwise(F.lit(0)))
+
     def mean_in(bins: str) -> Column:
-        seen = F.sum(F.when(F.col("propt").isNotNull(), F.col(bins)))
-        return ratio(F.sum(F.col("propt") * F.col(bins)), seen)
+        return ratio(F.sum(F.col("propt") * F.col(bins)), seen(bins))
 
     trials = (
-        labelled.filter((F.col("lowdata") == F.lit(False)) & (F.col("pre_bins") + F.col("long_bins") > 0))
+        labelled.filter(F.col("pre_bins") + F.col("long_bins") > 0)
         .groupBy(*_word_keys(by_type), "TrialNumber")
-        .agg(mean_in("long_bins").alias("long"), mean_in("pre_bins").alias("pre")))
+        .agg(mean_in("long_bins").alias("long"), mean_in("pre_bins").alias("pre"),
+             low_data_flag(F.sum("long_bins"), seen("long_bins"), max_bins, max_missing).alias("lowdata"))
+        .filter(F.col("lowdata") == F.lit(False)))
     return correct_for_baseline(trials.groupBy(*_word_keys(by_type)).agg(
         F.avg("long").alias("long"), F.avg("pre").alias("pre")))
 
@@ -153,9 +161,9 @@ def item_pairs(labelled: DataFrame) -> DataFrame:
 
 def without_item(words: DataFrame, subjects: DataFrame, item: str) -> DataFrame:
     """Leave out one item for the listed subjects (missing targets are kept out, too)."""
-    listed = words.join(subjects.select(F.col("subj").alias("_listed")).distinct(),
-                        F.col("subj").eqNullSafe(F.col("_listed")), "left")
-    flag = F.when(F.col("_listed").isNotNull(), F.col("target") == item).otherwise(F.lit(False))
+    listed = natural_join(words, subjects.select("subj", F.lit(True).alias("_listed")).distinct(),
+                          "left", expect=["subj"])
+    flag = F.when(F.col("_listed"), F.col("target") == item).otherwise(F.lit(False))
     return listed.withColumn("excluded_item", flag).filter(~F.col("excluded_item")).drop(
         "_listed", "excluded_item")
 
