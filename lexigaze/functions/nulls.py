@@ -124,14 +124,14 @@ def natural_join(
     side only after its size is known and split skewed shuffle partitions.
     """
     keys = natural_keys(left, right, expect)
-    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
-    on = reduce(lambda a, b: a & b, [left[c].eqNullSafe(r[f"_r_{c}"]) for c in keys])
+    # right columns get names of their own, so tables with a common origin can be joined
+    r = right.select(*[F.col(c).alias(f"_r_{c}") for c in right.columns])
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in keys])
     joined = left.join(r, on, how)
-    source = {"left": lambda c: left[c], "inner": lambda c: left[c],
-              "right": lambda c: r[f"_r_{c}"]}[how]
+    kept = {c: F.col(f"_r_{c}") if how == "right" else F.col(c) for c in keys}
     return joined.select(
-        *[source(c).alias(c) if c in keys else left[c] for c in left.columns],
-        *[r[c] for c in right.columns if c not in keys],
+        *[kept[c].alias(c) if c in kept else F.col(c) for c in left.columns],
+        *[F.col(f"_r_{c}").alias(c) for c in right.columns if c not in kept],
     )
 
 
@@ -159,18 +159,20 @@ def _as_mapping(on: str | Sequence[str] | Mapping[str, str]) -> dict[str, str]:
     return {c: c for c in names}
 
 
+def _semi(df: DataFrame, other: DataFrame, on, how: str) -> DataFrame:
+    on = _as_mapping(on)
+    test = [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in on]
+    return df.join(_members(other, on), reduce(lambda a, b: a & b, test), how)
+
+
 def in_table(df: DataFrame, other: DataFrame, on) -> DataFrame:
     """Rows whose key occurs in ``other`` (missing matches missing)."""
-    on = _as_mapping(on)
-    m = _members(other, on)
-    return df.join(m, reduce(lambda a, b: a & b, [df[c].eqNullSafe(m[f"_m_{c}"]) for c in on]), "left_semi")
+    return _semi(df, other, on, "left_semi")
 
 
 def not_in_table(df: DataFrame, other: DataFrame, on) -> DataFrame:
     """Rows whose key does not occur in ``other`` (missing matches missing)."""
-    on = _as_mapping(on)
-    m = _members(other, on)
-    return df.join(m, reduce(lambda a, b: a & b, [df[c].eqNullSafe(m[f"_m_{c}"]) for c in on]), "left_anti")
+    return _semi(df, other, on, "left_anti")
 
 
 def spread(
