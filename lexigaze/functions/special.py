@@ -1,13 +1,16 @@
-"""Distribution functions as plain Column expressions.
+"""Distribution functions as Spark SQL expressions.
 
 They are meant for aggregated rows (one per test), stay on the JVM and need no UDF.
-The number of continued-fraction terms follows the size of the parameters, so the
-same expression serves a test over 10 rows and one over a billion.
+Arguments are SQL text (a column name or an expression over columns). A function with
+many terms is one text handed to the parser at once, which is far quicker to build than
+the same tree of Column calls. The number of continued-fraction terms follows the size
+of the parameters, so one expression serves a test over 10 rows and one over a billion.
 """
 
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import Column, functions as F
 
@@ -46,230 +49,187 @@ NORMAL_TAIL = (
      2.04426310338993978564e-15],
 )
 
+LOG_SQRT_2PI = 0.5 * math.log(2 * math.pi)
 
-def polynomial(x: Column, coefficients) -> Column:
-    """Horner scheme, coefficients in ascending powers."""
-    out = F.lit(float(coefficients[-1]))
-    for c in reversed(coefficients[:-1]):
-        out = out * x + F.lit(float(c))
-    return out
+
+def num(value: float) -> str:
+    """A double literal."""
+    return f"({float(value)!r}D)"
 
 
-def _bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body`` as a variable."""
-    return F.transform(F.array(value), body)[0]
+def let(names: dict[str, str], body: str, var: str) -> str:
+    """Evaluate the values once and use them in ``body`` as ``var.name``."""
+    fields = ", ".join(f"'{k}', CAST({v} AS DOUBLE)" for k, v in names.items())
+    return f"(transform(array(named_struct({fields})), {var} -> {body})[0])"
 
 
-def _bind2(a: Column, b: Column, body) -> Column:
-    return _bind(F.struct(a.cast("double").alias("a"), b.cast("double").alias("b")),
-                 lambda s: body(s["a"], s["b"]))
+def polynomial(x: str, coefficients) -> str:
+    """Horner scheme, coefficients in ascending powers."""
+    out = num(coefficients[-1])
+    for c in reversed(coefficients[:-1]):
+        out = f"({out} * {x} + {num(c)})"
+    return out
 
 
 # ------------------------------------------------------------ gamma and beta
 
-def _stirling_rest(x: Column) -> Column:
+def _stirling_rest(x: str) -> str:
     """log gamma(x) minus its leading Stirling terms, for x >= 10."""
-    i = 1.0 / x
-    return i * polynomial(i * i, [1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188])
+    series = polynomial(f"(1 / ({x} * {x}))", [1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188])
+    return f"({series} / {x})"
 
 
-def log_gamma(x: Column) -> Column:
+def log_gamma_sql(x: str) -> str:
     """log gamma(x) for x > 0."""
-    def small(v: Column) -> Column:
-        total = F.lit(LANCZOS[0])
-        for k, c in enumerate(LANCZOS[1:], start=1):
-            total = total + F.lit(c) / (v - 1.0 + k)
-        t = v - 1.0 + LANCZOS_G + 0.5
-        return 0.5 * math.log(2 * math.pi) + (v - 0.5) * F.log(t) - t + F.log(total)
+    v = "lg.x"
+    total = " + ".join([num(LANCZOS[0]), *[
+        f"{num(c)} / ({v} + {num(k - 1)})" for k, c in enumerate(LANCZOS[1:], start=1)]])
+    t = f"({v} + {num(LANCZOS_G - 0.5)})"
+    small = f"({num(LOG_SQRT_2PI)} + ({v} - 0.5D) * ln({t}) - {t} + ln({total}))"
+    large = f"(({v} - 0.5D) * ln({v}) - {v} + {num(LOG_SQRT_2PI)} + {_stirling_rest(v)})"
+    return let({"x": x}, f"CASE WHEN {v} >= 10 THEN {large} WHEN {v} > 0 THEN {small} END", "lg")
 
-    def large(v: Column) -> Column:
-        return (v - 0.5) * F.log(v) - v + 0.5 * math.log(2 * math.pi) + _stirling_rest(v)
 
-    return _bind(x.cast("double"), lambda v: F.when(v >= 10, large(v)).when(v > 0, small(v)))
-
-
-def log_beta(a: Column, b: Column) -> Column:
+def log_beta_sql(a: str, b: str) -> str:
     """log B(a, b) without cancellation for large arguments."""
-    def body(x: Column, y: Column) -> Column:
-        p, q = F.least(x, y), F.greatest(x, y)
-        both = (
-            -0.5 * F.log(q) + 0.5 * math.log(2 * math.pi)
-            + _stirling_rest(p) + _stirling_rest(q) - _stirling_rest(p + q)
-            + (p - 0.5) * F.log(p / (p + q)) + q * F.log1p(-p / (p + q))
-        )
-        one = (
-            log_gamma(p) + _stirling_rest(q) - _stirling_rest(p + q)
-            + p - p * F.log(p + q) + (q - 0.5) * F.log1p(-p / (p + q))
-        )
-        none = log_gamma(p) + log_gamma(q) - log_gamma(p + q)
-        return F.when(p >= 10, both).when(q >= 10, one).otherwise(none)
-
-    return _bind2(a, b, body)
-
-
-def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
-    """Continued fraction of the incomplete beta integral, evaluated from its far end."""
-    terms = (F.lit(60.0) + 6.0 * F.sqrt(F.greatest(a, b))).cast("int") * 2
+    p, q, pq = "lb.p", "lb.q", "(lb.p + lb.q)"
+    both = (f"(-0.5D * ln({q}) + {num(LOG_SQRT_2PI)} + {_stirling_rest(p)} + {_stirling_rest(q)} "
+            f"- {_stirling_rest(pq)} + ({p} - 0.5D) * ln({p} / {pq}) + {q} * log1p(-{p} / {pq}))")
+    one = (f"({log_gamma_sql(p)} + {_stirling_rest(q)} - {_stirling_rest(pq)} + {p} - {p} * ln({pq}) "
+           f"+ ({q} - 0.5D) * log1p(-{p} / {pq}))")
+    none = f"({log_gamma_sql(p)} + {log_gamma_sql(q)} - {log_gamma_sql(pq)})"
+    return let({"p": f"least({a}, {b})", "q": f"greatest({a}, {b})"},
+               f"CASE WHEN {p} >= 10 THEN {both} WHEN {q} >= 10 THEN {one} ELSE {none} END", "lb")
 
-    def step(acc: Column, k: Column) -> Column:
-        m = F.floor(k / 2).cast("double")
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        return F.when(k % 2 == 0, even).otherwise(odd) / (1.0 + acc)
 
-    rest = F.aggregate(F.sequence(terms, F.lit(1), F.lit(-1)), F.lit(0.0), step)
-    return 1.0 / (1.0 + rest)
+def _beta_fraction(a: str, b: str, x: str) -> str:
+    """Continued fraction of the incomplete beta integral, evaluated from its far end."""
+    terms = f"(2 * CAST(60 + 6 * sqrt(greatest({a}, {b})) AS INT))"
+    m = "floor(k / 2)"
+    even = f"{m} * ({b} - {m}) * {x} / (({a} + 2 * {m} - 1) * ({a} + 2 * {m}))"
+    odd = f"-({a} + {m}) * ({a} + {b} + {m}) * {x} / (({a} + 2 * {m}) * ({a} + 2 * {m} + 1))"
+    return (f"(1 / (1 + aggregate(sequence({terms}, 1, -1), 0D, (acc, k) -> "
+            f"CASE WHEN k % 2 = 0 THEN {even} ELSE {odd} END / (1 + acc))))")
 
 
-def beta_cdf(a: Column, b: Column, x: Column, log_x: Column | None = None,
-             log_1mx: Column | None = None) -> Column:
+def beta_cdf_sql(a: str, b: str, x: str, log_x: str | None = None, log_1mx: str | None = None) -> str:
     """Regularised incomplete beta function I_x(a, b).
 
     ``log_x`` and ``log_1mx`` may be given where they are known more precisely than
     from ``x`` itself.
     """
-    x = x.cast("double")
-    lx = F.log(x) if log_x is None else log_x
-    l1 = F.log1p(-x) if log_1mx is None else log_1mx
-    bound = F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"), x.alias("x"),
-                     lx.alias("lx"), l1.alias("l1"))
-
-    def body(s: Column) -> Column:
-        a_, b_, x_ = s["a"], s["b"], s["x"]
-        front = F.exp(a_ * s["lx"] + b_ * s["l1"] - log_beta(a_, b_))
-        lower = x_ <= (a_ + 1) / (a_ + b_ + 2)
-        direct = front / a_ * _beta_fraction(a_, b_, x_)
-        mirrored = 1.0 - front / b_ * _beta_fraction(b_, a_, 1.0 - x_)
-        return (F.when(x_ <= 0, F.lit(0.0)).when(x_ >= 1, F.lit(1.0))
-                .when(lower, direct).otherwise(mirrored))
-
-    return _bind(bound, body)
+    front = "exp(bc.a * bc.lx + bc.b * bc.l1 - bc.lb)"
+    direct = f"{front} / bc.a * {_beta_fraction('bc.a', 'bc.b', 'bc.x')}"
+    mirrored = f"1 - {front} / bc.b * {_beta_fraction('bc.b', 'bc.a', '(1 - bc.x)')}"
+    body = (f"CASE WHEN bc.x <= 0 THEN 0D WHEN bc.x >= 1 THEN 1D "
+            f"WHEN bc.x <= (bc.a + 1) / (bc.a + bc.b + 2) THEN {direct} ELSE {mirrored} END")
+    return let({"a": a, "b": b, "x": x, "lx": log_x or f"ln({x})", "l1": log_1mx or f"log1p(-({x}))",
+                "lb": log_beta_sql(a, b)}, body, "bc")
 
 
 # ------------------------------------------------------------------- normal
 
-def normal_upper(z: Column) -> Column:
+def normal_upper_sql(z: str) -> str:
     """P(Z > z): a series around zero, a continued fraction in the tails."""
-    def body(v: Column) -> Column:
-        a = F.abs(v)
-        density = F.exp(-0.5 * v * v) / math.sqrt(2 * math.pi)
-        # sum of a^(2k+1) / (1*3*..*(2k+1)), nested from the far end
-        nested = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), F.lit(1.0),
-                             lambda acc, k: 1.0 + acc * a * a / (2.0 * k + 1.0))
-        centre = 0.5 - density * a * nested
-        far = F.aggregate(F.sequence(F.lit(120), F.lit(1), F.lit(-1)), a,
-                          lambda acc, k: a + k / acc)
-        tail = F.when(a < 3, centre).otherwise(density / far)
-        return F.when(v >= 0, tail).otherwise(1.0 - tail)
-
-    return _bind(z.cast("double"), body)
+    density = f"(exp(-0.5D * nu.a * nu.a) * {num(1 / math.sqrt(2 * math.pi))})"
+    # sum of a^(2k+1) / (1*3*..*(2k+1)), nested from the far end
+    nested = "aggregate(sequence(60, 1, -1), 1D, (acc, k) -> 1 + acc * nu.a * nu.a / (2D * k + 1))"
+    far = "aggregate(sequence(120, 1, -1), nu.a, (acc, k) -> nu.a + k / acc)"
+    tail = f"CASE WHEN nu.a < 3 THEN 0.5D - {density} * nu.a * {nested} ELSE {density} / {far} END"
+    return let({"a": f"abs({z})", "z": z}, f"CASE WHEN nu.z >= 0 THEN {tail} ELSE 1 - {tail} END", "nu")
 
 
-def normal_cdf(z: Column) -> Column:
-    return normal_upper(-z.cast("double"))
+def normal_upper(z: str) -> Column:
+    return F.expr(normal_upper_sql(z))
 
 
-def normal_two_sided(z: Column) -> Column:
-    return 2.0 * normal_upper(F.abs(z.cast("double")))
+def normal_cdf(z: str) -> Column:
+    return F.expr(normal_upper_sql(f"-({z})"))
 
 
-def _rational(x: Column, pair) -> Column:
-    return polynomial(x, pair[0]) / polynomial(x, pair[1])
+def normal_two_sided(z: str) -> Column:
+    return F.expr(f"2 * {normal_upper_sql(f'abs({z})')}")
 
 
-def normal_quantile(p: Column) -> Column:
+def normal_quantile_sql(p: str) -> str:
     """Inverse of the normal distribution function, 0 < p < 1."""
-    def body(v: Column) -> Column:
-        q = v - 0.5
-        r = F.sqrt(-F.log(F.least(v, 1.0 - v)))
-        outer = F.when(r <= 5, _rational(r - 1.6, NORMAL_SHOULDER)).otherwise(
-            _rational(r - 5.0, NORMAL_TAIL))
-        return F.when((v > 0) & (v < 1),
-                      F.when(F.abs(q) <= 0.425, q * _rational(0.180625 - q * q, NORMAL_CENTRE))
-                      .otherwise(F.signum(q) * outer))
+    def part(x: str, pair) -> str:
+        return f"{polynomial(x, pair[0])} / {polynomial(x, pair[1])}"
 
-    return _bind(p.cast("double"), body)
+    centre = f"nq.q * {part('(0.180625D - nq.q * nq.q)', NORMAL_CENTRE)}"
+    outer = (f"signum(nq.q) * CASE WHEN nq.r <= 5 THEN {part('(nq.r - 1.6D)', NORMAL_SHOULDER)} "
+             f"ELSE {part('(nq.r - 5D)', NORMAL_TAIL)} END")
+    return let({"q": f"({p}) - 0.5D", "r": f"sqrt(-ln(least({p}, 1D - ({p}))))"},
+               f"CASE WHEN abs(nq.q) >= 0.5D THEN NULL WHEN abs(nq.q) <= 0.425D THEN {centre} ELSE {outer} END",
+               "nq")
+
+
+def normal_quantile(p: str) -> Column:
+    return F.expr(normal_quantile_sql(p))
 
 
 # ---------------------------------------------------------------- Student t
 
-def t_two_sided(t: Column, df: Column) -> Column:
-    """P(|T| > |t|) with ``df`` degrees of freedom."""
-    def body(t_: Column, n: Column) -> Column:
-        r = t_ * t_ / n
-        return beta_cdf(n / 2, F.lit(0.5), 1.0 / (1.0 + r), -F.log1p(r),
-                        F.when(r > 0, F.log(r) - F.log1p(r)))
+def t_two_sided_sql(t: str, df: str) -> str:
+    cdf = beta_cdf_sql("ts.n / 2", "0.5D", "1 / (1 + ts.r)", "-log1p(ts.r)", "ln(ts.r) - log1p(ts.r)")
+    inner = let({"n": df, "r": f"({t}) * ({t}) / ({df})"},
+                f"CASE WHEN ts.r = 0 THEN 1D ELSE {cdf} END", "ts")
+    return f"CASE WHEN ({df}) > 0 THEN {inner} END"
 
-    return F.when(df > 0, F.when(t == 0, F.lit(1.0)).otherwise(_bind2(t, df, body)))
 
+def t_two_sided(t: str, df: str) -> Column:
+    """P(|T| > |t|) with ``df`` degrees of freedom."""
+    return F.expr(t_two_sided_sql(t, df))
 
-def t_quantile(p: float, df: Column) -> Column:
+
+def t_quantile(p: float, df: str) -> Column:
     """Upper quantile (0.5 < p < 1) of Student's t.
 
     Newton steps from the normal quantile: the distribution function is concave right of
-    zero, so the steps approach the quantile from below and never overshoot.
+    zero, so the steps approach the quantile from below and never overshoot. For many
+    degrees of freedom an expansion around the normal quantile is exact to rounding.
     """
-    z = _normal_quantile_number(p)
-    alpha = 2 * (1 - p)
-
-    def body(n: Column) -> Column:
-        log_norm = log_beta(n / 2, F.lit(0.5)) + 0.5 * F.log(n)
-
-        def step(t: Column, _: Column) -> Column:
-            density = F.exp(-0.5 * (n + 1) * F.log1p(t * t / n) - log_norm)
-            return t + 0.5 * (t_two_sided(t, n) - alpha) / density
-
-        return F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.lit(z), step)
-
-    def many(n: Column) -> Column:
-        # expansion around the normal quantile, exact to rounding for this many
-        first = (z ** 3 + z) / 4
-        second = (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96
-        third = (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384
-        return z + first / n + second / (n * n) + third / (n * n * n)
-
-    return F.when(df > 2000, many(df.cast("double"))).when(df > 0, _bind(df.cast("double"), body))
-
-
-def _normal_quantile_number(p: float) -> float:
-    from statistics import NormalDist
-
-    return NormalDist().inv_cdf(p)
+    z = NormalDist().inv_cdf(p)
+    density = "exp(-0.5D * (tq.n + 1) * log1p(t * t / tq.n) - tq.c)"
+    step = f"t + 0.5D * ({t_two_sided_sql('t', 'tq.n')} - {num(2 * (1 - p))}) / {density}"
+    few = let({"n": df, "c": f"{log_beta_sql(f'({df}) / 2', '0.5D')} + 0.5D * ln({df})"},
+              f"aggregate(sequence(1, 20), {num(z)}, (t, i) -> {step})", "tq")
+    terms = [z, (z ** 3 + z) / 4, (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96,
+             (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384]
+    many = polynomial(f"(1D / ({df}))", terms)
+    return F.expr(f"CASE WHEN ({df}) > 2000 THEN {many} WHEN ({df}) > 0 THEN {few} END")
 
 
 # ------------------------------------------------------------------ binomial
 
-def binomial_two_sided(k: Column, n: Column) -> Column:
+def binomial_two_sided(k: str, n: str) -> Column:
     """Exact two-sided binomial test against p = 1/2.
 
     With p = 1/2 the distribution is symmetric, so the outcomes no more likely than ``k``
     are the two tails cut at min(k, n-k): twice one tail, which is an incomplete beta value.
     """
-    m = F.least(k, n - k).cast("double")
-    tail = 2.0 * beta_cdf(n - m, m + 1, F.lit(0.5))
-    return F.when(n > 0, F.when(2 * m >= n, F.lit(1.0)).otherwise(F.least(F.lit(1.0), tail)))
+    tail = beta_cdf_sql("bi.n - bi.m", "bi.m + 1", "0.5D")
+    body = f"CASE WHEN 2 * bi.m >= bi.n THEN 1D ELSE least(1D, 2 * {tail}) END"
+    return F.expr(f"CASE WHEN ({n}) > 0 THEN {let({'n': n, 'm': f'least({k}, ({n}) - ({k}))'}, body, 'bi')} END")
 
 
 # ------------------------------------------------------- Kendall's exact law
 
-def kendall_lower(q: Column, n: Column) -> Column:
-    """P(concordant pairs <= q) for ``n`` untied pairs under independence (n small).
+def kendall_exact_p(concordant: str, n: str) -> Column:
+    """Two-sided p of the number of concordant among ``n`` untied pairs (n small).
 
-    Builds the distribution of the number of inversions one element at a time; the
-    ``i``-th element adds 0..i-1 inversions with equal chance.
+    Builds the law of the number of inversions one element at a time; the i-th element
+    adds 0..i-1 inversions with equal chance.
     """
-    def add(acc: Column, i: Column) -> Column:
-        last = F.size(acc) - 1
-        return F.transform(
-            F.sequence(F.lit(0), last + i - 1),
-            lambda k: F.aggregate(
-                F.slice(acc, F.greatest(k - i + 1, F.lit(0)) + 1,
-                        F.least(k, last) - F.greatest(k - i + 1, F.lit(0)) + 1),
-                F.lit(0.0), lambda s, v: s + v) / i,
-        )
-
-    n = n.cast("int")
-    law = F.aggregate(F.sequence(F.lit(1), n), F.array(F.lit(1.0)), add)
-    return _bind(F.struct(law.alias("p"), q.cast("int").alias("q")), lambda s: F.when(
-        s["q"] < 0, F.lit(0.0)).otherwise(
-        F.aggregate(F.slice(s["p"], 1, s["q"] + 1), F.lit(0.0), lambda a, v: a + v)))
+    low = "greatest(k - i + 1, 0)"
+    window = f"slice(law, {low} + 1, least(k, size(law) - 1) - {low} + 1)"
+    add = (f"transform(sequence(0, size(law) + i - 2), "
+           f"k -> aggregate({window}, 0D, (s, v) -> s + v) / i)")
+    law = f"aggregate(sequence(1, CAST({n} AS INT)), array(1D), (law, i) -> {add})"
+
+    def upto(q: str) -> str:
+        return f"CASE WHEN {q} < 0 THEN 0D ELSE aggregate(slice(ke.law, 1, {q} + 1), 0D, (s, v) -> s + v) END"
+
+    return F.expr(
+        f"(transform(array(named_struct('law', {law}, 'q', CAST(round({concordant}) AS INT))), "
+        f"ke -> least(1D, 2 * least({upto('ke.q')}, 1 - {upto('(ke.q - 1)')})))[0])")

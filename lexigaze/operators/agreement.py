@@ -52,7 +52,7 @@ def cohen_kappa(df: DataFrame, a: str, b: str, group: Sequence[str] = ()) -> Dat
     se = F.try_divide(F.sqrt(F.greatest(F.lit(0.0), pe + pe * pe - F.col("pc"))),
                       (1 - pe) * F.sqrt(F.col("subjects").cast("double")))
     staged = both.select(*group, "subjects", kappa.alias("value"), F.try_divide(kappa, se).alias("statistic"))
-    return staged.withColumn("p_value", normal_two_sided(F.col("statistic")))
+    return staged.withColumn("p_value", normal_two_sided("statistic"))
 
 
 def with_agreement(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:

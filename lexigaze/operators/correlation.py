@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DecimalType, StructField, StructType
 
 from lexigaze.functions.nulls import attach, natural_join
-from lexigaze.functions.special import kendall_lower, normal_two_sided, t_two_sided
+from lexigaze.functions.special import kendall_exact_p, normal_two_sided, t_two_sided
 from lexigaze.operators.hypothesis import TIDY, tidy
 from lexigaze.operators.ranks import running_total, value_ranks
 
@@ -44,7 +44,7 @@ def _tidy_r(m: DataFrame, group, method: str, interval: bool) -> DataFrame:
     dof = (n - 2).cast("double")
     staged = staged.withColumn("_t", F.when(n > 2, F.try_divide(
         r * F.sqrt(dof), F.sqrt(F.greatest(F.lit(0.0), (1 - r) * (1 + r))))))
-    p = F.when(n > 2, F.when(F.abs(r) >= 1, F.lit(0.0)).otherwise(t_two_sided(F.col("_t"), dof)))
+    p = F.when(n > 2, F.when(F.abs(r) >= 1, F.lit(0.0)).otherwise(t_two_sided("_t", "(n - 2)")))
     low = high = None
     if interval:
         z = F.when(F.abs(r) < 1, 0.5 * (F.log1p(r) - F.log1p(-r)))
@@ -203,14 +203,11 @@ def kendall_test(df: DataFrame, x: str, y: str, group: Sequence[str] = ()) -> Da
         *group, F.col("n"), tau.alias("tau"), F.try_divide(s, F.sqrt(variance)).alias("z"),
         ((all_pairs + s) / 2).alias("concordant"),
         ((F.col("n") < 50) & (F.col("pairs_x") + F.col("pairs_y") == 0)).alias("exact"))
-    q = F.round(F.col("concordant"))
-    lower = kendall_lower(q, F.col("n"))
-    upper = 1 - kendall_lower(q - 1, F.col("n"))
-    exact_p = F.least(F.lit(1.0), 2 * F.least(lower, upper))
+    exact_p = kendall_exact_p("concordant", "n")
     enough = F.col("n") > 1
     return tidy(staged, group, F.col("tau"),
                 F.when(F.col("exact"), F.col("concordant")).otherwise(F.col("z")), None,
-                F.when(enough, F.when(F.col("exact"), exact_p).otherwise(normal_two_sided(F.col("z")))),
+                F.when(enough, F.when(F.col("exact"), exact_p).otherwise(normal_two_sided("z"))),
                 method=KENDALL)
 
 

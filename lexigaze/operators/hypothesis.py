@@ -33,9 +33,9 @@ def _tidy_t(m: DataFrame, group, estimate: Column, se: Column, df: Column, mu: f
     """The arithmetic every t-test shares, on rows that hold its moments."""
     staged = m.select(*group, *extra, estimate.alias("_est"), se.alias("_se"), df.alias("_df"))
     staged = staged.withColumn("_t", F.try_divide(F.col("_est") - mu, F.col("_se")))
-    half = t_quantile(1 - (1 - level) / 2, F.col("_df")) * F.col("_se")
+    half = t_quantile(1 - (1 - level) / 2, "_df") * F.col("_se")
     return tidy(staged, group, F.col("_est"), F.col("_t"), F.col("_df"),
-                t_two_sided(F.col("_t"), F.col("_df")), F.col("_est") - half, F.col("_est") + half,
+                t_two_sided("_t", "_df"), F.col("_est") - half, F.col("_est") + half,
                 method, extra)
 
 
@@ -75,7 +75,7 @@ def mean_interval(df: DataFrame, value: str, group: Sequence[str] = (), level: f
     """Mean with its t confidence interval per group."""
     m = df.groupBy(*group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"),
                                F.stddev_samp(value).alias("sd"))
-    half = t_quantile(1 - (1 - level) / 2, (F.col("n") - 1).cast("double")) * F.col("sd") / F.sqrt(
+    half = t_quantile(1 - (1 - level) / 2, "(n - 1)") * F.col("sd") / F.sqrt(
         F.nullif(F.col("n"), F.lit(0)))
     return m.withColumn("_half", half).select(
         *group, "n", "mean", "sd", (F.col("mean") - F.col("_half")).alias("conf_low"),
@@ -85,7 +85,7 @@ def mean_interval(df: DataFrame, value: str, group: Sequence[str] = (), level: f
 def binomial_test(df: DataFrame, successes: str, trials: str, group: Sequence[str] = ()) -> DataFrame:
     """Exact two-sided test of a share against one half, one test per row."""
     return tidy(df, group, ratio(successes, trials), F.col(successes), F.col(trials),
-                binomial_two_sided(F.col(successes), F.col(trials)), method="Exact binomial test")
+                binomial_two_sided(f"`{successes}`", f"`{trials}`"), method="Exact binomial test")
 
 
 def positive_share(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
@@ -94,4 +94,4 @@ def positive_share(df: DataFrame, value: str, group: Sequence[str] = ()) -> Data
         F.count_if(F.col(value) > 0).alias("numpos"), F.count(F.lit(1)).alias("n_all"),
         F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
     return m.select(*group, "numpos", "n_all", F.concat_ws("/", "numpos", "n_all").alias("proppos"),
-                    "mean", "sd", binomial_two_sided(F.col("numpos"), F.col("n_all")).alias("p_value"))
+                    "mean", "sd", binomial_two_sided("numpos", "n_all").alias("p_value"))

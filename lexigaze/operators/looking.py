@@ -192,7 +192,7 @@ def timecourse(bins: DataFrame, excluded: DataFrame | None = None, month: str =
     per_bin = rows.groupBy("trialtype", "Nonset").agg(
         F.count("propt").alias("n"), F.avg("propt").alias("propt"),
         F.stddev_samp("propt").alias("sd"))
-    half = t_quantile(0.975, F.col("n") - 1) * F.col("sd") / F.sqrt("n")
+    half = t_quantile(0.975, "(n - 1)") * F.col("sd") / F.sqrt("n")
     around = Window.partitionBy("trialtype").orderBy("Nonset").rowsBetween(-reach, reach)
     return (per_bin.withColumn("conf_low", F.col("propt") - half)
             .withColumn("conf_high", F.col("propt") + half)

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexigaze.functions.nulls import attach
-from lexigaze.functions.special import normal_quantile, normal_upper, polynomial
+from lexigaze.functions.special import normal_quantile, normal_upper_sql, num, polynomial
 from lexigaze.operators.hypothesis import tidy
 
 # The test is defined for 3 to 5000 values; other groups get NULL.
@@ -24,16 +24,17 @@ LARGE_MEAN = [-1.5861, -0.31082, -0.083751, 0.0038915]
 LARGE_LOG_SD = [-0.4803, -0.082676, 0.0030302]
 
 
-def _p_value(w: Column, n: Column) -> Column:
-    nd = n.cast("double")
-    log_n = F.log(nd)
-    rest = F.log(1 - w)
-    exact = F.greatest(F.lit(0.0), 6 / math.pi * (F.asin(F.sqrt(w)) - math.asin(math.sqrt(0.75))))
-    gamma = polynomial(nd, SMALL_GAMMA)
-    small = (-F.log(gamma - rest) - polynomial(nd, SMALL_MEAN)) / F.exp(polynomial(nd, SMALL_LOG_SD))
-    large = (rest - polynomial(log_n, LARGE_MEAN)) / F.exp(polynomial(log_n, LARGE_LOG_SD))
-    small_p = F.when(rest >= gamma, F.lit(1e-99)).otherwise(normal_upper(small))
-    return F.when(w >= 1, F.lit(1.0)).when(n == 3, exact).when(n <= 11, small_p).otherwise(normal_upper(large))
+def _p_value() -> Column:
+    """p from columns ``w`` and ``n``."""
+    log_n, rest = "ln(CAST(n AS DOUBLE))", "ln(1 - w)"
+    exact = f"greatest(0D, {num(6 / math.pi)} * (asin(sqrt(w)) - {num(math.asin(math.sqrt(0.75)))}))"
+    gamma = polynomial("n", SMALL_GAMMA)
+    small = normal_upper_sql(
+        f"(-ln({gamma} - {rest}) - {polynomial('n', SMALL_MEAN)}) / exp({polynomial('n', SMALL_LOG_SD)})")
+    large = normal_upper_sql(
+        f"({rest} - {polynomial(log_n, LARGE_MEAN)}) / exp({polynomial(log_n, LARGE_LOG_SD)})")
+    return F.expr(f"CASE WHEN w >= 1 THEN 1D WHEN n = 3 THEN {exact} WHEN n > 11 THEN {large} "
+                  f"WHEN {rest} >= {gamma} THEN 1e-99D ELSE {small} END")
 
 
 def shapiro_wilk(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
@@ -52,7 +53,7 @@ def shapiro_wilk(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFr
     scored = (
         attach(rows, testable, group, "inner")
         .withColumn("i", F.row_number().over(by_value))
-        .withColumn("m", normal_quantile((F.col("i") - 0.375) / (F.col("n") + 0.25))))
+        .withColumn("m", normal_quantile("(i - 0.375D) / (n + 0.25D)")))
     # sums that fix the two outer weights; inner weights are m / sqrt(phi)
     v = F.col("v")
     first, second = F.col("i") == 1, F.col("i") == 2
@@ -65,10 +66,10 @@ def shapiro_wilk(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFr
         F.max(F.when(last, F.col("m"))).alias("mn"), F.max(F.when(before, F.col("m"))).alias("mp"))
 
     n = F.col("n")
-    u = 1 / F.sqrt(n.cast("double"))
+    u = "(1 / sqrt(n))"
     root = F.sqrt("mm")
-    staged = sums.withColumn("an", polynomial(u, LAST_WEIGHT) + F.col("mn") / root).withColumn(
-        "ap", polynomial(u, NEXT_WEIGHT) + F.col("mp") / root)
+    staged = sums.withColumn("an", F.expr(polynomial(u, LAST_WEIGHT)) + F.col("mn") / root).withColumn(
+        "ap", F.expr(polynomial(u, NEXT_WEIGHT)) + F.col("mp") / root)
     one = (F.col("mm") - 2 * F.col("mn") ** 2) / (1 - 2 * F.col("an") ** 2)
     two = (F.col("mm") - 2 * F.col("mn") ** 2 - 2 * F.col("mp") ** 2) / (
         1 - 2 * F.col("an") ** 2 - 2 * F.col("ap") ** 2)
@@ -82,5 +83,5 @@ def shapiro_wilk(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFr
     w = F.least(F.lit(1.0), F.when(F.col("v1") < F.col("vn"), F.try_divide(score * score, F.col("ss"))))
     tested = staged.select(*group, w.alias("w"))
     result = attach(sizes.select(*group, "n"), tested, group)
-    return tidy(result, group, None, F.col("w"), F.col("n"), _p_value(F.col("w"), F.col("n")),
+    return tidy(result, group, None, F.col("w"), F.col("n"), _p_value(),
                 method="Shapiro-Wilk normality test")

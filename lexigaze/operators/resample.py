@@ -10,6 +10,7 @@ Python, and the statistic is an ordinary Spark aggregation over them.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from lexigaze.functions.nulls import attach, ratio
-from lexigaze.functions.special import normal_cdf, normal_quantile
+from lexigaze.functions.special import normal_cdf, normal_quantile, num
 from lexigaze.operators.ranks import running_total
 
 BLOCK_ROWS = 2_000
@@ -99,45 +100,49 @@ def jackknife_acceleration(df: DataFrame, x: str, y: str) -> DataFrame:
         (F.try_divide(F.sum(d ** 3), 6 * F.pow(F.sum(d ** 2), F.lit(1.5)))).alias("acceleration"))
 
 
-def _interpolated(values: Column, reps: Column, p: Column) -> Column:
-    """Order statistic number (reps + 1) * p, interpolated on the normal scale."""
-    k = F.greatest(F.lit(1), F.least(reps - 1, F.floor((reps + 1) * p).cast("int")))
-    lo, hi = F.element_at(values, k), F.element_at(values, k + 1)
-    z, z_lo = normal_quantile(p), normal_quantile(k / (reps + 1))
-    z_hi = normal_quantile((k + 1) / (reps + 1))
-    return lo + (hi - lo) * (z - z_lo) / (z_hi - z_lo)
-
-
 def bootstrap_intervals(values: DataFrame, observed: DataFrame, acceleration: DataFrame | None = None,
                         level: float = 0.95) -> DataFrame:
     """Normal, basic, percentile and BCa intervals: (method, estimate, conf_low, conf_high).
 
     ``values`` are the bootstrap values, ``observed`` the statistic of the data (one row,
-    column ``t0``). The number of values is the number of replicates, so they fit a row.
+    column ``t0``). There are as many values as replicates, so they fit one array. Order
+    statistics number (reps + 1) * p are interpolated on the normal scale.
     """
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
+    z = num(NormalDist().inv_cdf(hi))
     one = values.filter(F.col("t").isNotNull()).agg(
         F.count("t").cast("int").alias("reps"), F.avg("t").alias("mean"), F.stddev_samp("t").alias("sd"),
         F.array_sort(F.collect_list("t")).alias("v"))
     row = attach(one, observed.select("t0"), [])
     row = attach(row, acceleration, []) if acceleration is not None else row.withColumn(
         "acceleration", F.lit(None).cast("double"))
-    v, reps, t0 = F.col("v"), F.col("reps"), F.col("t0")
-    below = F.size(F.filter(v, lambda x: x < t0))
-    row = row.withColumn("z0", normal_quantile(below / reps))
-
-    def at(p: float) -> Column:
-        return _interpolated(v, reps, F.lit(p))
-
-    def adjusted(p: float) -> Column:
-        z = F.col("z0") + normal_quantile(F.lit(p))
-        return _interpolated(v, reps, normal_cdf(F.col("z0") + z / (1 - F.col("acceleration") * z)))
-
-    reach = normal_quantile(F.lit(hi)) * F.col("sd")
+    row = row.withColumn("z0", normal_quantile("size(filter(v, x -> x < t0)) / reps"))
+
+    # one row per wanted order statistic
+    def wanted(name: str, shift: str, p: float) -> Column:
+        adjusted = f"z0 + (z0 {shift} {z}) / (1 - acceleration * (z0 {shift} {z}))"
+        return F.struct(F.lit(name).alias("name"), F.lit(p).alias("plain"), F.expr(adjusted).alias("zp"))
+
+    points = row.select("v", "reps", F.explode(F.array(wanted("low", "-", lo), wanted("high", "+", hi))).alias("s"))
+    points = points.select("v", "reps", "s.*").withColumn("bca", normal_cdf("zp"))
+    points = points.select("v", "reps", F.explode(F.array(
+        F.struct(F.concat("name", F.lit("_plain")).alias("name"), F.col("plain").alias("p")),
+        F.struct(F.concat("name", F.lit("_bca")).alias("name"), F.col("bca").alias("p")))).alias("s"))
+    points = points.select("v", "reps", "s.*").withColumn(
+        "k", F.expr("greatest(1, least(reps - 1, CAST(floor((reps + 1) * p) AS INT)))"))
+    points = points.withColumn("zp", normal_quantile("p")).withColumn(
+        "zl", normal_quantile("k / (reps + 1)")).withColumn("zh", normal_quantile("(k + 1) / (reps + 1)"))
+    found = points.select("name", F.expr(
+        "v[k - 1] + (v[k] - v[k - 1]) * (zp - zl) / (zh - zl)").alias("value"))
+    names = ["low_plain", "high_plain", "low_bca", "high_bca"]
+    bounds = found.agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])
+
+    t0, reach = F.col("t0"), F.expr(f"{z} * sd")
     centre = 2 * t0 - F.col("mean")
-    kinds = [("normal", centre - reach, centre + reach), ("basic", 2 * t0 - at(hi), 2 * t0 - at(lo)),
-             ("percent", at(lo), at(hi)), ("bca", adjusted(lo), adjusted(hi))]
-    return row.select(F.explode(F.array(*[
+    kinds = [("normal", centre - reach, centre + reach),
+             ("basic", 2 * t0 - F.col("high_plain"), 2 * t0 - F.col("low_plain")),
+             ("percent", F.col("low_plain"), F.col("high_plain")), ("bca", F.col("low_bca"), F.col("high_bca"))]
+    return attach(row.drop("v"), bounds, []).select(F.explode(F.array(*[
         F.struct(F.lit(name).alias("method"), t0.alias("estimate"), low.alias("conf_low"),
                  high.alias("conf_high")) for name, low, high in kinds])).alias("ci")).select("ci.*")
 

@@ -58,7 +58,7 @@ bin0 AS (
   SELECT f.*, unnest(generate_series(ceil(fix_start / 20)::BIGINT, ceil(fix_end / 20)::BIGINT - 1)) AS timeBin
   FROM fix f WHERE audiotarget IS NOT NULL),
 bin1 AS (
-  SELECT b.label AS SubjectNumber, b.subj, b.month, b.TrialNumber, b.target, b.trialtype, b.pair,
+  SELECT CASE b.label WHEN '39_12' THEN '39_12_6' ELSE b.label END AS SubjectNumber, b.subj, b.month, b.TrialNumber, b.target, b.trialtype, b.pair,
     CASE WHEN split_part(pair, '_', 2) = target THEN 'two' ELSE 'one' END AS num,
     CASE WHEN area <> '.' THEN area END AS gaze,
     CASE area WHEN 'TARGET' THEN 1.0::DOUBLE WHEN 'DISTRACTOR' THEN 0.0::DOUBLE END AS propt,
@@ -281,12 +281,12 @@ def _kendall(source: str, group: str = "") -> str:
     same = f"AND a.{group} = b.{group}" if group else ""
     using = f"JOIN {{}} USING ({group})" if group else "CROSS JOIN {}"
     tie = lambda c: f"""(SELECT {g}sum(t * (t - 1) / 2) AS p{c}, sum(t * (t - 1) * (2 * t + 5)) AS a{c},
-        sum(t * (t - 1) * (t - 2)) AS b{c} FROM (SELECT {g}{c}, count(*)::DOUBLE AS t FROM src GROUP BY {g}{c}) {by}) t{c}"""
+        sum(t * (t - 1) * (t - 2)) AS "b{c}" FROM (SELECT {g}{c}, count(*)::DOUBLE AS t FROM src GROUP BY {g}{c}) {by}) t{c}"""
     return f"""SELECT {g}estimate, z AS statistic, {z_p("z")} AS p_value FROM (
       SELECT {g}s / sqrt((n * (n - 1) / 2 - px) * (n * (n - 1) / 2 - py)) AS estimate,
         s / sqrt((n * (n - 1) * (2 * n + 5) - ax - ay) / 18 + 2 * px * py / (n * (n - 1))
                  + bx * by_ / (9 * n * (n - 1) * (n - 2))) AS z FROM (
-        SELECT {g}s, n, px, py, ax, ay, bx, by AS by_ FROM (
+        SELECT {g}s, n, px, py, ax, ay, bx, "by" AS by_ FROM (
           WITH src AS (SELECT row_number() OVER () AS id, * FROM {source} WHERE x IS NOT NULL AND y IS NOT NULL)
           SELECT * FROM (SELECT {"a." + g if group else ""}sum(sign(a.x - b.x) * sign(a.y - b.y))::DOUBLE AS s
                          FROM src a JOIN src b ON a.id < b.id {same} {"GROUP BY a." + group if group else ""}) s
@@ -319,16 +319,14 @@ def _shapiro(source: str, group: str) -> str:
 
 
 def _kappa(source: str, a: str, b: str) -> str:
-    return f"""SELECT audio_video, sum(n)::BIGINT AS subjects, (po - pe) / (1 - pe) AS value,
-        (po - pe) / (sqrt(pe + pe * pe - pc) / sqrt(sum(n))) AS statistic FROM (
-      SELECT audio_video, t.n, o.same / t.n AS po, m.pe, m.pc FROM
-        (SELECT audio_video, count(*)::DOUBLE AS n FROM {source} GROUP BY ALL) t
-        JOIN (SELECT audio_video, count(*)::DOUBLE AS same FROM {source} WHERE {a} = {b} GROUP BY ALL) o USING (audio_video)
+    share = "count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY audio_video)"
+    return f"""SELECT audio_video, t.n AS subjects, (po - pe) / (1 - pe) AS value,
+        (po - pe) / (sqrt(pe + pe * pe - pc) / sqrt(t.n)) AS statistic FROM
+        (SELECT audio_video, count(*) AS n, count(*) FILTER ({a} = {b}) / count(*)::DOUBLE AS po FROM {source} GROUP BY ALL) t
         JOIN (SELECT audio_video, sum(pa * pb) AS pe, sum(pa * pb * (pa + pb)) AS pc FROM
-          (SELECT audio_video, {a} AS code, count(*) / sum(count(*)) OVER (PARTITION BY audio_video) AS pa FROM {source} GROUP BY ALL)
-          JOIN (SELECT audio_video, {b} AS code, count(*) / sum(count(*)) OVER (PARTITION BY audio_video) AS pb FROM {source} GROUP BY ALL)
-          USING (audio_video, code) GROUP BY audio_video) m USING (audio_video))
-      GROUP BY audio_video, po, pe, pc"""
+          (SELECT audio_video, {a} AS code, {share} AS pa FROM {source} GROUP BY audio_video, {a})
+          JOIN (SELECT audio_video, {b} AS code, {share} AS pb FROM {source} GROUP BY audio_video, {b})
+          USING (audio_video, code) GROUP BY audio_video) m USING (audio_video)"""
 
 
 def number(c: str, digits: int) -> str:
