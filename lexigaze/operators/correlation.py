@@ -40,7 +40,9 @@ def safe_corr(x: str = "x", y: str = "y") -> Column:
 
 def _tidy_r(m: DataFrame, group, method: str, interval: bool) -> DataFrame:
     n, r = F.col("n"), F.col("r")
-    staged = m.select(*group, "n", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("r"))
+    # rounding may carry r past 1; least() and greatest() would also hide a missing r
+    within = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    staged = m.select(*group, "n", F.when(r.isNotNull(), within).alias("r"))
     dof = (n - 2).cast("double")
     staged = staged.withColumn("_t", F.when(n > 2, F.try_divide(
         r * F.sqrt(dof), F.sqrt(F.greatest(F.lit(0.0), (1 - r) * (1 + r))))))

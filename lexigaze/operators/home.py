@@ -125,41 +125,57 @@ COUNT_COLUMNS = ["MOT", "FAT", "num_exp_tokens", "num_exp_types", *UTTERANCE_TYP
                  "n_op", "y_op", "prop_op", "n_op_exp", "y_op_exp", "prop_op_exp", "CHI", "CHItypes"]
 
 
+LABELLED = ["subj", "month", "SubjectNumber", "audio_video"]
+
+
+def recording_vocabulary(annotations: DataFrame, words: Sequence[str] = TESTED_WORDS) -> DataFrame:
+    """Distinct speakers and words per recording, a missing one counted as one.
+
+    Each annotation gives two narrow rows, which collapse to distinct values before and
+    after the shuffle; then counting values is counting rows.
+    """
+    child = F.coalesce(F.col("speaker") == "CHI", F.lit(False))
+    values = annotations.select(*LABELLED, F.explode(F.array(
+        F.struct(F.lit("word").alias("kind"), F.col("basic_level").alias("value"), child.alias("child")),
+        F.struct(F.lit("speaker").alias("kind"), F.col("speaker").alias("value"), F.lit(False).alias("child")),
+    )).alias("v")).select(*LABELLED, "v.*")
+    distinct = values.groupBy(*LABELLED, "kind", "value").agg(F.max("child").alias("child"))
+    word = F.col("kind") == "word"
+    return distinct.groupBy(*LABELLED).agg(
+        F.count_if(~word).alias("numspeakers"), F.count_if(word).alias("numtypes"),
+        F.count_if(word & is_one_of("value", words)).alias("num_exp_types"),
+        F.count_if(word & F.col("child")).alias("CHItypes"))
+
+
 def recording_counts(annotations: DataFrame, words: Sequence[str] = TESTED_WORDS) -> DataFrame:
-    """Base counts and the eight small aggregates in one pass over the annotations.
+    """Base counts and the eight small aggregates of every recording.
 
-    One wide conditional aggregation replaces the chain of joins. It groups by the
-    recording label as well; ``label_conflicts`` must be empty for that to be the same.
-    A presence share is missing, hence later 0, when only one answer occurs.
+    One wide conditional aggregation (combined before its shuffle) and one narrow count of
+    distinct values replace a chain of joins. Both group by the recording label as well;
+    ``label_conflicts`` must be empty for that to be the same. A presence share is
+    missing, hence later 0, when only one answer occurs.
     """
     tested = is_one_of("basic_level", words)
-    child = F.col("speaker") == "CHI"
 
     def n(test: Column, name: str) -> Column:
         return F.count_if(test).alias(name)
 
-    def presence(value: str, within: Column | None = None) -> Column:
-        test = F.col("object_present") == value
-        return F.count_if(test if within is None else test & within)
+    def present(value: str) -> Column:
+        return F.col("object_present") == value
 
-    counts = annotations.groupBy("subj", "month", "SubjectNumber", "audio_video").agg(
-        n_distinct("speaker").alias("numspeakers"), n_rows().alias("numtokens"),
-        n_distinct("basic_level").alias("numtypes"),
+    counts = annotations.groupBy(*LABELLED).agg(
+        n_rows().alias("numtokens"),
         *[n(F.col("speaker") == s, s) for s in [*PARENTS, *DEVICES, "CHI"]],
         n(tested, "num_exp_tokens"),
-        F.count_distinct(F.when(tested, F.col("basic_level"))).alias("num_exp_types"),
         *[n(F.col("utterance_type") == u, u) for u in UTTERANCE_TYPES],
-        presence("n").alias("n_op"), presence("y").alias("y_op"),
-        presence("n", tested).alias("n_op_exp"), presence("y", tested).alias("y_op_exp"),
-        (F.count_distinct(F.when(child, F.col("basic_level")))
-         + F.max(F.coalesce(child & F.col("basic_level").isNull(), F.lit(False)).cast("long"))
-         ).alias("CHItypes"),
-    )
+        n(present("n"), "n_op"), n(present("y"), "y_op"),
+        n(present("n") & tested, "n_op_exp"), n(present("y") & tested, "y_op_exp"))
+
     def share(y: str, no: str) -> Column:
         return F.when((F.col(y) > 0) & (F.col(no) > 0), ratio(y, F.col(y) + F.col(no)))
 
-    return counts.withColumn("prop_op", share("y_op", "n_op")).withColumn(
-        "prop_op_exp", share("y_op_exp", "n_op_exp"))
+    both = natural_join(counts, recording_vocabulary(annotations, words), "left", expect=LABELLED)
+    return both.withColumns({"prop_op": share("y_op", "n_op"), "prop_op_exp": share("y_op_exp", "n_op_exp")})
 
 
 def recording_summary(annotations: DataFrame, words: Sequence[str] = TESTED_WORDS) -> DataFrame:

@@ -80,7 +80,7 @@ def shapiro_wilk(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFr
         F.when(n == 3, math.sqrt(0.5) * (F.col("vn") - F.col("v1")))
         .when(n <= 5, outer + inner1 / F.sqrt(one))
         .otherwise(outer + F.col("ap") * (F.col("vp") - F.col("v2")) + inner2 / F.sqrt(two)))
-    w = F.least(F.lit(1.0), F.when(F.col("v1") < F.col("vn"), F.try_divide(score * score, F.col("ss"))))
+    w = F.when(F.col("v1") < F.col("vn"), F.least(F.lit(1.0), F.try_divide(score * score, F.col("ss"))))
     tested = staged.select(*group, w.alias("w"))
     result = attach(sizes.select(*group, "n"), tested, group)
     return tidy(result, group, None, F.col("w"), F.col("n"), _p_value(),

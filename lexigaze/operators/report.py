@@ -34,7 +34,9 @@ def trial_type_label(c: Column | str) -> Column:
 def number_text(c: Column | str, digits: int) -> Column:
     """Rounded half to even, printed without trailing zeros, "NA" when missing."""
     rounded = F.bround(col_of(c).cast("double"), digits)
-    return F.coalesce(F.regexp_replace(F.format_string(f"%.{digits}f", rounded), r"\.?0+$", ""), F.lit("NA"))
+    # format_string would print a missing value as "null"
+    text = F.regexp_replace(F.format_string(f"%.{digits}f", rounded), r"\.?0+$", "")
+    return F.when(rounded.isNotNull(), text).otherwise(F.lit("NA"))
 
 
 def range_text(c: str, digits: int = 1, sd_digits: int = 1) -> Column:

@@ -21,7 +21,7 @@ from lexigaze.functions.nulls import attach, ratio
 from lexigaze.functions.special import normal_cdf, normal_quantile, num
 from lexigaze.operators.ranks import running_total
 
-BLOCK_ROWS = 2_000
+BLOCK_ROWS = 500
 
 
 def weighted_corr(x: str, y: str) -> Callable[[Column], Column]:
@@ -65,15 +65,16 @@ def bootstrap(df: DataFrame, columns: Sequence[str], stat: Callable[[Column], Co
     def resample(key: tuple, rows: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
         rows, plan = rows.sort_values(columns, ignore_index=True), plan.sort_values("rep")
         size = rows["w"].to_numpy()
-        parts = []
-        for rep, n in zip(plan["rep"], plan["picks"]):
-            rng = np.random.default_rng([seed, int(rep), int(key[0])])
-            drawn = rng.multinomial(n, size / size.sum())
-            hit = np.flatnonzero(drawn)
-            parts.append(rows[columns].iloc[hit].assign(rep=np.int32(rep), _w=drawn[hit]))
-        return pd.concat(parts, ignore_index=True)[schema.names]
-
-    drawn = placed.groupBy("block").cogroup(picks.groupBy("block")).applyInPandas(resample, schema)
+        rng = np.random.default_rng([seed, 0, int(key[0])])
+        drawn = rng.multinomial(plan["picks"].to_numpy(), size / size.sum())
+        rep, cell = np.nonzero(drawn)
+        return pd.DataFrame({"rep": plan["rep"].to_numpy()[rep], **{
+            c: rows[c].to_numpy()[cell] for c in columns}, "_w": drawn[rep, cell]})
+
+    # every row becomes hundreds, so small inputs must not be merged into one task
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = placed.repartition(tasks, "block").groupBy("block").cogroup(
+        picks.repartition(tasks, "block").groupBy("block")).applyInPandas(resample, schema)
     return drawn.groupBy("rep").agg(stat(F.col("_w")).alias("t"))
 
 

@@ -14,6 +14,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexigaze.operators import gaze, home, looking, merge
+from lexigaze.session import stable
 
 TARGETS = ["ball", "car", "juice", "milk"]
 CARRIERS = ["can", "do", "look", "where"]
@@ -133,7 +134,8 @@ class StudyTables:
 
     @cached_property
     def subject_types(self) -> DataFrame:
-        return looking.subject_type_means(self.counted)
+        # a few rows per infant, read by a dozen branches: written once
+        return stable(looking.subject_type_means(self.counted))
 
     @cached_property
     def single_condition(self) -> DataFrame:
@@ -176,7 +178,7 @@ class StudyTables:
 
     @cached_property
     def lab_home(self) -> DataFrame:
-        return merge.lab_home(self.subject_types, self.subjects, self.recordings)
+        return stable(merge.lab_home(self.subject_types, self.subjects, self.recordings))
 
     @cached_property
     def pooled(self) -> DataFrame:
