@@ -128,20 +128,29 @@ COUNT_COLUMNS = ["MOT", "FAT", "num_exp_tokens", "num_exp_types", *UTTERANCE_TYP
 LABELLED = ["subj", "month", "SubjectNumber", "audio_video"]
 
 
-def recording_vocabulary(annotations: DataFrame, words: Sequence[str] = TESTED_WORDS) -> DataFrame:
+def _keyed(annotations: DataFrame) -> DataFrame:
+    """Recording keys packed into one struct.
+
+    Structs compare missing fields as equal, so a plain join on the struct is null-safe
+    and keeps the partitioning of the aggregations before it.
+    """
+    return annotations.withColumn("recording", F.struct(*LABELLED)).drop(*LABELLED)
+
+
+def recording_vocabulary(keyed: DataFrame, words: Sequence[str] = TESTED_WORDS) -> DataFrame:
     """Distinct speakers and words per recording, a missing one counted as one.
 
     Each annotation gives two narrow rows, which collapse to distinct values before and
     after the shuffle; then counting values is counting rows.
     """
     child = F.coalesce(F.col("speaker") == "CHI", F.lit(False))
-    values = annotations.select(*LABELLED, F.explode(F.array(
+    values = keyed.select("recording", F.explode(F.array(
         F.struct(F.lit("word").alias("kind"), F.col("basic_level").alias("value"), child.alias("child")),
         F.struct(F.lit("speaker").alias("kind"), F.col("speaker").alias("value"), F.lit(False).alias("child")),
-    )).alias("v")).select(*LABELLED, "v.*")
-    distinct = values.groupBy(*LABELLED, "kind", "value").agg(F.max("child").alias("child"))
+    )).alias("v")).select("recording", "v.*")
+    distinct = values.groupBy("recording", "kind", "value").agg(F.max("child").alias("child"))
     word = F.col("kind") == "word"
-    return distinct.groupBy(*LABELLED).agg(
+    return distinct.groupBy("recording").agg(
         F.count_if(~word).alias("numspeakers"), F.count_if(word).alias("numtypes"),
         F.count_if(word & is_one_of("value", words)).alias("num_exp_types"),
         F.count_if(word & F.col("child")).alias("CHItypes"))
@@ -156,6 +165,7 @@ def recording_counts(annotations: DataFrame, words: Sequence[str] = TESTED_WORDS
     missing, hence later 0, when only one answer occurs.
     """
     tested = is_one_of("basic_level", words)
+    keyed = _keyed(annotations)
 
     def n(test: Column, name: str) -> Column:
         return F.count_if(test).alias(name)
@@ -163,7 +173,7 @@ def recording_counts(annotations: DataFrame, words: Sequence[str] = TESTED_WORDS
     def present(value: str) -> Column:
         return F.col("object_present") == value
 
-    counts = annotations.groupBy(*LABELLED).agg(
+    counts = keyed.groupBy("recording").agg(
         n_rows().alias("numtokens"),
         *[n(F.col("speaker") == s, s) for s in [*PARENTS, *DEVICES, "CHI"]],
         n(tested, "num_exp_tokens"),
@@ -174,13 +184,20 @@ def recording_counts(annotations: DataFrame, words: Sequence[str] = TESTED_WORDS
     def share(y: str, no: str) -> Column:
         return F.when((F.col(y) > 0) & (F.col(no) > 0), ratio(y, F.col(y) + F.col(no)))
 
-    both = natural_join(counts, recording_vocabulary(annotations, words), "left", expect=LABELLED)
+    both = counts.join(recording_vocabulary(keyed, words), "recording").select(
+        "recording.*", "*").drop("recording")
     return both.withColumns({"prop_op": share("y_op", "n_op"), "prop_op_exp": share("y_op_exp", "n_op_exp")})
 
 
-def recording_summary(annotations: DataFrame, words: Sequence[str] = TESTED_WORDS) -> DataFrame:
-    """One row per recording: counts, shares, entropy, noun onset, talker status."""
-    filled = fill_zero(recording_counts(annotations, words), COUNT_COLUMNS)
+def recording_summary(annotations: DataFrame, words: Sequence[str] = TESTED_WORDS,
+                      month: str | None = None) -> DataFrame:
+    """One row per recording: counts, shares, entropy, noun onset, talker status.
+
+    With ``month`` only that month's recordings are summarised; the noun onset still comes
+    from all months.
+    """
+    rows = annotations if month is None else annotations.filter(F.col("month") == month)
+    filled = fill_zero(recording_counts(rows, words), COUNT_COLUMNS)
     shares = _share_columns(filled).drop(*DEVICES[1:])
     joined = natural_join(shares, noun_onset(annotations), "left", expect=["subj"])
     return joined.withColumn("posttalk", after_onset(F.col("month"), F.col("noun_chi_onset")))

@@ -35,31 +35,43 @@ class Line:
                          (fit + z * se).alias("conf_high"))
 
 
+IN_ONE_TASK = 100_000
+
+
 def exact_median(df: DataFrame, c: str, accuracy: int = 10_000) -> float:
     """Median of a column without sorting it whole or holding it in one task.
 
-    A mergeable sketch brackets the middle ranks; only the values inside the bracket (a
-    share of about 4 / accuracy of the distinct values, equal values folded) are ranked.
+    A mergeable sketch brackets the wanted ranks. The bracket is narrowed again until few
+    values are left (each pass keeps about 4 / accuracy of them) or ties leave nothing to
+    narrow; equal values are folded before the last step looks at them one by one.
     """
-    margin = 2.0 / accuracy
-    lo, hi, n = df.agg(
-        F.percentile_approx(c, F.lit(0.5 - margin), F.lit(accuracy)),
-        F.percentile_approx(c, F.lit(0.5 + margin), F.lit(accuracy)), F.count(c)).first()
-    below = df.filter(F.col(c) < lo).count()
-    ranks = {(n - 1) // 2 - below, n // 2 - below}
-    middle = df.filter(F.col(c).between(lo, hi)).groupBy(c).agg(F.count(F.lit(1)).alias("w")).agg(
+    size = total = df.filter(F.col(c).isNotNull()).count()
+    if not total:
+        return float("nan")
+    ranks = [(total - 1) // 2, total // 2]
+    inside, skipped = df.filter(F.col(c).isNotNull()), 0
+    while size > IN_ONE_TASK:
+        margin = 2.0 / accuracy
+        lo, hi = inside.agg(*[F.percentile_approx(c, F.lit(min(1.0, max(0.0, p))), F.lit(accuracy)) for p in (
+            (ranks[0] - skipped) / size - margin, (ranks[1] - skipped + 1) / size + margin)]).first()
+        if lo == hi:
+            return lo
+        below, left = df.agg(F.count_if(F.col(c) < lo), F.count_if(F.col(c).between(lo, hi))).first()
+        inside, skipped, stuck, size = df.filter(F.col(c).between(lo, hi)), below, left >= size, left
+        if stuck:
+            break
+    folded = inside.groupBy(c).agg(F.count(F.lit(1)).alias("w")).agg(
         F.array_sort(F.collect_list(F.struct(c, "w"))).alias("v"))
-    # walk the folded values up to the wanted ranks
+
     def value_at(rank: int) -> Column:
-        walk = F.aggregate("v", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("value")),
-                           lambda acc, e: F.struct(
-                               (acc["seen"] + e["w"]).alias("seen"),
-                               F.when((acc["seen"] <= rank) & (acc["seen"] + e["w"] > rank), e[c])
-                               .otherwise(acc["value"]).alias("value")))
-        return walk["value"]
-
-    found = middle.select(*[value_at(r).alias(f"r{i}") for i, r in enumerate(sorted(ranks))]).first()
-    return sum(found) / len(found)
+        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("value"))
+        return F.aggregate("v", start, lambda acc, e: F.struct(
+            (acc["seen"] + e["w"]).alias("seen"),
+            F.when((acc["seen"] <= rank) & (acc["seen"] + e["w"] > rank), e[c]).otherwise(acc["value"]).alias("value"),
+        ))["value"]
+
+    found = folded.select(*[value_at(r - skipped).alias(f"r{i}") for i, r in enumerate(ranks)]).first()
+    return (found[0] + found[1]) / 2
 
 
 def _solve(s) -> tuple[float, float]:

@@ -350,18 +350,18 @@ def order_by_first(t):
 
 @query
 def describe_range(t):
-    return report.describe_recordings(t.recordings.filter(F.col("month") == "06"), "video")
+    return report.describe_recordings(t.recordings06, "video")
 
 
 @query
 def union_descriptives(t):
-    return report.descriptives(t.recordings.filter(F.col("month") == "06"))
+    return report.descriptives(t.recordings06)
 
 
 @query
 def measures_by_medium(t):
     return report.measures_by_medium(
-        t.recordings.filter(F.col("month") == "06").withColumn("numtokens", F.col("numtokens").cast("double")),
+        t.recordings06.withColumn("numtokens", F.col("numtokens").cast("double")),
         ["numtokens", "prop_mom", "prop_op"])
 
 

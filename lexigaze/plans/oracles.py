@@ -228,7 +228,7 @@ def z_p(z: str) -> str:
 
 
 def t_q975(df: str) -> str:
-    """Upper 2.5 % point of t by its expansion in 1/df (for some tens of df and more)."""
+    """Upper 2.5 % point of t by its expansion in 1/df, to start a Newton step from."""
     z = 1.959963984540054
     g = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96,
          (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
@@ -269,8 +269,9 @@ def _welch(source: str, value: str, label: str, a: str, b: str) -> str:
 
 def _pearson(source: str, group: str = "") -> str:
     g, by = (f"{group}, ", f"GROUP BY {group}") if group else ("", "")
-    return f"""SELECT {g}estimate, statistic, parameter, {t_p("statistic", "parameter")} AS p_value FROM (
-      SELECT {g}estimate, estimate * sqrt(parameter) / sqrt((1 - estimate) * (1 + estimate)) AS statistic, parameter FROM (
+    return f"""SELECT {g}estimate, statistic, parameter,
+        CASE WHEN parameter > 0 THEN {t_p("statistic", "parameter")} END AS p_value FROM (
+      SELECT {g}estimate, CASE WHEN parameter > 0 THEN estimate * sqrt(parameter) / sqrt((1 - estimate) * (1 + estimate)) END AS statistic, parameter FROM (
         SELECT {g}corr(x, y) AS estimate, (count(*) - 2)::DOUBLE AS parameter FROM {source}
         WHERE x IS NOT NULL AND y IS NOT NULL {by}))"""
 
@@ -330,7 +331,7 @@ def _kappa(source: str, a: str, b: str) -> str:
 
 
 def number(c: str, digits: int) -> str:
-    return (f"coalesce(regexp_replace(printf('%.{digits}f', round_even(({c})::DOUBLE, {digits})::DOUBLE), "
+    return (f"coalesce(regexp_replace(printf('%.{digits}f', round_even(({c})::DOUBLE, {digits})::DOUBLE + 0.0::DOUBLE), "
             f"'\\.?0+$', ''), 'NA')")
 
 
@@ -535,8 +536,12 @@ SQL: dict[str, str] = {
         SELECT trialtype, count(*) FILTER (cross_item_mean_proptcorrTT > 0) AS numpos, count(*) AS n_all,
           avg(cross_item_mean_proptcorrTT) AS mean, stddev_samp(cross_item_mean_proptcorrTT) AS sd FROM tested GROUP BY ALL)""",
         "mean sd p_value"),
-    "mean_ci": q("", f"""SELECT *, mean - {t_q975("(n - 1)")} * sd / sqrt(n) AS conf_low, mean + {t_q975("(n - 1)")} * sd / sqrt(n) AS conf_high
-        FROM (SELECT c_mktsegment, count(*) AS n, avg(c_acctbal) AS mean, stddev_samp(c_acctbal) AS sd FROM customer GROUP BY ALL)""",
+    "mean_ci": q("", f"""SELECT * EXCLUDE (t0, df, t), mean - t * sd / sqrt(n) AS conf_low, mean + t * sd / sqrt(n) AS conf_high FROM (
+        SELECT *, t0 + ({t_p("t0", "df")} - 0.05) / 2 / (exp(lgamma((df + 1) / 2) - lgamma(df / 2))
+          / sqrt(df * pi()) * pow(1 + t0 * t0 / df, -(df + 1) / 2)) AS t FROM (
+        SELECT *, {t_q975("df")} AS t0 FROM (
+        SELECT c_mktsegment, count(*) AS n, avg(c_acctbal) AS mean, stddev_samp(c_acctbal) AS sd,
+          (count(*) - 1)::DOUBLE AS df FROM customer GROUP BY ALL)))""",
         "mean sd conf_low conf_high"),
     "cor_pearson": q(_CUST, _pearson("cust"), TIDY_D),
     "cor_spearman": q(_CUST, _pearson("""(SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS x,

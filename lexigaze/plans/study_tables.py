@@ -110,7 +110,8 @@ class StudyTables:
 
     @cached_property
     def facts(self) -> DataFrame:
-        return gaze.trial_facts(self.labelled)
+        # one row per trial, read by every step of the trial accounting: written once
+        return stable(gaze.trial_facts(self.labelled))
 
     @cached_property
     def bins(self) -> DataFrame:
@@ -126,7 +127,7 @@ class StudyTables:
 
     @cached_property
     def counted(self) -> DataFrame:
-        return looking.with_trial_counts(self.words_by_type)
+        return stable(looking.with_trial_counts(self.words_by_type))
 
     @cached_property
     def subjects(self) -> DataFrame:
@@ -176,9 +177,13 @@ class StudyTables:
     def recordings(self) -> DataFrame:
         return home.recording_summary(self.annotations, TESTED_BRANDS)
 
+    @cached_property
+    def recordings06(self) -> DataFrame:
+        return home.recording_summary(self.annotations, TESTED_BRANDS, "06")
+
     @cached_property
     def lab_home(self) -> DataFrame:
-        return stable(merge.lab_home(self.subject_types, self.subjects, self.recordings))
+        return stable(merge.lab_home(self.subject_types, self.subjects, self.recordings06))
 
     @cached_property
     def pooled(self) -> DataFrame:

@@ -269,8 +269,17 @@ def test_huber(spark):
     assert near(band.fit, a + b * 0.5, 1e-9) and band.conf_low < band.fit < band.conf_high
 
 
-@pytest.mark.parametrize("n", [1, 2, 5, 10, 1001])
-def test_exact_median(spark, n):
+@pytest.mark.parametrize("n, limit", [(1, 5), (2, 5), (5, 100), (10, 100), (3001, 50), (3000, 50)])
+def test_exact_median(spark, monkeypatch, n, limit):
+    monkeypatch.setattr(robust, "IN_ONE_TASK", limit)
     v = np.random.default_rng(n).normal(size=n)
     df = spark.createDataFrame([(float(a),) for a in v], "v double")
-    assert near(robust.exact_median(df, "v"), float(np.median(v)), 1e-15)
+    assert near(robust.exact_median(df, "v", accuracy=100), float(np.median(v)), 1e-15)
+
+
+def test_exact_median_with_a_hot_value(spark, monkeypatch):
+    monkeypatch.setattr(robust, "IN_ONE_TASK", 20)
+    v = np.r_[np.zeros(400), np.arange(1, 501)]
+    df = spark.createDataFrame([(float(a),) for a in v], "v double")
+    assert robust.exact_median(df, "v", accuracy=100) == np.median(v)
+    assert robust.exact_median(df.filter("v < 300"), "v", accuracy=100) == 0.0
