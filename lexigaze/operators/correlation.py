@@ -18,6 +18,7 @@ from lexigaze.functions.nulls import attach, natural_join
 from lexigaze.functions.special import kendall_exact_p, normal_two_sided, t_two_sided
 from lexigaze.operators.hypothesis import TIDY, tidy
 from lexigaze.operators.ranks import running_total, value_ranks
+from lexigaze.session import stable
 
 PEARSON = "Pearson's product-moment correlation"
 SPEARMAN = "Spearman's rank correlation rho"
@@ -125,7 +126,7 @@ def _signed_pairs(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> int:
     return total
 
 
-def _pair_sums(cells: DataFrame, sizes: DataFrame, group: list[str]) -> DataFrame:
+def _pair_sums(cells: DataFrame, sizes: DataFrame, group: list[str], sliced: bool) -> DataFrame:
     """Exact sum of signs over all pairs, per group, as decimal ``s``.
 
     ``cells`` holds distinct (x, y) with weight ``w``. A small group is one task. For a
@@ -139,7 +140,7 @@ def _pair_sums(cells: DataFrame, sizes: DataFrame, group: list[str]) -> DataFram
     sized = attach(cells, sizes, group)
     task = [F.lit("small").alias("task"), F.lit(0).cast("long").alias("slice")]
     tasks = sized.filter(F.col("n") <= TASK_ROWS).select(*group, *task, "x", "y", "w")
-    if not sizes.filter(F.col("n") > TASK_ROWS).isEmpty():
+    if sliced:
         for part in _sliced_tasks(sized.filter(F.col("n") > TASK_ROWS), group):
             tasks = tasks.unionByName(part)
     keys = [*group, "task", "slice"]
@@ -162,6 +163,7 @@ def _sliced_tasks(large: DataFrame, group: list[str]) -> list[DataFrame]:
         alone = (F.col("_w") >= width).cast("long")
         slices = ranked.select(*group, c, (2 * F.floor(F.col("_before") / width) + alone).alias(f"s{c}"))
         large = natural_join(large, slices, "left", expect=[*group, c])
+    large = stable(large)  # three kinds of tasks read it
 
     def part(df: DataFrame, name: str, key: Column, x: Column, y: Column) -> DataFrame:
         return df.select(*group, F.lit(name).alias("task"), key.cast("long").alias("slice"),
@@ -190,7 +192,11 @@ def kendall_test(df: DataFrame, x: str, y: str, group: Sequence[str] = ()) -> Da
     group = list(group)
     cells = complete_pairs(df, x, y, group).groupBy(*group, "x", "y").agg(F.count(F.lit(1)).alias("w"))
     sizes = cells.groupBy(*group).agg(F.sum("w").alias("n"))
-    m = attach(attach(sizes, _pair_sums(cells, sizes, group), group), _tie_stats(cells, group, "x"), group)
+    sliced = not sizes.filter(F.col("n") > TASK_ROWS).isEmpty()
+    if sliced:
+        cells = stable(cells)
+        sizes = cells.groupBy(*group).agg(F.sum("w").alias("n"))
+    m = attach(attach(sizes, _pair_sums(cells, sizes, group, sliced), group), _tie_stats(cells, group, "x"), group)
     m = attach(m, _tie_stats(cells, group, "y"), group)
 
     n = F.col("n").cast("double")

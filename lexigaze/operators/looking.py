@@ -52,15 +52,18 @@ def word_means_from_bins(bins: DataFrame, by_type: bool = False) -> DataFrame:
         spread(two_stage_means(bins, by_type), _word_keys(by_type), "whichwin", WINDOWS, "propt"))
 
 
-def word_means(labelled: DataFrame, by_type: bool = False, max_bins: int = MAX_BINS,
-               max_missing: float = MAX_MISSING_MS) -> DataFrame:
-    """Same as ``word_means_from_bins`` from labelled fixations, never exploding them.
-
-    All bins of a fixation share one ``propt``, so the mean over the bins of a trial is a
-    mean over its fixations weighted by their bins in the window. A trial shows one
-    target, so the low-data rule is applied to the same per-trial rows instead of being
-    joined back. Both windows are carried side by side. That leaves two shuffles: per
-    trial, then per word.
+TRIAL = [*SUBJECT, "TrialNumber", "target", "trialtype", "pair"]
+
+
+def trial_scores(labelled: DataFrame, max_bins: int = MAX_BINS,
+                 max_missing: float = MAX_MISSING_MS) -> DataFrame:
+    """One row per trial from labelled fixations, never exploding them.
+
+    Holds the bins in both windows, the low-data flag and the mean target looking in each
+    window, so this one pass over the fixations feeds the trial accounting and all looking
+    measures. All bins of a fixation share one ``propt``: the mean over bins is a mean over
+    fixations weighted by their bins. A trial shows one target of one pair
+    (``trial_conflicts`` must be empty).
     """
     def seen(bins: str) -> Column:
         return F.sum(F.when(F.col("propt").isNotNull(), F.col(bins)).otherwise(F.lit(0)))
@@ -68,13 +71,22 @@ def word_means(labelled: DataFrame, by_type: bool = False, max_bins: int = MAX_B
     def mean_in(bins: str) -> Column:
         return ratio(F.sum(F.col("propt") * F.col(bins)), seen(bins))
 
-    trials = (
-        labelled.filter(F.col("pre_bins") + F.col("long_bins") > 0)
-        .groupBy(*_word_keys(by_type), "TrialNumber")
-        .agg(mean_in("long_bins").alias("long"), mean_in("pre_bins").alias("pre"),
-             low_data_flag(F.sum("long_bins"), seen("long_bins"), max_bins, max_missing).alias("lowdata"))
-        .filter(F.col("lowdata") == F.lit(False)))
-    return correct_for_baseline(trials.groupBy(*_word_keys(by_type)).agg(
+    return labelled.groupBy(*TRIAL).agg(
+        F.sum("pre_bins").alias("pre_bins"), F.sum("long_bins").alias("long_bins"),
+        low_data_flag(F.sum("long_bins"), seen("long_bins"), max_bins, max_missing).alias("lowdata"),
+        mean_in("long_bins").alias("long"), mean_in("pre_bins").alias("pre"))
+
+
+def trial_conflicts(trials: DataFrame) -> DataFrame:
+    """Trials that show more than one target, type or pair (expected empty)."""
+    return trials.groupBy("SubjectNumber", "TrialNumber").agg(n_rows().alias("n")).filter(F.col("n") > 1)
+
+
+def word_means(trials: DataFrame, by_type: bool = False) -> DataFrame:
+    """Same as ``word_means_from_bins`` from ``trial_scores``, both windows side by side."""
+    kept_trials = trials.filter((F.col("lowdata") == F.lit(False))
+                                & (F.col("pre_bins") + F.col("long_bins") > 0))
+    return correct_for_baseline(kept_trials.groupBy(*_word_keys(by_type)).agg(
         F.avg("long").alias("long"), F.avg("pre").alias("pre")))
 
 
@@ -155,8 +167,8 @@ def item_means(counted: DataFrame, excluded: DataFrame | None, pairs: DataFrame
     return natural_join(flagged, pairs, "left", expect=["trialtype", "target"])
 
 
-def item_pairs(labelled: DataFrame) -> DataFrame:
-    return labelled.select("trialtype", "pair", "target").distinct()
+def item_pairs(trials: DataFrame) -> DataFrame:
+    return trials.select("trialtype", "pair", "target").distinct()
 
 
 def without_item(words: DataFrame, subjects: DataFrame, item: str) -> DataFrame:

@@ -71,37 +71,37 @@ def low_data_flag(t):
 
 @query
 def low_data_trials(t):
-    return gaze.low_data_trials(t.facts)
+    return gaze.low_data_trials(t.trials)
 
 
 @query
 def kept_trials(t):
-    return gaze.low_data_trials(t.facts, low=False)
+    return gaze.low_data_trials(t.trials, low=False)
 
 
 @query
 def semi_in(t):
-    return gaze.pre_trials(t.facts)
+    return gaze.pre_trials(t.trials)
 
 
 @query
 def window_trials(t):
-    return gaze.window_trials(t.facts)
+    return gaze.window_trials(t.trials)
 
 
 @query
 def trials_setdiff(t):
-    return gaze.window_without_pre(t.facts)
+    return gaze.window_without_pre(t.trials)
 
 
 @query
 def trials_intersect(t):
-    return gaze.no_pre_and_low(t.facts)
+    return gaze.no_pre_and_low(t.trials)
 
 
 @query
 def exclusion_totals(t):
-    return gaze.exclusion_totals(t.facts, total=TRIALS_PER_SESSION)
+    return gaze.exclusion_totals(t.trials, total=TRIALS_PER_SESSION)
 
 
 @query
@@ -112,28 +112,28 @@ def key_press_problems(t):
 
 @query
 def subject_lists(t):
-    return _union([gaze.subject_list(t.facts, group=g).select(F.lit(g).alias("list"), "SubjectNumber")
+    return _union([gaze.subject_list(t.trials, group=g).select(F.lit(g).alias("list"), "SubjectNumber")
                    for g in ("all", "with_data", "lab_only", "enrolled")])
 
 
 @query
 def last_trial(t):
-    return gaze.last_trial(t.facts)
+    return gaze.last_trial(t.trials)
 
 
 @query
 def last_kept_trial(t):
-    return gaze.last_trial(t.facts, kept_only=True)
+    return gaze.last_trial(t.trials, kept_only=True)
 
 
 @query
 def stopped_early(t):
-    return gaze.stopped_early(t.facts, total=TRIALS_PER_SESSION)
+    return gaze.stopped_early(t.trials, total=TRIALS_PER_SESSION)
 
 
 @query
 def stopped_early_kept(t):
-    return gaze.stopped_early(t.facts, total=TRIALS_PER_SESSION, kept_only=True)
+    return gaze.stopped_early(t.trials, total=TRIALS_PER_SESSION, kept_only=True)
 
 
 @query
@@ -159,7 +159,7 @@ def regex_clean(t):
 
 @query
 def prefix_filter(t):
-    return t.facts.filter((F.col("month") == "06") & F.col("subj").startswith("ns")).groupBy("subj").agg(
+    return t.trials.filter((F.col("month") == "06") & F.col("subj").startswith("ns")).groupBy("subj").agg(
         F.count_distinct("TrialNumber").alias("numtrials"))
 
 
@@ -328,7 +328,8 @@ def fill_na_zero(t):
 def length_check(t):
     parts = {"odd_speaker_code": home.odd_speaker_codes(t.annotations),
              "missing_utterance_type": home.missing_utterance_type(t.annotations),
-             "label_conflict": home.label_conflicts(t.annotations)}
+             "label_conflict": home.label_conflicts(t.annotations),
+             "trial_conflict": looking.trial_conflicts(t.trials)}
     return _union([df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(p).alias("problem"), "n")
                    for p, df in parts.items()])
 
@@ -450,6 +451,12 @@ def binom_exact(t):
     return hypothesis.positive_share(t.tested_types, "cross_item_mean_proptcorrTT", ["trialtype"])
 
 
+@query
+def positive_text(t):
+    shares = hypothesis.positive_share(t.tested_types, "cross_item_mean_proptcorrTT", ["trialtype"])
+    return shares.select("trialtype", "proppos", report.mean_sd_p_text("mean", "sd", "p_value").alias("text"))
+
+
 @query
 def mean_ci(t):
     return hypothesis.mean_interval(t.read("customer"), "c_acctbal", ["c_mktsegment"])
@@ -586,6 +593,12 @@ def huber_fit(t):
     return robust.line_table(t.spark, robust.huber_line(t.customers, "n_orders", "spent"))
 
 
+@query
+def robust_band(t):
+    line = robust.huber_line(t.customers, "n_orders", "spent")
+    return line.band(t.customers.select(F.col("n_orders").alias("x")).distinct())
+
+
 @query
 def outlier_rows(t):
     return outliers(looking.flag_outliers(t.read("part"), "p_retailprice", ["p_brand"], width=1.5)).select(

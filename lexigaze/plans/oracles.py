@@ -487,9 +487,11 @@ SQL: dict[str, str] = {
     "posttalk": q(_HOME, "SELECT subj, month, audio_video, noun_chi_onset, posttalk FROM rec"),
     "fill_na_zero": q(_ANN, """SELECT subj, month, audio_video, count(*) FILTER (speaker = 'MOT') AS "MOT",
         count(*) FILTER (speaker = 'FAT') AS "FAT" FROM ann WHERE speaker IN ('MOT', 'FAT') GROUP BY ALL"""),
-    "length_check": q(_ANN, """SELECT 'odd_speaker_code' AS problem, count(*) AS n FROM ann WHERE length(speaker) <> 3
+    "length_check": q(_BINS + "," + _ANN, """SELECT 'odd_speaker_code' AS problem, count(*) AS n FROM ann WHERE length(speaker) <> 3
         UNION ALL SELECT 'missing_utterance_type', count(*) FROM ann WHERE utterance_type IS NULL
-        UNION ALL SELECT 'label_conflict', count(*) FROM (SELECT 1 FROM ann GROUP BY subj, month HAVING count(DISTINCT SubjectNumber) > 1)"""),
+        UNION ALL SELECT 'label_conflict', count(*) FROM (SELECT 1 FROM ann GROUP BY subj, month HAVING count(DISTINCT SubjectNumber) > 1)
+        UNION ALL SELECT 'trial_conflict', count(*) FROM (SELECT 1 FROM bins GROUP BY SubjectNumber, TrialNumber
+          HAVING count(DISTINCT (target, trialtype, pair)) > 1)"""),
     "words_starting_with": q(_ANN, "SELECT DISTINCT basic_level FROM ann WHERE basic_level LIKE 'B%'"),
     "ut_share": q(_ANN, """SELECT *, n / sum(n) OVER (PARTITION BY subj, audio_video) AS share FROM (SELECT subj, audio_video,
         utterance_type, count(*) AS n FROM ann WHERE utterance_type <> 'u' GROUP BY ALL)""", "share"),
@@ -595,3 +597,5 @@ SQL["ordered_utterance_shares"] = q(_HOME, """SELECT u.*, o.position FROM (SELEC
 SQL["outlier_rows"] = q("", """SELECT p_partkey, p_brand, p_retailprice, true AS outlier FROM (SELECT *,
     abs(p_retailprice - avg(p_retailprice) OVER (PARTITION BY p_brand)) > 1.5 * stddev_samp(p_retailprice) OVER (PARTITION BY p_brand)
     AS far FROM part) WHERE far""", "p_retailprice")
+SQL["positive_text"] = f"""SELECT trialtype, proppos, 'M=' || {number("mean", 3)} || ', SD=' || {number("sd", 3)} || ', p = '
+    || {number("p_value", 3)} AS text FROM ({SQL["binom_exact"]}) WHERE sd IS NOT NULL"""

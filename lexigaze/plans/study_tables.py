@@ -109,9 +109,9 @@ class StudyTables:
         return gaze.label_fixations(gaze.drop_aborted(self.fixations), self.onsets)
 
     @cached_property
-    def facts(self) -> DataFrame:
-        # one row per trial, read by every step of the trial accounting: written once
-        return stable(gaze.trial_facts(self.labelled))
+    def trials(self) -> DataFrame:
+        # one row per trial, read by the accounting and every measure: written once
+        return stable(looking.trial_scores(self.labelled))
 
     @cached_property
     def bins(self) -> DataFrame:
@@ -119,15 +119,15 @@ class StudyTables:
 
     @cached_property
     def words(self) -> DataFrame:
-        return looking.word_means(self.labelled)
+        return looking.word_means(self.trials)
 
     @cached_property
     def words_by_type(self) -> DataFrame:
-        return looking.word_means(self.labelled, by_type=True)
+        return looking.word_means(self.trials, by_type=True)
 
     @cached_property
     def counted(self) -> DataFrame:
-        return stable(looking.with_trial_counts(self.words_by_type))
+        return looking.with_trial_counts(self.words_by_type)
 
     @cached_property
     def subjects(self) -> DataFrame:
@@ -151,7 +151,7 @@ class StudyTables:
     @cached_property
     def items(self) -> DataFrame:
         excluded = looking.single_condition_subjects(looking.kept(self.subject_types))
-        return looking.item_means(self.counted, excluded, looking.item_pairs(self.labelled))
+        return looking.item_means(self.counted, excluded, looking.item_pairs(self.trials))
 
     # ----------------------------------------------------------------- home
 

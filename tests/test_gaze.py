@@ -71,10 +71,18 @@ def test_binned_and_unbinned_routes_agree(study):
     labelled = gaze.label_fixations(gaze.drop_aborted(fixations), onsets)
     for by_type in (False, True):
         a = looking.word_means_from_bins(slow, by_type)
-        b = looking.word_means(labelled, by_type).select(*a.columns)
+        b = looking.word_means(looking.trial_scores(labelled), by_type).select(*a.columns)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_trial_scores_hold_the_trial_facts(study):
+    labelled = gaze.label_fixations(gaze.drop_aborted(study[0]), gaze.key_press_messages(study[1]))
+    facts, scores = gaze.trial_facts(labelled), looking.trial_scores(labelled)
+    same = scores.select(*facts.columns)
+    assert facts.exceptAll(same).count() == 0 and same.exceptAll(facts).count() == 0
+    assert looking.trial_conflicts(scores).count() == 0
+
+
 def test_window_edges(study):
     bins = gaze.trial_bins(*study).filter((F.col("SubjectNumber") == "01_06") & (F.col("TrialNumber") == 36))
     spans = {r.whichwin: (r.a, r.b, r.n) for r in bins.groupBy("whichwin").agg(

@@ -16,7 +16,7 @@ def con():
     return connect(FOLDER)
 
 
-def test_every_query_but_two_has_sql():
+def test_queries_without_sql_are_the_named_ones():
     assert set(contract.queries()) - set(contract.oracle_sql()) == contract.WITHOUT_SQL
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
