@@ -9,6 +9,7 @@ low-data rule and the looking means are therefore computed without exploding at
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -205,6 +206,15 @@ def with_low_data(labelled: DataFrame, max_bins: int = MAX_BINS,
     return natural_join(labelled, facts, "left", expect=TRIAL_KEYS)
 
 
+def clip_offsets(labelled: DataFrame, start: float, stop: float) -> DataFrame:
+    """Cut fixations to bins strictly between two times from onset, before exploding them."""
+    onset_bin = F.floor(F.col("TargetOnset") / BIN_MS)
+    first, last = math.floor(start / BIN_MS) + 1, math.ceil(stop / BIN_MS) - 1
+    return (labelled.withColumn("bin_from", F.greatest(F.col("bin_from"), onset_bin + first))
+            .withColumn("bin_to", F.least(F.col("bin_to"), onset_bin + last))
+            .filter(F.col("bin_from") <= F.col("bin_to")))
+
+
 def to_bins(labelled: DataFrame) -> DataFrame:
     """Explode labelled fixations into the labelled bin table."""
     span = _explode_span(F.col("bin_from"), F.col("bin_to"))

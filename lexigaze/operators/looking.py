@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lexigaze.functions.nulls import (
     n_missing, n_rows, natural_join, not_in_table, ratio, spread, strict,
 )
-from lexigaze.operators.gaze import MAX_BINS, MAX_MISSING_MS, low_data_flag
+from lexigaze.functions.special import t_quantile
+from lexigaze.operators.gaze import (
+    MAX_BINS, MAX_MISSING_MS, clip_offsets, low_data_flag, to_bins,
+)
 from lexigaze.operators.outliers import flag_outliers, without_outliers
 
 SUBJECT = ["SubjectNumber", "subj", "month"]
@@ -189,18 +192,18 @@ def kept(flagged: DataFrame, month: str | None = None) -> DataFrame:
     return rows if month is None else rows.filter(F.col("month") == month)
 
 
-def timecourse(bins: DataFrame, excluded: DataFrame | None = None, month: str = "06",
+def timecourse(labelled: DataFrame, excluded: DataFrame | None = None, month: str = "06",
                start: float = -750, stop: float = 5000, reach: int = 5) -> DataFrame:
     """Target looking by time from onset and trial type, with a centred moving mean.
 
-    The bins between ``start`` and ``stop`` are few, so after aggregation the moving mean
-    is a window over some hundred rows.
+    Fixations are filtered and cut to the shown times before they are exploded. The bins
+    between ``start`` and ``stop`` are few, so after aggregation the moving mean is a
+    window over some hundred rows.
     """
-    from lexigaze.functions.special import t_quantile
-
-    rows = bins.filter((F.col("month") == month) & (F.col("Nonset") > start) & (F.col("Nonset") < stop))
+    shown = labelled.filter(F.col("month") == month)
     if excluded is not None:
-        rows = not_in_table(rows, excluded, "subj")
+        shown = not_in_table(shown, excluded, "subj")
+    rows = to_bins(clip_offsets(shown, start, stop))
     per_bin = rows.groupBy("trialtype", "Nonset").agg(
         F.count("propt").alias("n"), F.avg("propt").alias("propt"),
         F.stddev_samp("propt").alias("sd"))

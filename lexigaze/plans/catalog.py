@@ -242,8 +242,7 @@ def reorder_by_mean(t):
 
 @query
 def timecourse(t):
-    bins = gaze.to_bins(t.labelled)
-    return looking.timecourse(bins, t.single_condition).drop("conf_low", "conf_high")
+    return looking.timecourse(t.labelled, t.single_condition).drop("conf_low", "conf_high")
 
 
 @query
