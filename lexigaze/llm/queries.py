@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigaze.llm import quality_rules
+from lexigaze.llm import decontamination, line_dedup, quality_rules
 from lexigaze.llm.common import documents, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,3 +22,29 @@ def query(f: Query) -> Query:
 @query
 def op10_quality_rules(spark, folder):
     return quality_rules.judge(documents(spark, folder))
+
+
+@query
+def op3_line_dedup(spark, folder):
+    return line_dedup.dedup_lines(documents(spark, folder)).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+SQL["op3_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, ls[i] AS line FROM d, unnest(range(1, len(ls) + 1)) AS r(i)),
+k AS (SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.doc_id, k.i, k.line, c.key IS NOT NULL AND k.doc_id <> c.keeper AS gone FROM k LEFT JOIN c ON k.key = c.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+@query
+def op5_decontamination(spark, folder):
+    found = decontamination.decontaminate(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
