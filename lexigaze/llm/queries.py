@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigaze.llm import decontamination, line_dedup, quality_rules
+from lexigaze.llm import decontamination, line_dedup, packing, quality_rules
 from lexigaze.llm.common import documents, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,3 +48,8 @@ def op5_decontamination(spark, folder):
     found = decontamination.decontaminate(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query
+def op6_packing(spark, folder):
+    return packing.pack_documents(documents(spark, folder))
