@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigaze.llm import decontamination, line_dedup, packing, quality_rules
+from lexigaze.llm import decontamination, language_id, line_dedup, packing, quality_model, quality_rules, secrets
 from lexigaze.llm.common import documents, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,3 +53,19 @@ def op5_decontamination(spark, folder):
 @query
 def op6_packing(spark, folder):
     return packing.pack_documents(documents(spark, folder))
+
+
+@query
+def op1_secret_scan(spark, folder):
+    return secrets.scan_secrets(documents(spark, folder)).select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+
+
+@query
+def op8_quality_classifier(spark, folder):
+    return quality_model.classify(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+@query
+def op9_language_id(spark, folder):
+    return language_id.identify(documents(spark, folder))
