@@ -74,8 +74,9 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: in
     far smaller than the texts that would have to be read again.
     """
     lines = written(texts(docs).mapInArrow(_hashed(min_chars), "h1 long, h2 long, doc_id long, place int, first int"))
-    common = lines.groupBy("h1", "h2").agg(F.sum("first").alias("n"), F.max("doc_id").alias("keeper")).where(
-        F.col("n") >= min_documents).drop("n")
+    # Written, so that the join deals both sides anew and a hash of many lines can be split among tasks.
+    common = written(lines.groupBy("h1", "h2").agg(F.sum("first").alias("n"), F.max("doc_id").alias("keeper")).where(
+        F.col("n") >= min_documents).drop("n"))
     return lines.join(common, ["h1", "h2"]).where("doc_id <> keeper").groupBy("doc_id").agg(
         F.collect_set("place").alias("dropped"))  # places of one document: never more than its lines
 
