@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigaze.llm import decontamination, language_id, line_dedup, packing, quality_model, quality_rules, secrets
+from lexigaze.llm import (
+    decontamination, language_id, line_dedup, near_dedup, packing, quality_model, quality_rules, secrets,
+)
 from lexigaze.llm.common import documents, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,3 +71,8 @@ def op8_quality_classifier(spark, folder):
 @query
 def op9_language_id(spark, folder):
     return language_id.identify(documents(spark, folder))
+
+
+@query
+def op4_near_dedup(spark, folder):
+    return near_dedup.near_classes(documents(spark, folder))
