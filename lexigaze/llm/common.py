@@ -46,12 +46,24 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``written`` made and nothing will read again."""
+    for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if "/table-" in file:
+            place, files = _place(table.sparkSession, file)
+            files.delete(place, True)
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def bucket(column: str, buckets: int):
     """crc32 of a number written as text, modulo ``buckets``: the fold of the held-out rules."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(buckets)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexigaze.llm import (
-    decontamination, language_id, line_dedup, near_dedup, packing, quality_model, quality_rules, secrets,
+    decontamination, language_id, line_dedup, near_dedup, packing, pitman_yor, quality_model, quality_rules, repeats,
+    secrets,
 )
 from lexigaze.llm.common import documents, texts
 
@@ -76,3 +77,14 @@ def op9_language_id(spark, folder):
 @query
 def op4_near_dedup(spark, folder):
     return near_dedup.near_classes(documents(spark, folder))
+
+
+@query
+def op2_repeated_substrings(spark, folder):
+    return repeats.remove_repeats(documents(spark, folder)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op7_pitman_yor(spark, folder):
+    return pitman_yor.score_held_out(documents(spark, folder))
