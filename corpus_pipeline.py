@@ -2,9 +2,58 @@
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lexigaze.llm import decontamination, line_dedup, near_dedup, packing, quality_rules
+from lexigaze.llm.common import documents, written
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is among ``ids``; a null id is equal to itself."""
+    return docs.join(ids.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+
+
+def pass_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep."""
+    return _only(docs, quality_rules.judge(docs).where("kept"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the lines kept elsewhere; n_chars follows the text."""
+    return line_dedup.without_repeated_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of every class of near-duplicates, one of its rows; all rows of null id."""
+    heads = near_dedup.near_classes(docs).where("doc_id = class_id").select("doc_id").distinct()
+    return docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without too many words of benchmark items."""
+    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _only(docs, found.where("NOT contaminated"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", pass_quality_rules),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", keep_one_of_each_class),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+# Packing and near-duplicate classes have no SQL twin; tests hold each stage against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

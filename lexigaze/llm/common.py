@@ -126,6 +126,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def spread(x: int) -> np.uint64:
+    """A number for every small one, far apart."""
+    return np.uint64(x * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+
+
 class Rolling:
     """Hashes of any stretch of a byte array from one prefix sum, modulo 2**64."""
 

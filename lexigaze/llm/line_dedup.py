@@ -52,21 +52,29 @@ def _hashed(min_chars: int):
     return run
 
 
+def _kept(text: str | None, dropped: list[int] | None) -> tuple[str, int, int]:
+    """The text without the lines at these places, its lines before, and how many went."""
+    lines = (text or "").split("\n")
+    out = set(dropped or ())
+    return "\n".join([line for i, line in enumerate(lines) if i not in out] if out else lines), len(lines), len(out)
+
+
 def _reassembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
-        kept_texts, n_lines, n_dropped = [], [], []
-        for text, dropped in zip(batch.column("text").to_pylist(), batch.column("dropped").to_pylist()):
-            lines = text.split("\n")
-            out = set(dropped or ())
-            kept = [line for i, line in enumerate(lines) if i not in out] if out else lines
-            kept_texts.append("\n".join(kept))
-            n_lines.append(len(lines))
-            n_dropped.append(len(out))
+        rows = [_kept(t, d) for t, d in zip(batch.column("text").to_pylist(), batch.column("dropped").to_pylist())]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(kept_texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
+            [batch.column("doc_id"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())],
             ["doc_id", "kept_text", "n_lines", "n_dropped"])
 
 
+def _replaced(names: list[str], drops: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            new = [t if t is None or not d else _kept(t, d)[0] for t, d in zip(batch.column("text").to_pylist(), batch.column(drops).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if n == "text" else batch.column(n) for n in names], names)
+    return run
+
+
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """doc_id and the places of its lines that go.
 
@@ -86,3 +94,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
     drops = dropped_lines(docs, min_chars, min_documents)
     return texts(docs).join(drops, "doc_id", "left").select("doc_id", "text", "dropped").mapInArrow(
         _reassembled, "doc_id long, kept_text string, n_lines long, n_dropped long")
+
+
+def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """``docs`` with all its columns, the lines gone from ``text``; a null text stays null."""
+    own = next(n for n in ("dropped", *(f"dropped_{i}" for i in range(len(docs.columns) + 1))) if n not in docs.columns)
+    drops = dropped_lines(docs, min_chars, min_documents).withColumnRenamed("dropped", own)
+    return docs.join(drops, "doc_id", "left").select(*docs.columns, own).mapInArrow(_replaced(docs.columns, own), docs.schema)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexigaze.llm.common import ALNUM, gram_hashes, mix, pieces, signed, texts, word_hashes, written
+from lexigaze.llm.common import ALNUM, gram_hashes, mix, pieces, signed, spread, texts, word_hashes, written
 from lexigaze.llm.components import components
 
 SHINGLE = 5
@@ -52,10 +52,10 @@ def prob_min_hash(text: np.ndarray, shingles: np.ndarray, weights: np.ndarray, n
     sign = np.zeros(n * registers, np.uint64)
     base = text * registers
     shingle, rate, time = shingles, 1.0 / weights, np.zeros(len(shingles))
-    turn = np.uint64(0)
+    turn = 0
     while len(shingle):
-        turn += np.uint64(1)
-        u = mix(shingle + turn * _GOLDEN)
+        turn += 1
+        u = mix(shingle + spread(turn))
         time = time - np.log1p(-(u >> np.uint64(11)).astype(np.float64) * 2.0 ** -53) * rate
         at = base + (mix(u) % np.uint64(registers)).astype(np.int64)
         np.minimum.at(first, at, time)
