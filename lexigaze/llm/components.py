@@ -26,8 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")))
-        joined = large.join(least, "u")
+        joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")  # by now a node has few lesser neighbours
         small = joined.select("u", F.col("m").alias("v")).unionByName(
             joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         edges = written(small)

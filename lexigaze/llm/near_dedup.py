@@ -139,59 +139,71 @@ def forest(sketches: np.ndarray, floor: float = FLOOR, nearest: int = NEAREST) -
     return out
 
 
+def hub(sketches: np.ndarray) -> tuple[int, int]:
+    """The text closest to the most common value of every register, and in how many registers it has that."""
+    common = np.array([np.bincount(sketches[:, r]).argmax() for r in range(sketches.shape[1])])
+    same = (sketches == common).sum(1)
+    return int(same.argmax()), int(same.max())
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group; a group may go on in the next batch, but is never larger than the splitting allows."""
-    held_key, ids, sketches = None, [], []
-
-    def flush(out: list[tuple[int, int]]) -> None:
-        for start in range(0, len(ids), GROUP):
-            some = np.frombuffer(b"".join(sketches[start:start + GROUP]), np.uint8).reshape(-1, REGISTERS)
-            part = ids[start:start + GROUP]
-            if len(part) > 1:
-                out.extend((min(part[a], part[b]), max(part[a], part[b])) for a, b in forest(some))
-            if start:  # to the first block's first text, which stands for the others
-                out.append((min(ids[0], part[0]), max(ids[0], part[0])))
+    """Pairs (a, b) of every group; of a crowded bucket's groups also the hub, as (a, null) with its bucket and score.
+
+    Rows come sorted by group and a group may go on in the next batch; blocks of ``GROUP`` bound what is held.
+    """
+    held, ids, sketches = None, [], []
+
+    def flush(out: list[tuple]) -> None:
+        if len(ids) > 1:
+            some = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, REGISTERS)
+            out.extend((min(ids[a], ids[b]), max(ids[a], ids[b]), None, None) for a, b in forest(some))
+        if ids and held[3]:
+            at, score = hub(np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, REGISTERS))
+            out.append((ids[at], None, held[0], score))
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["a", "b", "key", "score"])
 
     for batch in batches:
-        out: list[tuple[int, int]] = []
-        for key, rep, sketch in zip(zip(*(batch.column(c).to_pylist() for c in ("key", "part", "salt"))),
+        out: list[tuple] = []
+        for key, rep, sketch in zip(zip(*(batch.column(c).to_pylist() for c in ("key", "part", "salt", "crowded"))),
                                     batch.column("rep").to_pylist(), batch.column("sketch").to_pylist()):
-            if key != held_key:
+            if key != held or len(ids) >= 2 * GROUP:
                 flush(out)
-                held_key, ids, sketches = key, [], []
+                held, ids, sketches = key, [], []
             ids.append(rep)
             sketches.append(sketch)
-        yield _pair_batch(out)
+        yield rows(out)
     out = []
     flush(out)
-    yield _pair_batch(out)
-
-
-def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+    yield rows(out)
 
 
 def candidate_pairs(unique: DataFrame) -> DataFrame:
     """Distinct (a, b) worth verifying, from texts (rep, bands, sketch) of different shingles.
 
     Buckets of one text are gone after a count. A bucket of more than ``GROUP`` texts is dealt by the next
-    band as well, and what is still larger is salted; every part is tied to its bucket by the pair of
-    its least text and the bucket's least. Pairs grow with the texts, never with the square of a bucket.
+    band as well, what is still larger is salted, and each of its texts is paired with the bucket's least
+    text and with its hub, the text that has most of the bucket's common registers. Pairs grow with the
+    texts, never with the square of a bucket.
     """
     keys = written(unique.select("rep", "bands").mapInArrow(_exploded, "key long, after long, rep long"))
-    sizes = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("center")).where("n > 1"))
-    members = keys.join(sizes, "key").select("key", "rep", "n", "center", F.when(F.col("n") > GROUP, F.col("after")).otherwise(F.lit(0)).alias("part"))
-    crowded = written(members.where(F.col("n") > GROUP))
-    parts = written(crowded.groupBy("key", "part").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("head"), F.first("center").alias("top")))
-    salted = crowded.join(parts.select("key", "part", "m", "head"), ["key", "part"]).select(
-        "key", "part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / GROUP)).alias("salt"), "rep", "head", "m")
-    flat = members.where(F.col("n") <= GROUP).select("key", "part", F.lit(0).cast("long").alias("salt"), "rep").unionByName(
-        salted.select("key", "part", "salt", "rep"))
-    near = flat.join(unique.select("rep", "sketch"), "rep").repartition("key", "part", "salt").sortWithinPartitions(
-        "key", "part", "salt", "rep").mapInArrow(_pairs, "a long, b long")
-    ties = parts.select(F.least("head", "top").alias("a"), F.greatest("head", "top").alias("b")).unionByName(
-        salted.where(F.col("m") > GROUP).select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")))
-    return near.unionByName(ties).where("a <> b").distinct()
+    sizes = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1"))
+    members = keys.join(sizes, "key")
+    crowded = written(members.where(F.col("n") > GROUP).select("key", F.col("after").alias("part"), "rep", "least"))
+    parts = written(crowded.groupBy("key", "part").agg(F.count(F.lit(1)).alias("m")))
+    salted = crowded.join(parts, ["key", "part"]).select(
+        "key", "part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / GROUP)).alias("salt"), F.lit(True).alias("crowded"), "rep")
+    zero = F.lit(0).cast("long")
+    groups = members.where(F.col("n") <= GROUP).select("key", zero.alias("part"), zero.alias("salt"), F.lit(False).alias("crowded"), "rep").unionByName(salted)
+    found = written(groups.join(unique.select("rep", "sketch"), "rep").repartition("key", "part", "salt").sortWithinPartitions(
+        "key", "part", "salt", "rep").mapInArrow(_pairs, "a long, b long, key long, score int"))
+    hubs = written(found.where("b IS NULL").groupBy("key").agg(F.max(F.struct("score", "a")).alias("best")).select("key", F.col("best.a").alias("hub")))
+    near = found.where("b IS NOT NULL").select("a", "b")
+    for table, center in ((crowded, "least"), (crowded.join(hubs, "key"), "hub")):
+        near = near.unionByName(table.select(F.least("rep", center).alias("a"), F.greatest("rep", center).alias("b")))
+    return near.where("a <> b").distinct()
 
 
 # -------------------------------------------------------------- verification
