@@ -33,9 +33,10 @@ from pyspark.sql import DataFrame, functions as F
 from lexigaze.llm.common import Rolling, pieces, signed, text_bytes, texts, written
 
 LENGTH = 400
-ANCHOR = 64
+ANCHOR = 160
 GROUP = 4096
 FINER = (32, 1)
+MARKS = 1 << 20
 
 
 # ------------------------------------------------------------------- anchors
@@ -160,8 +161,22 @@ _ROW = "key long, context long, doc_id long, place int, first int, last int"
 _FOUND = "key long, context long, n long, doc_id long, start int, length int, repeat long"
 
 
+def _mark():
+    return F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+
+
+def _near(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Texts whose id may be (``left_anti``: can't be) among ``ids``, without a shuffle of the others.
+
+    What is sent to the tasks are marks of the ids, of which there are at most ``MARKS``.
+    """
+    marks = written(ids.select(_mark().alias("mark")).distinct())
+    return texts(docs).join(F.broadcast(marks), _mark() == F.col("mark"), how)
+
+
 def _fetch(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    return rows.join(texts(docs), "doc_id")
+    rows = written(rows)
+    return rows.join(_near(docs, rows), "doc_id")
 
 
 def _cut(length: int):
@@ -176,8 +191,11 @@ def _cut(length: int):
     return run
 
 
-def _grouped(length: int):
-    """Maximal repeats of every anchor; the rows of an anchor stand together."""
+def _grouped(length: int, merged: bool):
+    """Maximal repeats of every anchor; the rows of an anchor stand together.
+
+    ``merged``: only what they cover of each row, so that there are hardly more rows out than in.
+    """
     names = ("key", "context", "n", "doc_id", "place", "first", "bytes")
 
     def repeats(rows: list[tuple]) -> Iterator[tuple]:
@@ -190,17 +208,29 @@ def _grouped(length: int):
                 r = rows[m]
                 yield r[0], r[1], r[2], r[3], r[4] - before, before + after, name
 
+    def covers(rows: list[tuple]) -> Iterator[tuple]:
+        spans: list[list[tuple[int, int]]] = [[] for _ in rows]
+        for before, after, group in maximal_groups([r[6] for r in rows], [r[4] - r[5] for r in rows], length):
+            for m in group:  # all of them hold the anchor
+                spans[m].append((rows[m][4] - before, rows[m][4] + after))
+        for r, own in zip(rows, spans):
+            if own and r[2] < 2:  # equal contexts are removed as a whole anyway
+                start = min(a for a, _ in own)
+                yield r[0], r[1], r[2], r[3], start, max(b for _, b in own) - start, 0
+
+    each = covers if merged else repeats
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             out: list[tuple] = []
             for row in zip(*(batch.column(c).to_pylist() for c in names)):
                 if held and row[0] != held[0][0]:
-                    out.extend(repeats(held) if len(held) > 1 else ())
+                    out.extend(each(held) if len(held) > 1 else ())
                     held = []
                 held.append(row)
             yield _found(out)
-        yield _found(list(repeats(held)) if len(held) > 1 else [])
+        yield _found(list(each(held)) if len(held) > 1 else [])
     return run
 
 
@@ -232,7 +262,7 @@ def _finer(length: int, width: int):
     return run
 
 
-def _resolve(rows: DataFrame, docs: DataFrame, length: int, group: int, finer: tuple[int, ...]) -> list[tuple[DataFrame, DataFrame]]:
+def _resolve(rows: DataFrame, docs: DataFrame, length: int, group: int, merged: bool, finer: tuple[int, ...] = FINER) -> list[tuple[DataFrame, DataFrame]]:
     """For anchors (rows of ``_ROW``): the repeats found in arrays and the repeated rows they stand for."""
     again = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1))
     rows = written(rows.join(again.select("key"), "key"))
@@ -246,12 +276,12 @@ def _resolve(rows: DataFrame, docs: DataFrame, length: int, group: int, finer: t
     mixed = contexts.join(sizes.where("m > 1"), "key")
     cut = "key long, context long, n long, doc_id long, place int, first int, bytes binary"
     arrays = _fetch(mixed.where(F.col("m") <= group), docs).select("key", "context", "n", "doc_id", "place", "first", "last", "text").mapInArrow(
-        _cut(length), cut).repartition("key").sortWithinPartitions("key").mapInArrow(_grouped(length), _FOUND)
+        _cut(length), cut).repartition("key").sortWithinPartitions("key").mapInArrow(_grouped(length, merged), _FOUND)
     out = [(whole, rows), (arrays, rows)]
     if finer and sizes.where(F.col("m") > group).limit(1).count():
         large = _fetch(mixed.where(F.col("m") > group), docs).select("key", "context", "n", "doc_id", "place", "first", "last", "text").mapInArrow(
             _cut(length), cut).mapInArrow(_finer(length, finer[0]), _ROW)
-        out += _resolve(written(large), docs, length, group, finer[1:])
+        out += _resolve(written(large), docs, length, group, merged, finer[1:])
     return out
 
 
@@ -262,7 +292,7 @@ def _anchored(docs: DataFrame, length: int, anchor: int) -> DataFrame:
 def repeat_groups(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
     """repeat, length, doc_id, start: every occurrence of every maximal repeat, one row each."""
     parts = []
-    for found, rows in _resolve(_anchored(docs, length, anchor), docs, length, group, FINER):
+    for found, rows in _resolve(_anchored(docs, length, anchor), docs, length, group, False):
         single = found.where("n < 2").select("repeat", "length", "doc_id", "start")
         several = found.where("n > 1").select("key", "context", "repeat", "length", "doc_id", "start")
         first = rows.groupBy("key", "context").agg(F.min(F.struct("doc_id", "place")).alias("one")).select("key", "context", "one.place")
@@ -274,7 +304,7 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, g
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
     """doc_id and its repeated stretches (start, end), in bytes; they may overlap."""
     found = [f.where("n < 2").select("doc_id", "start", (F.col("start") + F.col("length")).alias("end"))
-             for f, _ in _resolve(_anchored(docs, length, anchor), docs, length, group, FINER)]
+             for f, _ in _resolve(_anchored(docs, length, anchor), docs, length, group, True)]
     return reduce(DataFrame.unionByName, found)
 
 
@@ -303,7 +333,9 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes): each text without its repeated stretches, in one row per row."""
-    spans = repeated_spans(docs, length, anchor, group).groupBy("doc_id").agg(
-        F.collect_set(F.struct("start", "end")).alias("spans"))  # of one document: bounded by its length
-    return texts(docs).join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(
+    spans = written(repeated_spans(docs, length, anchor, group).groupBy("doc_id").agg(
+        F.collect_set(F.struct("start", "end")).alias("spans")))  # of one document: bounded by its length
+    whole = _near(docs, spans, "left_anti").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    some = _near(docs, spans).join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    return whole.unionByName(some).mapInArrow(
         _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
