@@ -179,8 +179,12 @@ def spread(
     df: DataFrame, keys: Sequence[str], name: str, values: Sequence[str], value: str | Column,
     agg: Callable[[Column], Column] = F.first,
 ) -> DataFrame:
-    """Long to wide with a fixed list of new columns; a missing cell is NULL."""
-    return df.groupBy(*keys).pivot(name, list(values)).agg(agg(col_of(value)))
+    """Long to wide with a fixed list of new columns; a missing cell is NULL, two rows in one cell are an error."""
+    value = col_of(value)
+    if agg is F.first:
+        one = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit(f"several rows in one cell of {name}"))).otherwise(F.first(value))
+        return df.groupBy(*keys).pivot(name, list(values)).agg(one)
+    return df.groupBy(*keys).pivot(name, list(values)).agg(agg(value))
 
 
 def spread_counts(df: DataFrame, keys: Sequence[str], name: str, values: Sequence[str]) -> DataFrame:

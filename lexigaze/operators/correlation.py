@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from decimal import Decimal
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,7 @@ def safe_corr(x: str = "x", y: str = "y") -> Column:
     return F.when(varies, F.try_divide(F.covar_samp(x, y), spread))
 
 
-def _tidy_r(m: DataFrame, group, method: str, interval: bool) -> DataFrame:
+def _tidy_r(m: DataFrame, group, method: str, interval: bool, extra: Sequence[Column] = ()) -> DataFrame:
     n, r = F.col("n"), F.col("r")
     # rounding may carry r past 1; least() and greatest() would also hide a missing r
     within = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
@@ -53,7 +54,7 @@ def _tidy_r(m: DataFrame, group, method: str, interval: bool) -> DataFrame:
         z = F.when(F.abs(r) < 1, 0.5 * (F.log1p(r) - F.log1p(-r)))
         reach = 1.959963984540054 / F.sqrt(F.when(n > 3, n - 3))
         low, high = F.tanh(z - reach), F.tanh(z + reach)
-    return tidy(staged, group, r, F.col("_t"), dof, p, low, high, method)
+    return tidy(staged, group, r, F.col("_t"), dof, p, low, high, method, extra)
 
 
 def pearson_test(df: DataFrame, x: str, y: str, group: Sequence[str] = ()) -> DataFrame:
@@ -66,7 +67,7 @@ def pearson_test(df: DataFrame, x: str, y: str, group: Sequence[str] = ()) -> Da
 # ------------------------------------------------------------------- Spearman
 
 def spearman_test(df: DataFrame, x: str, y: str, group: Sequence[str] = ()) -> DataFrame:
-    """rho on mid-ranks with the t approximation per group.
+    """rho on mid-ranks per group; the statistic is the sum of squared rank differences, p the t approximation.
 
     Equal pairs are folded into one weighted row before the ranks are attached, and the
     correlation is computed from weighted moments.
@@ -85,15 +86,18 @@ def spearman_test(df: DataFrame, x: str, y: str, group: Sequence[str] = ()) -> D
         F.sum("w").alias("n"),
         F.try_divide(F.sum(w * F.col("rx") * F.col("ry")),
                      F.sqrt(F.sum(w * F.col("rx") ** 2) * F.sum(w * F.col("ry") ** 2))).alias("r"))
-    return _tidy_r(m, group, SPEARMAN, False)
+    size = F.col("n").cast("double")
+    tested = _tidy_r(m, group, SPEARMAN, False, extra=[size.alias("_n")])
+    squares = (F.col("_n") ** 3 - F.col("_n")) * (1 - F.col("estimate")) / 6
+    return tested.withColumns({"statistic": squares, "parameter": F.lit(None).cast("double")}).drop("_n")
 
 
 # -------------------------------------------------------------------- Kendall
 
 # Pairs up to this many per group are compared inside one task. A larger group is cut
-# into at most 2 * SLICES slices on each axis, so a task holds about n / SLICES rows.
-TASK_ROWS = 50_000
-SLICES = 1_024
+# into slices on each axis, and those again.
+TASK_ROWS = 70_000
+SLICES = 128
 
 
 def _signed_pairs(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> int:
@@ -126,55 +130,63 @@ def _signed_pairs(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> int:
     return total
 
 
-def _pair_sums(cells: DataFrame, sizes: DataFrame, group: list[str], sliced: bool) -> DataFrame:
+def _pair_sums(cells: DataFrame, group: list[str]) -> DataFrame:
     """Exact sum of signs over all pairs, per group, as decimal ``s``.
 
-    ``cells`` holds distinct (x, y) with weight ``w``. A small group is one task. For a
-    large group both axes are cut into slices at ranks, values that fill a slice alone
-    get their own slice. A pair then falls into exactly one of three places:
-    the same slice of x (one task per slice), the same slice of y but different slices
-    of x (one task per slice of y, comparing slice numbers), or different slices of both
-    (the table of slice counts, whose size does not depend on the data). A slice made of
-    one value contributes nothing on its own axis and is skipped there.
+    ``cells`` holds distinct (x, y) with weight ``w``, written before. A group of up to
+    ``TASK_ROWS`` cells is one task. In a larger one both axes are cut into slices at ranks,
+    values that fill a slice alone get their own slice. A pair then falls into exactly one of
+    three places: the same slice of x, the same slice of y but different slices of x (where
+    slice numbers are compared), or different slices of both (the table of slice counts, at
+    most (2 * SLICES + 1) squared cells). A slice made of one value contributes nothing on its
+    own axis and is skipped there. Slices that are still too large are cut again, so a task
+    holds ``TASK_ROWS`` cells at most however large the group is.
     """
-    sized = attach(cells, sizes, group)
-    task = [F.lit("small").alias("task"), F.lit(0).cast("long").alias("slice")]
-    tasks = sized.filter(F.col("n") <= TASK_ROWS).select(*group, *task, "x", "y", "w")
-    if sliced:
-        for part in _sliced_tasks(sized.filter(F.col("n") > TASK_ROWS), group):
-            tasks = tasks.unionByName(part)
-    keys = [*group, "task", "slice"]
+    keys = [*group, "task"]
+    level = cells.withColumn("task", F.lit("all"))
+    sums = []
+    while True:
+        rows = level.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+        sized = attach(level, rows, keys)
+        large = (F.col("_rows") > TASK_ROWS) & ~F.col("task").endswith("/table0")  # a table of slice counts is bounded
+        sums.append(_counted(sized.filter(~large), keys))
+        if rows.filter(large).isEmpty():
+            break
+        level = stable(_sliced(sized.filter(large).drop("_rows"), keys))
+    return reduce(DataFrame.unionByName, sums).groupBy(*group).agg(F.sum("s").alias("s"))
+
+
+def _counted(tasks: DataFrame, keys: list[str]) -> DataFrame:
     schema = StructType([*[tasks.schema[k] for k in keys], StructField("s", DecimalType(38, 0))])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         s = _signed_pairs(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy())
         return pdf[keys].head(1).assign(s=Decimal(s))
 
-    sums = tasks.groupBy(*keys).applyInPandas(count, schema)
-    return sums.groupBy(*group).agg(F.sum("s").alias("s"))
+    return tasks.select(*keys, "x", "y", "w").groupBy(*keys).applyInPandas(count, schema)
 
 
-def _sliced_tasks(large: DataFrame, group: list[str]) -> list[DataFrame]:
-    """The three kinds of tasks of groups too large for one task."""
+def _sliced(large: DataFrame, keys: list[str]) -> DataFrame:
+    """The three kinds of tasks of each group that is too large for one."""
+    sizes = large.groupBy(*keys).agg(F.sum("w").alias("_n"))
     for c in ("x", "y"):
-        weights = large.groupBy(*group, c).agg(F.sum("w").alias("_w"), F.first("n").alias("_n"))
-        ranked = running_total(weights, group, [c], "_w", "_before")
+        weights = attach(large.groupBy(*keys, c).agg(F.sum("w").alias("_w")), sizes, keys)
+        ranked = running_total(weights, keys, [c], "_w", "_before")
         width = F.greatest(F.lit(TASK_ROWS / 4), F.col("_n") / SLICES)
         alone = (F.col("_w") >= width).cast("long")
-        slices = ranked.select(*group, c, (2 * F.floor(F.col("_before") / width) + alone).alias(f"s{c}"))
-        large = natural_join(large, slices, "left", expect=[*group, c])
+        slices = ranked.select(*keys, c, (2 * F.floor(F.col("_before") / width) + alone).alias(f"s{c}"))
+        large = natural_join(large, slices, "left", expect=[*keys, c])
     large = stable(large)  # three kinds of tasks read it
 
-    def part(df: DataFrame, name: str, key: Column, x: Column, y: Column) -> DataFrame:
-        return df.select(*group, F.lit(name).alias("task"), key.cast("long").alias("slice"),
-                         x.cast("double").alias("x"), y.cast("double").alias("y"), "w")
+    def part(df: DataFrame, name: str, place: Column, x: Column, y: Column) -> DataFrame:
+        task = F.concat("task", F.lit(f"/{name}"), place.cast("string"))
+        return df.select(*keys[:-1], task.alias("task"), x.cast("double").alias("x"), y.cast("double").alias("y"), "w")
 
-    counts = large.groupBy(*group, "sx", "sy").agg(F.sum("w").alias("w"))
-    return [
-        part(large.filter(F.col("sx") % 2 == 0), "x", F.col("sx"), F.col("x"), F.col("y")),
-        part(large.filter(F.col("sy") % 2 == 0), "y", F.col("sy"), F.col("sx"), F.col("y")),
-        part(counts, "table", F.lit(0), F.col("sx"), F.col("sy")),
-    ]
+    counts = large.groupBy(*keys, "sx", "sy").agg(F.sum("w").alias("w"))
+    folded = part(large.filter(F.col("sy") % 2 == 0), "y", F.col("sy"), F.col("sx"), F.col("y")).groupBy(
+        *keys, "x", "y").agg(F.sum("w").alias("w"))
+    return part(large.filter(F.col("sx") % 2 == 0), "x", F.col("sx"), F.col("x"), F.col("y")).unionByName(folded).unionByName(
+        part(counts, "table", F.lit(0), F.col("sx"), F.col("sy")))
 
 
 def _tie_stats(cells: DataFrame, group: list[str], c: str) -> DataFrame:
@@ -191,12 +203,9 @@ def kendall_test(df: DataFrame, x: str, y: str, group: Sequence[str] = ()) -> Da
     """
     group = list(group)
     cells = complete_pairs(df, x, y, group).groupBy(*group, "x", "y").agg(F.count(F.lit(1)).alias("w"))
+    cells = stable(cells)  # sizes, ties and tasks are all derived from it
     sizes = cells.groupBy(*group).agg(F.sum("w").alias("n"))
-    sliced = not sizes.filter(F.col("n") > TASK_ROWS).isEmpty()
-    if sliced:
-        cells = stable(cells)
-        sizes = cells.groupBy(*group).agg(F.sum("w").alias("n"))
-    m = attach(attach(sizes, _pair_sums(cells, sizes, group, sliced), group), _tie_stats(cells, group, "x"), group)
+    m = attach(attach(sizes, _pair_sums(cells, group), group), _tie_stats(cells, group, "x"), group)
     m = attach(m, _tie_stats(cells, group, "y"), group)
 
     n = F.col("n").cast("double")
@@ -257,5 +266,6 @@ def sweep_range(results: DataFrame) -> DataFrame:
 
 
 def choose_method(x_normal_p: Column, y_normal_p: Column, alpha: float = 0.05) -> Column:
-    """Stated rule: Pearson when neither variable departs from normality, else Kendall."""
-    return F.when((x_normal_p >= alpha) & (y_normal_p >= alpha), F.lit("pearson")).otherwise(F.lit("kendall"))
+    """Stated rule: Pearson when neither variable departs from normality, else Kendall; NULL when that isn't known."""
+    normal = (x_normal_p >= alpha) & (y_normal_p >= alpha)
+    return F.when(normal, F.lit("pearson")).when(~normal, F.lit("kendall"))

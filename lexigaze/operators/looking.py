@@ -65,8 +65,8 @@ def trial_scores(labelled: DataFrame, max_bins: int = MAX_BINS,
     Holds the bins in both windows, the low-data flag and the mean target looking in each
     window, so this one pass over the fixations feeds the trial accounting and all looking
     measures. All bins of a fixation share one ``propt``: the mean over bins is a mean over
-    fixations weighted by their bins. A trial shows one target of one pair
-    (``trial_conflicts`` must be empty).
+    fixations weighted by their bins. The low-data rule is one of the trial: where a trial shows
+    several targets, their bins count together and all its rows share the flag.
     """
     def seen(bins: str) -> Column:
         return F.sum(F.when(F.col("propt").isNotNull(), F.col(bins)).otherwise(F.lit(0)))
@@ -74,10 +74,12 @@ def trial_scores(labelled: DataFrame, max_bins: int = MAX_BINS,
     def mean_in(bins: str) -> Column:
         return ratio(F.sum(F.col("propt") * F.col(bins)), seen(bins))
 
-    return labelled.groupBy(*TRIAL).agg(
-        F.sum("pre_bins").alias("pre_bins"), F.sum("long_bins").alias("long_bins"),
-        low_data_flag(F.sum("long_bins"), seen("long_bins"), max_bins, max_missing).alias("lowdata"),
+    per_target = labelled.groupBy(*TRIAL).agg(
+        F.sum("pre_bins").alias("pre_bins"), F.sum("long_bins").alias("long_bins"), seen("long_bins").alias("_seen"),
         mean_in("long_bins").alias("long"), mean_in("pre_bins").alias("pre"))
+    trial = Window.partitionBy("SubjectNumber", "TrialNumber")  # as many rows as the trial has targets
+    flag = low_data_flag(F.sum("long_bins").over(trial), F.sum("_seen").over(trial), max_bins, max_missing)
+    return per_target.select(*TRIAL, "pre_bins", "long_bins", flag.alias("lowdata"), "long", "pre")
 
 
 def trial_conflicts(trials: DataFrame) -> DataFrame:

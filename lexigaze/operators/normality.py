@@ -5,14 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lexigaze.functions.nulls import attach
 from lexigaze.functions.special import normal_quantile, normal_upper_sql, num, polynomial
 from lexigaze.operators.hypothesis import tidy
+from lexigaze.operators.ranks import running_total
 
-# The test is defined for 3 to 5000 values; other groups get NULL.
-LEAST, MOST = 3, 5000
+# The p law was fitted to 3 to 5000 values; beyond that W is exact and the same law is carried on, as ``method`` says.
+LEAST, FITTED = 3, 5000
+NAME = "Shapiro-Wilk normality test"
 
 # Royston (1995), AS R94: fixed values, ascending powers.
 LAST_WEIGHT = [0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056]
@@ -40,19 +42,20 @@ def _p_value() -> Column:
 def shapiro_wilk(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
     """W and p per group.
 
-    Group sizes are counted first and only groups the test is defined for are ranked, so
-    no window holds more than 5000 rows. Groups of other sizes, and constant ones, keep a
-    row with NULL results.
+    Places in the order come from running totals over range slices, so a group of any size is
+    ranked by many tasks. Groups of fewer than three values, and constant ones, keep a row
+    with NULL results.
     """
     group = list(group)
     rows = df.select(*group, F.col(value).cast("double").alias("v")).filter(
         F.col("v").isNotNull())
     sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("centre"))
-    testable = sizes.filter(F.col("n").between(LEAST, MOST))
-    by_value = Window.partitionBy(*group).orderBy("v")
+    testable = sizes.filter(F.col("n") >= LEAST)
+    # equal values may come in any order; the number only tells them apart
+    placed = running_total(rows.withColumns({"_id": F.monotonically_increasing_id(), "_one": F.lit(1)}), group, ["v", "_id"], "_one", "_before")
     scored = (
-        attach(rows, testable, group, "inner")
-        .withColumn("i", F.row_number().over(by_value))
+        attach(placed, testable, group, "inner")
+        .withColumn("i", F.col("_before") + 1)
         .withColumn("m", normal_quantile("(i - 0.375D) / (n + 0.25D)")))
     # sums that fix the two outer weights; inner weights are m / sqrt(phi)
     v = F.col("v")
@@ -84,4 +87,4 @@ def shapiro_wilk(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFr
     tested = staged.select(*group, w.alias("w"))
     result = attach(sizes.select(*group, "n"), tested, group)
     return tidy(result, group, None, F.col("w"), F.col("n"), _p_value(),
-                method="Shapiro-Wilk normality test")
+                method=F.when(F.col("n") > FITTED, f"{NAME}, p beyond the fitted sizes").otherwise(NAME))

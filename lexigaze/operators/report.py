@@ -23,8 +23,6 @@ DESCRIBED = [
 # fixed values: headings of the printed table
 HEADINGS = ["", "# tokens", "# types", "# speakers", "prop mat input", "prop obj.co-p.",
             "utt type ent", "prop short phrase"]
-FOOTNOTE = ("aud=audio, vid=video, prop=proportion, mat = maternal, obj.co-p = object co-presence, "
-            "utt= utterance, ent = entropy")
 
 
 def trial_type_label(c: Column | str) -> Column:
@@ -35,7 +33,7 @@ def number_text(c: Column | str, digits: int) -> Column:
     """Rounded half to even, printed without trailing zeros, "NA" when missing."""
     rounded = F.bround(col_of(c).cast("double"), digits)
     # format_string would print a missing value as "null"
-    text = F.regexp_replace(F.format_string(f"%.{digits}f", rounded), r"\.?0+$", "")
+    text = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits}f", rounded), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
     return F.when(rounded.isNotNull(), text).otherwise(F.lit("NA"))
 
 

@@ -40,11 +40,6 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _tests(df: DataFrame, *extra: str) -> DataFrame:
-    """Test results without the columns that only the interval tests cover."""
-    return df.drop("conf_low", "conf_high", "method").select(*extra, "estimate", "statistic", "parameter", "p_value")
-
-
 # ------------------------------------------------------------------------ gaze
 
 @query
@@ -377,7 +372,7 @@ def level_counts(t):
 
 @query
 def table_size(t):
-    return report.table_size(gaze.to_bins(t.labelled)).select("n_rows")
+    return report.table_size(gaze.to_bins(t.labelled))
 
 
 @query
@@ -407,7 +402,7 @@ def positional_pair_join(t):
 # ------------------------------------------------------------------ statistics
 
 def _subject_t(df: DataFrame) -> DataFrame:
-    return _tests(hypothesis.t_test(df, "cross_item_mean_proptcorrTT", ["trialtype"]), "trialtype")
+    return hypothesis.t_test(df, "cross_item_mean_proptcorrTT", ["trialtype"])
 
 
 @query
@@ -418,31 +413,28 @@ def ttest_one(t):
 @query
 def ttest_overall(t):
     enrolled = looking.kept(t.subjects, "06").filter(~F.col("subj").startswith("ns"))
-    return _tests(hypothesis.t_test(nulls.not_in_table(enrolled, t.single_condition, "subj"),
-                                    "cross_item_mean_proptcorr"))
+    return hypothesis.t_test(nulls.not_in_table(enrolled, t.single_condition, "subj"), "cross_item_mean_proptcorr")
 
 
 @query
 def ttest_paired(t):
-    return _tests(hypothesis.paired_t_test(t.tested_types, "cross_item_mean_proptcorrTT", "trialtype",
-                                           "between", "within", ["subj"]))
+    return hypothesis.paired_t_test(t.tested_types, "cross_item_mean_proptcorrTT", "trialtype", "between", "within", ["subj"])
 
 
 @query
 def ttest_welch(t):
-    return hypothesis.welch_t_test(t.read("lineitem"), "l_discount", "l_returnflag", "A", "R").drop(
-        "conf_low", "conf_high", "method")
+    return hypothesis.welch_t_test(t.read("lineitem"), "l_discount", "l_returnflag", "A", "R")
 
 
 @query
 def ttest_welch_items(t):
     return hypothesis.welch_t_test(looking.kept(t.items, "06"), "cross_item_mean_proptcorrTT", "trialtype",
-                                   "between", "within").drop("conf_low", "conf_high", "method")
+                                   "between", "within")
 
 
 @query
 def ttest_balance(t):
-    return _tests(hypothesis.t_test(t.read("customer"), "c_acctbal", ["c_mktsegment"]), "c_mktsegment")
+    return hypothesis.t_test(t.read("customer"), "c_acctbal", ["c_mktsegment"])
 
 
 @query
@@ -463,23 +455,22 @@ def mean_ci(t):
 
 @query
 def cor_pearson(t):
-    return _tests(correlation.pearson_test(t.customers, "n_orders", "spent"))
+    return correlation.pearson_test(t.customers, "n_orders", "spent")
 
 
 @query
 def cor_spearman(t):
-    return _tests(correlation.spearman_test(t.customers, "n_orders", "spent"))
+    return correlation.spearman_test(t.customers, "n_orders", "spent")
 
 
 @query
 def cor_spearman_trials(t):
-    return _tests(correlation.spearman_test(without_outliers(t.subject_types), "numtrials",
-                                            "cross_item_mean_proptcorrTT"))
+    return correlation.spearman_test(without_outliers(t.subject_types), "numtrials", "cross_item_mean_proptcorrTT")
 
 
 @query
 def cor_kendall(t):
-    return _tests(correlation.kendall_test(t.customers, "n_orders", "spent")).drop("parameter")
+    return correlation.kendall_test(t.customers, "n_orders", "spent")
 
 
 def _sweep(t) -> DataFrame:
@@ -492,7 +483,7 @@ def _sweep(t) -> DataFrame:
 
 @query
 def cor_sweep(t):
-    return _tests(_sweep(t), "pair")
+    return _sweep(t)
 
 
 @query
@@ -508,7 +499,7 @@ def cor_lab_home(t):
              ("entropy", t.pooled, score, "ent_subj_avg"),
              ("av_prop_op", merge.audio_video_pairs(t.lab_home), "aprop_op", "vprop_op")]
     long = _union([correlation.melt_pairs(df, [(name, x, y)]) for name, df, x, y in parts])
-    return _tests(correlation.pearson_test(long, "x", "y", ["pair"]), "pair")
+    return correlation.pearson_test(long, "x", "y", ["pair"])
 
 
 def _normality(t) -> DataFrame:
@@ -520,7 +511,7 @@ def _normality(t) -> DataFrame:
 
 @query
 def shapiro_wilk(t):
-    return _tests(_normality(t), "audio_video", "measure").drop("estimate")
+    return _normality(t)
 
 
 @query
@@ -531,19 +522,19 @@ def shapiro_choose_method(t):
 
 @query
 def kappa(t):
-    return agreement.cohen_kappa(t.coders, "orig_utt_type", "new_utt_type", ["audio_video"]).drop("p_value")
+    return agreement.cohen_kappa(t.coders, "orig_utt_type", "new_utt_type", ["audio_video"])
 
 
 @query
 def kappa_presence(t):
-    return agreement.cohen_kappa(t.coders, "orig_present", "new_present", ["audio_video"]).drop("p_value")
+    return agreement.cohen_kappa(t.coders, "orig_present", "new_present", ["audio_video"])
 
 
 @query
 def kappa_labels(t):
     two = t.read("labels").select(F.col("quality").alias("a"), (1 - F.col("toxic")).alias("b"),
                                   F.lit("labels").alias("audio_video"))
-    return agreement.cohen_kappa(two, "a", "b", ["audio_video"]).drop("p_value")
+    return agreement.cohen_kappa(two, "a", "b", ["audio_video"])
 
 
 @query
@@ -579,7 +570,7 @@ def exclusion_rerun(t):
 def result_lines(t):
     tests = hypothesis.t_test(t.tested_types, "cross_item_mean_proptcorrTT", ["trialtype"])
     named = [(report.TYPE_LABELS[k], tests.filter(F.col("trialtype") == k)) for k in looking.TRIAL_TYPES]
-    return report.result_lines(*named).drop("conf_low", "conf_high", "method")
+    return report.result_lines(*named)
 
 
 @query

@@ -250,27 +250,43 @@ def q_norm(p: str) -> str:
             f"ELSE {part(f'({r} - 5.0)', special.NORMAL_TAIL)} END) END)")
 
 
-def _t_test(source: str, value: str, group: str = "") -> str:
+def _with_interval(rows: str) -> str:
+    """Rows of estimate, se and parameter with t's 97.5 % point (two Newton steps) as limits of the estimate."""
+    step = lambda t: (f"{t} + ({t_p(t, 'parameter')} - 0.05) / 2 / (exp(lgamma((parameter + 1) / 2) - lgamma(parameter / 2)) "
+                      f"/ sqrt(parameter * pi()) * pow(1 + {t} * {t} / parameter, -(parameter + 1) / 2))")
+    return f"""SELECT * EXCLUDE (t0, t1, t2), estimate - t2 * se AS conf_low, estimate + t2 * se AS conf_high FROM (
+      SELECT *, {step("t1")} AS t2 FROM (SELECT *, {step("t0")} AS t1 FROM (SELECT *, {t_q975("parameter")} AS t0 FROM ({rows}))))"""
+
+
+def _t_test(source: str, value: str, group: str = "", method: str = "One Sample t-test") -> str:
     g, by = (f"{group}, ", f"GROUP BY {group}") if group else ("", "")
-    return f"""SELECT {g}estimate, statistic, parameter, {t_p("statistic", "parameter")} AS p_value FROM (
-      SELECT {g}avg({value}) AS estimate, avg({value}) / (stddev_samp({value}) / sqrt(count({value}))) AS statistic,
-        (count({value}) - 1)::DOUBLE AS parameter FROM {source} {by})"""
+    rows = f"""SELECT {g}avg({value}) AS estimate, stddev_samp({value}) / sqrt(count({value})) AS se,
+        (count({value}) - 1)::DOUBLE AS parameter FROM {source} {by}"""
+    return f"""SELECT {g}estimate, estimate / se AS statistic, parameter, {t_p("(estimate / se)", "parameter")} AS p_value, conf_low, conf_high,
+      '{method}' AS method FROM ({_with_interval(rows)})"""
 
 
 def _welch(source: str, value: str, label: str, a: str, b: str) -> str:
-    return f"""SELECT estimate, estimate1, estimate2, statistic, parameter, {t_p("statistic", "parameter")} AS p_value FROM (
-      SELECT m1 - m2 AS estimate, m1 AS estimate1, m2 AS estimate2, (m1 - m2) / sqrt(e1 + e2) AS statistic,
+    rows = f"""SELECT m1 - m2 AS estimate, m1 AS estimate1, m2 AS estimate2, sqrt(e1 + e2) AS se,
         (e1 + e2) * (e1 + e2) / (e1 * e1 / (n1 - 1) + e2 * e2 / (n2 - 1)) AS parameter FROM (
         SELECT avg({value}) FILTER ({label} = '{a}') AS m1, avg({value}) FILTER ({label} = '{b}') AS m2,
           count({value}) FILTER ({label} = '{a}') AS n1, count({value}) FILTER ({label} = '{b}') AS n2,
           var_samp({value}) FILTER ({label} = '{a}') / n1 AS e1, var_samp({value}) FILTER ({label} = '{b}') / n2 AS e2
-        FROM {source}))"""
+        FROM {source})"""
+    return f"""SELECT estimate, estimate1, estimate2, estimate / se AS statistic, parameter, {t_p("(estimate / se)", "parameter")} AS p_value,
+      conf_low, conf_high, 'Welch Two Sample t-test' AS method FROM ({_with_interval(rows)})"""
 
 
-def _pearson(source: str, group: str = "") -> str:
+def _pearson(source: str, group: str = "", rank: bool = False) -> str:
     g, by = (f"{group}, ", f"GROUP BY {group}") if group else ("", "")
-    return f"""SELECT {g}estimate, statistic, parameter,
-        CASE WHEN parameter > 0 THEN {t_p("statistic", "parameter")} END AS p_value FROM (
+    reach = "1.959963984540054 / sqrt(parameter - 1)"
+    limit = lambda sign: f"CASE WHEN parameter > 1 AND abs(estimate) < 1 THEN tanh(atanh(estimate) {sign} {reach}) END"
+    n = "(parameter + 2)"
+    shown = (f"({n} * {n} * {n} - {n}) * (1 - estimate) / 6 AS statistic, NULL::DOUBLE AS parameter" if rank else "statistic, parameter")
+    limits = "NULL::DOUBLE AS conf_low, NULL::DOUBLE AS conf_high" if rank else f"{limit('-')} AS conf_low, {limit('+')} AS conf_high"
+    method = "Spearman''s rank correlation rho" if rank else "Pearson''s product-moment correlation"
+    return f"""SELECT {g}estimate, {shown},
+        CASE WHEN parameter > 0 THEN {t_p("statistic", "parameter")} END AS p_value, {limits}, '{method}' AS method FROM (
       SELECT {g}estimate, CASE WHEN parameter > 0 THEN estimate * sqrt(parameter) / sqrt((1 - estimate) * (1 + estimate)) END AS statistic, parameter FROM (
         SELECT {g}corr(x, y) AS estimate, (count(*) - 2)::DOUBLE AS parameter FROM {source}
         WHERE x IS NOT NULL AND y IS NOT NULL {by}))"""
@@ -283,7 +299,8 @@ def _kendall(source: str, group: str = "") -> str:
     using = f"JOIN {{}} USING ({group})" if group else "CROSS JOIN {}"
     tie = lambda c: f"""(SELECT {g}sum(t * (t - 1) / 2) AS p{c}, sum(t * (t - 1) * (2 * t + 5)) AS a{c},
         sum(t * (t - 1) * (t - 2)) AS "b{c}" FROM (SELECT {g}{c}, count(*)::DOUBLE AS t FROM src GROUP BY {g}{c}) {by}) t{c}"""
-    return f"""SELECT {g}estimate, z AS statistic, {z_p("z")} AS p_value FROM (
+    return f"""SELECT {g}estimate, z AS statistic, NULL::DOUBLE AS parameter, {z_p("z")} AS p_value, NULL::DOUBLE AS conf_low,
+        NULL::DOUBLE AS conf_high, 'Kendall''s rank correlation tau' AS method FROM (
       SELECT {g}s / sqrt((n * (n - 1) / 2 - px) * (n * (n - 1) / 2 - py)) AS estimate,
         s / sqrt((n * (n - 1) * (2 * n + 5) - ax - ay) / 18 + 2 * px * py / (n * (n - 1))
                  + bx * by_ / (9 * n * (n - 1) * (n - 2))) AS z FROM (
@@ -302,8 +319,9 @@ def _shapiro(source: str, group: str) -> str:
     two = "(mm - 2 * mn * mn - 2 * mp * mp) / (1 - 2 * an * an - 2 * ap * ap)"
     log_n = "ln(n)"
     large = f"((ln(1 - w) - {_poly(log_n, normality.LARGE_MEAN)}) / exp({_poly(log_n, normality.LARGE_LOG_SD)}))"
-    return f"""SELECT {group}, w AS statistic, n AS parameter,
-      CASE WHEN z > 0 THEN {z_p("z")} / 2 ELSE 1 - {z_p("z")} / 2 END AS p_value FROM (
+    return f"""SELECT {group}, NULL::DOUBLE AS estimate, w AS statistic, n AS parameter,
+      CASE WHEN z > 0 THEN {z_p("z")} / 2 ELSE 1 - {z_p("z")} / 2 END AS p_value, NULL::DOUBLE AS conf_low, NULL::DOUBLE AS conf_high,
+      'Shapiro-Wilk normality test' || CASE WHEN n > 5000 THEN ', p beyond the fitted sizes' ELSE '' END AS method FROM (
       SELECT *, {large} AS z FROM (
       SELECT {group}, n, pow(an * (vn - v1) + ap * (vp - v2)
           + (mv - mn * (vn - v1) - mp * (vp - v2)) / sqrt({two}), 2) / ss AS w FROM (
@@ -316,13 +334,13 @@ def _shapiro(source: str, group: str) -> str:
             SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY v) AS i,
               (count(*) OVER (PARTITION BY {group}))::DOUBLE AS n, avg(v) OVER (PARTITION BY {group}) AS c
             FROM {source} WHERE v IS NOT NULL))
-          WHERE n BETWEEN 12 AND 5000 GROUP BY {group}, n))))"""
+          WHERE n >= 12 GROUP BY {group}, n))))"""
 
 
 def _kappa(source: str, a: str, b: str) -> str:
     share = "count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY audio_video)"
     return f"""SELECT audio_video, t.n AS subjects, (po - pe) / (1 - pe) AS value,
-        (po - pe) / (sqrt(pe + pe * pe - pc) / sqrt(t.n)) AS statistic FROM
+        (po - pe) / (sqrt(pe + pe * pe - pc) / sqrt(t.n)) AS statistic, {z_p("((po - pe) / (sqrt(pe + pe * pe - pc) / sqrt(t.n)))")} AS p_value FROM
         (SELECT audio_video, count(*) AS n, count(*) FILTER ({a} = {b}) / count(*)::DOUBLE AS po FROM {source} GROUP BY ALL) t
         JOIN (SELECT audio_video, sum(pa * pb) AS pe, sum(pa * pb * (pa + pb)) AS pc FROM
           (SELECT audio_video, {a} AS code, {share} AS pa FROM {source} GROUP BY audio_video, {a})
@@ -331,8 +349,8 @@ def _kappa(source: str, a: str, b: str) -> str:
 
 
 def number(c: str, digits: int) -> str:
-    return (f"coalesce(regexp_replace(printf('%.{digits}f', round_even(({c})::DOUBLE, {digits})::DOUBLE + 0.0::DOUBLE), "
-            f"'\\.?0+$', ''), 'NA')")
+    return (f"coalesce(regexp_replace(regexp_replace(printf('%.{digits}f', round_even(({c})::DOUBLE, {digits})::DOUBLE + 0.0::DOUBLE), "
+            f"'(\\.[0-9]*?)0+$', '\\1'), '\\.$', ''), 'NA')")
 
 
 def _range(c: str, digits: int = 1, sd: int = 1) -> str:
@@ -367,7 +385,7 @@ _SS = "cross_item_mean_propt cross_item_mean_proptcorr cross_item_mean_proptpre"
 _ST = "cross_item_mean_proptTT cross_item_mean_proptcorrTT cross_item_mean_proptpreTT"
 _REC_DOUBLES = ("prop_op prop_op_exp prop_mom prop_dad propd propi propn propq propr props type_token_ratio "
                 "exp_type_ratio exp_token_ratio prop_parent prop_tech ent_subj_av sum_prop_ut noun_chi_onset")
-TIDY_D = "estimate statistic parameter p_value"
+TIDY_D = "estimate statistic parameter p_value conf_low conf_high"
 
 AUDIO_PAIRS = [("a", "r", "numtokens"), ("b", "r", "numtypes"), ("f", "r", "type_token_ratio")]
 AUDIO_PEARSON = [("c", "numtokens", "numtypes"), ("d", "numtokens", "type_token_ratio"),
@@ -377,8 +395,8 @@ VIDEO_PAIRS = [("g", "r", "numtokens"), ("h", "r", "numtypes"), ("i", "numtokens
                ("l", "r", "type_token_ratio")]
 _KPAIRS = f"pairs_k AS ({_sweep('audio', AUDIO_PAIRS)} UNION ALL {_sweep('video', VIDEO_PAIRS)})"
 _PPAIRS = f"pairs_p AS ({_sweep('audio', AUDIO_PEARSON)})"
-_SWEEP = f"""SELECT pair, estimate, statistic, NULL::DOUBLE AS parameter, p_value FROM ({_kendall("pairs_k", "pair")})
-  UNION ALL SELECT pair, estimate, statistic, parameter, p_value FROM ({_pearson("pairs_p", "pair")})"""
+_SWEEP = f"""SELECT pair, estimate, statistic, parameter, p_value, conf_low, conf_high, method FROM ({_kendall("pairs_k", "pair")})
+  UNION ALL SELECT pair, estimate, statistic, parameter, p_value, conf_low, conf_high, method FROM ({_pearson("pairs_p", "pair")})"""
 _MEASURES = ["numtypes", "numtokens", "type_token_ratio", "r", "numspeakers"]
 _MELT = " UNION ALL ".join(
     f"SELECT audio_video, '{m}' AS measure, {m}::DOUBLE AS v FROM merged" for m in _MEASURES)
@@ -509,7 +527,7 @@ SQL: dict[str, str] = {
     "level_counts": q(_ANN, " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", {c} AS level, count(*) AS n FROM ann GROUP BY {c}"""
         for c in ["speaker", "utterance_type", "object_present", "audio_video"])),
-    "table_size": q(_BINS, "SELECT count(*) AS n_rows FROM bins"),
+    "table_size": q(_BINS, "SELECT count(*) AS n_rows, 28::INTEGER AS n_columns FROM bins"),
 
     # --------------------------------------------------------------- merged
     "lab_home_merge": q(_MERGED, """SELECT subj, month, SubjectNumber, audio_video, numtokens, prop_op, numtrials, "between", "within",
@@ -525,7 +543,7 @@ SQL: dict[str, str] = {
     "ttest_overall": q(_LOOK, _t_test("""(SELECT * FROM ss WHERE NOT outlier AND month = '06' AND subj NOT LIKE 'ns%'
         AND subj NOT IN (SELECT subj FROM single06))""", "cross_item_mean_proptcorr"), TIDY_D),
     "ttest_paired": q(_LOOK, _t_test("""(SELECT max(cross_item_mean_proptcorrTT) FILTER (trialtype = 'between')
-        - max(cross_item_mean_proptcorrTT) FILTER (trialtype = 'within') AS d FROM tested GROUP BY subj)""", "d"), TIDY_D),
+        - max(cross_item_mean_proptcorrTT) FILTER (trialtype = 'within') AS d FROM tested GROUP BY subj)""", "d", method="Paired t-test"), TIDY_D),
     "ttest_welch": q("", _welch("lineitem", "l_discount", "l_returnflag", "A", "R"), TIDY_D + " estimate1 estimate2"),
     "ttest_welch_items": q(_LOOK, _welch("(SELECT * FROM items WHERE NOT outlier AND month = '06')",
         "cross_item_mean_proptcorrTT", "trialtype", "between", "within"), TIDY_D + " estimate1 estimate2"),
@@ -547,12 +565,12 @@ SQL: dict[str, str] = {
         "mean sd conf_low conf_high"),
     "cor_pearson": q(_CUST, _pearson("cust"), TIDY_D),
     "cor_spearman": q(_CUST, _pearson("""(SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS x,
-        rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS y FROM cust)"""), TIDY_D),
+        rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS y FROM cust)""", rank=True), TIDY_D),
     "cor_spearman_trials": q(_LOOK, _pearson("""(SELECT rank() OVER (ORDER BY numtrials) + (count(*) OVER (PARTITION BY numtrials) - 1) / 2.0 AS x,
         rank() OVER (ORDER BY cross_item_mean_proptcorrTT) + (count(*) OVER (PARTITION BY cross_item_mean_proptcorrTT) - 1) / 2.0 AS y
-        FROM st WHERE NOT outlier)"""), TIDY_D),
-    "cor_kendall": q(_CUST, _kendall("cust"), "estimate statistic p_value"),
-    "cor_sweep": q(f"{_MERGED}, {_KPAIRS}, {_PPAIRS}", _SWEEP, "estimate statistic parameter p_value"),
+        FROM st WHERE NOT outlier)""", rank=True), TIDY_D),
+    "cor_kendall": q(_CUST, _kendall("cust"), TIDY_D),
+    "cor_sweep": q(f"{_MERGED}, {_KPAIRS}, {_PPAIRS}", _SWEEP, TIDY_D),
     "cor_sweep_range": q(f"{_MERGED}, {_KPAIRS}, {_PPAIRS}", f"""SELECT round_even(min(abs(estimate)), 2)::DOUBLE AS roundmincor,
         round_even(max(abs(estimate)), 2)::DOUBLE AS roundmaxcor, CASE WHEN max(p_value) < 0.05 THEN 'ps<.05' ELSE 'fix' END AS all_p
         FROM ({_SWEEP})"""),
@@ -562,14 +580,14 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'entropy', * FROM ({_pearson("(SELECT cross_item_mean_proptcorr AS x, ent_subj_avg AS y FROM pooled)")})
         UNION ALL SELECT 'av_prop_op', * FROM ({_pearson('''(SELECT a.prop_op AS x, v.prop_op AS y FROM merged a JOIN merged v
           ON a.subj = v.subj AND a.audio_video = 'audio' AND v.audio_video = 'video')''')})""", TIDY_D),
-    "shapiro_wilk": q(f"{_MERGED}, melted AS ({_MELT})", _shapiro("melted", "audio_video, measure"), "statistic parameter p_value"),
+    "shapiro_wilk": q(f"{_MERGED}, melted AS ({_MELT})", _shapiro("melted", "audio_video, measure"), TIDY_D),
     "shapiro_choose_method": q(f"{_MERGED}, melted AS ({_MELT})", f"""SELECT audio_video, CASE WHEN min(p_value) >= 0.05 THEN 'pearson'
         ELSE 'kendall' END AS method FROM ({_shapiro("melted", "audio_video, measure")})
         WHERE measure IN ('numtypes', 'numtokens') GROUP BY ALL"""),
-    "kappa": q(_CODERS, _kappa("coders", "orig_utt_type", "new_utt_type"), "value statistic"),
-    "kappa_presence": q(_CODERS, _kappa("coders", "orig_present", "new_present"), "value statistic"),
+    "kappa": q(_CODERS, _kappa("coders", "orig_utt_type", "new_utt_type"), "value statistic p_value"),
+    "kappa_presence": q(_CODERS, _kappa("coders", "orig_present", "new_present"), "value statistic p_value"),
     "kappa_labels": q("coders AS (SELECT quality AS a, 1 - toxic AS b, 'labels' AS audio_video FROM labels)",
-                      _kappa("coders", "a", "b"), "value statistic"),
+                      _kappa("coders", "a", "b"), "value statistic p_value"),
     "agreement": q(_CODERS, """SELECT audio_video, count(*) AS subjects, 100.0 * count(*) FILTER (orig_utt_type = new_utt_type) / count(*) AS value
         FROM coders GROUP BY ALL""", "value"),
     "mean_agreement": q(_CODERS, """SELECT round_even(avg(value), 0)::DOUBLE AS value FROM (SELECT audio_video,
@@ -584,9 +602,9 @@ SQL: dict[str, str] = {
         r06 AS (SELECT * FROM rst WHERE NOT outlier AND month = '06'),
         rok AS (SELECT * FROM r06 WHERE subj IN (SELECT subj FROM r06 GROUP BY subj HAVING count(*) = 2))""",
         _t_test("rok", "s", "trialtype"), TIDY_D),
-    "result_lines": q(_LOOK, f"""SELECT name, estimate, statistic, parameter, p_value, 'estimate=' || {number("estimate", 3)} || ', statistic=' || {number("statistic", 2)}
+    "result_lines": q(_LOOK, f"""SELECT name, estimate, statistic, parameter, p_value, conf_low, conf_high, method, 'estimate=' || {number("estimate", 3)} || ', statistic=' || {number("statistic", 2)}
         || ', df=' || {number("parameter", 2)} || ', p=' || {number("p_value", 3)} AS text FROM (
-        SELECT CASE trialtype WHEN 'between' THEN 'unrelated' ELSE 'related' END AS name, estimate, statistic, parameter, p_value
+        SELECT CASE trialtype WHEN 'between' THEN 'unrelated' ELSE 'related' END AS name, estimate, statistic, parameter, p_value, conf_low, conf_high, method
         FROM ({_t_test("tested", "cross_item_mean_proptcorrTT", "trialtype")}))""", TIDY_D),
 }
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +26,19 @@ def build_session(app: str = "lexigaze", master: str | None = None, **conf: str)
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the workers once per application: functions of it that run there are found by name."""
+    context = spark.sparkContext
+    if not getattr(context, "_lexigaze_shipped", False):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        folder = tempfile.mkdtemp(prefix="lexigaze-ship-")  # the driver serves the file from here while it lives
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.addPyFile(shutil.make_archive(os.path.join(folder, "lexigaze"), "zip", root, "lexigaze"))
+        context._lexigaze_shipped = True
+    return spark
 
 
 def stable(df: DataFrame) -> DataFrame:
