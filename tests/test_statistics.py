@@ -154,7 +154,7 @@ def test_spearman_with_ties(spark):
     x, y = [1, 2, 2, 3, 5, 5, 5, 8], [2, 1, 3, 3, 6, 5, 9, 9]
     rank = lambda v: [sum(a < b for a in v) + (sum(a == b for a in v) + 1) / 2 for b in v]
     r = correlation.spearman_test(pairs(spark, x, y), "x", "y").first()
-    assert near(r.estimate, np.corrcoef(rank(x), rank(y))[0, 1], 1e-12) and r.parameter == 6
+    assert near(r.estimate, np.corrcoef(rank(x), rank(y))[0, 1], 1e-12) and r.parameter is None
 
 
 def test_sweep(spark):
