@@ -88,3 +88,59 @@ def op2_repeated_substrings(spark, folder):
 @query
 def op7_pitman_yor(spark, folder):
     return pitman_yor.score_held_out(documents(spark, folder))
+
+
+_W = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL["op5_decontamination"] = rf"""
+WITH i AS (SELECT item_id, {_W} AS w FROM benchmark WHERE text IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, CASE WHEN len(w) < 13 THEN array_to_string(w, ' ') ELSE array_to_string(w[k:k + 12], ' ') END AS win, least(len(w), 13) AS n
+  FROM i, unnest(range(1, greatest(len(w) - 11, 2))) AS r(k) WHERE len(w) > 0),
+d AS (SELECT doc_id, {_W} AS w FROM documents),
+dw AS (SELECT doc_id, s.n, k, array_to_string(w[k:k + s.n - 1], ' ') AS win
+  FROM d, (SELECT DISTINCT n FROM iw) s, unnest(range(1, greatest(len(w) - s.n + 2, 1))) AS r(k)),
+h AS (SELECT DISTINCT dw.doc_id, dw.k, dw.n, iw.item_id FROM dw JOIN iw ON dw.win = iw.win AND dw.n = iw.n),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM h, unnest(range(k, k + n)) AS r(p) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN m ON d.doc_id = m.doc_id
+"""
+
+_COMMON = ", ".join(f"'{w}'" for w in quality_rules.COMMON_WORDS)
+_SHARES = "list_transform({0}, lambda x: x / greatest(list_sum({0}), 1.0))"
+_PART = "CASE WHEN {0} > 0 THEN {0} * log2({0} / (({0} + {1}) / 2)) ELSE 0.0 END"
+
+
+def _js(a: str, b: str) -> str:
+    p, q = f"list_extract({_SHARES.format(a)}, j)", f"list_extract({_SHARES.format(b)}, j)"
+    return f"round(sqrt(greatest(list_sum(list_transform(range(1, len({a}) + 1), lambda j: {_PART.format(p, q)} + {_PART.format(q, p)})) / 2, 0.0)), 6)"
+
+
+SQL["op10_quality_rules"] = rf"""
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+a AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+g AS (SELECT doc_id, k, array_to_string(w[k:k + 7], ' ') AS win FROM a, unnest(range(1, greatest(len(w) - 6, 1))) AS r(k)),
+z AS (SELECT doc_id, k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS n FROM g) WHERE n > 1),
+v AS (SELECT doc_id, count(DISTINCT p) AS n FROM z, unnest(range(k, k + 8)) AS r(p) GROUP BY doc_id),
+f AS (SELECT a.doc_id, lang, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+  coalesce(v.n, 0)::BIGINT AS n_repeat_words,
+  [length(regexp_replace(t, '[^a-z]', '', 'g')), length(regexp_replace(t, '[^A-Z]', '', 'g')), length(regexp_replace(t, '[^0-9]', '', 'g')),
+   length(regexp_replace(t, '[^\x20\x09-\x0D]', '', 'g')), length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')),
+   length(regexp_replace(t, '[^\x00-\x08\x0E-\x1F!"''()+,\-./:;=?@\[\\\]^_`{{}}~\x7F]', '', 'g')), length(regexp_replace(t, '[\x00-\x7F]', '', 'g'))]::DOUBLE[] AS chars,
+  list_append(list_transform([{_COMMON}], lambda c: len(list_filter(w, lambda x: x = c))::DOUBLE),
+    len(list_filter(w, lambda x: x NOT IN ({_COMMON})))::DOUBLE) AS commons
+  FROM a LEFT JOIN v ON a.doc_id = v.doc_id),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
+s AS (SELECT * FROM b WHERE n_words >= 50 AND NOT base_failed AND 10 * n_symbols <= n_words),
+y AS (SELECT lang, false AS whole, chars, commons FROM s WHERE lang IS NOT NULL UNION ALL SELECT NULL, true, chars, commons FROM s),
+rc AS (SELECT lang, whole, list(x ORDER BY j) AS ref_chars FROM (SELECT lang, whole, j, sum(chars[j]) AS x FROM y, unnest(range(1, 8)) AS r(j) GROUP BY ALL) GROUP BY ALL),
+rw AS (SELECT lang, whole, list(x ORDER BY j) AS ref_commons FROM (SELECT lang, whole, j, sum(commons[j]) AS x FROM y, unnest(range(1, {len(quality_rules.COMMON_WORDS) + 2})) AS r(j) GROUP BY ALL) GROUP BY ALL),
+j AS (SELECT b.*, CASE WHEN n_words >= 50 AND ref_chars IS NOT NULL THEN {_js("chars", "ref_chars")} END AS char_distance,
+  CASE WHEN n_words >= 50 AND b.lang IS NOT NULL AND ref_commons IS NOT NULL THEN {_js("commons", "ref_commons")} END AS word_distance
+  FROM b LEFT JOIN rc ON b.lang IS NOT DISTINCT FROM rc.lang LEFT JOIN rw ON b.lang IS NOT DISTINCT FROM rw.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(char_distance > 0.2, false) AND NOT coalesce(word_distance > 0.45, false) AS kept, char_distance, word_distance FROM j
+"""
