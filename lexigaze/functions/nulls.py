@@ -135,12 +135,18 @@ def natural_join(
     )
 
 
-def attach(df: DataFrame, stats: DataFrame, group: Sequence[str], how: str = "left") -> DataFrame:
+def attach(df: DataFrame, stats: DataFrame, group: Sequence[str], how: str = "left", salts: int = 1) -> DataFrame:
     """Join per-group numbers back to the rows.
 
     Without a group ``stats`` is the single row of a global aggregate, so it is sent to
-    every task.
+    every task. With ``salts`` the rows of a group are dealt to that many tasks and the
+    group's numbers repeated for each: for few groups that hold many rows.
     """
+    if group and salts > 1:
+        salted = natural_join(df.withColumn("_salt", F.spark_partition_id() % salts),
+                              stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))),
+                              how, expect=[*group, "_salt"])
+        return salted.drop("_salt")
     if group:
         return natural_join(df, stats, how, expect=list(group))
     key = F.lit(1).alias("_all")

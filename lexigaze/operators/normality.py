@@ -54,7 +54,7 @@ def shapiro_wilk(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFr
     # equal values may come in any order; the number only tells them apart
     placed = running_total(rows.withColumns({"_id": F.monotonically_increasing_id(), "_one": F.lit(1)}), group, ["v", "_id"], "_one", "_before")
     scored = (
-        attach(placed, testable, group, "inner")
+        attach(placed, testable, group, "inner", salts=64)
         .withColumn("i", F.col("_before") + 1)
         .withColumn("m", normal_quantile("(i - 0.375D) / (n + 0.25D)")))
     # sums that fix the two outer weights; inner weights are m / sqrt(phi)

@@ -1,8 +1,8 @@
 """Outlier flags against the spread of a group.
 
 A flag needs two numbers per group, so they are aggregated first (partial sums on the
-map side) and joined back. A window over the group would pull a whole month into one
-task.
+map side) and joined back to the rows, salted: a window over the group, or a plain join by
+it, could pull a whole month into one task.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from lexigaze.functions.nulls import natural_join, strict
+from lexigaze.functions.nulls import attach, strict
+
+SALTS = 64
 
 
 def flag_outliers(df: DataFrame, value: str, group: Sequence[str], width: float = 3.0,
@@ -23,7 +25,7 @@ def flag_outliers(df: DataFrame, value: str, group: Sequence[str], width: float
     agg = (lambda f, c: f(c)) if remove_missing else strict
     limits = df.groupBy(*group).agg(
         agg(F.avg, value).alias("_centre"), agg(F.stddev_samp, value).alias("_spread"))
-    joined = natural_join(df, limits, "left", expect=list(group))
+    joined = attach(df, limits, list(group), salts=SALTS)
     reach = width * F.col("_spread")
     flag = (F.col(value) > F.col("_centre") + reach) | (F.col(value) < F.col("_centre") - reach)
     return joined.withColumn(name, flag).drop("_centre", "_spread")

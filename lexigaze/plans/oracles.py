@@ -251,11 +251,12 @@ def q_norm(p: str) -> str:
 
 
 def _with_interval(rows: str) -> str:
-    """Rows of estimate, se and parameter with t's 97.5 % point (two Newton steps) as limits of the estimate."""
+    """Rows of estimate, se and parameter with t's 97.5 % point (Newton steps) as limits of the estimate."""
     step = lambda t: (f"{t} + ({t_p(t, 'parameter')} - 0.05) / 2 / (exp(lgamma((parameter + 1) / 2) - lgamma(parameter / 2)) "
                       f"/ sqrt(parameter * pi()) * pow(1 + {t} * {t} / parameter, -(parameter + 1) / 2))")
-    return f"""SELECT * EXCLUDE (t0, t1, t2), estimate - t2 * se AS conf_low, estimate + t2 * se AS conf_high FROM (
-      SELECT *, {step("t1")} AS t2 FROM (SELECT *, {step("t0")} AS t1 FROM (SELECT *, {t_q975("parameter")} AS t0 FROM ({rows}))))"""
+    return f"""SELECT * EXCLUDE (t0, t1, t2, t3, t4), estimate - t4 * se AS conf_low, estimate + t4 * se AS conf_high FROM (
+      SELECT *, {step("t3")} AS t4 FROM (SELECT *, {step("t2")} AS t3 FROM (SELECT *, {step("t1")} AS t2 FROM (
+      SELECT *, {step("t0")} AS t1 FROM (SELECT *, {t_q975("parameter")} AS t0 FROM ({rows}))))))"""
 
 
 def _t_test(source: str, value: str, group: str = "", method: str = "One Sample t-test") -> str:
