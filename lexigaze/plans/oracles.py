@@ -524,7 +524,8 @@ SQL: dict[str, str] = {
         " ".join(f"{m}_{n}" for m in ["numtokens", "prop_mom", "prop_op"] for n in ["min", "max", "mean", "sd"])),
     "null_summary": q(_LOOK, " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count(*) AS n, count(*) FILTER ({c} IS NULL) AS missing, min({c})::DOUBLE AS min,
-        avg({c}) AS mean, max({c})::DOUBLE AS max FROM words""" for c in ["propt_long", "propt_pre", "proptcorr"]), "min mean max"),
+        quantile_cont({c}::DOUBLE, 0.25) AS q1, quantile_cont({c}::DOUBLE, 0.5) AS median, avg({c}) AS mean,
+        quantile_cont({c}::DOUBLE, 0.75) AS q3, max({c})::DOUBLE AS max FROM words""" for c in ["propt_long", "propt_pre", "proptcorr"]), "min q1 median mean q3 max"),
     "level_counts": q(_ANN, " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", {c} AS level, count(*) AS n FROM ann GROUP BY {c}"""
         for c in ["speaker", "utterance_type", "object_present", "audio_video"])),
