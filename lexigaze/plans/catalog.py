@@ -502,6 +502,27 @@ def cor_lab_home(t):
     return correlation.pearson_test(long, "x", "y", ["pair"])
 
 
+# name, table, measure, method: how the outcome goes with each measure of the homes
+OUTCOME = [
+    ("aud_numtypes", "audio", "numtypes", "pearson"), ("aud_numtokens", "audio", "numtokens", "pearson"),
+    ("aud_read", "audio", "r", "kendall"), ("aud_ratio", "audio", "type_token_ratio", "pearson"),
+    ("aud_speakers", "audio", "numspeakers", "kendall"),
+    ("vid_numtypes", "video", "numtypes", "pearson"), ("vid_numtokens", "video", "numtokens", "kendall"),
+    ("vid_ratio", "video", "type_token_ratio", "pearson"), ("vid_read", "video", "r", "pearson"),
+    ("vid_speakers", "video", "numspeakers", "kendall"),
+    ("prop_op", "pooled", "prop_op_avg", "pearson"), ("entropy", "pooled", "ent_subj_avg", "pearson"),
+    ("prop_mom", "pooled", "prop_mom_avg", "kendall"), ("prop_n", "pooled", "prop_n_avg", "pearson"),
+]
+
+
+@query
+def cor_outcome(t):
+    tables = {"audio": merge.by_medium(t.lab_home, "audio"), "video": merge.by_medium(t.lab_home, "video"), "pooled": t.pooled}
+    parts = [(df, [(n, "cross_item_mean_proptcorr", m, how) for n, table, m, how in OUTCOME if table == name]) for name, df in tables.items()]
+    both = merge.audio_video_pairs(t.lab_home)
+    return correlation.correlation_sweep([*parts, (both, [("av_prop_op", "aprop_op", "vprop_op", "pearson")])])
+
+
 def _normality(t) -> DataFrame:
     long = t.lab_home.select("audio_video", F.explode(F.array(*[
         F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("v")) for m in MEASURES])).alias("s")
@@ -509,6 +530,26 @@ def _normality(t) -> DataFrame:
     return normality.shapiro_wilk(long, "v", ["audio_video", "measure"])
 
 
+@query
+def outcome_normality(t):
+    score = "cross_item_mean_proptcorr"
+    parts = [("subjects", looking.kept(t.subjects, "06"), score),
+             *[(medium, merge.by_medium(t.lab_home, medium), score) for medium in ("audio", "video")],
+             *[(f"pooled {c}", t.pooled, c) for c in (score, "prop_op_avg", "prop_mom_avg", "ent_subj_avg")]]
+    long = _union([df.select(F.lit(name).alias("part"), F.col(c).cast("double").alias("v")) for name, df, c in parts])
+    return normality.shapiro_wilk(long, "v", ["part"])
+
+
+@query
+def ttest_items(t):
+    return hypothesis.t_test(looking.kept(t.items, "06"), "cross_item_mean_proptcorrTT", ["trialtype"])
+
+
+@query
+def positive_items(t):
+    return hypothesis.positive_share(looking.kept(t.items, "06"), "cross_item_mean_proptcorrTT", ["trialtype"])
+
+
 @query
 def shapiro_wilk(t):
     return _normality(t)
@@ -551,6 +592,22 @@ def mean_agreement(t):
         agreement.agreement(t.coders, "orig_present", "new_present", ["audio_video"]), "value", 0)
 
 
+@query
+def mean_agreement_type(t):
+    return agreement.mean_rounded(
+        agreement.agreement(t.coders, "orig_utt_type", "new_utt_type", ["audio_video"]), "value", 0)
+
+
+@query
+def mean_kappa_type(t):
+    return agreement.mean_rounded(agreement.cohen_kappa(t.coders, "orig_utt_type", "new_utt_type", ["audio_video"]), "value", 1)
+
+
+@query
+def mean_kappa_presence(t):
+    return agreement.mean_rounded(agreement.cohen_kappa(t.coders, "orig_present", "new_present", ["audio_video"]), "value", 1)
+
+
 @query
 def agreement_flags(t):
     flagged = agreement.with_agreement(t.coders, {"utrel": ("orig_utt_type", "new_utt_type"),

@@ -610,6 +610,36 @@ SQL: dict[str, str] = {
         FROM ({_t_test("tested", "cross_item_mean_proptcorrTT", "trialtype")}))""", TIDY_D),
 }
 
+_OUTCOME = {
+    "pearson": {"aud_numtypes": ("audio", "numtypes"), "aud_numtokens": ("audio", "numtokens"), "aud_ratio": ("audio", "type_token_ratio"),
+                "vid_numtypes": ("video", "numtypes"), "vid_ratio": ("video", "type_token_ratio"), "vid_read": ("video", "r"),
+                "prop_op": ("", "prop_op_avg"), "entropy": ("", "ent_subj_avg"), "prop_n": ("", "prop_n_avg")},
+    "kendall": {"aud_read": ("audio", "r"), "aud_speakers": ("audio", "numspeakers"), "vid_numtokens": ("video", "numtokens"),
+                "vid_speakers": ("video", "numspeakers"), "prop_mom": ("", "prop_mom_avg")},
+}
+
+
+def _outcome(method: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS pair, cross_item_mean_proptcorr::DOUBLE AS x, {c}::DOUBLE AS y FROM "
+        + (f"merged WHERE audio_video = '{medium}'" if medium else "pooled") for name, (medium, c) in _OUTCOME[method].items())
+
+
+SQL["cor_outcome"] = q(f"""{_MERGED}, po AS ({_outcome("pearson")} UNION ALL SELECT 'av_prop_op', a.prop_op, v.prop_op FROM merged a JOIN merged v
+    ON a.subj = v.subj AND a.audio_video = 'audio' AND v.audio_video = 'video'), ko AS ({_outcome("kendall")})""",
+    f"""SELECT pair, estimate, statistic, parameter, p_value, conf_low, conf_high, method FROM ({_kendall("ko", "pair")})
+    UNION ALL SELECT pair, estimate, statistic, parameter, p_value, conf_low, conf_high, method FROM ({_pearson("po", "pair")})""", TIDY_D)
+_SCORE = "cross_item_mean_proptcorr"
+SQL["outcome_normality"] = q(f"""{_MERGED}, parts AS (SELECT 'subjects' AS part, {_SCORE}::DOUBLE AS v FROM ss WHERE NOT outlier AND month = '06'
+    UNION ALL SELECT audio_video, {_SCORE} FROM merged WHERE audio_video IN ('audio', 'video') UNION ALL """ + " UNION ALL ".join(
+    f"SELECT 'pooled {c}', {c} FROM pooled" for c in (_SCORE, "prop_op_avg", "prop_mom_avg", "ent_subj_avg")) + ")", _shapiro("parts", "part"), TIDY_D)
+_ITEMS = "(SELECT * FROM items WHERE NOT outlier AND month = '06')"
+SQL["ttest_items"] = q(_LOOK, _t_test(_ITEMS, "cross_item_mean_proptcorrTT", "trialtype"), TIDY_D)
+SQL["positive_items"] = SQL["binom_exact"].replace("FROM tested GROUP BY ALL", f"FROM {_ITEMS} GROUP BY ALL")
+SQL["mean_agreement_type"] = q(_CODERS, """SELECT round_even(avg(value), 0)::DOUBLE AS value FROM (SELECT audio_video,
+    100.0 * count(*) FILTER (orig_utt_type = new_utt_type) / count(*) AS value FROM coders GROUP BY ALL)""", "value")
+for _name, _codes in {"type": ("orig_utt_type", "new_utt_type"), "presence": ("orig_present", "new_present")}.items():
+    SQL[f"mean_kappa_{_name}"] = q(_CODERS, f"SELECT round_even(avg(value), 1)::DOUBLE AS value FROM ({_kappa('coders', *_codes)})", "value")
 SQL["ordered_utterance_shares"] = q(_HOME, """SELECT u.*, o.position FROM (SELECT *, n / sum(n) OVER (PARTITION BY subj, audio_video) AS share
     FROM (SELECT subj, audio_video, utterance_type, count(*) AS n FROM ann WHERE utterance_type <> 'u' GROUP BY ALL)) u
     LEFT JOIN (SELECT subj, row_number() OVER (ORDER BY f, subj) AS position FROM (
