@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexigaze.llm.common import ALNUM, gram_hashes, mix, pieces, signed, spread, texts, word_hashes, written
+from lexigaze.llm.common import ALNUM, discard, gram_hashes, mix, pieces, signed, spread, texts, word_hashes, written
 from lexigaze.llm.components import components
 
 SHINGLE = 5
@@ -28,6 +28,7 @@ REGISTERS = BANDS * ROWS
 GROUP = 512
 FLOOR = 0.55
 NEAREST = 3
+LEVELS = (38, 32, int(np.ceil(FLOOR * REGISTERS)))
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -180,17 +181,23 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows(out)
 
 
-def candidate_pairs(unique: DataFrame) -> DataFrame:
-    """Distinct (a, b) worth verifying, from texts (rep, bands, sketch) of different shingles.
+def bucket_members(unique: DataFrame) -> DataFrame:
+    """(key, after, rep, n, least): every text in its bucket of each band, buckets of one text left out."""
+    keys = written(unique.select("rep", "bands").mapInArrow(_exploded, "key long, after long, rep long"))
+    sizes = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1"))
+    members = written(keys.join(sizes, "key"))
+    discard(keys)
+    return members
+
 
-    Buckets of one text are gone after a count. A bucket of more than ``GROUP`` texts is dealt by the next
+def candidate_pairs(unique: DataFrame, members: DataFrame) -> DataFrame:
+    """Distinct (a, b) worth verifying first, from texts (rep, bands, sketch) of different shingles and their buckets.
+
+    A bucket of more than ``GROUP`` texts is dealt by the next
     band as well, what is still larger is salted, and each of its texts is paired with the bucket's least
     text and with its hub, the text that has most of the bucket's common registers. Pairs grow with the
     texts, never with the square of a bucket.
     """
-    keys = written(unique.select("rep", "bands").mapInArrow(_exploded, "key long, after long, rep long"))
-    sizes = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1"))
-    members = keys.join(sizes, "key")
     crowded = written(members.where(F.col("n") > GROUP).select("key", F.col("after").alias("part"), "rep", "least"))
     parts = written(crowded.groupBy("key", "part").agg(F.count(F.lit(1)).alias("m")))
     salted = crowded.join(parts, ["key", "part"]).select(
@@ -206,6 +213,62 @@ def candidate_pairs(unique: DataFrame) -> DataFrame:
     return near.where("a <> b").distinct()
 
 
+def _crossing(low: int, high: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs (a, b) of every group, one of each side and of different classes, that agree on ``low`` to ``high`` - 1 registers.
+
+        Rows come sorted by group and a group may go on in the next batch. A text beside the bucket's largest
+        class stands on both sides; two such texts are a pair once.
+        """
+        held, rows = None, []
+
+        def pairs() -> pa.RecordBatch:
+            rest = np.array([r[0] for r in rows], bool)
+            free = np.array([r[1] for r in rows], bool)
+            rep, root = (np.array([r[k] for r in rows], np.int64) for k in (2, 3))
+            sketches = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, REGISTERS)
+            x, y = np.flatnonzero(~rest), np.flatnonzero(rest)
+            same = np.zeros((len(x), len(y)), np.uint8)
+            for r in range(REGISTERS):
+                same += sketches[x, r][:, None] == sketches[y, r][None, :]
+            i, j = np.nonzero((same >= low) & (same < high) & (root[x][:, None] != root[y][None, :]) & (~free[x][:, None] | (rep[x][:, None] < rep[y][None, :])))
+            a, b = rep[x[i]], rep[y[j]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for batch in batches:
+            for key, row in zip(zip(*(batch.column(c).to_pylist() for c in ("key", "block", "other"))),
+                                zip(*(batch.column(c).to_pylist() for c in ("rest", "free", "rep", "root", "sketch")))):
+                if key != held:
+                    if rows:
+                        yield pairs()
+                    held, rows = key, []
+                rows.append(row)
+        if rows:
+            yield pairs()
+    return run
+
+
+def crossing_pairs(unique: DataFrame, members: DataFrame, roots: DataFrame, low: int, high: int) -> DataFrame:
+    """Distinct (a, b) of one bucket, of different classes, that agree on ``low`` to ``high`` - 1 registers.
+
+    Every such pair has a text beside the bucket's largest class, so these texts, in blocks of about ``GROUP``,
+    meet the whole bucket, in such blocks too, each block with each in a task of its own.
+    """
+    placed = written(members.join(roots, members["rep"] == roots["u"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root")))
+    counts = written(placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")))
+    sizes = written(counts.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("top")).where("n > top.m").select(
+        "key", F.ceil(F.col("n") / GROUP).alias("blocks"), F.ceil((F.col("n") - F.col("top.m")) / GROUP).alias("others"), F.col("top.root").alias("top")))
+    cells = placed.join(sizes, "key").withColumn("free", F.expr("root <> top"))
+    block, other = (F.pmod(F.xxhash64("rep"), F.col(c)) for c in ("blocks", "others"))
+    every = cells.select("key", block.alias("block"), F.explode(F.expr("sequence(0L, others - 1)")).alias("other"), F.lit(False).alias("rest"), "free", "rep", "root")
+    rest = cells.where("free").select("key", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), other.alias("other"), F.lit(True).alias("rest"), "free", "rep", "root")
+    found = written(every.unionByName(rest).join(unique.select("rep", "sketch"), "rep").repartition("key", "block", "other").sortWithinPartitions(
+        "key", "block", "other").mapInArrow(_crossing(low, high), "a long, b long").distinct())
+    for table in (placed, counts, sizes):
+        discard(table)
+    return found
+
+
 # -------------------------------------------------------------- verification
 
 def probability_jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -249,12 +312,33 @@ def links(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) ->
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(shingle, similarity), "u long, v long")
 
 
+def classes_of(docs: DataFrame, unique: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, root) of all texts that are linked to a lesser one.
+
+    Spanning forests and nearest texts are verified first. Then every pair of a bucket whose texts are not yet in
+    one class by verified links is verified too, the most similar by sketch first, down to the floor.
+    """
+    members = bucket_members(unique)
+    first = written(candidate_pairs(unique, members))
+    roots = components(links(docs, first, shingle, similarity))
+    # a bucket of so few texts has no pair above the floor that wasn't verified
+    members = written(members.where(F.col("n").between(NEAREST + 2, GROUP)).select("key", "rep"))
+    high = REGISTERS + 1
+    for low in LEVELS:
+        pairs = crossing_pairs(unique, members, roots, low, high)
+        more = written(links(docs, written(pairs.join(first, ["a", "b"], "left_anti")), shingle, similarity))
+        if not more.isEmpty():
+            roots = components(more.unionByName(roots.select("u", F.col("root").alias("v"))))
+        high = low
+    return roots
+
+
 def near_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), one row per row of ``docs``."""
     signs = written(texts(docs).mapInArrow(_signatures(shingle), "doc_id long, c1 long, c2 long, bands binary, sketch binary"))
     unique = written(signs.where("c1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("c1", "c2").agg(
         F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    roots = components(links(docs, candidate_pairs(unique), shingle, similarity))
+    roots = classes_of(docs, unique, shingle, similarity)
     classes = unique.select("c1", "c2", "rep").join(roots, F.col("rep") == F.col("u"), "left").select(
         "c1", "c2", F.coalesce("root", "rep").alias("class_id"))
     return signs.select("doc_id", "c1", "c2").join(classes, ["c1", "c2"], "left").select(

@@ -60,6 +60,23 @@ def test_edge(spark):
     assert sorted((r.doc_id is None, r.class_id) for r in twice) == [(False, 1), (False, 1), (True, None)]
 
 
+def variants(seed, n, words, edits):
+    """Texts of the same words but for ``edits`` of them, none of them the base text; ids from 1000 * seed."""
+    rng = np.random.default_rng(seed)
+    for i in range(1000 * seed, 1000 * seed + n):
+        w = [f"b{seed}x{k}" for k in range(words)]
+        for k in rng.choice(words, edits, replace=False):
+            w[k] = f"e{i} {k}"
+        yield i, " ".join(w)
+
+
+def test_variants_around_the_limit_without_a_base(spark):
+    """Most pairs look near but are not; the nearest three of each by sketch and a spanning forest would leave the family split."""
+    rows = list(variants(2, 150, 330, 4))
+    got, want = classes(spark, rows), classes_by_hand(rows)
+    assert sum(got[i] != want[i] for i in want) == 0
+
+
 def test_crowded_buckets_are_split(spark, monkeypatch):
     """A large group whose buckets are many times one part: nothing is merged that isn't linked, and links that
     go through the group's center are all found (those between two outlying texts only where they share further bands)."""
