@@ -28,6 +28,7 @@ REGISTERS = BANDS * ROWS
 GROUP = 512
 FLOOR = 0.55
 NEAREST = 3
+JOINED = (2, 8)
 LEVELS = (38, 32, int(np.ceil(FLOOR * REGISTERS)))
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -213,9 +214,10 @@ def candidate_pairs(unique: DataFrame, members: DataFrame) -> DataFrame:
     return near.where("a <> b").distinct()
 
 
-def _crossing(low: int, high: int):
+def _crossing(low: int, high: int, most: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs (a, b) of every group, one of each side and of different classes, that agree on ``low`` to ``high`` - 1 registers.
+        """Pairs (a, b) of every group, one of each side and of different classes, that agree on ``low`` to ``high`` - 1 registers;
+        with ``most`` only so many of each text beside the bucket's largest class, the most similar ones.
 
         Rows come sorted by group and a group may go on in the next batch. A text beside the bucket's largest
         class stands on both sides; two such texts are a pair once.
@@ -231,7 +233,15 @@ def _crossing(low: int, high: int):
             same = np.zeros((len(x), len(y)), np.uint8)
             for r in range(REGISTERS):
                 same += sketches[x, r][:, None] == sketches[y, r][None, :]
-            i, j = np.nonzero((same >= low) & (same < high) & (root[x][:, None] != root[y][None, :]) & (~free[x][:, None] | (rep[x][:, None] < rep[y][None, :])))
+            fit = (same >= low) & (same < high) & (root[x][:, None] != root[y][None, :])
+            if most is None:
+                fit &= ~free[x][:, None] | (rep[x][:, None] < rep[y][None, :])
+            elif len(x) > most:
+                best = np.argpartition(np.where(fit, same, 0), len(x) - most, axis=0)[-most:]
+                near = np.zeros_like(fit)
+                np.put_along_axis(near, best, True, 0)
+                fit &= near
+            i, j = np.nonzero(fit)
             a, b = rep[x[i]], rep[y[j]]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -248,7 +258,7 @@ def _crossing(low: int, high: int):
     return run
 
 
-def crossing_pairs(unique: DataFrame, members: DataFrame, roots: DataFrame, low: int, high: int) -> DataFrame:
+def crossing_pairs(unique: DataFrame, members: DataFrame, roots: DataFrame, low: int, high: int, most: int | None) -> DataFrame:
     """Distinct (a, b) of one bucket, of different classes, that agree on ``low`` to ``high`` - 1 registers.
 
     Every such pair has a text beside the bucket's largest class, so these texts, in blocks of about ``GROUP``,
@@ -263,7 +273,7 @@ def crossing_pairs(unique: DataFrame, members: DataFrame, roots: DataFrame, low:
     every = cells.select("key", block.alias("block"), F.explode(F.expr("sequence(0L, others - 1)")).alias("other"), F.lit(False).alias("rest"), "free", "rep", "root")
     rest = cells.where("free").select("key", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), other.alias("other"), F.lit(True).alias("rest"), "free", "rep", "root")
     found = written(every.unionByName(rest).join(unique.select("rep", "sketch"), "rep").repartition("key", "block", "other").sortWithinPartitions(
-        "key", "block", "other").mapInArrow(_crossing(low, high), "a long, b long").distinct())
+        "key", "block", "other").mapInArrow(_crossing(low, high, most), "a long, b long").distinct())
     for table in (placed, counts, sizes):
         discard(table)
     return found
@@ -315,21 +325,25 @@ def links(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) ->
 def classes_of(docs: DataFrame, unique: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(u, root) of all texts that are linked to a lesser one.
 
-    Spanning forests and nearest texts are verified first. Then every pair of a bucket whose texts are not yet in
-    one class by verified links is verified too, the most similar by sketch first, down to the floor.
+    Spanning forests and nearest texts are verified first, then some of the nearest texts of other classes, so that
+    classes with many links between them are one before the rest. At last every pair of a bucket whose texts are not
+    yet in one class by verified links is verified too, the most similar by sketch first, down to the floor.
     """
     members = bucket_members(unique)
-    first = written(candidate_pairs(unique, members))
-    roots = components(links(docs, first, shingle, similarity))
+    done = written(candidate_pairs(unique, members))
+    roots = components(links(docs, done, shingle, similarity))
     # a bucket of so few texts has no pair above the floor that wasn't verified
-    members = written(members.where(F.col("n").between(NEAREST + 2, GROUP)).select("key", "rep"))
+    members = written(members.where(F.col("n") > NEAREST + 1).select("key", "rep"))
     high = REGISTERS + 1
-    for low in LEVELS:
-        pairs = crossing_pairs(unique, members, roots, low, high)
-        more = written(links(docs, written(pairs.join(first, ["a", "b"], "left_anti")), shingle, similarity))
+    for low, most in [(LEVELS[-1], n) for n in JOINED] + [(low, None) for low in LEVELS]:
+        pairs = written(crossing_pairs(unique, members, roots, low, high, most).join(done, ["a", "b"], "left_anti"))
+        more = written(links(docs, pairs, shingle, similarity))
         if not more.isEmpty():
             roots = components(more.unionByName(roots.select("u", F.col("root").alias("v"))))
-        high = low
+        if most:
+            done = done.unionByName(pairs)
+        else:
+            high = low
     return roots
 
 

@@ -97,6 +97,14 @@ def test_crowded_buckets_are_split(spark, monkeypatch):
     assert np.mean([got[i] == want[i] for i, _ in rows]) >= 0.98
 
 
+def test_crowded_buckets_without_a_base(spark, monkeypatch):
+    """Links between texts that are neither a bucket's least nor its hub, in buckets of many parts."""
+    rows = list(variants(2, 150, 330, 4)) + list(variants(3, 60, 340, 4))
+    monkeypatch.setattr(near_dedup, "GROUP", 16)
+    got, want = classes(spark, rows), classes_by_hand(rows)
+    assert sum(got[i] != want[i] for i in want) == 0
+
+
 def test_signatures_estimate_the_similarity():
     a, b = " ".join(f"w{i}" for i in range(400)), " ".join(f"w{i}" for i in range(40, 440))
     text, grams, counts = near_dedup.weighted_shingles(pa.array([a, b]), 5)
