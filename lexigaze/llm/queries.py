@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexigaze.llm import (
-    decontamination, language_id, line_dedup, near_dedup, packing, pitman_yor, quality_model, quality_rules, repeats,
-    secrets,
+    bond, decontamination, language_id, lexical, line_dedup, mixing, near_dedup, packing, pitman_yor, quality_model, quality_rules,
+    repeats, secrets,
 )
 from lexigaze.llm.common import documents, texts
 
@@ -90,6 +90,21 @@ def op7_pitman_yor(spark, folder):
     return pitman_yor.score_held_out(documents(spark, folder))
 
 
+@query
+def op11_lexical_search(spark, folder):
+    return lexical.rank_documents(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+@query
+def op12_source_mixing(spark, folder):
+    return mixing.mix(documents(spark, folder))
+
+
+@query
+def op13_hard_negatives(spark, folder):
+    return bond.hard_negatives(bond.relabelled(bond.usable(spark.read.parquet(f"{folder}/embeddings.parquet"))))
+
+
 _W = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SQL["op5_decontamination"] = rf"""
 WITH i AS (SELECT item_id, {_W} AS w FROM benchmark WHERE text IS NOT NULL),
@@ -144,3 +159,57 @@ j AS (SELECT b.*, CASE WHEN n_words >= 50 AND ref_chars IS NOT NULL THEN {_js("c
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce(char_distance > 0.2, false) AND NOT coalesce(word_distance > 0.45, false) AS kept, char_distance, word_distance FROM j
 """
+
+_TERM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SQL["op11_lexical_search"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS doc, doc_id, {_TERM} AS w FROM documents),
+c AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+i AS (SELECT DISTINCT item, item_id, unnest(w) AS term FROM (SELECT row_number() OVER () AS item, item_id, {_TERM} AS w FROM benchmark)),
+p AS (SELECT doc, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, c GROUP BY term, docs),
+s AS (SELECT item, item_id, doc, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score
+  FROM i JOIN f USING (term) JOIN p USING (term), c GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 50
+"""
+
+# Rates are found by halving an interval 64 times, copies by a running total over each source.
+SQL["op12_source_mixing"] = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce('=' || source, '-') AS key,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM documents),
+s AS (SELECT *, 2.0::DOUBLE * source_size AS limit_, row_number() OVER (ORDER BY limit_ / weight, source NULLS LAST) AS place FROM (
+  SELECT key, source, sum(size)::BIGINT AS source_size, ([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER] AS weight
+  FROM d GROUP BY key, source)),
+l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(limit_) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
+  / sum(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
+t AS (SELECT key, source_size, CASE WHEN limit_ <= level * weight THEN limit_ ELSE weight * (SELECT arg_min(level, place) FROM l WHERE limit_ > level * weight) END AS target FROM l),
+c AS (SELECT key, size, count(*)::DOUBLE AS n FROM d WHERE size > 0 GROUP BY ALL),
+b AS (SELECT key, source_size, target, CASE WHEN target > 0 THEN least(0.0::DOUBLE, ln(target / source_size)) ELSE 0.0::DOUBLE END AS low, ln(2.0::DOUBLE) + 0.01::DOUBLE AS high, 0 AS i FROM t
+  UNION ALL
+  SELECT b.key, source_size, target, CASE WHEN sum(n * size * least(2.0::DOUBLE, exp((low + high) / 2 * size))) < target THEN (low + high) / 2 ELSE low END,
+    CASE WHEN sum(n * size * least(2.0::DOUBLE, exp((low + high) / 2 * size))) < target THEN high ELSE (low + high) / 2 END, i + 1
+  FROM b JOIN c ON b.key = c.key WHERE i < 64 GROUP BY b.key, source_size, target, low, high, i),
+m AS (SELECT key, source_size, target, CASE WHEN target >= 2 * source_size THEN ln(2.0::DOUBLE) + 0.01::DOUBLE ELSE (low + high) / 2 END AS multiplier
+  FROM b QUALIFY row_number() OVER (PARTITION BY key ORDER BY i DESC) = 1),
+r AS (SELECT d.*, source_size, target, least(2.0::DOUBLE, exp(multiplier * size)) AS rate FROM d JOIN m ON d.key = m.key),
+q AS (SELECT *, floor(rate)::BIGINT AS copies, CASE WHEN size > 0 THEN rate - floor(rate) ELSE 0 END AS part FROM r),
+z AS (SELECT *, floor(target + 0.5) - sum(copies * size) OVER (PARTITION BY key) AS missing,
+  coalesce(sum(CASE WHEN part > 0 THEN size ELSE 0 END) OVER (PARTITION BY key ORDER BY CASE WHEN part > 0 THEN u / part END NULLS LAST, row
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q)
+SELECT doc_id, source, size, source_size, round(target, 6) AS target, round(rate, 6) AS rate,
+  (copies * size + CASE WHEN part > 0 THEN greatest(0, least(size, missing - before)) ELSE 0 END)::BIGINT AS taken FROM z
+"""
+
+SQL["op13_hard_negatives"] = r"""
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.row AS anchor, a.vec_id AS anchor_id, v.row, v.vec_id, a.label = v.label AS same, list_dot_product(a.e, v.e)::BIGINT AS score
+  FROM v AS a JOIN v ON a.row <> v.row WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, (row_number() OVER (PARTITION BY p.anchor, p.row ORDER BY s.score DESC, s.vec_id NULLS LAST))::INTEGER AS rank,
+  s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score QUALIFY rank <= 5
+"""
