@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lexigaze.llm.common import written
+from lexigaze.llm.common import LARGE_ROWS, written
 
 SCALE = 256
 BLOCK_ROWS, GROUP_ANCHORS = 2048, 512
@@ -223,7 +223,7 @@ def hard_negatives(vectors: DataFrame, every: int = 100, positives: int = 5, neg
     """
     numbered = vectors.withColumn("number", F.monotonically_increasing_id())
     n_blocks = max(1, -(-vectors.count() // block_rows))
-    blocks = written(numbered.withColumn("block", F.pmod(F.xxhash64("number"), F.lit(n_blocks))).groupBy("block").applyInArrow(_packed, _BLOCK))
+    blocks = written(numbered.withColumn("block", F.pmod(F.xxhash64("number"), F.lit(n_blocks))).groupBy("block").applyInArrow(_packed, _BLOCK), **LARGE_ROWS)
     anchors = written(anchor_rows(blocks, every))
     n_anchors = anchors.count()
     near = _grid(blocks, anchors, n_blocks, n_anchors).mapInArrow(_positives(positives), "anchor long, id long, score long, row long")

@@ -38,14 +38,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame) -> DataFrame:
+#: For tables of large rows: few of them in a row group, so that a reader never holds many at once.
+LARGE_ROWS = {"parquet.block.size": 4 << 20, "parquet.page.size.row.check.min": 1}
+
+
+def written(df: DataFrame, **options) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, read by many, kept when executors go.
 
-    The files go when the application ends.
+    The files go when the application ends. ``options`` go to the writer.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     place, files = _place(spark, path)
     files.deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)

@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lexigaze.llm.common import ALNUM, mix, pieces, signed, spread, word_hashes, written
+from lexigaze.llm.common import ALNUM, LARGE_ROWS, mix, pieces, signed, spread, word_hashes, written
 
 TOP = 50
 BITS = 1 << 20
-SEGMENT_DOCS, SEGMENT_POSTINGS = 1024, 1 << 18
+SEGMENT_DOCS, SEGMENT_POSTINGS = 512, 1 << 17
 BLOCK_DOCS = 128
 SKETCH = 16
 ITEMS_TOGETHER, STRIPES = 128, 32
@@ -322,11 +322,11 @@ def search(index: DataFrame, weighted: DataFrame, k: int = TOP) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def rank_documents(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
+def rank_documents(docs: DataFrame, items: DataFrame, k: int = TOP, segment_docs: int = SEGMENT_DOCS, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """item_id, rank, doc_id, score: for every item the ``k`` documents of highest score above 0."""
     asked = written(term_table(_numbered(items, "item_id")))
     vectors = written(term_table(_numbered(docs, "doc_id"), _bitmap(asked)))
     size = vectors.agg(F.count_if(F.col("n") > 0).alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
-    index = written(build_index(vectors.where(F.size("terms") > 0), size.documents, size.terms))
+    index = written(build_index(vectors.where(F.size("terms") > 0), size.documents, size.terms, segment_docs, block_docs), **LARGE_ROWS)
     found = search(index, written(weighted_items(asked, vectors, size.documents)), k)
     return found.join(asked.select(F.col("row").alias("item"), F.col("id").alias("item_id")), "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")

@@ -15,7 +15,7 @@ def test_matches_sql(spark, name):
 
 
 def test_all_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in queries.REGISTRY}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in queries.REGISTRY}
     assert {*queries.REGISTRY, "pipeline"} <= set(contract.queries())
 
 
