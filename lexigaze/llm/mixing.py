@@ -81,7 +81,7 @@ def _newton(cells: DataFrame, state: DataFrame, most: int) -> DataFrame:
     at, target, found = F.col("multiplier"), F.col("target"), F.col("words")
     moved = state.join(sums, "key", "left").withColumns({
         "low": F.when(found <= target, at).otherwise(F.col("low")), "high": F.when(found >= target, at).otherwise(F.col("high")),
-        "step": at - F.log(found / target) * F.try_divide(found, F.col("slope")), "close": F.abs(found - target) <= TOLERANCE * target})
+        "step": at - F.log(F.try_divide(found, target)) * F.try_divide(found, F.col("slope")), "close": F.abs(found - target) <= TOLERANCE * target})
     inside = (F.col("step") >= F.col("low")) & (F.col("step") <= F.col("high"))
     following = F.when(inside, F.col("step")).otherwise((F.col("low") + F.col("high")) / 2)
     narrow = F.col("high") - F.col("low") <= 1e-17
@@ -96,7 +96,7 @@ def multipliers(sizes: DataFrame, aims: DataFrame, most: int = MOST) -> DataFram
     at_limit = F.col("target") >= F.lit(float(most)) * F.col("source_size")
     state = written(aims.select(
         "key", "source_size", "target", F.when(at_limit, F.lit(full)).otherwise(F.lit(0.0)).alias("multiplier"),
-        F.least(F.lit(0.0), F.log(F.col("target") / F.col("source_size"))).alias("low"), F.lit(full).alias("high"), at_limit.alias("done")))
+        F.least(F.lit(0.0), F.log(F.try_divide("target", "source_size"))).alias("low"), F.lit(full).alias("high"), at_limit.alias("done")))
     for _ in range(0, MOST_STEPS, STEPS_AT_ONCE):
         if state.where("NOT done").isEmpty():
             break
