@@ -5,8 +5,9 @@ Whole windows are cut from long documents; what remains of each goes to the tier
 the shorter tiers, whole remainders first, then a cut one, so that windows end full. Sequences
 are dealt to step groups of equal token counts. All of it happens inside the task that reads the
 documents, in blocks of bounded tokens: nothing is shuffled, and a retried task gives the same
-sequences. Cases: a null or empty text is its end token alone; a text longer than a block is a
-block of its own; repeated rows are packed each; an empty table gives no rows.
+sequences. What is left of a block's last window is cut into powers of two, so nothing is padded.
+Cases: a null or empty text is its end token alone; a text longer than a block is a block of its
+own; a null doc_id is passed on; repeated rows are packed each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,38 +16,36 @@ import heapq
 import json
 import re
 import zlib
-from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from lexigaze.llm.common import pieces, texts
+from lexigaze.llm.common import Rolling, pieces, text_bytes, texts
 
 LONGEST = 1024
 TIERS = (1024, 512, 256, 128, 64)
 STEP_TOKENS = 32 * 1024
 BLOCK_TOKENS = 1 << 20
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 2_000_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "sequence_tokens long, step_group long")
 # Fixed value: how byte-level vocabularies of this kind split a text.
 SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_ODD = re.compile(r" \s|^\s|\s$")
-_BLANKS = re.compile(r"\n\s|[^\S\n ]|\s\n|^ ?\n|\n$")
+# Bytes that surely don't begin a blank: those above the space, but for the first bytes of blanks beyond ASCII.
+_SOLID = np.arange(256) > 0x20
+_SOLID[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
+_PLAIN = _SOLID & (np.arange(256) < 0x80)
 
 
-def _byte_pairs(path: str):
-    """The tokenizer file's vocabulary in the library that is fastest on single words; the ids are the same.
-
-    Names of special tokens in a text are ordinary text.
-    """
+def _byte_pairs(model: dict):
+    """The tokenizer file's vocabulary in the library that is fastest on single words; the ids are the same."""
     import tiktoken
 
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in plain]
     byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
@@ -55,57 +54,109 @@ def _byte_pairs(path: str):
 
 
 class Encoder:
-    """Ids of whole texts, packed as 32-bit numbers, each distinct word encoded once.
+    """Ids of whole texts, each distinct word encoded once.
 
-    A word with the single blank before it is never joined with its neighbours by this
-    vocabulary's splitting pattern; texts with other runs of blanks are encoded whole.
+    A blank that stands before something else, and a lone line end, never share a piece of the
+    vocabulary's splitting pattern with what comes before them, so texts are cut there and every part
+    is looked up by its hash. Names of the file's added tokens are those tokens.
     """
 
-    def __init__(self, path: str | None = None):
-        if path is None:
-            import public_tokenizers
+    _made: dict[str, Encoder] = {}
 
-            path = public_tokenizers.path("byte_bpe_50k.json")
-        self.words = _byte_pairs(path)
-        self.memo: dict[str, bytes] = {}
-
-    def _learn(self, parts: set[str]) -> None:
-        encode = self.words.encode_ordinary
-        for part in parts:
-            self.memo[part] = array("I", encode(part)).tobytes()
-
-    def encode(self, batch: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        split = [self._parts(text) for text in batch]
-        self._learn(set().union(*split).difference(self.memo))
-        get = self.memo.__getitem__
-        out = [b"".join(map(get, parts)) for parts in split]
-        for parts in split:
-            if len(parts) == 1:  # a whole text: not worth keeping
-                self.memo.pop(parts[0], None)
-        return out
+    def __init__(self, path: str | None = None):
+        with open(path or self._default(), encoding="utf-8") as f:
+            file = json.load(f)
+        self.words = _byte_pairs(file["model"])
+        self.added = {t["content"]: t["id"] for t in file.get("added_tokens") or ()}
+        self.names = re.compile("|".join(f"({re.escape(c)})" for c in sorted(self.added, key=len, reverse=True))) if self.added else None
+        self._forget()
 
     @staticmethod
-    def _parts(text: str) -> list[str]:
-        if _ODD.search(text):
-            return [text]
-        words = text.split(" ")
-        parts = [words[0], *[" " + w for w in words[1:]]]
-        if "\n" not in text:
-            return parts
+    def _default() -> str:
+        import public_tokenizers
+
+        return public_tokenizers.path("byte_bpe_50k.json")
+
+    @classmethod
+    def shared(cls, path: str | None) -> Encoder:
+        """The one of this process: what it has learned serves the next task, too."""
+        key = path or cls._default()
+        if key not in cls._made:
+            cls._made[key] = cls(key)
+        return cls._made[key]
+
+    def _forget(self) -> None:
+        self.known = np.zeros(0, np.uint64)  # hashes, sorted
+        self.place = np.zeros(0, np.int64)  # where the ids of each begin in ``ids``
+        self.size = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _learn(self, hashes: np.ndarray, parts: list[str]) -> None:
+        if len(self.known) > MEMO_ENTRIES:
+            self._forget()
+        encode = self.words.encode_ordinary
+        ids = [encode(part) for part in parts]
+        size = np.array([len(i) for i in ids], np.int64)
+        new = np.fromiter((x for i in ids for x in i), np.uint32, int(size.sum()))
+        place = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate((self.ids, new))
+        known = np.concatenate((self.known, hashes))
+        order = np.argsort(known, kind="stable")
+        self.known, self.place, self.size = known[order], np.concatenate((self.place, place))[order], np.concatenate((self.size, size))[order]
+
+    def _whole(self, text: str) -> bytes:
+        """A text that holds names of added tokens: what lies between them is encoded by itself."""
         out = []
-        for part in parts:  # a lone line end between words is a piece by itself, too
-            if "\n" in part and not _BLANKS.search(part):
-                first, *rest = part.split("\n")
-                out.append(first)
-                for word in rest:
-                    out += ["\n", word]
-            else:
-                out.append(part)
+        for part in self.names.split(text):
+            if part:
+                out += [self.added[part]] if part in self.added else self.words.encode_ordinary(part)
+        return np.array(out, "<u4").tobytes()
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """Little-endian 32-bit ids of each text of a column; null is empty."""
+        data, offsets = text_bytes(column)
+        starts, counts = _parts(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        hashes = Rolling(data).of(starts, ends)
+        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, distinct)
+        missing = np.append(self.known, np.uint64(0))[at] != distinct if len(self.known) else np.ones(len(distinct), bool)
+        if missing.any():
+            raw = data.tobytes()
+            before = len(self.known)
+            self._learn(distinct[missing], [raw[starts[i]:ends[i]].decode() for i in first[missing]])
+            if len(self.known) < before + missing.sum():  # it had to forget: also what this batch knew
+                rest = ~missing
+                self._learn(distinct[rest], [raw[starts[i]:ends[i]].decode() for i in first[rest]])
+            at = np.searchsorted(self.known, distinct)
+        size, place = self.size[at][which], self.place[at][which]
+        done = np.cumsum(size)
+        ids = self.ids[np.repeat(place - (done - size), size) + np.arange(done[-1] if len(done) else 0)]
+        cut = np.concatenate(([0], done))[np.concatenate(([0], np.cumsum(counts)))] * 4
+        flat = ids.astype("<u4").tobytes()
+        out = [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        if self.names:
+            for i in np.flatnonzero(pc.match_substring_regex(column, self.names.pattern).fill_null(False).to_numpy(zero_copy_only=False)):
+                out[i] = self._whole(column[int(i)].as_py())
         return out
 
 
+def _parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the parts of the texts begin, and how many each text has."""
+    begin = np.zeros(len(data) + 1, bool)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    if len(data):
+        follows = np.append(_SOLID[data[1:]], False) & ~edge[1:]
+        begin[:-1] = (data == 0x20) & follows
+        ends = np.flatnonzero(data[1:-1] == 0x0A) + 1
+        lone = ends[_PLAIN[data[ends - 1]] & _PLAIN[data[ends + 1]] & ~edge[ends] & ~edge[ends + 1]]
+        begin[lone] = begin[lone + 1] = True
+    begin[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+    starts = np.flatnonzero(begin[:-1])
+    return starts, np.diff(np.searchsorted(starts, offsets))
+
+
 def pack(lengths: list[int]) -> list[list[tuple[int, int, int]]]:
     """Sequences of (document, start, length) for documents of the given lengths."""
     sequences, tails = [], []
@@ -133,11 +184,11 @@ def pack(lengths: list[int]) -> list[list[tuple[int, int, int]]]:
 
 
 def _powers(window: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
-    """The last, unfilled window of a block as full windows of lower tiers; the rest of it is padded."""
+    """The last, unfilled window of a block as windows of falling powers of two, so that nothing is padded."""
     out, left = [], sum(n for _, _, n in window)
     window = window[::-1]
     while left:
-        size = next((t for t in TIERS if t <= left), left)
+        size = 1 << left.bit_length() - 1 if left < LONGEST else LONGEST
         taken = []
         left -= size
         while size:
@@ -165,7 +216,7 @@ def step_groups(sizes: list[int], step_tokens: int) -> list[int]:
 def _blocks(batches: Iterator[pa.RecordBatch], encoder: Encoder, block_tokens: int) -> Iterator[tuple[list[int], list[bytes]]]:
     ids, codes, size = [], [], 0
     for batch in pieces(batches):
-        for doc_id, code in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
+        for doc_id, code in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"))):
             ids.append(doc_id)
             codes.append(code + b"\0\0\0\0")
             size += len(code) // 4 + 1
@@ -180,7 +231,7 @@ def _packer(path: str | None, block_tokens: int, step_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         sequence = group = (context.partitionId() if context else 0) << 40
-        for ids, codes in _blocks(batches, Encoder(path), block_tokens):
+        for ids, codes in _blocks(batches, Encoder.shared(path), block_tokens):
             sequences = pack([len(c) // 4 for c in codes])
             sizes = [sum(n for _, _, n in s) for s in sequences]
             groups = step_groups(sizes, step_tokens)
