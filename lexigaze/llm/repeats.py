@@ -15,9 +15,12 @@ is what the stretches it stands for cover. Then, with nothing but counts and joi
 An anchor with more than ``GROUP`` contexts is cut into finer ones, which stand for 32 neighbouring
 stretches and then for single ones: the part common to those stretches becomes the key. A single
 stretch is its own context, so that nothing is left to compare and no array grows with the corpus.
-Repeats are maximal within the contexts of an anchor; longer ones are chains of them. Cases: a null or empty text has no repeats;
-matches never cross documents; overlapping repeats of one document count; repeated rows repeat each
-other; an empty table gives an empty result.
+Repeats are maximal within the contexts of an anchor; longer ones are chains of them.
+
+Rows get numbers in the first written table and are known by them from then on. Cases: a null or
+empty text has no repeats; matches never cross documents; overlapping repeats of one document count;
+rows are documents each, also those with the same or a null id, and repeated rows repeat each other;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -161,8 +164,8 @@ _ROW = "key long, context long, doc_id long, place int, first int, last int"
 _FOUND = "key long, context long, n long, doc_id long, start int, length int, repeat long"
 
 
-def _mark():
-    return F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+def _mark(row: str = "doc_id"):
+    return F.pmod(F.xxhash64(row), F.lit(MARKS))
 
 
 def _near(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -289,20 +292,35 @@ def _anchored(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     return written(texts(docs).where(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length, anchor), _ROW))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """row, doc_id, text: written, so that every step sees the same number for a row, whatever its id."""
+    return written(texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+
+
+def _by_row(numbered: DataFrame) -> DataFrame:
+    """The table the steps work on: a row's number takes the place of its id."""
+    return numbered.select(F.col("row").alias("doc_id"), "text")
+
+
 def repeat_groups(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
-    """repeat, length, doc_id, start: every occurrence of every maximal repeat, one row each."""
-    parts = []
-    for found, rows in _resolve(_anchored(docs, length, anchor), docs, length, group, False):
+    """repeat, length, doc_id, row, start: every occurrence of every maximal repeat, one row each.
+
+    ``row`` tells rows of the same id apart.
+    """
+    numbered, parts = _numbered(docs), []
+    own = _by_row(numbered)
+    for found, rows in _resolve(_anchored(own, length, anchor), own, length, group, False):
         single = found.where("n < 2").select("repeat", "length", "doc_id", "start")
         several = found.where("n > 1").select("key", "context", "repeat", "length", "doc_id", "start")
         first = rows.groupBy("key", "context").agg(F.min(F.struct("doc_id", "place")).alias("one")).select("key", "context", "one.place")
         shift = several.join(first, ["key", "context"]).select("key", "context", "repeat", "length", (F.col("start") - F.col("place")).alias("shift"))
         parts += [single, rows.join(shift, ["key", "context"]).select("repeat", "length", "doc_id", (F.col("place") + F.col("shift")).alias("start"))]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    every = reduce(DataFrame.unionByName, parts).distinct().withColumnRenamed("doc_id", "row")
+    return every.join(numbered.select("row", "doc_id"), "row").select("repeat", "length", "doc_id", "row", "start")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
-    """doc_id and its repeated stretches (start, end), in bytes; they may overlap."""
+    """doc_id and its repeated stretches (start, end), in bytes; they may overlap. Ids must be unique and not null."""
     found = [f.where("n < 2").select("doc_id", "start", (F.col("start") + F.col("length")).alias("end"))
              for f, _ in _resolve(_anchored(docs, length, anchor), docs, length, group, True)]
     return reduce(DataFrame.unionByName, found)
@@ -333,9 +351,12 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes): each text without its repeated stretches, in one row per row."""
-    spans = written(repeated_spans(docs, length, anchor, group).groupBy("doc_id").agg(
-        F.collect_set(F.struct("start", "end")).alias("spans")))  # of one document: bounded by its length
-    whole = _near(docs, spans, "left_anti").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
-    some = _near(docs, spans).join(spans, "doc_id", "left").select("doc_id", "text", "spans")
-    return whole.unionByName(some).mapInArrow(
+    numbered = _numbered(docs)
+    spans = written(repeated_spans(_by_row(numbered), length, anchor, group).groupBy("doc_id").agg(
+        F.collect_set(F.struct("start", "end")).alias("spans")).withColumnRenamed("doc_id", "row"))  # of one row: bounded by its length
+    marks = written(spans.select(_mark("row").alias("mark")).distinct())
+    columns = ["doc_id", "text", "spans"]
+    whole = numbered.join(F.broadcast(marks), _mark("row") == F.col("mark"), "left_anti").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    some = numbered.join(F.broadcast(marks), _mark("row") == F.col("mark"), "left_semi").join(spans, "row", "left")
+    return whole.select(columns).unionByName(some.select(columns)).mapInArrow(
         _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

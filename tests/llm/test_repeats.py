@@ -22,11 +22,15 @@ def by_hand(rows, length):
                 covered[s:s + length] = True
         runs = int(np.diff(np.concatenate(([0], covered.view(np.int8)))).clip(0).sum())
         out.append((rows[n][0], len(b), int(covered.sum()), runs, bytes(np.frombuffer(b, np.uint8)[~covered])))
-    return sorted(out)
+    return sorted(out, key=order)
+
+
+def order(row):
+    return row[0] is None, row[0] or 0, *row[1:]
 
 
 def got(spark, rows, **kw):
-    return sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove_repeats(frame(spark, rows), **kw).collect())
+    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove_repeats(frame(spark, rows), **kw).collect()), key=order)
 
 
 def edge():
@@ -51,6 +55,17 @@ def test_empty_and_repeated_rows(spark):
     assert [r[2] for r in got(spark, rows, length=40, anchor=8)] == [72, 72, 0]
 
 
+@pytest.mark.parametrize("group", [4096, 1])
+def test_null_and_repeated_ids(spark, group):
+    rng = np.random.default_rng(9)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passage, other = word(70), word(50)
+    rows = [(1, passage + word(20)), (None, passage), (2, word(10) + passage), (1, word(90)), (3, other), (3, other + "!"), (None, other + word(33)), (None, word(60)), (None, None)]
+    assert got(spark, rows, length=40, anchor=8, group=group) == by_hand(rows, 40)
+    same = [(None, passage), (None, passage), (4, word(80)), (4, passage)]
+    assert got(spark, same, length=40, anchor=8, group=group) == by_hand(same, 40)
+
+
 def test_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     want = by_hand(rows, 400)
