@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DecimalType, StructField, StructType
 
 from lexigaze.functions.nulls import attach, natural_join
-from lexigaze.functions.special import kendall_exact_p, normal_two_sided, t_two_sided
+from lexigaze.functions.special import SERIES_BELOW, kendall_exact_p, normal_two_sided, spearman_exact_p, t_two_sided
 from lexigaze.operators.hypothesis import TIDY, tidy
 from lexigaze.operators.ranks import running_total, value_ranks
 from lexigaze.session import stable
@@ -33,18 +33,18 @@ def complete_pairs(df: DataFrame, x: str, y: str, group: Sequence[str]) -> DataF
 
 # -------------------------------------------------------------------- Pearson
 
-def safe_corr(x: str = "x", y: str = "y") -> Column:
+def safe_corr(x: Column | str = "x", y: Column | str = "y") -> Column:
     """Correlation that is NULL, not an error, for a constant column."""
     varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
     spread = F.stddev_samp(x) * F.stddev_samp(y)
     return F.when(varies, F.try_divide(F.covar_samp(x, y), spread))
 
 
-def _tidy_r(m: DataFrame, group, method: str, interval: bool, extra: Sequence[Column] = ()) -> DataFrame:
+def _tidy_r(m: DataFrame, group, method: str, interval: bool, extra: Sequence[Column | str] = (), keep: Sequence[str] = ()) -> DataFrame:
     n, r = F.col("n"), F.col("r")
     # rounding may carry r past 1; least() and greatest() would also hide a missing r
     within = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
-    staged = m.select(*group, "n", F.when(r.isNotNull(), within).alias("r"))
+    staged = m.select(*group, "n", *keep, F.when(r.isNotNull(), within).alias("r"))
     dof = (n - 2).cast("double")
     staged = staged.withColumn("_t", F.when(n > 2, F.try_divide(
         r * F.sqrt(dof), F.sqrt(F.greatest(F.lit(0.0), (1 - r) * (1 + r))))))
@@ -64,32 +64,50 @@ def pearson_test(df: DataFrame, x: str, y: str, group: Sequence[str] = ()) -> Da
     return _tidy_r(m, list(group), PEARSON, True)
 
 
+def pearson_pairs(df: DataFrame, pairs: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """``pearson_test`` for many named pairs (name, x, y) of columns of one table.
+
+    All co-moments come from a single aggregate of one row, each pair over the rows that are complete
+    in it; the row is turned into one row per pair afterwards.
+    """
+    x = {c: F.col(c).cast("double") for _, *both in pairs for c in both}
+    aggregates = []
+    for name, a, b in pairs:
+        whole = x[a].isNotNull() & x[b].isNotNull()
+        left, right = F.when(whole, x[a]), F.when(whole, x[b])
+        aggregates.append(F.struct(F.count_if(whole).alias("n"), safe_corr(left, right).alias("r")).alias(name))
+    return _tidy_r(df.agg(*aggregates).unpivot([], [name for name, *_ in pairs], "pair", "m").select("pair", "m.*"), ["pair"], PEARSON, True)
+
+
 # ------------------------------------------------------------------- Spearman
 
 def spearman_test(df: DataFrame, x: str, y: str, group: Sequence[str] = ()) -> DataFrame:
-    """rho on mid-ranks per group; the statistic is the sum of squared rank differences, p the t approximation.
+    """rho on mid-ranks per group; the statistic is the sum of squared rank differences.
 
-    Equal pairs are folded into one weighted row before the ranks are attached, and the
-    correlation is computed from weighted moments.
+    Fewer than ``SERIES_BELOW`` pairs without ties get the p of the statistic's own law, all others
+    that of the t approximation. Equal pairs are folded into one weighted row before the ranks are
+    attached, and the correlation is computed from weighted moments.
     """
     group = list(group)
     cells = complete_pairs(df, x, y, group).groupBy(*group, "x", "y").agg(F.count(F.lit(1)).alias("w"))
     pairs = complete_pairs(df, x, y, group)
     for c in ("x", "y"):
-        ranks = value_ranks(pairs, group, c).select(*group, c, F.col("midrank").alias(f"r{c}"))
+        ranks = value_ranks(pairs, group, c).select(*group, c, F.col("midrank").alias(f"r{c}"), F.col("ties").alias(f"t{c}"))
         cells = natural_join(cells, ranks, "left", expect=[*group, c])
     sizes = cells.groupBy(*group).agg(F.sum("w").alias("n"))
     centred = attach(cells, sizes, group).withColumns({
         c: F.col(c) - (F.col("n") + 1) / 2 for c in ("rx", "ry")})
     w = F.col("w")
     m = centred.groupBy(*group).agg(
-        F.sum("w").alias("n"),
+        F.sum("w").alias("n"), (F.max(F.greatest("tx", "ty")) == 1).alias("_untied"),
         F.try_divide(F.sum(w * F.col("rx") * F.col("ry")),
                      F.sqrt(F.sum(w * F.col("rx") ** 2) * F.sum(w * F.col("ry") ** 2))).alias("r"))
+    tested = _tidy_r(m, group, SPEARMAN, False, extra=["n", "_untied"], keep=["_untied"])
     size = F.col("n").cast("double")
-    tested = _tidy_r(m, group, SPEARMAN, False, extra=[size.alias("_n")])
-    squares = (F.col("_n") ** 3 - F.col("_n")) * (1 - F.col("estimate")) / 6
-    return tested.withColumns({"statistic": squares, "parameter": F.lit(None).cast("double")}).drop("_n")
+    tested = tested.withColumn("statistic", (size ** 3 - size) * (1 - F.col("estimate")) / 6)
+    exact = F.col("_untied") & (F.col("n") < SERIES_BELOW)
+    p = F.when(exact, spearman_exact_p("statistic", "n")).otherwise(F.col("p_value"))
+    return tested.withColumns({"p_value": p, "parameter": F.lit(None).cast("double")}).drop("n", "_untied")
 
 
 # -------------------------------------------------------------------- Kendall
@@ -240,21 +258,20 @@ def melt_pairs(df: DataFrame, pairs: Iterable[tuple[str, str, str]]) -> DataFram
 def correlation_sweep(tables: Iterable[tuple[DataFrame, Iterable[tuple[str, str, str, str]]]]) -> DataFrame:
     """Many correlation tests at once; each spec is (name, x, y, method).
 
-    All pairs of one method share one pass over the long table of pairs.
+    Pearson pairs of a table share one aggregate. Kendall pairs of all tables share one pass over
+    the long table of pairs.
     """
-    melted: dict[str, DataFrame] = {}
+    results, long = [], None
     for df, specs in tables:
-        for method in ("pearson", "kendall"):
-            chosen = [(name, x, y) for name, x, y, m in specs if m == method]
-            if chosen:
-                long = melt_pairs(df, chosen)
-                melted[method] = melted[method].unionByName(long) if method in melted else long
-    tests = {"pearson": pearson_test, "kendall": kendall_test}
-    results = [tests[m](long, "x", "y", ["pair"]) for m, long in melted.items()]
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out.select("pair", *TIDY)
+        pearson, kendall = ([(name, x, y) for name, x, y, m in specs if m == method] for method in ("pearson", "kendall"))
+        if pearson:
+            results.append(pearson_pairs(df, pearson))
+        if kendall:
+            melted = melt_pairs(df, kendall)
+            long = melted if long is None else long.unionByName(melted)
+    if long is not None:
+        results.append(kendall_test(long, "x", "y", ["pair"]))
+    return reduce(DataFrame.unionByName, results).select("pair", *TIDY)
 
 
 def sweep_range(results: DataFrame) -> DataFrame:

@@ -9,13 +9,12 @@ low-data rule and the looking means are therefore computed without exploding at
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexigaze.functions.nulls import (
-    if_else, in_table, is_one_of, natural_join, recode, separate, to_number,
+    if_else, is_one_of, natural_join, recode, separate, to_number,
 )
 
 BIN_MS = 20
@@ -191,28 +190,26 @@ TRIAL_KEYS = ["SubjectNumber", "subj", "month", "TrialNumber"]
 
 
 def trial_facts(labelled: DataFrame, max_bins: int = MAX_BINS,
-                max_missing: float = MAX_MISSING_MS) -> DataFrame:
+                max_missing: float = MAX_MISSING_MS, extra: Sequence[Column] = ()) -> DataFrame:
     """One row per trial: bins before onset, bins in the window, low-data flag."""
     on_image = F.sum(F.when(F.col("propt").isNotNull(), F.col("long_bins")).otherwise(F.lit(0)))
     return labelled.groupBy(*TRIAL_KEYS).agg(
         F.sum("pre_bins").alias("pre_bins"), F.sum("long_bins").alias("long_bins"),
-        low_data_flag(F.sum("long_bins"), on_image, max_bins, max_missing).alias("lowdata"))
+        low_data_flag(F.sum("long_bins"), on_image, max_bins, max_missing).alias("lowdata"), *extra)
 
 
-def with_low_data(labelled: DataFrame, max_bins: int = MAX_BINS,
-                  max_missing: float = MAX_MISSING_MS) -> DataFrame:
-    """``flag_low_data`` for labelled fixations."""
-    facts = trial_facts(labelled, max_bins, max_missing).drop("pre_bins", "long_bins")
-    return natural_join(labelled, facts, "left", expect=TRIAL_KEYS)
+def low_data_bins(labelled: DataFrame) -> DataFrame:
+    """One row per trial: its flag and how many bins its fixations cover, without making a bin."""
+    facts = trial_facts(labelled.withColumn("_bins", F.col("bin_to") - F.col("bin_from") + 1), extra=[F.sum("_bins").alias("n_bins")])
+    return facts.select("SubjectNumber", "TrialNumber", "lowdata", "n_bins")
 
 
-def clip_offsets(labelled: DataFrame, start: float, stop: float) -> DataFrame:
-    """Cut fixations to bins strictly between two times from onset, before exploding them."""
-    onset_bin = F.floor(F.col("TargetOnset") / BIN_MS)
-    first, last = math.floor(start / BIN_MS) + 1, math.ceil(stop / BIN_MS) - 1
-    return (labelled.withColumn("bin_from", F.greatest(F.col("bin_from"), onset_bin + first))
-            .withColumn("bin_to", F.least(F.col("bin_to"), onset_bin + last))
-            .filter(F.col("bin_from") <= F.col("bin_to")))
+def with_low_data(labelled: DataFrame, max_bins: int = MAX_BINS,
+                  max_missing: float = MAX_MISSING_MS) -> DataFrame:
+    """``flag_low_data`` for labelled fixations; a window over the few fixations of a trial."""
+    trial = Window.partitionBy(*TRIAL_KEYS)
+    on_image = F.sum(F.when(F.col("propt").isNotNull(), F.col("long_bins")).otherwise(F.lit(0))).over(trial)
+    return labelled.withColumn("lowdata", low_data_flag(F.sum("long_bins").over(trial), on_image, max_bins, max_missing))
 
 
 def to_bins(labelled: DataFrame) -> DataFrame:
@@ -255,42 +252,65 @@ def stopped_early(facts: DataFrame, month: str = "06", total: int = TRIALS_PER_S
             .withColumn("missedtrials_endedearly", F.lit(total) - F.col("maxtrial")))
 
 
-def trials_where(facts: DataFrame, test: Column, month: str = "06") -> DataFrame:
-    """Distinct (SubjectNumber, TrialNumber) of subjects with usable data that pass ``test``."""
-    rows = facts.filter((F.col("month") == month) & test)
-    return in_table(rows, subject_list(facts, month, "with_data"), "SubjectNumber").select(
-        "SubjectNumber", "TrialNumber").distinct()
+# bits of a trial's mask
+PRE, WINDOW, LOW, KEPT, WITH_DATA = 1, 2, 4, 8, 16
+
+
+def trial_masks(facts: DataFrame, month: str = "06") -> DataFrame:
+    """(SubjectNumber, TrialNumber, mask): what is known of each trial of a month, as bits.
+
+    Bins before onset, bins in the window, the low-data flag either way, and whether any trial of
+    the subject is kept. Rows are dealt by subject once; a subject has few trials, so both the
+    trials and the subject's bit are found where its rows lie.
+    """
+    def bit(test: Column, value: int) -> Column:
+        return F.when(test, value).otherwise(0)
+
+    flags = bit(F.col("pre_bins") > 0, PRE) + bit(F.col("long_bins") > 0, WINDOW) + bit(F.col("lowdata"), LOW) + bit(~F.col("lowdata"), KEPT)
+    per_trial = facts.filter(F.col("month") == month).select("SubjectNumber", "TrialNumber", flags.alias("mask")).repartition("SubjectNumber").groupBy(
+        "SubjectNumber", "TrialNumber").agg(F.bit_or("mask").alias("mask"))
+    any_kept = F.max(F.col("mask").bitwiseAND(KEPT)).over(Window.partitionBy("SubjectNumber")) > 0
+    return per_trial.withColumn("mask", F.col("mask") + bit(any_kept, WITH_DATA))
+
+
+def _has(bits: int, none_of: int = 0) -> Column:
+    """All of these bits are set in the mask and none of the others."""
+    return F.col("mask").bitwiseAND(bits | none_of) == bits
+
+
+def trials_with(facts: DataFrame, bits: int, none_of: int = 0, month: str = "06") -> DataFrame:
+    """(SubjectNumber, TrialNumber) of subjects with usable data whose mask fits."""
+    return trial_masks(facts, month).filter(_has(bits | WITH_DATA, none_of)).drop("mask")
 
 
 def pre_trials(facts: DataFrame, month: str = "06") -> DataFrame:
-    return trials_where(facts, F.col("pre_bins") > 0, month)
+    return trials_with(facts, PRE, month=month)
 
 
 def window_trials(facts: DataFrame, month: str = "06") -> DataFrame:
-    return trials_where(facts, F.col("long_bins") > 0, month)
+    return trials_with(facts, WINDOW, month=month)
 
 
 def window_without_pre(facts: DataFrame, month: str = "06") -> DataFrame:
-    return window_trials(facts, month).subtract(pre_trials(facts, month))
+    return trials_with(facts, WINDOW, PRE, month)
 
 
 def low_data_trials(facts: DataFrame, month: str = "06", low: bool = True) -> DataFrame:
-    return trials_where(facts, F.col("lowdata") == F.lit(low), month)
+    return trials_with(facts, LOW if low else KEPT, month=month)
 
 
 def no_pre_and_low(facts: DataFrame, month: str = "06") -> DataFrame:
-    return window_without_pre(facts, month).intersect(low_data_trials(facts, month))
+    return trials_with(facts, WINDOW | LOW, PRE, month)
 
 
 def exclusion_totals(facts: DataFrame, month: str = "06",
                      total: int = TRIALS_PER_SESSION) -> DataFrame:
-    """Why trials were lost, one row."""
-    def count(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("reason"), "n")
-
-    missed = stopped_early(facts, month, total).agg(
-        F.coalesce(F.sum("missedtrials_endedearly"), F.lit(0)).alias("n")).select(
-        F.lit("ended_early").alias("reason"), "n")
-    both = count(low_data_trials(facts, month), "low_data").unionByName(
-        count(no_pre_and_low(facts, month), "low_data_and_no_baseline"))
-    return both.unionByName(count(window_without_pre(facts, month), "no_baseline")).unionByName(missed)
+    """Why trials were lost: (reason, n), all from one pass over the trials' masks."""
+    reasons = {"low_data": _has(LOW | WITH_DATA), "low_data_and_no_baseline": _has(WINDOW | LOW | WITH_DATA, PRE),
+               "no_baseline": _has(WINDOW | WITH_DATA, PRE)}
+    per_subject = trial_masks(facts, month).groupBy("SubjectNumber").agg(
+        *[F.count_if(test).alias(name) for name, test in reasons.items()],
+        F.greatest(F.lit(0), F.lit(total) - F.max("TrialNumber")).cast("long").alias("ended_early"))
+    names = [*reasons, "ended_early"]
+    sums = per_subject.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in names])
+    return sums.unpivot([], names, "reason", "n")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexigaze.functions.nulls import (
     fill_zero, is_one_of, n_distinct, n_rows, natural_join, ratio, spread_counts, to_number,
@@ -128,79 +128,55 @@ COUNT_COLUMNS = ["MOT", "FAT", "num_exp_tokens", "num_exp_types", *UTTERANCE_TYP
 LABELLED = ["subj", "month", "SubjectNumber", "audio_video"]
 
 
-def _keyed(annotations: DataFrame) -> DataFrame:
-    """Recording keys packed into one struct.
-
-    Structs compare missing fields as equal, so a plain join on the struct is null-safe
-    and keeps the partitioning of the aggregations before it.
-    """
-    return annotations.withColumn("recording", F.struct(*LABELLED)).drop(*LABELLED)
-
-
-def recording_vocabulary(keyed: DataFrame, words: Sequence[str] = TESTED_WORDS) -> DataFrame:
-    """Distinct speakers and words per recording, a missing one counted as one.
-
-    Each annotation gives two narrow rows, which collapse to distinct values before and
-    after the shuffle; then counting values is counting rows.
-    """
-    child = F.coalesce(F.col("speaker") == "CHI", F.lit(False))
-    values = keyed.select("recording", F.explode(F.array(
-        F.struct(F.lit("word").alias("kind"), F.col("basic_level").alias("value"), child.alias("child")),
-        F.struct(F.lit("speaker").alias("kind"), F.col("speaker").alias("value"), F.lit(False).alias("child")),
-    )).alias("v")).select("recording", "v.*")
-    distinct = values.groupBy("recording", "kind", "value").agg(F.max("child").alias("child"))
-    word = F.col("kind") == "word"
-    return distinct.groupBy("recording").agg(
-        F.count_if(~word).alias("numspeakers"), F.count_if(word).alias("numtypes"),
-        F.count_if(word & is_one_of("value", words)).alias("num_exp_types"),
-        F.count_if(word & F.col("child")).alias("CHItypes"))
-
-
 def recording_counts(annotations: DataFrame, words: Sequence[str] = TESTED_WORDS) -> DataFrame:
-    """Base counts and the eight small aggregates of every recording.
+    """Base counts and the eight small aggregates of every recording, from one scan.
 
-    One wide conditional aggregation (combined before its shuffle) and one narrow count of
-    distinct values replace a chain of joins. Both group by the recording label as well;
-    ``label_conflicts`` must be empty for that to be the same. A presence share is
-    missing, hence later 0, when only one answer occurs.
+    Annotations are first counted per recording, speaker and word, before the shuffle already. Sums
+    and distinct values of a recording come from these few rows; a missing speaker or word is one
+    more value. Both steps group by the recording label as well; ``label_conflicts`` must be empty
+    for that to be the same. A presence share is missing, hence later 0, when only one answer occurs.
     """
-    tested = is_one_of("basic_level", words)
-    keyed = _keyed(annotations)
-
     def n(test: Column, name: str) -> Column:
         return F.count_if(test).alias(name)
 
     def present(value: str) -> Column:
         return F.col("object_present") == value
 
-    counts = keyed.groupBy("recording").agg(
-        n_rows().alias("numtokens"),
-        *[n(F.col("speaker") == s, s) for s in [*PARENTS, *DEVICES, "CHI"]],
-        n(tested, "num_exp_tokens"),
-        *[n(F.col("utterance_type") == u, u) for u in UTTERANCE_TYPES],
-        n(present("n"), "n_op"), n(present("y"), "y_op"),
-        n(present("n") & tested, "n_op_exp"), n(present("y") & tested, "y_op_exp"))
+    kinds = ["tokens", *UTTERANCE_TYPES, "n_op", "y_op"]
+    cells = annotations.groupBy(*LABELLED, "speaker", "basic_level").agg(
+        n_rows().alias("tokens"), *[n(F.col("utterance_type") == u, u) for u in UTTERANCE_TYPES], n(present("n"), "n_op"), n(present("y"), "y_op"))
+    tested, child = is_one_of("basic_level", words), F.col("speaker") == "CHI"
+
+    def total(c: str, test: Column | None = None) -> Column:
+        return F.coalesce(F.sum(c if test is None else F.when(test, F.col(c))), F.lit(0))
+
+    counts = cells.groupBy(*LABELLED).agg(
+        *[total(k).alias("numtokens" if k == "tokens" else k) for k in kinds],
+        *[total("tokens", F.col("speaker") == s).alias(s) for s in [*PARENTS, *DEVICES, "CHI"]],
+        total("tokens", tested).alias("num_exp_tokens"), total("n_op", tested).alias("n_op_exp"), total("y_op", tested).alias("y_op_exp"),
+        n_distinct("speaker").alias("numspeakers"), n_distinct("basic_level").alias("numtypes"),
+        F.count_distinct(F.when(tested, F.col("basic_level"))).alias("num_exp_types"),
+        (F.count_distinct(F.when(child, F.col("basic_level"))) + F.coalesce(F.max((child & F.col("basic_level").isNull()).cast("long")), F.lit(0))).alias("CHItypes"))
 
     def share(y: str, no: str) -> Column:
         return F.when((F.col(y) > 0) & (F.col(no) > 0), ratio(y, F.col(y) + F.col(no)))
 
-    both = counts.join(recording_vocabulary(keyed, words), "recording").select(
-        "recording.*", "*").drop("recording")
-    return both.withColumns({"prop_op": share("y_op", "n_op"), "prop_op_exp": share("y_op_exp", "n_op_exp")})
+    return counts.withColumns({"prop_op": share("y_op", "n_op"), "prop_op_exp": share("y_op_exp", "n_op_exp")})
 
 
 def recording_summary(annotations: DataFrame, words: Sequence[str] = TESTED_WORDS,
                       month: str | None = None) -> DataFrame:
     """One row per recording: counts, shares, entropy, noun onset, talker status.
 
-    With ``month`` only that month's recordings are summarised; the noun onset still comes
-    from all months.
+    A child's noun onset is the least month of its recordings with a word of its own, so it is
+    found among the child's few rows. With ``month`` only that month's recordings are returned.
     """
-    rows = annotations if month is None else annotations.filter(F.col("month") == month)
-    filled = fill_zero(recording_counts(rows, words), COUNT_COLUMNS)
-    shares = _share_columns(filled).drop(*DEVICES[1:])
-    joined = natural_join(shares, noun_onset(annotations), "left", expect=["subj"])
-    return joined.withColumn("posttalk", after_onset(F.col("month"), F.col("noun_chi_onset")))
+    filled = fill_zero(recording_counts(annotations, words), COUNT_COLUMNS)
+    onset = F.min(F.when(F.col("CHI") > 0, to_number("month"))).over(Window.partitionBy("subj"))
+    rows = filled.withColumn("noun_chi_onset", onset)
+    if month is not None:
+        rows = rows.filter(F.col("month") == month)
+    return _share_columns(rows).drop(*DEVICES[1:]).withColumn("posttalk", after_onset(F.col("month"), F.col("noun_chi_onset")))
 
 
 def after_onset(month: Column, onset: Column) -> Column:

@@ -49,11 +49,11 @@ def t_test(df: DataFrame, value: str, group: Sequence[str] = (), mu: float = 0.0
 
 
 def paired_t_test(df: DataFrame, value: str, label: str, first: str, second: str,
-                  pair: Sequence[str], level: float = 0.95) -> DataFrame:
-    """Paired t-test of first - second; rows are paired by key, not by position."""
-    wide = spread(df, pair, label, [first, second], value)
+                  pair: Sequence[str], level: float = 0.95, group: Sequence[str] = ()) -> DataFrame:
+    """Paired t-test of first - second per group; rows are paired by key, not by position."""
+    wide = spread(df, [*group, *pair], label, [first, second], value)
     diff = wide.withColumn("_diff", F.col(f"`{first}`") - F.col(f"`{second}`"))
-    return t_test(diff, "_diff", level=level).withColumn("method", F.lit("Paired t-test"))
+    return t_test(diff, "_diff", group, level=level).withColumn("method", F.lit("Paired t-test"))
 
 
 def welch_t_test(df: DataFrame, value: str, label: str, first: str, second: str,

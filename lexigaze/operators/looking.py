@@ -6,6 +6,7 @@ so the stages are separate aggregations and must not be merged into one mean.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -15,9 +16,10 @@ from lexigaze.functions.nulls import (
 )
 from lexigaze.functions.special import t_quantile
 from lexigaze.operators.gaze import (
-    MAX_BINS, MAX_MISSING_MS, clip_offsets, low_data_flag, to_bins,
+    BIN_MS, MAX_BINS, MAX_MISSING_MS, low_data_flag,
 )
 from lexigaze.operators.outliers import flag_outliers, without_outliers
+from lexigaze.operators.smooth import with_spline
 
 SUBJECT = ["SubjectNumber", "subj", "month"]
 WINDOWS = ["long", "pre"]
@@ -95,6 +97,13 @@ def word_means(trials: DataFrame, by_type: bool = False) -> DataFrame:
         F.avg("long").alias("long"), F.avg("pre").alias("pre")))
 
 
+def two_stage_scores(trials: DataFrame, by_type: bool = False) -> DataFrame:
+    """``two_stage_means`` from ``trial_scores``: one row per word and window that has any bin."""
+    low = trials.filter(F.col("lowdata") == F.lit(False))
+    windows = [low.filter(F.col(f"{w}_bins") > 0).select(*_word_keys(by_type), F.lit(w).alias("whichwin"), F.col(w).alias("propt")) for w in WINDOWS]
+    return windows[0].unionByName(windows[1]).groupBy(*_word_keys(by_type), "whichwin").agg(F.avg("propt").alias("propt"))
+
+
 def missing_report(words: DataFrame) -> DataFrame:
     """Per month: words, words without a baseline, subjects (two steps of counting)."""
     per_subject = words.groupBy("SubjectNumber", "month").agg(
@@ -131,17 +140,17 @@ def _cross_item(suffix: str = "") -> list[Column]:
             F.avg("propt_pre").alias(f"cross_item_mean_proptpre{suffix}")]
 
 
-def subject_means(words: DataFrame) -> DataFrame:
-    """Subject means over words, flagged against the month."""
-    means = words.groupBy("subj", "month", "SubjectNumber").agg(*_cross_item())
-    return flag_outliers(means, "cross_item_mean_proptcorr", ["month"])
+def subject_means(words: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Subject means over words, flagged against the month (all within each value of ``by``)."""
+    means = words.groupBy(*by, "subj", "month", "SubjectNumber").agg(*_cross_item())
+    return flag_outliers(means, "cross_item_mean_proptcorr", [*by, "month"])
 
 
-def subject_type_means(counted: DataFrame) -> DataFrame:
+def subject_type_means(counted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Subject means per trial type, flagged against the month."""
-    means = counted.groupBy("subj", "month", "SubjectNumber", "trialtype", "numtrials",
+    means = counted.groupBy(*by, "subj", "month", "SubjectNumber", "trialtype", "numtrials",
                             "numtrials_TT").agg(*_cross_item("TT"))
-    return flag_outliers(means, "cross_item_mean_proptcorrTT", ["month"], remove_missing=False)
+    return flag_outliers(means, "cross_item_mean_proptcorrTT", [*by, "month"], remove_missing=False)
 
 
 def grand_mean(subjects: DataFrame, month: str = "06") -> DataFrame:
@@ -158,14 +167,14 @@ def single_condition_subjects(subject_types: DataFrame,
             .groupBy(*keys).agg(n_rows().alias("n")).filter(F.col("n") != 2))
 
 
-def item_means(counted: DataFrame, excluded: DataFrame | None, pairs: DataFrame | None) -> DataFrame:
+def item_means(counted: DataFrame, excluded: DataFrame | None, pairs: DataFrame | None, by: Sequence[str] = ()) -> DataFrame:
     """Item means over subjects per month and type, flagged within month and type.
 
     ``excluded`` lists subjects left out; ``pairs`` maps (trialtype, target) to the pair.
     """
     rows = counted if excluded is None else not_in_table(counted, excluded, "SubjectNumber")
-    items = rows.groupBy("target", "month", "trialtype").agg(*_cross_item("TT"))
-    flagged = flag_outliers(items, "cross_item_mean_proptcorrTT", ["month", "trialtype"],
+    items = rows.groupBy(*by, "target", "month", "trialtype").agg(*_cross_item("TT"))
+    flagged = flag_outliers(items, "cross_item_mean_proptcorrTT", [*by, "month", "trialtype"],
                             remove_missing=False)
     if pairs is None:
         return flagged
@@ -176,16 +185,25 @@ def item_pairs(trials: DataFrame) -> DataFrame:
     return trials.select("trialtype", "pair", "target").distinct()
 
 
-def without_item(words: DataFrame, subjects: DataFrame, item: str) -> DataFrame:
-    """Leave out one item for the listed subjects (missing targets are kept out, too)."""
+def in_scenarios(words: DataFrame, subjects: DataFrame, item: str) -> DataFrame:
+    """Each row once for every scenario it belongs to, named in ``scenario``.
+
+    ``all`` holds all rows; ``without_item`` lacks one item of the listed subjects (a missing target
+    is kept out, too). Everything computed by scenario then comes from one pass over the words.
+    """
     listed = natural_join(words, subjects.select("subj", F.lit(True).alias("_listed")).distinct(),
                           "left", expect=["subj"])
-    flag = F.when(F.col("_listed"), F.col("target") == item).otherwise(F.lit(False))
-    return listed.withColumn("excluded_item", flag).filter(~F.col("excluded_item")).drop(
-        "_listed", "excluded_item")
+    stays = F.when(F.col("_listed"), F.col("target") != item).otherwise(F.lit(True))
+    both = F.when(stays, F.array(F.lit("all"), F.lit("without_item"))).otherwise(F.array(F.lit("all")))
+    return listed.select(F.explode(both).alias("scenario"), *words.columns)
+
 
+def without_item(words: DataFrame, subjects: DataFrame, item: str) -> DataFrame:
+    """Leave out one item for the listed subjects (missing targets are kept out, too)."""
+    return in_scenarios(words, subjects, item).filter(F.col("scenario") == "without_item").drop("scenario")
 
-def both_types(subject_types: DataFrame, missing: DataFrame, key: str = "subj") -> DataFrame:
+
+def both_types(subject_types: DataFrame, missing: DataFrame, key: str | Sequence[str] = "subj") -> DataFrame:
     return not_in_table(subject_types, missing, key)
 
 
@@ -194,23 +212,42 @@ def kept(flagged: DataFrame, month: str | None = None) -> DataFrame:
     return rows if month is None else rows.filter(F.col("month") == month)
 
 
-def timecourse(labelled: DataFrame, excluded: DataFrame | None = None, month: str = "06",
-               start: float = -750, stop: float = 5000, reach: int = 5) -> DataFrame:
-    """Target looking by time from onset and trial type, with a centred moving mean.
+def looks_by_offset(labelled: DataFrame, start: float, stop: float) -> DataFrame:
+    """Rows, looks on an image and looks on the target per trial type and 20 ms bin from onset.
 
-    Fixations are filtered and cut to the shown times before they are exploded. The bins
-    between ``start`` and ``stop`` are few, so after aggregation the moving mean is a
-    window over some hundred rows.
+    A fixation opens at its first bin and closes after its last one. Fixations of the same two
+    ends are counted first; a running sum over the openings and closings then gives how many are
+    open at each bin, so no row stands for a single bin before there is one per trial type and bin.
     """
+    onset = F.floor(F.col("TargetOnset") / BIN_MS)
+    first, last = math.floor(start / BIN_MS) + 1, math.ceil(stop / BIN_MS) - 1
+    spans = (labelled.select("trialtype", "propt", F.greatest(F.lit(first), F.col("bin_from") - onset).cast("long").alias("lo"),
+                             F.least(F.lit(last), F.col("bin_to") - onset).cast("long").alias("hi"))
+             .filter(F.col("lo") <= F.col("hi")).groupBy("trialtype", "lo", "hi")
+             .agg(n_rows().alias("rows"), F.count("propt").alias("n"), F.coalesce(F.sum("propt"), F.lit(0.0)).alias("looks")))
+    counts = ["rows", "n", "looks"]
+    opened = spans.select("trialtype", F.col("lo").alias("bin"), *counts)
+    closed = spans.select("trialtype", (F.col("hi") + 1).alias("bin"), *[(-F.col(c)).alias(c) for c in counts])
+    changes = opened.unionByName(closed).groupBy("trialtype", "bin").agg(*[F.sum(c).alias(c) for c in counts])
+    # as many rows as there are bins between the two times
+    so_far = Window.partitionBy("trialtype").orderBy("bin")
+    held = changes.select("trialtype", "bin", F.lead("bin").over(so_far).alias("until"), *[F.sum(c).over(so_far).alias(c) for c in counts])
+    bins = labelled.sparkSession.range(first, last + 1).withColumnRenamed("id", "at")
+    return held.join(F.broadcast(bins), (F.col("at") >= F.col("bin")) & (F.col("at") < F.col("until")) & (F.col("rows") > 0)).select(
+        "trialtype", (F.col("at") * BIN_MS).cast("double").alias("Nonset"), *counts)
+
+
+def timecourse(labelled: DataFrame, excluded: DataFrame | None = None, month: str = "06",
+               start: float = -750, stop: float = 5000) -> DataFrame:
+    """Target looking by time from onset and trial type, with its interval and a smooth curve with its band."""
     shown = labelled.filter(F.col("month") == month)
     if excluded is not None:
         shown = not_in_table(shown, excluded, "subj")
-    rows = to_bins(clip_offsets(shown, start, stop))
-    per_bin = rows.groupBy("trialtype", "Nonset").agg(
-        F.count("propt").alias("n"), F.avg("propt").alias("propt"),
-        F.stddev_samp("propt").alias("sd"))
+    n, looks = F.col("n"), F.col("looks")
+    # looks are 0 or 1, so their sum is also the sum of their squares
+    points = looks_by_offset(shown, start, stop).withColumn("propt", F.try_divide(looks, n)).withColumn(
+        "sd", F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), looks * (1 - F.col("propt")) / (n - 1)))))
     half = t_quantile(0.975, "(n - 1)") * F.col("sd") / F.sqrt("n")
-    around = Window.partitionBy("trialtype").orderBy("Nonset").rowsBetween(-reach, reach)
-    return (per_bin.withColumn("conf_low", F.col("propt") - half)
-            .withColumn("conf_high", F.col("propt") + half)
-            .withColumn("smooth", F.avg("propt").over(around)))
+    curve = with_spline(points, ["trialtype"], "Nonset", "n", "looks", "looks", start, stop)
+    return curve.withColumns({"conf_low": F.col("propt") - half, "conf_high": F.col("propt") + half}).select(
+        "trialtype", "Nonset", "n", "propt", "sd", "conf_low", "conf_high", "smooth", "smooth_low", "smooth_high")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import NumericType
 
 from lexigaze.functions.nulls import attach, col_of, lookup, n_missing, n_rows, natural_join, strict
 from lexigaze.operators.home import utterance_shares
+from lexigaze.operators.hypothesis import mean_interval, positive_share
 from lexigaze.operators.ranks import order_by_first, value_ranks
 
 # fixed values: trial types as they are called in the text
@@ -45,18 +46,30 @@ def range_text(c: str, digits: int = 1, sd_digits: int = 1) -> Column:
                     number_text(F.stddev_samp(c), sd_digits), F.lit(")"))
 
 
+MEDIA = {"audio": "aud", "video": "vid"}
+
+
+def described(recordings: DataFrame) -> DataFrame:
+    """One row of descriptives for audio, one for video and one for both, from one aggregate.
+
+    The spread of the last measure is printed with more digits for audio; both forms are made
+    and the row's label picks one.
+    """
+    by_medium = F.grouping("audio_video") == 0
+    texts = [F.when(by_medium & (F.col("audio_video") == "audio"), range_text(c, 1, digits)).otherwise(range_text(c, 1, 1)).alias(name)
+             for c, name, digits in DESCRIBED]
+    label = F.when(~by_medium, F.lit("both")).otherwise(lookup("audio_video", MEDIA)).alias("recording_type")
+    return recordings.rollup("audio_video").agg(label, *texts).drop("audio_video")
+
+
 def describe_recordings(recordings: DataFrame, medium: str) -> DataFrame:
     """One row of descriptives for one medium."""
-    label = {"audio": "aud", "video": "vid"}[medium]
-    texts = [range_text(c, 1, digits if medium == "audio" else 1).alias(name)
-             for c, name, digits in DESCRIBED]
-    return recordings.filter(F.col("audio_video") == medium).agg(*texts).select(
-        F.lit(label).alias("recording_type"), *[name for _, name, _ in DESCRIBED])
+    return described(recordings.filter(F.col("audio_video") == medium)).filter(F.col("recording_type") == MEDIA[medium])
 
 
 def descriptives(recordings: DataFrame) -> DataFrame:
-    """Audio row over video row."""
-    return describe_recordings(recordings, "audio").unionByName(describe_recordings(recordings, "video"))
+    """The audio and the video row."""
+    return described(recordings).filter(F.col("recording_type") != "both")
 
 
 def with_headings(table: DataFrame, headings: Sequence[str] = HEADINGS) -> DataFrame:
@@ -102,6 +115,23 @@ def level_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.groupBy("column", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
+def level_summary(df: DataFrame, columns: Sequence[str], most: int = 7) -> DataFrame:
+    """The most frequent values of each text column and a row for the rest: (column, place, level, n).
+
+    A column of up to ``most`` values shows them all; otherwise the last of ``most`` rows counts what
+    is left. Missing values are a level. Each task passes on no more rows of a column than are shown,
+    so the levels of a column never come together.
+    """
+    counts = level_counts(df, columns)
+    order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc_nulls_last("level"))
+    shown = counts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    totals = counts.groupBy("column").agg(F.sum("n").alias("_n"), n_rows().alias("_levels"))
+    cut = attach(shown, totals, ["column"]).filter((F.col("_levels") <= most) | (F.col("place") < most))
+    rest = cut.filter(F.col("_levels") > most).groupBy("column").agg((F.first("_n") - F.sum("n")).alias("n"))
+    return cut.select("column", "place", "level", "n").unionByName(
+        rest.select("column", F.lit(most).alias("place"), F.lit("(Other)").alias("level"), "n"))
+
+
 def table_size(df: DataFrame) -> DataFrame:
     """Rows and columns."""
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
@@ -109,14 +139,14 @@ def table_size(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ result lines
 
-def result_lines(*named: tuple[str, DataFrame]) -> DataFrame:
-    """All tests of a report in one table, each with its line for the text."""
+def result_lines(*named: tuple[str | Column, DataFrame]) -> DataFrame:
+    """All tests of a report in one table, each with its line for the text; a name may be a column of its tests."""
     out = None
     for name, tests in named:
         text = F.concat(F.lit("estimate="), number_text("estimate", 3), F.lit(", statistic="),
                         number_text("statistic", 2), F.lit(", df="), number_text("parameter", 2),
                         F.lit(", p="), number_text("p_value", 3))
-        rows = tests.select(F.lit(name).alias("name"), "estimate", "statistic", "parameter", "p_value",
+        rows = tests.select((F.lit(name) if isinstance(name, str) else name).alias("name"), "estimate", "statistic", "parameter", "p_value",
                             "conf_low", "conf_high", "method", text.alias("text"))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -138,6 +168,15 @@ def points_by_type(subject_types: DataFrame) -> DataFrame:
                                 "cross_item_mean_proptcorrTT")
 
 
+def points_with_interval(subject_types: DataFrame) -> DataFrame:
+    """Points of the comprehension figure, each with its type's mean, interval and count above zero."""
+    points = points_by_type(subject_types)
+    score = "cross_item_mean_proptcorrTT"
+    about = natural_join(mean_interval(points, score, ["trialtype"]).drop("sd"),
+                         positive_share(points, score, ["trialtype"]).select("trialtype", "proppos"), "left", expect=["trialtype"])
+    return natural_join(points, about, "left", expect=["trialtype"])
+
+
 def ordered_utterance_shares(annotations: DataFrame, recordings: DataFrame) -> DataFrame:
     """Stacked shares with children ordered by their least share of declaratives and questions."""
     order = order_by_first(recordings.withColumn("_propdq", F.col("propd") + F.col("propq")),

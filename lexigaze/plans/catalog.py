@@ -14,7 +14,8 @@ from lexigaze.operators import (
     resample, robust,
 )
 from lexigaze.operators.outliers import outliers, without_outliers
-from lexigaze.plans.oracles import AUDIO_PAIRS, AUDIO_PEARSON, VIDEO_PAIRS
+from lexigaze.session import scratch
+from lexigaze.sources import readers, sinks
 from lexigaze.plans.study_tables import TESTED_BRANDS, TRIALS_PER_SESSION, StudyTables
 
 Query = Callable[[StudyTables], DataFrame]
@@ -61,7 +62,7 @@ def label_windows(t):
 
 @query
 def low_data_flag(t):
-    return t.bins.groupBy("SubjectNumber", "TrialNumber", "lowdata").agg(F.count(F.lit(1)).alias("n_bins"))
+    return gaze.low_data_bins(t.labelled)
 
 
 @query
@@ -162,7 +163,7 @@ def prefix_filter(t):
 
 @query
 def two_stage_mean(t):
-    return looking.two_stage_means(t.bins)
+    return looking.two_stage_scores(t.trials)
 
 
 @query
@@ -237,7 +238,7 @@ def reorder_by_mean(t):
 
 @query
 def timecourse(t):
-    return looking.timecourse(t.labelled, t.single_condition).drop("conf_low", "conf_high")
+    return looking.timecourse(t.labelled, t.single_condition)
 
 
 @query
@@ -245,6 +246,35 @@ def points_by_type(t):
     return report.points_by_type(t.tested_types)
 
 
+@query
+def points_with_interval(t):
+    return report.points_with_interval(t.tested_types)
+
+
+# --------------------------------------------------------------------- sources
+
+@query
+def tab_report(t):
+    report_ = readers.read_tab_report(t.spark, f"{t.event_reports}/*", t.REPORT)
+    return report_.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("user_id").alias("users"), F.round(F.sum("value"), 3).alias("values"), F.count_if(F.col("note") == "").alias("empty"))
+
+
+@query
+def month_extract(t):
+    spoken = readers.read_months(t.spark, t.spoken_words, ["06"])
+    # a plain key: only that meets the buckets of both tables
+    return spoken.join(t.spark.table(t.children), "subj", "left").groupBy("subj", "born").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"))
+
+
+@query
+def delimited_round_trip(t):
+    path = scratch(t.spark)
+    note = F.when(F.col("c_custkey") % 10 > 0, F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"')))
+    sinks.write_delimited(t.read("customer").select("c_custkey", "c_acctbal", note.alias("note")), path)
+    return readers.read_comma(t.spark, path, "c_custkey long, c_acctbal double, note string")
+
+
 # ------------------------------------------------------------------------ home
 
 @query
@@ -353,6 +383,16 @@ def union_descriptives(t):
     return report.descriptives(t.recordings06)
 
 
+@query
+def descriptive_table(t):
+    return report.with_headings(report.described(t.recordings06))
+
+
+@query
+def level_summary(t):
+    return report.level_summary(t.annotations, ["speaker", "utterance_type", "object_present", "basic_level"])
+
+
 @query
 def measures_by_medium(t):
     return report.measures_by_medium(
@@ -468,17 +508,30 @@ def cor_spearman_trials(t):
     return correlation.spearman_test(without_outliers(t.subject_types), "numtrials", "cross_item_mean_proptcorrTT")
 
 
+@query
+def cor_spearman_untied(t):
+    balances = nulls.natural_join(t.customers, t.read("customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal", "c_nationkey"), "left")
+    return correlation.spearman_test(balances, "spent", "c_acctbal", ["c_nationkey"])
+
+
 @query
 def cor_kendall(t):
     return correlation.kendall_test(t.customers, "n_orders", "spent")
 
 
+# name, medium, two measures, method: how the measures of quantity go together
+QUANTITY = [
+    ("a", "audio", "r", "numtokens", "kendall"), ("b", "audio", "r", "numtypes", "kendall"), ("c", "audio", "numtokens", "numtypes", "pearson"),
+    ("d", "audio", "numtokens", "type_token_ratio", "pearson"), ("e", "audio", "numtypes", "type_token_ratio", "pearson"),
+    ("f", "audio", "r", "type_token_ratio", "kendall"), ("g", "video", "r", "numtokens", "kendall"), ("h", "video", "r", "numtypes", "kendall"),
+    ("i", "video", "numtokens", "numtypes", "kendall"), ("j", "video", "numtokens", "type_token_ratio", "kendall"),
+    ("k", "video", "numtypes", "type_token_ratio", "kendall"), ("l", "video", "r", "type_token_ratio", "kendall"),
+]
+
+
 def _sweep(t) -> DataFrame:
-    def spec(pairs, method):
-        return [(name, x, y, method) for name, x, y in pairs]
     return correlation.correlation_sweep([
-        (merge.by_medium(t.lab_home, "audio"), spec(AUDIO_PAIRS, "kendall") + spec(AUDIO_PEARSON, "pearson")),
-        (merge.by_medium(t.lab_home, "video"), spec(VIDEO_PAIRS, "kendall"))])
+        (merge.by_medium(t.lab_home, m), [(name, x, y, how) for name, medium, x, y, how in QUANTITY if medium == m]) for m in ("audio", "video")])
 
 
 @query
@@ -498,8 +551,7 @@ def cor_lab_home(t):
     parts = [("aud_numtypes", audio, score, "numtypes"), ("prop_op", t.pooled, score, "prop_op_avg"),
              ("entropy", t.pooled, score, "ent_subj_avg"),
              ("av_prop_op", merge.audio_video_pairs(t.lab_home), "aprop_op", "vprop_op")]
-    long = _union([correlation.melt_pairs(df, [(name, x, y)]) for name, df, x, y in parts])
-    return correlation.pearson_test(long, "x", "y", ["pair"])
+    return _union([correlation.pearson_pairs(df, [(name, x, y)]) for name, df, x, y in parts])
 
 
 # name, table, measure, method: how the outcome goes with each measure of the homes
@@ -623,6 +675,45 @@ def exclusion_rerun(t):
     return _subject_t(looking.both_types(types, missing))
 
 
+@query
+def scenario_subject_types(t):
+    return t.scenario_types
+
+
+@query
+def scenario_items(t):
+    words = looking.in_scenarios(t.counted, t.in_debt, "milk")
+    return looking.item_means(words, None, None, ["scenario"]).filter(F.col("month") == "06")
+
+
+@query
+def scenario_subjects(t):
+    return t.scenario_subjects
+
+
+@query
+def scenario_single_condition(t):
+    return t.scenario_single
+
+
+@query
+def scenario_normality(t):
+    parts = [(t.scenario_types, "cross_item_mean_proptcorrTT"), (t.scenario_subjects, "cross_item_mean_proptcorr")]
+    long = _union([df.select("scenario", F.lit(c).alias("measure"), F.col(c).alias("v")) for df, c in parts])
+    return normality.shapiro_wilk(long, "v", ["scenario", "measure"])
+
+
+@query
+def scenario_tests(t):
+    tested = looking.both_types(t.scenario_types, t.scenario_single, ["scenario", "subj"])
+    score = "cross_item_mean_proptcorrTT"
+    one = hypothesis.t_test(tested, score, ["scenario", "trialtype"]).withColumnRenamed("trialtype", "test")
+    paired = hypothesis.paired_t_test(tested, score, "trialtype", "between", "within", ["subj"], group=["scenario"])
+    enrolled = t.scenario_subjects.filter(~F.col("subj").startswith("ns"))
+    overall = hypothesis.t_test(nulls.not_in_table(enrolled, t.single_condition, "subj"), "cross_item_mean_proptcorr", ["scenario"])
+    return _union([one, paired.withColumn("test", F.lit("paired")), overall.withColumn("test", F.lit("overall"))])
+
+
 @query
 def result_lines(t):
     tests = hypothesis.t_test(t.tested_types, "cross_item_mean_proptcorrTT", ["trialtype"])
@@ -630,9 +721,33 @@ def result_lines(t):
     return report.result_lines(*named)
 
 
+@query
+def inline_results(t):
+    one, outcome = _subject_t(t.tested_types), cor_outcome(t)
+    named = [(report.TYPE_LABELS[k], one.filter(F.col("trialtype") == k)) for k in looking.TRIAL_TYPES]
+    wanted = ["prop_op", "aud_numtypes", "aud_numtokens", "aud_read", "entropy", "prop_n"]
+    return report.result_lines(*named, ("paired", ttest_paired(t)), ("overall", ttest_overall(t)),
+                               *[(F.col("pair"), outcome.filter(F.col("pair").isin(wanted)))])
+
+
 @query
 def bootstrap_corr(t):
-    return resample.bootstrap_correlation(t.customers, "n_orders", "spent", reps=1000)
+    return resample.bootstrap_correlation(t.customers, "n_orders", "spent")
+
+
+@query
+def bootstrap_presence(t):
+    return resample.bootstrap_correlation(t.pooled, "cross_item_mean_proptcorr", "prop_op_avg")
+
+
+@query
+def bootstrap_types(t):
+    return resample.bootstrap_correlation(merge.by_medium(t.lab_home, "audio"), "cross_item_mean_proptcorr", "numtypes")
+
+
+@query
+def bootstrap_spending(t):
+    return resample.bootstrap_ratio(t.customers, "n_orders", "spent")
 
 
 @query
@@ -646,6 +761,21 @@ def robust_band(t):
     return line.band(t.customers.select(F.col("n_orders").alias("x")).distinct())
 
 
+def _presence_line(t) -> robust.Line:
+    return robust.huber_line(t.pooled, "prop_op_avg", "cross_item_mean_proptcorr")
+
+
+@query
+def huber_presence(t):
+    return robust.line_table(t.spark, _presence_line(t))
+
+
+@query
+def presence_band(t):
+    drawn = t.pooled.dropna(subset=["prop_op_avg", "cross_item_mean_proptcorr"])
+    return _presence_line(t).band(drawn.select(F.col("prop_op_avg").alias("x")).distinct())
+
+
 @query
 def outlier_rows(t):
     return outliers(looking.flag_outliers(t.read("part"), "p_retailprice", ["p_brand"], width=1.5)).select(

@@ -7,11 +7,41 @@ text DuckDB can run on the source tables.
 
 from __future__ import annotations
 
-from lexigaze.functions import special
-from lexigaze.operators import normality
 from lexigaze.plans.study_tables import SPEAKERS, TESTED_BRANDS, UTTERANCES
 
 
+# Fixed values, written out anew so that a wrong one in the library shows: Wichura's AS 241
+# approximations of the normal quantile and Royston's AS R94 weights, ascending powers.
+_NORMAL_CENTRE = (
+    [3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3,
+     1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4,
+     3.3430575583588128105e4, 2.5090809287301226727e3],
+    [1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3,
+     2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4,
+     5.2264952788528545610e3],
+)
+_NORMAL_SHOULDER = (
+    [1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0,
+     3.64784832476320460504e0, 1.27045825245236838258e0, 2.41780725177450611770e-1,
+     2.27238449892691845833e-2, 7.74545014278341407640e-4],
+    [1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1,
+     1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4,
+     1.05075007164441684324e-9],
+)
+_NORMAL_TAIL = (
+    [6.65790464350110377720e0, 5.46378491116411436990e0, 1.78482653991729133580e0,
+     2.96560571828504891230e-1, 2.65321895265761230930e-2, 1.24266094738807843860e-3,
+     2.71155556874348757815e-5, 2.01033439929228813265e-7],
+    [1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2,
+     7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7,
+     2.04426310338993978564e-15],
+)
+_LAST_WEIGHT = [0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056]
+_NEXT_WEIGHT = [0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633]
+_LARGE_MEAN = [-1.5861, -0.31082, -0.083751, 0.0038915]
+_LARGE_LOG_SD = [-0.4803, -0.082676, 0.0030302]
+
+
 def _list(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
@@ -245,9 +275,9 @@ def q_norm(p: str) -> str:
         return f"{_poly(x, pair[0])} / {_poly(x, pair[1])}"
     r = f"sqrt(-ln(least({p}, 1 - ({p}))))"
     q = f"(({p}) - 0.5)"
-    return (f"(CASE WHEN abs({q}) <= 0.425 THEN {q} * {part(f'(0.180625 - {q} * {q})', special.NORMAL_CENTRE)} "
-            f"ELSE sign({q}) * (CASE WHEN {r} <= 5 THEN {part(f'({r} - 1.6)', special.NORMAL_SHOULDER)} "
-            f"ELSE {part(f'({r} - 5.0)', special.NORMAL_TAIL)} END) END)")
+    return (f"(CASE WHEN abs({q}) <= 0.425 THEN {q} * {part(f'(0.180625 - {q} * {q})', _NORMAL_CENTRE)} "
+            f"ELSE sign({q}) * (CASE WHEN {r} <= 5 THEN {part(f'({r} - 1.6)', _NORMAL_SHOULDER)} "
+            f"ELSE {part(f'({r} - 5.0)', _NORMAL_TAIL)} END) END)")
 
 
 def _with_interval(rows: str) -> str:
@@ -319,15 +349,15 @@ def _shapiro(source: str, group: str) -> str:
     one = "(mm - 2 * mn * mn) / (1 - 2 * an * an)"
     two = "(mm - 2 * mn * mn - 2 * mp * mp) / (1 - 2 * an * an - 2 * ap * ap)"
     log_n = "ln(n)"
-    large = f"((ln(1 - w) - {_poly(log_n, normality.LARGE_MEAN)}) / exp({_poly(log_n, normality.LARGE_LOG_SD)}))"
+    large = f"((ln(1 - w) - {_poly(log_n, _LARGE_MEAN)}) / exp({_poly(log_n, _LARGE_LOG_SD)}))"
     return f"""SELECT {group}, NULL::DOUBLE AS estimate, w AS statistic, n AS parameter,
       CASE WHEN z > 0 THEN {z_p("z")} / 2 ELSE 1 - {z_p("z")} / 2 END AS p_value, NULL::DOUBLE AS conf_low, NULL::DOUBLE AS conf_high,
       'Shapiro-Wilk normality test' || CASE WHEN n > 5000 THEN ', p beyond the fitted sizes' ELSE '' END AS method FROM (
       SELECT *, {large} AS z FROM (
       SELECT {group}, n, pow(an * (vn - v1) + ap * (vp - v2)
           + (mv - mn * (vn - v1) - mp * (vp - v2)) / sqrt({two}), 2) / ss AS w FROM (
-        SELECT *, {_poly(u, normality.LAST_WEIGHT)} + mn / sqrt(mm) AS an,
-          {_poly(u, normality.NEXT_WEIGHT)} + mp / sqrt(mm) AS ap FROM (
+        SELECT *, {_poly(u, _LAST_WEIGHT)} + mn / sqrt(mm) AS an,
+          {_poly(u, _NEXT_WEIGHT)} + mp / sqrt(mm) AS ap FROM (
           SELECT {group}, n, sum(m * m) AS mm, sum(m * v) AS mv, sum((v - c) * (v - c)) AS ss,
             max(v) FILTER (i = 1) AS v1, max(v) FILTER (i = 2) AS v2, max(v) FILTER (i = n) AS vn,
             max(v) FILTER (i = n - 1) AS vp, max(m) FILTER (i = n) AS mn, max(m) FILTER (i = n - 1) AS mp
@@ -473,10 +503,6 @@ SQL: dict[str, str] = {
     "reorder_by_mean": q(_LOOK, """SELECT target, mean_value, row_number() OVER (ORDER BY mean_value DESC, target) AS position FROM (
         SELECT target, avg(cross_item_mean_proptcorrTT) AS mean_value FROM items WHERE NOT outlier AND month = '06' GROUP BY ALL)""",
         "mean_value"),
-    "timecourse": q(_LOOK, """SELECT trialtype, Nonset, count(propt) AS n, avg(propt) AS propt, stddev_samp(propt) AS sd,
-        avg(avg(propt)) OVER (PARTITION BY trialtype ORDER BY Nonset ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS smooth
-        FROM bins WHERE month = '06' AND Nonset > -750 AND Nonset < 5000 AND subj NOT IN (SELECT subj FROM single06)
-        GROUP BY trialtype, Nonset""", "propt sd smooth"),
     "points_by_type": q(_LOOK, """SELECT subj, month, trialtype, CASE trialtype WHEN 'between' THEN 'unrelated' ELSE 'related' END AS label,
         cross_item_mean_proptcorrTT FROM tested""", "cross_item_mean_proptcorrTT"),
 

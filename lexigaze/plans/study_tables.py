@@ -12,9 +12,11 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from lexigaze.operators import gaze, home, looking, merge
-from lexigaze.session import stable
+from lexigaze.session import scratch, stable
+from lexigaze.sources import sinks
 
 TARGETS = ["ball", "car", "juice", "milk"]
 CARRIERS = ["can", "do", "look", "where"]
@@ -153,6 +155,49 @@ class StudyTables:
         excluded = looking.single_condition_subjects(looking.kept(self.subject_types))
         return looking.item_means(self.counted, excluded, looking.item_pairs(self.trials))
 
+    # scenarios: all words, and without one item of some subjects
+
+    @cached_property
+    def scenario_types(self) -> DataFrame:
+        """Subject means per trial type in both scenarios; read by the tests and their exclusions."""
+        return stable(looking.kept(looking.subject_type_means(
+            looking.in_scenarios(self.counted, self.in_debt, "milk"), ["scenario"]), "06"))
+
+    @cached_property
+    def scenario_subjects(self) -> DataFrame:
+        return looking.kept(looking.subject_means(looking.in_scenarios(self.words, self.in_debt, "milk"), ["scenario"]), "06")
+
+    @cached_property
+    def scenario_single(self) -> DataFrame:
+        return looking.single_condition_subjects(self.scenario_types, ["scenario", "subj"])
+
+    # --------------------------------------------------------------- written
+
+    REPORT = StructType([StructField("user_id", LongType()), StructField("event_type", StringType()), StructField("value", DoubleType()), StructField("note", StringType())])
+
+    @cached_property
+    def event_reports(self) -> str:
+        """Folder of tab-separated reports of the events, in two folders whose files order their columns differently."""
+        path = scratch(self.spark)
+        late = F.col("event_id") % 2 == 1
+        rows = self.read("events").select("event_id", "user_id", "event_type", F.col("value").cast("string").alias("value"),
+                                          F.when(F.col("event_id") % 3 == 0, "").otherwise("x").alias("note"))
+        for folder, test, order in (("early", ~late, ["user_id", "event_type", "value", "note"]), ("late", late, ["note", "event_id", "value", "user_id", "event_type"])):
+            rows.filter(test).select(order).write.option("emptyValue", "").csv(f"{path}/{folder}", sep="\t", header=True)
+        return path
+
+    @cached_property
+    def spoken_words(self) -> str:
+        """Words per child, month and speaker, in buckets by child within folders by month."""
+        words = self.annotations.groupBy("subj", "month", "speaker").agg(F.count(F.lit(1)).alias("words"))
+        return sinks.write_buckets(words, "subj", 8)
+
+    @cached_property
+    def children(self) -> str:
+        """One row per child, in the same buckets."""
+        born = self.read("customer").groupBy(F.floor(F.col("c_custkey") / 10).cast("string").alias("subj")).agg(F.min("c_custkey").alias("born"))
+        return sinks.write_buckets(born, "subj", 8, by_month=False)
+
     # ----------------------------------------------------------------- home
 
     @cached_property

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructType
 
@@ -9,27 +11,31 @@ from lexigaze.sources.schemas import COSINES, RELIABILITY
 
 
 def read_tab_report(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Tab-separated tracker report in which no text stands for "missing".
+    """Tab-separated tracker reports in which no text stands for "missing".
 
     The CSV reader turns an empty field into NULL; here it stays an empty string, and only
     a line that ends early has missing fields. Numbers that do not parse become NULL.
-    Columns are matched to the header by name.
+    Every file has a header of its own, its first line, and its columns are found by their
+    names there: files may differ in order and in further columns. A file without a wanted
+    column is an error. Files can still be cut and read by many tasks.
     """
-    lines = spark.read.text(path)
-    header = lines.first()[0].rstrip("\r")
-    at = {name: i for i, name in enumerate(header.split("\t"))}
-    absent = [f.name for f in schema.fields if f.name not in at]
-    if absent:
-        raise ValueError(f"{path} lacks {absent}")
-    line = F.rtrim(F.col("value"), F.lit("\r"))
-    fields = F.split(line, "\t", -1)
-
-    def field(f):
-        raw = F.get(fields, F.lit(at[f.name]))
+    lines = spark.read.text(path).select(
+        F.rtrim(F.col("value"), F.lit("\r")).alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    # rows of a file's first block are numbered in order, so its least number is the header
+    headers = (lines.filter(F.col("start") == 0).withColumn("number", F.monotonically_increasing_id())
+               .groupBy("file").agg(F.min_by("line", "number").alias("header")))
+    names = F.split("header", "\t")
+    places = [F.array_position(names, f.name) for f in schema.fields]
+    absent = F.filter(F.array(*[F.lit(f.name) for f in schema.fields]), lambda c: ~F.array_contains(names, c))
+    checked = F.when(F.size(absent) > 0, F.raise_error(F.concat_ws(" ", F.col("file"), F.lit("lacks"), absent))).otherwise(F.array(*places))
+    headers = headers.select("file", "header", checked.cast("array<int>").alias("places"))
+
+    def field(i, f):
+        raw = F.get(F.col("fields"), F.get("places", F.lit(i)) - 1)
         return (raw if isinstance(f.dataType, StringType) else raw.try_cast(f.dataType)).alias(f.name)
 
-    # every file of a folder starts with the same header
-    return lines.filter(line != header).select(*[field(f) for f in schema.fields])
+    body = lines.join(headers, "file").filter(F.col("line") != F.col("header")).select("places", F.split("line", "\t", -1).alias("fields"))
+    return body.select(*[field(i, f) for i, f in enumerate(schema.fields)])
 
 
 def read_comma(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -62,3 +68,15 @@ def read_month(spark: SparkSession, path: str, month: str) -> DataFrame:
     return df.withColumn("month", F.lpad(F.col("month").cast("string"), 2, "0")).filter(
         F.col("month") == month) if df.schema["month"].dataType != StringType() else df.filter(
         F.col("month") == month)
+
+
+def read_months(spark: SparkSession, table: str, months: Sequence[str] | DataFrame) -> DataFrame:
+    """Some months of a table kept by month and bucket; the folders of others are not opened.
+
+    ``months`` is a list, or a filtered table with a column ``month``: then the folders are found when
+    the query runs. The buckets stay as they are for joins by the bucket's column.
+    """
+    rows = spark.table(table)
+    if isinstance(months, DataFrame):
+        return rows.join(months.select("month").distinct(), "month", "left_semi")
+    return rows.filter(F.col("month").isin(list(months)))

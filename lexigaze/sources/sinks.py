@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from lexigaze.session import scratch
+
 
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
@@ -24,3 +26,16 @@ def write_by_month(df: DataFrame, path: str, files_per_month: int | None = None)
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",") -> None:
     df.write.mode("overwrite").csv(path, sep=sep, header=True)
+
+
+def write_buckets(df: DataFrame, key: str, buckets: int, by_month: bool = True) -> str:
+    """Save as a table cut into buckets by ``key``, inside folders by month; returns its name.
+
+    Two tables with the same buckets join by the key without a shuffle. Rows are dealt by the key
+    first, so each bucket of a month is one file.
+    """
+    path = scratch(df.sparkSession)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path)
+    (writer.partitionBy("month") if by_month else writer).saveAsTable(name)
+    return name

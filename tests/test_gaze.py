@@ -95,7 +95,7 @@ def test_window_edges(study):
     assert tuple(late.agg(F.min("timeBin"), F.max("timeBin")).first()) == (69, 299)
 
 
-def test_timecourse_cuts_before_exploding(study):
+def test_timecourse_counts_every_bin(study):
     labelled = gaze.label_fixations(gaze.drop_aborted(study[0]), gaze.key_press_messages(study[1]))
     bins = gaze.to_bins(labelled).filter((F.col("month") == "06") & (F.col("Nonset") > -750) & (F.col("Nonset") < 5000))
     want = {(r.trialtype, r.Nonset): (r.n, r.m) for r in bins.groupBy("trialtype", "Nonset").agg(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexigaze.functions import special as S
-from lexigaze.operators import agreement, correlation, hypothesis, normality, ranks, resample, robust
+from lexigaze.operators import agreement, correlation, hypothesis, normality, ranks, report, resample, robust, smooth
 
 # fixed values: similarity of the word pairs, related then unrelated
 RELATED = [0.55069966145371874, 0.43117714030997534, 0.7109627977088071, 0.69362326696385701,
@@ -219,10 +219,9 @@ def test_bootstrap(spark, monkeypatch):
     x = rng.normal(size=60)
     y = 0.6 * x + rng.normal(size=60)
     df = pairs(spark, np.r_[x, x[:5]], np.r_[y, y[:5]])
-    stat = resample.weighted_corr("x", "y")
-    total = resample.bootstrap(df, ["x", "y"], lambda w: F.sum(w), reps=50)
+    total = resample.bootstrap(df, ["x", "y"], {"ones": F.lit(1.0)}, F.col("ones"), reps=50)
     assert {r.t for r in total.collect()} == {65}
-    values = [r.t for r in resample.bootstrap(df, ["x", "y"], stat, reps=400).collect()]
+    values = [r.t for r in resample.bootstrap(df, ["x", "y"], *resample.correlation_sums("x", "y"), reps=400).collect()]
     xs, ys = np.r_[x, x[:5]], np.r_[y, y[:5]]
     draws = [np.corrcoef(xs[i], ys[i])[0, 1] for i in (rng.integers(0, 65, 65) for _ in range(4000))]
     assert abs(np.mean(values) - np.mean(draws)) < 0.02 and abs(np.std(values) - np.std(draws)) < 0.015
@@ -235,6 +234,36 @@ def test_bootstrap(spark, monkeypatch):
     assert near(again["bca"].conf_low, ci["bca"].conf_low, 1e-12)
 
 
+def test_draws_do_not_depend_on_the_tasks(spark, monkeypatch):
+    df = pairs(spark, np.arange(300) % 7, np.arange(300.0))
+    one = {r.rep: r.t for r in resample.bootstrap(df, ["x", "y"], *resample.ratio_sums("x", "y"), reps=20, block_rows=8).collect()}
+    monkeypatch.setattr(resample, "TASKS", 3)
+    other = {r.rep: r.t for r in resample.bootstrap(df, ["x", "y"], *resample.ratio_sums("x", "y"), reps=20, block_rows=8).collect()}
+    assert one.keys() == other.keys() and all(near(one[r], other[r], 1e-12) for r in one) and len(set(one.values())) == 20
+
+
+def test_a_frequent_value_fills_many_blocks(spark):
+    df = pairs(spark, np.r_[np.zeros(500), np.ones(100)], np.ones(600))
+    found = [r.t for r in resample.bootstrap(df, ["x", "y"], {"x": F.col("x")}, F.col("x") / F.col("n"), reps=300, block_rows=16).collect()]
+    assert abs(np.mean(found) - 1 / 6) < 0.004 and abs(np.std(found) - np.sqrt(5 / 36 / 600)) < 0.002
+
+
+@pytest.mark.parametrize("k, p", [(0, 0.5), (1, 0.3), (30, 0.5), (200, 0.91), (5000, 0.5)])
+def test_binomial_quantile(k, p):
+    mass = [math.exp(math.lgamma(k + 1) - math.lgamma(i + 1) - math.lgamma(k - i + 1) + i * math.log(p) + (k - i) * math.log(1 - p)) for i in range(k + 1)]
+    u = np.random.default_rng(k).random(200)
+    want = [int(np.searchsorted(np.cumsum(mass), x)) for x in u]
+    assert resample.binomial_quantile(np.full(200, k), p, u).tolist() == want
+
+
+def test_bootstrap_far_from_zero(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=80), rng.normal(size=80)
+    near_zero = {r.method: r for r in resample.bootstrap_correlation(pairs(spark, x, y), "x", "y", reps=100).collect()}
+    far = {r.method: r for r in resample.bootstrap_correlation(pairs(spark, x + 2.0 ** 26, y + 2.0 ** 26), "x", "y", reps=100).collect()}
+    assert all(abs(far[m].conf_low - near_zero[m].conf_low) < 1e-6 for m in far)
+
+
 def test_acceleration_is_the_jackknife(spark):
     r = resample.jackknife_acceleration(pairs(spark, LIGHTNESS, PANEL), "x", "y").first().acceleration
     x, y = np.array(LIGHTNESS), np.array(PANEL)
@@ -269,17 +298,144 @@ def test_huber(spark):
     assert near(band.fit, a + b * 0.5, 1e-9) and band.conf_low < band.fit < band.conf_high
 
 
-@pytest.mark.parametrize("n, limit", [(1, 5), (2, 5), (5, 100), (10, 100), (3001, 50), (3000, 50)])
-def test_exact_median(spark, monkeypatch, n, limit):
-    monkeypatch.setattr(robust, "IN_ONE_TASK", limit)
-    v = np.random.default_rng(n).normal(size=n)
+@pytest.mark.parametrize("n, few", [(1, 5), (2, 5), (5, 100), (10, 100), (3001, 50), (3000, 50)])
+def test_exact_median(spark, monkeypatch, n, few):
+    monkeypatch.setattr(robust, "FEW", few)
+    v = np.abs(np.random.default_rng(n).normal(size=n))
     df = spark.createDataFrame([(float(a),) for a in v], "v double")
-    assert near(robust.exact_median(df, "v", accuracy=100), float(np.median(v)), 1e-15)
+    assert robust.exact_median(df, "v") == float(np.median(v))
 
 
 def test_exact_median_with_a_hot_value(spark, monkeypatch):
-    monkeypatch.setattr(robust, "IN_ONE_TASK", 20)
+    monkeypatch.setattr(robust, "FEW", 20)
     v = np.r_[np.zeros(400), np.arange(1, 501)]
     df = spark.createDataFrame([(float(a),) for a in v], "v double")
-    assert robust.exact_median(df, "v", accuracy=100) == np.median(v)
-    assert robust.exact_median(df.filter("v < 300"), "v", accuracy=100) == 0.0
+    assert robust.exact_median(df, "v") == np.median(v)
+    assert robust.exact_median(df.filter("v < 300"), "v") == 0.0
+
+
+def test_bits_are_those_of_the_number(spark):
+    v = [0.0, 5e-324, 1e-310, 2.2250738585072014e-308, 1e-9, 0.1, 0.5, 1.0, 1 + 2 ** -52, 3.0, 1e15, 8.0, 7.999999999999999, 1.7976931348623157e308]
+    found = [r.b for r in spark.createDataFrame([(a,) for a in v], "v double").select("v", robust.ordered_bits(F.col("v")).alias("b")).collect()]
+    assert [robust.number_of(b) for b in found] == v
+
+
+@pytest.mark.parametrize("few", [5, 4096])
+def test_huber_through_bins(spark, monkeypatch, few):
+    monkeypatch.setattr(robust, "FEW", few)
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 9, 400).astype(float) + 1e6
+    y = 3 * x + rng.standard_t(1, size=400).round(1)
+    line = robust.huber_line(pairs(spark, x, y), "x", "y")
+    (a, b), s = huber_numpy(x - 1e6, y)
+    assert near(line.slope, b, 1e-7) and near(line.intercept + 1e6 * line.slope, a, 1e-7) and near(line.scale, s, 1e-7)
+
+
+# ------------------------------------------------------------------ exact ranks
+
+def rank_law(n):
+    """P(S <= s) by counting all orders."""
+    counts = {}
+    for order in itertools.permutations(range(n)):
+        s = sum((i - j) ** 2 for i, j in enumerate(order))
+        counts[s] = counts.get(s, 0) + 1
+    return counts
+
+
+@pytest.mark.parametrize("n", [2, 3, 5, 7])
+def test_law_of_rank_differences(n):
+    counts, so_far = rank_law(n), 0
+    for k, p in enumerate(S.squared_rank_law(n)):
+        so_far += counts.get(2 * k, 0)
+        assert near(p, so_far / math.factorial(n), 1e-15)
+
+
+def spearman_p(spark, s, n):
+    return spark.range(1).select(F.lit(float(s)).alias("s"), F.lit(n).alias("n")).select(S.spearman_exact_p("s", "n").alias("p")).first().p
+
+
+def test_spearman_published_values(spark):
+    # the lightness example: S = 48 of 9 pairs, p = 0.0968
+    r = correlation.spearman_test(pairs(spark, LIGHTNESS, PANEL), "x", "y").first()
+    assert near(r.statistic, 48, 1e-9) and abs(r.p_value - 0.0968) < 5e-5 and near(r.estimate, 0.6, 1e-9)
+    # fixed values: critical values of rho, two-sided, as printed in tables
+    for n, alpha, rho in [(5, 0.05, 1.0), (6, 0.05, 0.886), (8, 0.05, 0.738), (9, 0.01, 0.833), (10, 0.05, 0.648), (12, 0.05, 0.587), (20, 0.05, 0.447), (30, 0.01, 0.467)]:
+        step = 12 / (n ** 3 - n)  # rho moves by this much from one value of S to the next
+        s = round((1 - rho) * (n ** 3 - n) / 12) * 2
+        assert spearman_p(spark, s, n) <= alpha * 1.02 and spearman_p(spark, s + 4 * max(1, round(0.01 / step)), n) > alpha * 0.98
+
+
+@pytest.mark.parametrize("n", [10, 11])
+def test_series_is_near_the_law(spark, n):
+    law = S.squared_rank_law(n)
+    top = (n ** 3 - n) // 3
+    for k in range(0, len(law) // 2, 9):
+        want = min(1.0, 2 * law[k])
+        assert abs(spearman_p(spark, 2 * k, n) - want) < 2e-3 and near(spearman_p(spark, top - 2 * k, n), spearman_p(spark, 2 * k, n), 1e-12)
+
+
+def test_spearman_with_ties_or_many_pairs_is_approximate(spark):
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=1400), rng.normal(size=1400)
+    for a, b in ((x, y), (np.r_[x[:20], x[:20]], y[:40])):
+        r = correlation.spearman_test(pairs(spark, a, b), "x", "y").first()
+        t = r.estimate * math.sqrt((len(a) - 2) / (1 - r.estimate ** 2))
+        assert near(r.p_value, spark.range(1).select(S.t_two_sided(f"CAST({t!r} AS DOUBLE)", f"{len(a) - 2}").alias("p")).first().p, 1e-9)
+
+
+# ----------------------------------------------------------------------- spline
+
+def test_spline_is_the_penalised_fit(spark):
+    rng = np.random.default_rng(6)
+    x = np.arange(0.0, 10.0, 0.1)
+    n = rng.integers(1, 9, len(x))
+    y = [rng.normal(np.sin(v), 0.3, k) for v, k in zip(x, n)]
+    rows = [(g, float(v), int(k), float(w.sum()), float((w ** 2).sum())) for g in "ab" for v, k, w in zip(x, n, y)]
+    points = spark.createDataFrame(rows, "g string, x double, n long, total double, squares double")
+    out = sorted((r.g, r.x, r.smooth, r.smooth_low, r.smooth_high) for r in smooth.with_spline(points, ["g"], "x", "n", "total", "squares", 0.0, 10.0).collect())
+    piece = np.clip(np.floor(x / (10 / 7)), 0, 6).astype(int)
+    t = x / (10 / 7) - piece
+    base = np.zeros((len(x), 10))
+    for k, f in enumerate([(1 - t) ** 3 / 6, (3 * t ** 3 - 6 * t ** 2 + 4) / 6, (-3 * t ** 3 + 3 * t ** 2 + 3 * t + 1) / 6, t ** 3 / 6]):
+        base[np.arange(len(x)), piece + k] = f
+    assert np.allclose(base.sum(1), 1)
+    change = np.diff(np.eye(10), 2, axis=0)
+    big, response = np.repeat(base, n, axis=0), np.concatenate(y)
+    best = None
+    for power in smooth.PENALTIES:
+        m = big.T @ big + len(response) * 10.0 ** power * change.T @ change
+        hat = big @ np.linalg.solve(m, big.T)
+        left = ((response - hat @ response) ** 2).sum()
+        score = len(response) * left / (len(response) - np.trace(hat)) ** 2
+        if best is None or score < best[0]:
+            c = np.linalg.inv(m) * left / (len(response) - np.trace(hat))
+            best = score, base @ np.linalg.solve(m, big.T @ response), np.sqrt(np.einsum("ij,jk,ik->i", base, c, base))
+    assert len(out) == 200 and all(near(r[2], best[1][i % 100], 1e-7) and near(r[3], best[1][i % 100] - 1.959963984540054 * best[2][i % 100], 1e-6) for i, r in enumerate(out))
+    assert np.abs(best[1] - np.sin(x)).max() < 0.3
+
+
+def test_spline_without_a_solution_is_missing(spark):
+    points = spark.createDataFrame([("a", 1.0, 3, 2.0, 2.0), ("b", 1.0, 0, 0.0, 0.0)], "g string, x double, n long, total double, squares double")
+    assert [r.smooth for r in smooth.with_spline(points, ["g"], "x", "n", "total", "squares", 0.0, 10.0).collect()] == [None, None]
+
+
+# --------------------------------------------------------------------- summaries
+
+def test_levels_beyond_the_most_frequent_are_one_row(spark):
+    df = spark.createDataFrame([("a",)] * 5 + [("b",)] * 3 + [(None,)] * 3 + [("c",)] * 2 + [("d",)] + [("e",)], "x string")
+    got = {r.place: (r.level, r.n) for r in report.level_summary(df, ["x"], most=4).collect()}
+    assert got == {1: ("a", 5), 2: ("b", 3), 3: (None, 3), 4: ("(Other)", 4)}
+    assert report.level_summary(df, ["x"], most=6).count() == 6 and report.level_summary(df, ["x"], most=5).filter("level = '(Other)'").first().n == 2
+
+
+def test_pairs_leave_out_rows_pair_by_pair(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(40, 3)) + 1e8
+    rows = [tuple(None if rng.random() < 0.2 else float(x) for x in r) for r in v]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = {r.pair: r for r in correlation.pearson_pairs(df, [("ab", "a", "b"), ("ac", "a", "c"), ("flat", "a", "a")]).collect()}
+    for name, i, j in (("ab", 0, 1), ("ac", 0, 2)):
+        kept = np.array([(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None])
+        assert near(got[name].estimate, np.corrcoef(kept.T)[0, 1], 1e-7) and got[name].parameter == len(kept) - 2
+        assert near(got[name].p_value, correlation.pearson_test(df, "ab"[0], "abc"[j]).first().p_value, 1e-9)
+    assert near(got["flat"].estimate, 1.0, 1e-12)
