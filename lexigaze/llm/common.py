@@ -63,6 +63,30 @@ def discard(table: DataFrame) -> None:
             files.delete(place, True)
 
 
+MARKS = 1 << 20
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """row, doc_id, text: written, so that every later step sees the same number for a row, whatever its id."""
+    return written(texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+
+
+def with_number(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written with a number for each row, and the name of that column."""
+    own = next(n for n in ("row", *(f"row_{i}" for i in range(len(docs.columns) + 1))) if n not in docs.columns)
+    return written(docs.withColumn(own, F.monotonically_increasing_id())), own
+
+
+def marked(table: DataFrame, column: str, wanted: DataFrame, name: str) -> DataFrame:
+    """Rows whose ``column`` may be among the numbers ``name`` of ``wanted``, found without a shuffle.
+
+    What is sent to the tasks are marks of the numbers, ``MARKS`` of them at most; an exact join comes after.
+    """
+    mark = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
+    marks = wanted.select(mark(name).alias("mark")).distinct()
+    return table.join(F.broadcast(marks), mark(column) == F.col("mark"), "left_semi")
+
+
 def _place(spark: SparkSession, path: str):
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
