@@ -6,8 +6,18 @@ them can lower a register any more; the shingle that arrives first signs the reg
 texts agree on a register with the probability Jaccard similarity of their shingles. Texts of equal
 shingles are folded into one before anything else, texts that agree on a band of registers are
 candidates, and candidates are links once their exact similarity, computed from the whole texts,
-reaches the limit. Cases: a text without words (null, empty) is a class of its own; a null id stays
-null; repeated rows are in one class; an empty table gives an empty result.
+reaches the limit.
+
+A first pass verifies a spanning forest and the nearest texts of every bucket by sketch, and what links
+it finds make classes. After that only buckets that still hold several classes are looked at: in them
+every pair of different classes is compared, by sketch and then by all shingles of both texts, which
+lie beside each other in the task. What leaves a task is a forest of the links found, never more rows
+than texts came in, however many pairs of a crowd look near without being so.
+
+Rows get numbers in the first written table and are known by them. Cases: a text without words (null,
+empty) is a class of its own; a class is named by its least id, a null id counting only where there
+is no other; rows with the same id are texts each; repeated rows are in one class; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexigaze.llm.common import ALNUM, discard, gram_hashes, mix, pieces, signed, spread, texts, word_hashes, written
+from lexigaze.llm.common import ALNUM, discard, gram_hashes, marked, mix, numbered, pieces, signed, spread, word_hashes, written
 from lexigaze.llm.components import components
 
 SHINGLE = 5
@@ -28,8 +38,7 @@ REGISTERS = BANDS * ROWS
 GROUP = 512
 FLOOR = 0.55
 NEAREST = 3
-JOINED = (2, 8)
-LEVELS = (38, 32, int(np.ceil(FLOOR * REGISTERS)))
+CELL_SHINGLES = 1 << 21  # shingles of one side of a cell, about
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,9 +103,9 @@ def _signatures(shingle: int):
             size = BANDS * 8
             sketch = (signs & np.uint64(255)).astype(np.uint8).tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *content, pa.array([bands[i * size:i * size + size] for i in range(n)], pa.binary()),
+                [batch.column("row"), batch.column("doc_id"), *content, pa.array([bands[i * size:i * size + size] for i in range(n)], pa.binary()),
                  pa.array([sketch[i * REGISTERS:(i + 1) * REGISTERS] for i in range(n)], pa.binary())],
-                ["doc_id", "c1", "c2", "bands", "sketch"])
+                ["row", "doc_id", "c1", "c2", "bands", "sketch"])
     return run
 
 
@@ -200,85 +209,20 @@ def candidate_pairs(unique: DataFrame, members: DataFrame) -> DataFrame:
     texts, never with the square of a bucket.
     """
     crowded = written(members.where(F.col("n") > GROUP).select("key", F.col("after").alias("part"), "rep", "least"))
-    parts = written(crowded.groupBy("key", "part").agg(F.count(F.lit(1)).alias("m")))
+    parts = crowded.groupBy("key", "part").agg(F.count(F.lit(1)).alias("m"))
     salted = crowded.join(parts, ["key", "part"]).select(
         "key", "part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / GROUP)).alias("salt"), F.lit(True).alias("crowded"), "rep")
     zero = F.lit(0).cast("long")
     groups = members.where(F.col("n") <= GROUP).select("key", zero.alias("part"), zero.alias("salt"), F.lit(False).alias("crowded"), "rep").unionByName(salted)
     found = written(groups.join(unique.select("rep", "sketch"), "rep").repartition("key", "part", "salt").sortWithinPartitions(
         "key", "part", "salt", "rep").mapInArrow(_pairs, "a long, b long, key long, score int"))
-    hubs = written(found.where("b IS NULL").groupBy("key").agg(F.max(F.struct("score", "a")).alias("best")).select("key", F.col("best.a").alias("hub")))
+    hubs = found.where("b IS NULL").groupBy("key").agg(F.max(F.struct("score", "a")).alias("best")).select("key", F.col("best.a").alias("hub"))
     near = found.where("b IS NOT NULL").select("a", "b")
     for table, center in ((crowded, "least"), (crowded.join(hubs, "key"), "hub")):
         near = near.unionByName(table.select(F.least("rep", center).alias("a"), F.greatest("rep", center).alias("b")))
     return near.where("a <> b").distinct()
 
 
-def _crossing(low: int, high: int, most: int | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs (a, b) of every group, one of each side and of different classes, that agree on ``low`` to ``high`` - 1 registers;
-        with ``most`` only so many of each text beside the bucket's largest class, the most similar ones.
-
-        Rows come sorted by group and a group may go on in the next batch. A text beside the bucket's largest
-        class stands on both sides; two such texts are a pair once.
-        """
-        held, rows = None, []
-
-        def pairs() -> pa.RecordBatch:
-            rest = np.array([r[0] for r in rows], bool)
-            free = np.array([r[1] for r in rows], bool)
-            rep, root = (np.array([r[k] for r in rows], np.int64) for k in (2, 3))
-            sketches = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, REGISTERS)
-            x, y = np.flatnonzero(~rest), np.flatnonzero(rest)
-            same = np.zeros((len(x), len(y)), np.uint8)
-            for r in range(REGISTERS):
-                same += sketches[x, r][:, None] == sketches[y, r][None, :]
-            fit = (same >= low) & (same < high) & (root[x][:, None] != root[y][None, :])
-            if most is None:
-                fit &= ~free[x][:, None] | (rep[x][:, None] < rep[y][None, :])
-            elif len(x) > most:
-                best = np.argpartition(np.where(fit, same, 0), len(x) - most, axis=0)[-most:]
-                near = np.zeros_like(fit)
-                np.put_along_axis(near, best, True, 0)
-                fit &= near
-            i, j = np.nonzero(fit)
-            a, b = rep[x[i]], rep[y[j]]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-        for batch in batches:
-            for key, row in zip(zip(*(batch.column(c).to_pylist() for c in ("key", "block", "other"))),
-                                zip(*(batch.column(c).to_pylist() for c in ("rest", "free", "rep", "root", "sketch")))):
-                if key != held:
-                    if rows:
-                        yield pairs()
-                    held, rows = key, []
-                rows.append(row)
-        if rows:
-            yield pairs()
-    return run
-
-
-def crossing_pairs(unique: DataFrame, members: DataFrame, roots: DataFrame, low: int, high: int, most: int | None) -> DataFrame:
-    """Distinct (a, b) of one bucket, of different classes, that agree on ``low`` to ``high`` - 1 registers.
-
-    Every such pair has a text beside the bucket's largest class, so these texts, in blocks of about ``GROUP``,
-    meet the whole bucket, in such blocks too, each block with each in a task of its own.
-    """
-    placed = written(members.join(roots, members["rep"] == roots["u"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root")))
-    counts = written(placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")))
-    sizes = written(counts.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("top")).where("n > top.m").select(
-        "key", F.ceil(F.col("n") / GROUP).alias("blocks"), F.ceil((F.col("n") - F.col("top.m")) / GROUP).alias("others"), F.col("top.root").alias("top")))
-    cells = placed.join(sizes, "key").withColumn("free", F.expr("root <> top"))
-    block, other = (F.pmod(F.xxhash64("rep"), F.col(c)) for c in ("blocks", "others"))
-    every = cells.select("key", block.alias("block"), F.explode(F.expr("sequence(0L, others - 1)")).alias("other"), F.lit(False).alias("rest"), "free", "rep", "root")
-    rest = cells.where("free").select("key", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), other.alias("other"), F.lit(True).alias("rest"), "free", "rep", "root")
-    found = written(every.unionByName(rest).join(unique.select("rep", "sketch"), "rep").repartition("key", "block", "other").sortWithinPartitions(
-        "key", "block", "other").mapInArrow(_crossing(low, high, most), "a long, b long").distinct())
-    for table in (placed, counts, sizes):
-        discard(table)
-    return found
-
-
 # -------------------------------------------------------------- verification
 
 def probability_jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -315,45 +259,155 @@ def _verified(shingle: int, similarity: float):
 
 
 def links(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose whole texts are similar enough."""
-    text = texts(docs)
-    both = pairs.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
-        text.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    """The pairs (u, v) of row numbers whose whole texts are similar enough; ``docs`` has row and text."""
+    pairs = written(pairs)
+    either = pairs.select(F.explode(F.array("a", "b")).alias("row"))
+    text = written(marked(docs, "row", either, "row").select("row", "text"))
+    both = pairs.join(text.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a").join(
+        text.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(shingle, similarity), "u long, v long")
 
 
-def classes_of(docs: DataFrame, unique: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(u, root) of all texts that are linked to a lesser one.
+# ------------------------------------------------------------ crowded buckets
 
-    Spanning forests and nearest texts are verified first, then some of the nearest texts of other classes, so that
-    classes with many links between them are one before the rest. At last every pair of a bucket whose texts are not
-    yet in one class by verified links is verified too, the most similar by sketch first, down to the floor.
+def _vectors(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            n = batch.num_rows
+            text, grams, counts = weighted_shingles(batch.column("text"), shingle)
+            cuts = np.searchsorted(text, np.arange(n + 1))
+            # weighted_shingles orders by the upper bits only
+            order = np.lexsort((grams, text))
+            grams, counts = grams[order], counts[order].astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(np.diff(cuts), pa.int64()), pa.array([grams[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                 pa.array([b"" if (counts[a:b] == 1).all() else counts[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
+                ["rep", "m", "grams", "weights"])
+    return run
+
+
+def _similar(a: tuple[np.ndarray, np.ndarray | None], b: tuple[np.ndarray, np.ndarray | None], similarity: float) -> bool:
+    """Whether two texts, given by sorted shingles and their counts (None: all 1), are similar enough."""
+    (ga, wa), (gb, wb) = a, b
+    at = np.searchsorted(ga, gb)
+    common = ga[np.minimum(at, len(ga) - 1)] == gb
+    if wa is None and wb is None:  # the similarity of sets
+        n = int(common.sum())
+        return n >= (similarity - 1e-12) * (len(ga) + len(gb) - n)
+    x, y = np.ones(len(ga)) if wa is None else wa.astype(float), np.ones(len(gb)) if wb is None else wb.astype(float)
+    of_a = np.zeros(len(ga))
+    of_a[at[common]] = y[common]
+    return probability_jaccard(np.concatenate((x, np.zeros(int((~common).sum())))), np.concatenate((of_a, y[~common]))) >= similarity - 1e-12
+
+
+def _crossing(similarity: float):
+    """Links between texts of different classes of a cell, as a forest; rows of a cell stand together.
+
+    A text beside its bucket's largest class stands on both sides; two such texts are a pair once. A pair
+    that shares an earlier band is looked at there.
     """
+    low = int(np.ceil(FLOOR * REGISTERS))
+    names = ("rest", "free", "rep", "root", "sketch", "bands", "grams", "weights")
+
+    def found(key: int, rows: list[tuple]) -> pa.RecordBatch:
+        rest, free = (np.array([r[k] for r in rows], bool) for k in (0, 1))
+        rep, root = (np.array([r[k] for r in rows], np.int64) for k in (2, 3))
+        sketches = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, REGISTERS)
+        bands = np.frombuffer(b"".join(r[5] for r in rows), np.int64).reshape(-1, BANDS)
+        band = int(np.flatnonzero(bands[0] == key)[0])
+        x, y = np.flatnonzero(~rest), np.flatnonzero(rest)
+        same = np.zeros((len(x), len(y)), np.uint8)
+        for r in range(REGISTERS):
+            same += sketches[x, r][:, None] == sketches[y, r][None, :]
+        fit = (same >= low) & (root[x][:, None] != root[y][None, :]) & (~free[x][:, None] | (rep[x][:, None] < rep[y][None, :]))
+        for b in range(band):
+            fit &= bands[x, b][:, None] != bands[y, b][None, :]
+        i, j = np.nonzero(fit)
+        order = np.argsort(-same[i, j].astype(np.int16), kind="stable")
+        parent: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while c in parent:
+                if parent[c] in parent:
+                    parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        whole: dict[int, tuple[np.ndarray, np.ndarray | None]] = {}
+
+        def vector(at: int) -> tuple[np.ndarray, np.ndarray | None]:
+            if at not in whole:
+                whole[at] = np.frombuffer(rows[at][6], np.uint64), np.frombuffer(rows[at][7], np.int32) if rows[at][7] else None
+            return whole[at]
+
+        out = []
+        for a, b in zip(x[i[order]].tolist(), y[j[order]].tolist()):
+            one, two = top(int(root[a])), top(int(root[b]))
+            if one != two and _similar(vector(a), vector(b), similarity):
+                parent[max(one, two)] = min(one, two)
+                out.append((min(rep[a], rep[b]), max(rep[a], rep[b])))
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = None, []
+        for batch in batches:
+            for key, row in zip(zip(*(batch.column(c).to_pylist() for c in ("key", "block", "other"))), zip(*(batch.column(c).to_pylist() for c in names))):
+                if key != held:
+                    if rows:
+                        yield found(held[0], rows)
+                    held, rows = key, []
+                rows.append(row)
+        if rows:
+            yield found(held[0], rows)
+    return run
+
+
+def crossing_links(docs: DataFrame, unique: DataFrame, members: DataFrame, roots: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (u, v) that join the classes of a bucket: every pair of different classes above the floor is looked at.
+
+    Every such pair has a text beside the bucket's largest class, so these texts, in blocks of about ``GROUP``
+    texts or ``CELL_SHINGLES`` shingles, meet the whole bucket, in such blocks too, each block with each in a
+    cell of its own.
+    """
+    placed = written(members.join(roots, members["rep"] == roots["u"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root")))
+    counts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
+    open_ = counts.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("top")).where("n > top.m").select(
+        "key", F.col("top.root").alias("top"))
+    cells = written(placed.join(open_, "key").withColumn("free", F.expr("root <> top")))
+    vectors = written(marked(docs, "row", cells, "rep").select("row", "text").mapInArrow(_vectors(shingle), "rep long, m long, grams binary, weights binary"))
+    sized = cells.join(vectors.select("rep", "m"), "rep")
+    sizes = sized.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("m").alias("m"), F.count_if("free").alias("fn"), F.sum(F.when(F.col("free"), F.col("m"))).alias("fm")).select(
+        "key", *[F.greatest(F.ceil(F.col(n) / GROUP), F.ceil(F.col(m) / CELL_SHINGLES)).alias(name) for n, m, name in (("n", "m", "blocks"), ("fn", "fm", "others"))])
+    dealt = written(cells.drop("top").join(sizes, "key"))
+    block, other = (F.pmod(F.xxhash64("rep"), F.col(c)) for c in ("blocks", "others"))
+    every = dealt.select("key", block.alias("block"), F.explode(F.expr("sequence(0L, others - 1)")).alias("other"), F.lit(False).alias("rest"), "free", "rep", "root")
+    rest = dealt.where("free").select("key", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), other.alias("other"), F.lit(True).alias("rest"), "free", "rep", "root")
+    full = every.unionByName(rest).join(vectors.join(unique.select("rep", "sketch", "bands"), "rep"), "rep")
+    return full.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other").mapInArrow(_crossing(similarity), "u long, v long")
+
+
+def classes_of(docs: DataFrame, unique: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, root) of all texts that are linked to a lesser one, both as row numbers."""
     members = bucket_members(unique)
-    done = written(candidate_pairs(unique, members))
-    roots = components(links(docs, done, shingle, similarity))
+    roots = components(links(docs, candidate_pairs(unique, members), shingle, similarity))
     # a bucket of so few texts has no pair above the floor that wasn't verified
-    members = written(members.where(F.col("n") > NEAREST + 1).select("key", "rep"))
-    high = REGISTERS + 1
-    for low, most in [(LEVELS[-1], n) for n in JOINED] + [(low, None) for low in LEVELS]:
-        pairs = written(crossing_pairs(unique, members, roots, low, high, most).join(done, ["a", "b"], "left_anti"))
-        more = written(links(docs, pairs, shingle, similarity))
-        if not more.isEmpty():
-            roots = components(more.unionByName(roots.select("u", F.col("root").alias("v"))))
-        if most:
-            done = done.unionByName(pairs)
-        else:
-            high = low
-    return roots
+    members = members.where(F.col("n") > NEAREST + 1).select("key", "rep")
+    more = written(crossing_links(docs, unique, members, roots, shingle, similarity))
+    if more.isEmpty():
+        return roots
+    return components(more.unionByName(roots.select("u", F.col("root").alias("v"))))
 
 
 def near_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), one row per row of ``docs``."""
-    signs = written(texts(docs).mapInArrow(_signatures(shingle), "doc_id long, c1 long, c2 long, bands binary, sketch binary"))
-    unique = written(signs.where("c1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("c1", "c2").agg(
-        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    roots = classes_of(docs, unique, shingle, similarity)
-    classes = unique.select("c1", "c2", "rep").join(roots, F.col("rep") == F.col("u"), "left").select(
-        "c1", "c2", F.coalesce("root", "rep").alias("class_id"))
-    return signs.select("doc_id", "c1", "c2").join(classes, ["c1", "c2"], "left").select(
-        "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+    rows = numbered(docs)
+    signs = written(rows.mapInArrow(_signatures(shingle), "row long, doc_id long, c1 long, c2 long, bands binary, sketch binary"))
+    unique = written(signs.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(
+        F.min("row").alias("rep"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    roots = classes_of(rows, unique, shingle, similarity)
+    placed = written(unique.select("c1", "c2", "rep", "least").join(roots, F.col("rep") == F.col("u"), "left").select(
+        "c1", "c2", "least", F.coalesce("root", "rep").alias("root")))
+    named = placed.drop("least").join(placed.groupBy("root").agg(F.min("least").alias("class_id")), "root").drop("root")
+    return signs.select("doc_id", "c1", "c2").join(named, ["c1", "c2"], "left").select(
+        "doc_id", F.when(F.col("c1").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))

@@ -57,7 +57,32 @@ def test_edge(spark):
     assert classes(spark, rows) == classes_by_hand(rows)
     assert near_dedup.near_classes(frame(spark, [])).count() == 0
     twice = near_dedup.near_classes(frame(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f")])).collect()
-    assert sorted((r.doc_id is None, r.class_id) for r in twice) == [(False, 1), (False, 1), (True, None)]
+    assert sorted((r.doc_id is None, r.class_id) for r in twice) == [(False, 1), (False, 1), (True, 1)]
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows are known by their numbers: a shared or missing id joins no classes."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b + " end"), (None, c), (None, c + " end"), (None, None), (None, "alone here"), (7, a + " end"), (3, "")]
+    got = sorted(((r.doc_id, r.class_id) for r in near_dedup.near_classes(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, 1), (1, 1), (2, 1), (None, None), (None, None), (None, None), (None, None), (7, 1), (3, 3)], key=str)
+    one = near_dedup.near_classes(frame(spark, [(5, a), (5, b), (6, a), (8, b)])).collect()
+    assert sorted((r.doc_id, r.class_id) for r in one) == [(5, 5), (5, 5), (6, 5), (8, 5)]
+    apart = near_dedup.near_classes(frame(spark, [(1, a), (1, b), (2, c)])).collect()
+    assert sorted((r.doc_id, r.class_id) for r in apart) == [(1, 1), (1, 1), (2, 2)]
+
+
+def test_similar_is_the_exact_similarity():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        one = Counter(rng.integers(0, 30, 40).tolist()) if rng.random() < 0.5 else Counter(rng.permutation(40)[:30].tolist())
+        two = one.copy()
+        for k in rng.integers(0, 40, int(rng.integers(0, 6))).tolist():
+            two[k] = int(rng.integers(0, 3))
+        two = +two
+        sides = [(np.array(sorted(c), np.uint64), None if set(c.values()) == {1} else np.array([c[k] for k in sorted(c)], np.int32)) for c in (one, two)]
+        for limit in (0.7, 0.8, 0.9):
+            assert near_dedup._similar(*sides, limit) == (similarity(one, two) >= limit - 1e-12)
 
 
 def variants(seed, n, words, edits):
