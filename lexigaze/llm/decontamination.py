@@ -13,12 +13,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexigaze.llm.common import ALNUM, pieces, signed, split_words, Rolling, text_bytes, texts, word_hashes
+from lexigaze.llm.common import ALNUM, Rolling, numbered, pieces, signed, split_words, text_bytes, texts, word_hashes
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
@@ -200,8 +201,13 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[objec
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, spans (stretches of hit words), items (ids as strings): one row per document."""
-    passes = []
-    for number, block in enumerate(_blocks(benchmark, block_bytes)):
+    passes, source, rows = [], texts(docs), None
+    blocks = _blocks(benchmark, block_bytes)
+    ahead = list(islice(blocks, 2))
+    if len(ahead) > 1:  # passes are put together by row, whatever the ids
+        rows = numbered(docs)
+        source = rows.select(F.col("row").alias("doc_id"), "text")
+    for number, block in enumerate(chain(ahead, blocks)):
         hashes, counts = word_hashes(pa.array([text for _, text in block]), ALNUM)
         automaton = Automaton(window)
         at, least, pairs = 0, window, []
@@ -215,7 +221,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
         pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
         schema = "doc_id long, n_words long, spans array<array<bigint>>, items array<bigint>"
         names = F.array(*[F.lit(str(i)) for i, _ in block]) if len(block) <= 1 else F.lit([str(i) for i, _ in block])
-        found = texts(docs).mapInArrow(_scanner(automaton.finish(), pairs, least, number), schema)
+        found = source.mapInArrow(_scanner(automaton.finish(), pairs, least, number), schema)
         passes.append(found.withColumn("items", F.transform("items", lambda i: F.get(names, i.cast("int")))))
     if not passes:
         empty = F.expr("CAST(array() AS array<string>)")
@@ -225,8 +231,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     if len(passes) == 1:
         return passes[0]
     # as many rows per document as there are blocks of items, whatever the text
-    return reduce(DataFrame.unionByName, passes).groupBy("doc_id").agg(
+    merged = reduce(DataFrame.unionByName, passes).groupBy(F.col("doc_id").alias("row")).agg(
         F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    return merged.join(rows.select("row", "doc_id"), "row").select("doc_id", "n_words", "spans", "items")
 
 
 def covered(spans):

@@ -92,6 +92,17 @@ def test_benchmark_edge(spark, block_bytes):
     assert {r.n_hit for r in decontamination.decontaminate(frame(spark, rows), bench.where("item_id = 4")).collect()} == {0}
 
 
+@pytest.mark.parametrize("block_bytes", [4 << 20, 10])
+def test_benchmark_rows_of_one_id_or_none(spark, block_bytes):
+    """One result per row, however many blocks the items make."""
+    items = [(1, "red green blue"), (2, "one two"), (3, "far away")]
+    rows = [(None, "red green blue x"), (None, "one two three"), (7, "nothing here"), (7, "so far away it is"), (8, "one two"), (8, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hits = decontamination.find_hits(docs, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes).collect()
+    got = sorted(((r.doc_id, r.n_words, sorted(set(r["items"]))) for r in hits), key=str)
+    assert got == sorted([(None, 4, ["1"]), (None, 3, ["2"]), (7, 2, []), (7, 5, ["3"]), (8, 2, ["2"]), (8, 2, ["2"])], key=str)
+
+
 def test_benchmark_table(spark):
     docs, bench = table(spark, "documents"), table(spark, "benchmark")
     got = {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in decontamination.decontaminate(docs, bench).collect()}
