@@ -275,6 +275,16 @@ def delimited_round_trip(t):
     return readers.read_comma(t.spark, path, "c_custkey long, c_acctbal double, note string")
 
 
+@query
+def numbered_table(t):
+    """A table of text with row numbers and old line ends, written and read again."""
+    path = scratch(t.spark)
+    measure = F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"'))
+    rows = t.read("part").select(F.col("p_partkey").alias("_c0"), measure.alias("Measure"), F.concat("p_type", F.lit(", R: 0-"), F.col("p_size").cast("string")).alias("Lab Only"))
+    sinks.write_delimited(rows, path, line_end="\r")
+    return readers.read_without_index(t.spark, path)
+
+
 # ------------------------------------------------------------------------ home
 
 @query

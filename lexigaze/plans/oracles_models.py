@@ -275,6 +275,7 @@ SQL["points_with_interval"] = q(_LOOK, f"""SELECT subj, month, trialtype, CASE t
 SQL["tab_report"] = """SELECT event_type, count(*) AS n, sum(user_id)::BIGINT AS users, round(sum(value), 3) AS values, count(*) FILTER (event_id % 3 = 0) AS empty FROM events GROUP BY ALL"""
 SQL["month_extract"] = q(_ANN, """SELECT subj, born, count(*) AS n, sum(words)::BIGINT AS words FROM (SELECT subj, speaker, count(*) AS words FROM ann WHERE month = '06' GROUP BY ALL)
     LEFT JOIN (SELECT (c_custkey // 10)::VARCHAR AS subj, min(c_custkey) AS born FROM customer GROUP BY ALL) USING (subj) GROUP BY ALL""")
+SQL["numbered_table"] = """SELECT p_name || ', "' || p_brand || '"' AS "Measure", p_type || ', R: 0-' || p_size AS "Lab Only" FROM part"""
 SQL["delimited_round_trip"] = """SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 10 > 0 THEN c_name || ', "' || c_mktsegment || '"' END AS note FROM customer"""
 
 _SHOWN = ", ".join(TIDY_D.split())

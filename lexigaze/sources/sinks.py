@@ -24,8 +24,8 @@ def write_by_month(df: DataFrame, path: str, files_per_month: int | None = None)
     df.write.mode("overwrite").partitionBy("month").parquet(path)
 
 
-def write_delimited(df: DataFrame, path: str, sep: str = ",") -> None:
-    df.write.mode("overwrite").csv(path, sep=sep, header=True)
+def write_delimited(df: DataFrame, path: str, sep: str = ",", line_end: str = "\n") -> None:
+    df.write.mode("overwrite").csv(path, sep=sep, header=True, lineSep=line_end)
 
 
 def write_buckets(df: DataFrame, key: str, buckets: int, by_month: bool = True) -> str:

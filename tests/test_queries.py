@@ -13,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test table
 
 
 # the plain SQL of these needs more than a handful of infants per group
-LARGER = {"cor_outcome", "outcome_normality", "bootstrap_presence", "bootstrap_types", "huber_presence", "presence_band"}
+LARGER = {"cor_outcome", "outcome_normality", "bootstrap_presence", "bootstrap_types", "huber_presence", "presence_band", "inline_results", "scenario_normality"}
 LARGER_FOLDER = "/root/testdata/sf0.01"
 
 
