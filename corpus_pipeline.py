@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexigaze.llm import decontamination, line_dedup, near_dedup, packing, quality_rules
-from lexigaze.llm.common import documents, written
+from lexigaze.llm.common import documents, with_number, written
+
 
+def _rows_that(docs: DataFrame, choose: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that ``choose`` keeps, with all their columns.
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is among ``ids``; a null id is equal to itself."""
-    return docs.join(ids.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    It sees the row's number as doc_id and returns those to keep, so rows that share an id, or have
+    none, are decided on one by one.
+    """
+    rows, own = with_number(docs)
+    kept = choose(rows.withColumn("doc_id", F.col(own))).select(F.col("doc_id").alias(own))
+    return rows.join(kept, own, "left_semi").select(*docs.columns)
 
 
 def pass_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return _only(docs, quality_rules.judge(docs).where("kept"))
+    return _rows_that(docs, lambda rows: quality_rules.judge(rows).where("kept"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,15 +32,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of every class of near-duplicates, one of its rows; all rows of null id."""
-    heads = near_dedup.near_classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One document of every class of near-duplicates: the one of least id, one without an id only where there is no other."""
+    rows, own = with_number(docs)
+    classes = near_dedup.near_classes(rows.withColumn("doc_id", F.col(own))).withColumnRenamed("doc_id", own)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", own)
+    heads = classes.join(rows.select(own, "doc_id"), own).groupBy("class_id").agg(F.min(order).alias("head")).select(F.col(f"head.{own}").alias(own))
+    return rows.join(heads, own, "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without too many words of benchmark items."""
-    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _only(docs, found.where("NOT contaminated"))
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _rows_that(docs, lambda rows: decontamination.decontaminate(rows, benchmark).where("NOT contaminated"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
