@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +54,34 @@ def written(df: DataFrame, **options) -> DataFrame:
     df.write.options(compression="zstd", **options).parquet(path)
     place, files = _place(spark, path)
     files.deleteOnExit(place)
+    if _open := getattr(_scopes, "open", None):
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scopes = threading.local()
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside go at the end, but for a result given to the function this yields, which is written, too."""
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    _scopes.open.append([])
+
+    def keep(result: DataFrame) -> DataFrame:
+        table = written(result)
+        _scopes.open[-1].pop()
+        return table
+
+    try:
+        yield keep
+    finally:
+        for path in _scopes.open.pop():
+            place, files = _place(spark, path)
+            files.delete(place, True)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table that ``written`` made and nothing will read again."""
     for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:

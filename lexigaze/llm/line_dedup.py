@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from lexigaze.functions.nulls import n_distinct
-from lexigaze.llm.common import SPACES, numbered, pieces, with_number, written
+from lexigaze.llm.common import SPACES, numbered, pieces, temporary, with_number, written
 
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
@@ -82,13 +82,14 @@ def dropped_lines(rows: DataFrame, min_chars: int = MIN_CHARS, min_documents: in
     The hashes are written once: they are counted first and looked up afterwards, and are
     far smaller than the texts that would have to be read again.
     """
-    lines = written(rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _hashed(min_chars), "h1 long, h2 long, row long, doc_id long, place int"))
-    # Written, so that the join deals both sides anew and a hash of many lines can be split among tasks.
-    common = written(lines.groupBy("h1", "h2").agg(n_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(
-        F.col("n") >= min_documents).drop("n"))
-    return lines.join(common, ["h1", "h2"]).where("NOT (doc_id <=> keeper)").groupBy("row").agg(
-        F.collect_set("place").alias("dropped"))  # places of one row: never more than its lines
+    with temporary(rows.sparkSession) as keep:
+        lines = written(rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+            _hashed(min_chars), "h1 long, h2 long, row long, doc_id long, place int"))
+        # Written, so that the join deals both sides anew and a hash of many lines can be split among tasks.
+        common = written(lines.groupBy("h1", "h2").agg(n_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(
+            F.col("n") >= min_documents).drop("n"))
+        return keep(lines.join(common, ["h1", "h2"]).where("NOT (doc_id <=> keeper)").groupBy("row").agg(
+            F.collect_set("place").alias("dropped")))  # places of one row: never more than its lines
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:

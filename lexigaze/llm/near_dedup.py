@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexigaze.llm.common import ALNUM, discard, gram_hashes, marked, mix, numbered, pieces, signed, spread, word_hashes, written
+from lexigaze.llm.common import ALNUM, discard, gram_hashes, marked, mix, numbered, pieces, signed, spread, temporary, word_hashes, written
 from lexigaze.llm.components import components
 
 SHINGLE = 5
@@ -400,14 +400,15 @@ def classes_of(docs: DataFrame, unique: DataFrame, shingle: int, similarity: flo
 
 
 def near_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), one row per row of ``docs``."""
-    rows = numbered(docs)
-    signs = written(rows.mapInArrow(_signatures(shingle), "row long, doc_id long, c1 long, c2 long, bands binary, sketch binary"))
-    unique = written(signs.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(
-        F.min("row").alias("rep"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    roots = classes_of(rows, unique, shingle, similarity)
-    placed = written(unique.select("c1", "c2", "rep", "least").join(roots, F.col("rep") == F.col("u"), "left").select(
-        "c1", "c2", "least", F.coalesce("root", "rep").alias("root")))
-    named = placed.drop("least").join(placed.groupBy("root").agg(F.min("least").alias("class_id")), "root").drop("root")
-    return signs.select("doc_id", "c1", "c2").join(named, ["c1", "c2"], "left").select(
-        "doc_id", F.when(F.col("c1").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    """doc_id, class_id (the least doc_id of its class), one row per row of ``docs``; a written table."""
+    with temporary(docs.sparkSession) as keep:
+        rows = numbered(docs)
+        signs = written(rows.mapInArrow(_signatures(shingle), "row long, doc_id long, c1 long, c2 long, bands binary, sketch binary"))
+        unique = written(signs.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(
+            F.min("row").alias("rep"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+        roots = classes_of(rows, unique, shingle, similarity)
+        placed = written(unique.select("c1", "c2", "rep", "least").join(roots, F.col("rep") == F.col("u"), "left").select(
+            "c1", "c2", "least", F.coalesce("root", "rep").alias("root")))
+        named = placed.drop("least").join(placed.groupBy("root").agg(F.min("least").alias("class_id")), "root").drop("root")
+        return keep(signs.select("doc_id", "c1", "c2").join(named, ["c1", "c2"], "left").select(
+            "doc_id", F.when(F.col("c1").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")))

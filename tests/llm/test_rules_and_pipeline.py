@@ -127,6 +127,40 @@ def test_run_and_odd_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_rows_of_one_id_are_decided_on_one_by_one(spark, tmp_path):
+    """Null ids, an id of two texts, repeated rows: each stage keeps exactly the rows it should."""
+    long = lambda x, n=60: " ".join(f"{x}{i}" for i in range(n))
+    bench = long("bench", 13)
+    rows = [(1, long("a"), "en"), (1, "too short", "en"), (None, long("b"), "en"), (None, "short", "en"), (None, long("b") + " end", "en"), (2, long("a") + " end", "en"),
+            (3, bench + " " + long("c", 40), "en"), (3, long("d"), "en"), (4, long("e"), "en"), (4, long("e"), "en")]
+    docs = spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in rows], DOCS)
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+
+    def kept(name, df):
+        return sorted(((r.doc_id, r.text) for r in stages[name](spark, df, str(tmp_path)).collect()), key=str)
+
+    def want(*places):
+        return sorted(((rows[p][0], rows[p][1]) for p in places), key=str)
+
+    assert kept("quality_rules", docs) == want(0, 2, 4, 5, 6, 7, 8, 9)
+    assert kept("decontamination", docs) == want(0, 1, 2, 3, 4, 5, 7, 8, 9)
+    one = kept("near_dedup", docs)
+    assert len(one) == 7 and (1, rows[0][1]) in one and (1, "too short") in one and (None, "short") in one and [x for x in one if x[0] == 4] == want(8)
+    assert [x[0] for x in one].count(None) == 2 and (3, rows[6][1]) in one and (3, rows[7][1]) in one
+
+
+def test_lines_of_rows_with_one_id_or_none(spark):
+    line = "a line that stands in many documents"
+    rows = [(1, f"{line}\nown one"), (1, f"own two\n{line}"), (2, f"x\ny\n{line}"), (None, f"{line}\nz"), (None, line)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.kept_text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(docs).collect()), key=str)
+    assert got == sorted([(1, "own one", 2, 1), (1, "own two", 2, 1), (2, f"x\ny\n{line}", 3, 0), (None, "z", 2, 1), (None, "", 1, 1)], key=str)
+    # two rows of one document and one of another are two documents
+    got = line_dedup.dedup_lines(spark.createDataFrame([(1, line), (1, line), (2, line)], "doc_id long, text string")).collect()
+    assert all(r.n_dropped == 0 for r in got)
+
+
 def test_replaced_lines_keep_columns(spark):
     docs = spark.createDataFrame([(i, "the same long line of text here\nown", "x", i) for i in (1, 2, 3)] + [(4, None, "y", 4)], "doc_id long, text string, dropped string, place int")
     got = {r.doc_id: tuple(r) for r in line_dedup.without_repeated_lines(docs).collect()}
