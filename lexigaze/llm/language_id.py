@@ -1,10 +1,11 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Weights are learned by follow-the-regularised-leader with elastic-net penalties and their
-probabilities calibrated by a temperature. Cases: a null text or one without letters is `und` with
-score 0; documents of null language only are scored, not learned from; with one learned language
-every text with letters gets it; with none all are `und`; texts are read whole; repeated rows are
-used each; an empty table gives an empty result.
+probabilities calibrated by a temperature. Cases: a null text or one without letters (characters of
+a letter class; numbers of any kind are none) is `und` with score 0; documents of null language or
+null id only are scored, not learned from, and a null id is not held out; with one learned language
+every text with letters gets it; with none all are `und`; of equally likely languages the first by
+name is given; texts are read whole; repeated rows are used each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,14 +18,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexigaze.llm.common import bucket, pieces, texts
+from lexigaze.llm.common import bucket, pieces, texts, written
 
-LETTER = re.compile(r"[^\W\d_]")
+_MAYBE = re.compile(r"[^\W\d_]")  # also finds numbers that are no digits
 ORDERS = (1, 2, 3)
 BITS = 15
 SIZE = 1 << BITS
 
 
+def has_letter(text: str) -> bool:
+    return any(found.group().isalpha() for found in _MAYBE.finditer(text))
+
+
 def gram_counts(text: str) -> np.ndarray:
     """How often each hashed character n-gram stands in the lower-cased text."""
     chars = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
@@ -78,7 +83,7 @@ class Model:
         return v @ self.weights[at] + self.bias
 
     def predict(self, text: str) -> tuple[str, float]:
-        if not self.languages or not LETTER.search(text):
+        if not self.languages or not has_letter(text):
             return "und", 0.0
         p = softmax(self.logits(text) / self.temperature)
         best = int(p.argmax())
@@ -136,23 +141,21 @@ def train(rows: list[tuple[str, str]], df: np.ndarray, n: int, epochs: int = 4,
     return model
 
 
-def identify(docs: DataFrame, per_language: int = 500, max_bytes: int = 20_000, most_languages: int = 500) -> DataFrame:
+def identify(docs: DataFrame, per_language: int = 500, max_bytes: int = 20_000, most_rows: int = 20_000) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document.
 
     Document frequencies come from all documents that may be learned from; the weights from about
-    ``per_language`` of them per language (chosen by a hash, none longer than ``max_bytes``), for the
-    ``most_languages`` most frequent languages.
+    ``per_language`` of them for every language (chosen by a hash, none longer than ``max_bytes``), or an
+    equal part of ``most_rows`` where there are too many languages for that.
     """
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket("doc_id", 5) != 0)).select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     df, n = document_frequencies(learn)
-    sizes = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    sizes = written(learn.groupBy(F.col("lang").alias("known")).agg(F.count(F.lit(1)).alias("n")))
+    each = min(per_language, most_rows // max(sizes.count(), 1))
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = F.lit(False)
-    for r in sizes:
-        chosen = F.when(F.col("lang") == r.lang, spread < per_language / r.n).otherwise(chosen)
-    rows = learn.where(chosen & (F.octet_length("text") <= max_bytes)).orderBy("doc_id").limit(
-        2 * per_language * max(len(sizes), 1)).collect()
+    chosen = learn.join(sizes, F.col("lang") == F.col("known")).where((spread < F.lit(float(each)) / F.col("n")) & (F.octet_length("text") <= max_bytes))
+    rows = chosen.orderBy("doc_id").limit(2 * most_rows).collect()
     model = train([(r.text, r.lang) for r in rows], df, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,4 +165,4 @@ def identify(docs: DataFrame, per_language: int = 500, max_bytes: int = 20_000,
                                              ["doc_id", "lang_pred", "score"])
 
     return texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double").select(
-        "doc_id", (bucket("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+        "doc_id", F.coalesce(bucket("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -1,9 +1,9 @@
 """Quality classifier: a byte-level convolutional network over overlapping chunks of the whole document.
 
 Cases: a null or empty text is one chunk of padding and gets that chunk's probability; texts of
-any length are covered by chunks to their end; repeated rows and labels are used each; without
-labels of both values every score is the share of the labels (0.5 without any); an empty table
-gives an empty result.
+any length are covered by chunks to their end; repeated rows and labels are used each; a null id has
+no label and is not held out; without labels of both values every score is the share of the labels
+(0.5 without any); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -84,4 +84,4 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = 1500, max_bytes: in
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got.astype(np.float64))], ["doc_id", "score"])
 
     scored = texts(docs).mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", (bucket("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -92,11 +92,70 @@ def test_language_edge(spark):
     rows = [(i, t, "xx" if i % 2 else None) for i, t in enumerate(ODD)]
     docs = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, lang string, score double")
     got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs).collect()}
-    assert all(got[i] == (("und", 0.0) if not re.search(r"[^\W\d_]", t or "") else ("xx", 1.0)) for i, t, _ in rows)
+    assert all(got[i] == (("xx", 1.0) if any(c.isalpha() for c in t or "") else ("und", 0.0)) for i, t, _ in rows)
+    odd = spark.createDataFrame([(None, "word", "xx"), (None, "\u00bd \u00b2 \u2167 7 _", None), (1, "\u4e2d", "xx")], "doc_id long, text string, lang string")
+    assert sorted((str(r.doc_id), r.held_out, r.lang_pred) for r in language_id.identify(odd).collect()) == [("1", False, "xx"), ("None", False, "und"), ("None", False, "xx")]
     assert language_id.identify(docs.where("false")).count() == 0
     assert {r.lang_pred for r in language_id.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def grams_by_hand(text):
+    """How often each n-gram of one to three characters stands in the text, by its place in the table."""
+    out, chars = Counter(), [ord(c) for c in text.lower()]
+    for n in (1, 2, 3):
+        for at in range(len(chars) - n + 1):
+            code = 0
+            for order in range(1, n + 1):
+                code = (code * 0x100000001B3 + chars[at + order - 1] + order) % 2 ** 64
+            out[code * 0x9E3779B97F4A7C15 % 2 ** 64 >> 64 - language_id.BITS] += 1
+    return out
+
+
+def test_language_by_plain_steps():
+    """Training and prediction next to loops over single numbers."""
+    rows = [(t, lang) for lang, words in (("aa", ["alpha beta", "alpha gamma", "beta beta"]), ("bb", ["omega psi", "psi chi", "omega omega"]), ("cc", ["123 xyz", "zyx", "xyzzy"]))
+            for t in words for _ in range(2)]
+    df = np.zeros(language_id.SIZE)
+    for t, _ in rows:
+        df[list(grams_by_hand(t))] += 1
+    model = language_id.train(rows, df, len(rows), epochs=2)
+
+    def vector(t):
+        v = {g: math.log(1 + c) * (math.log((1 + len(rows)) / (1 + df[g])) + 1) for g, c in grams_by_hand(t).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {g: x / norm for g, x in v.items()}
+
+    def soft(z):
+        e = [math.exp(x - max(z)) for x in z]
+        return [x / sum(e) for x in e]
+
+    z, squares = Counter(), Counter()
+
+    def weight(g, k):
+        if abs(z[g, k]) <= 0.05:
+            return 0.0
+        return -(z[g, k] - math.copysign(0.05, z[g, k])) / (1.0 + math.sqrt(squares[g, k]) + 0.01)
+
+    rng = np.random.default_rng(5)
+    order = rng.permutation(len(rows))
+    used, names = np.delete(order, np.s_[::5]), ["aa", "bb", "cc"]
+    for _ in range(2):
+        for i in rng.permutation(used).tolist():
+            v = vector(rows[i][0]) | {"bias": 1.0}
+            w = {(g, k): weight(g, k) for g in v for k in range(3)}
+            p = soft([sum(x * w[g, k] for g, x in v.items()) for k in range(3)])
+            for g, x in v.items():
+                for k in range(3):
+                    d = x * (p[k] - (names[k] == rows[i][1]))
+                    z[g, k] += d - (math.sqrt(squares[g, k] + d * d) - math.sqrt(squares[g, k])) * w[g, k]
+                    squares[g, k] += d * d
+    for t in ("alpha", "omega chi", "xyz", "beta psi 1"):
+        logits = [sum(x * weight(g, k) for g, x in vector(t).items()) + weight("bias", k) for k in range(3)]
+        assert model.logits(t) == pytest.approx(logits, abs=1e-9)
+        p = soft([x / model.temperature for x in logits])
+        assert model.predict(t) == (names[p.index(max(p))], pytest.approx(max(p), abs=1e-9))
+
+
 def test_ftrl_is_sparse():
     rng = np.random.default_rng(0)
     learner = language_id.Ftrl(50, 2, l1=0.5)
@@ -123,6 +182,31 @@ def test_quality_edge(spark):
     assert quality_model.classify(docs.where("false"), labels).count() == 0
 
 
+def test_quality_by_plain_steps():
+    """A trained network's score next to loops over chunks, places and filters."""
+    rng = np.random.default_rng(4)
+    data = [bytes(rng.choice(list(b"abc de\n" if i % 2 else b"#$%12 *"), int(rng.integers(0, 900))).tolist()) for i in range(40)]
+    labels = np.array([i % 2 for i in range(40)])
+    net = quality_model.train(data, labels, np.arange(40) % 5, 0.5, epochs=2)
+    width = net.width * conv.BYTES.shape[1]
+    for raw in (b"", b"ab", data[0], data[1] * 3):
+        chunks = [raw[a:a + quality_model.CHUNK] for a in range(0, max(1, len(raw) - quality_model.OVERLAP), quality_model.CHUNK - quality_model.OVERLAP)]
+        tops = []
+        for chunk in chunks:
+            x = conv.BYTES[list(chunk.ljust(quality_model.CHUNK, b"\0"))].astype(float)
+            best = [0.0] * quality_model.FILTERS
+            for at in range(0, quality_model.CHUNK - net.width + 1, net.stride):
+                window = x[at:at + net.width].reshape(width)
+                for f in range(quality_model.FILTERS):
+                    best[f] = max(best[f], float(window @ net.filters[:, f].astype(float)) + float(net.bias[f]))
+            tops.append(best)
+        features = [max(t[f] for t in tops) for f in range(quality_model.FILTERS)] + [sum(t[f] for t in tops) / len(tops) for f in range(quality_model.FILTERS)]
+        logit = sum(a * float(b) for a, b in zip(features, net.out)) + float(net.shift[0])
+        want = 1 / (1 + math.exp(-(net.scale * logit + net.offset)))
+        column = np.frombuffer(raw, np.uint8)
+        assert quality_model.scores(net, column, np.array([0, len(raw)]))[0] == pytest.approx(want, abs=1e-4)
+
+
 def test_chunks_cover_everything():
     for n in (0, 1, 511, 512, 513, 992, 993, 5000):
         data = np.arange(n) % 250 + 1
