@@ -131,9 +131,10 @@ LABELLED = ["subj", "month", "SubjectNumber", "audio_video"]
 def recording_counts(annotations: DataFrame, words: Sequence[str] = TESTED_WORDS) -> DataFrame:
     """Base counts and the eight small aggregates of every recording, from one scan.
 
-    Annotations are first counted per recording, speaker and word, before the shuffle already. Sums
-    and distinct values of a recording come from these few rows; a missing speaker or word is one
-    more value. Both steps group by the recording label as well; ``label_conflicts`` must be empty
+    Annotations are first counted per recording, speaker and word, before the shuffle already; a missing
+    speaker or word is one more value. These cells are dealt by recording once. The first cell of a speaker
+    and the first of a word carry a mark there, so that distinct values are sums as well and no row is made
+    to be counted. All steps group by the recording label as well; ``label_conflicts`` must be empty
     for that to be the same. A presence share is missing, hence later 0, when only one answer occurs.
     """
     def n(test: Column, name: str) -> Column:
@@ -142,10 +143,15 @@ def recording_counts(annotations: DataFrame, words: Sequence[str] = TESTED_WORDS
     def present(value: str) -> Column:
         return F.col("object_present") == value
 
+    def first_of(column: str, other: str) -> Column:
+        return F.row_number().over(Window.partitionBy(*LABELLED, column).orderBy(other)) == 1
+
     kinds = ["tokens", *UTTERANCE_TYPES, "n_op", "y_op"]
     cells = annotations.groupBy(*LABELLED, "speaker", "basic_level").agg(
         n_rows().alias("tokens"), *[n(F.col("utterance_type") == u, u) for u in UTTERANCE_TYPES], n(present("n"), "n_op"), n(present("y"), "y_op"))
-    tested, child = is_one_of("basic_level", words), F.col("speaker") == "CHI"
+    cells = (cells.repartition(*LABELLED).withColumn("new_speaker", first_of("speaker", "basic_level"))
+             .withColumn("new_word", first_of("basic_level", "speaker")))
+    tested = is_one_of("basic_level", words)
 
     def total(c: str, test: Column | None = None) -> Column:
         return F.coalesce(F.sum(c if test is None else F.when(test, F.col(c))), F.lit(0))
@@ -154,9 +160,8 @@ def recording_counts(annotations: DataFrame, words: Sequence[str] = TESTED_WORDS
         *[total(k).alias("numtokens" if k == "tokens" else k) for k in kinds],
         *[total("tokens", F.col("speaker") == s).alias(s) for s in [*PARENTS, *DEVICES, "CHI"]],
         total("tokens", tested).alias("num_exp_tokens"), total("n_op", tested).alias("n_op_exp"), total("y_op", tested).alias("y_op_exp"),
-        n_distinct("speaker").alias("numspeakers"), n_distinct("basic_level").alias("numtypes"),
-        F.count_distinct(F.when(tested, F.col("basic_level"))).alias("num_exp_types"),
-        (F.count_distinct(F.when(child, F.col("basic_level"))) + F.coalesce(F.max((child & F.col("basic_level").isNull()).cast("long")), F.lit(0))).alias("CHItypes"))
+        n(F.col("new_speaker"), "numspeakers"), n(F.col("new_word"), "numtypes"), n(F.col("new_word") & tested, "num_exp_types"),
+        n(F.col("speaker") == "CHI", "CHItypes"))
 
     def share(y: str, no: str) -> Column:
         return F.when((F.col(y) > 0) & (F.col(no) > 0), ratio(y, F.col(y) + F.col(no)))
@@ -169,8 +174,13 @@ def recording_summary(annotations: DataFrame, words: Sequence[str] = TESTED_WORD
     """One row per recording: counts, shares, entropy, noun onset, talker status.
 
     A child's noun onset is the least month of its recordings with a word of its own, so it is
-    found among the child's few rows. With ``month`` only that month's recordings are returned.
+    found among the child's few rows. With ``month`` only that month's recordings are returned; of
+    other months only the child's own words are read on, as one count per child and month.
     """
+    if month is not None:
+        inside = F.col("month") == month
+        annotations = annotations.filter(inside | (F.col("speaker") == "CHI")).withColumns(
+            {c: F.when(inside, F.col(c)) for c in ["SubjectNumber", "audio_video", "utterance_type", "object_present", "basic_level"]})
     filled = fill_zero(recording_counts(annotations, words), COUNT_COLUMNS)
     onset = F.min(F.when(F.col("CHI") > 0, to_number("month"))).over(Window.partitionBy("subj"))
     rows = filled.withColumn("noun_chi_onset", onset)

@@ -202,19 +202,21 @@ class StudyTables:
 
     @cached_property
     def annotations(self) -> DataFrame:
-        line = self.read("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                                            "l_discount", "l_linestatus")
-        orders = self.read("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+        # joined are narrow codes; they become texts after the joins
+        line = self.read("lineitem").select(
+            "l_orderkey", "l_partkey", (F.col("l_suppkey") % 10).alias("speaker"), (F.col("l_linenumber") - 1).alias("utterance"),
+            (F.col("l_discount") >= 0.05).alias("present"), (F.col("l_linestatus") == "F").alias("audio"))
+        orders = self.read("orders").select("o_orderkey", F.floor(F.col("o_custkey") / 10).alias("child"), F.month("o_orderdate").alias("at"))
         part = self.read("part").select("p_partkey", "p_brand")
         joined = (line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
                   .join(part, F.col("l_partkey") == F.col("p_partkey")))
         return joined.select(
-            F.floor(F.col("o_custkey") / 10).cast("string").alias("subj"),
-            F.lpad(F.month("o_orderdate").cast("string"), 2, "0").alias("month"),
-            F.when(F.col("l_linestatus") == "F", "audio").otherwise("video").alias("audio_video"),
-            _pick(SPEAKERS, F.col("l_suppkey") % 10).alias("speaker"),
-            _pick(UTTERANCES, F.col("l_linenumber") - 1).alias("utterance_type"),
-            F.when(F.col("l_discount") >= 0.05, "y").otherwise("n").alias("object_present"),
+            F.col("child").cast("string").alias("subj"),
+            F.lpad(F.col("at").cast("string"), 2, "0").alias("month"),
+            F.when(F.col("audio"), "audio").otherwise("video").alias("audio_video"),
+            _pick(SPEAKERS, F.col("speaker")).alias("speaker"),
+            _pick(UTTERANCES, F.col("utterance")).alias("utterance_type"),
+            F.when(F.col("present"), "y").otherwise("n").alias("object_present"),
             F.col("p_brand").alias("basic_level"),
         ).withColumn("SubjectNumber", F.concat_ws("_", "subj", "month"))
 

@@ -97,3 +97,24 @@ def test_summary_and_headings(spark):
     assert sorted((r.level or "", r.n) for r in report.level_counts(df, ["s"]).collect()) == [("", 1), ("a", 2)]
     table = report.with_headings(spark.createDataFrame([("aud",) * 8], [f"c{i}" for i in range(8)]))
     assert table.columns[1:] == report.HEADINGS[1:]
+
+
+def test_one_month_equals_that_month_of_all(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["1", "2", "3", None]), rng.choice(["05", "06", "07", "x", None]), f"label {rng.randrange(2)}", rng.choice(["audio", "video", None]),
+             rng.choice(["MOT", "CHI", "TVB", "SIS", None]), rng.choice(["d", "q", "u", None]), rng.choice(["y", "n", None]),
+             rng.choice(["ball", "cat", None])) for _ in range(400)]
+    df = spark.createDataFrame(rows, ANNOTATIONS)
+    whole = home.recording_summary(df)
+    for month in ("05", "06", "07"):
+        want = sorted(map(str, whole.filter(F.col("month") == month).collect()))
+        assert sorted(map(str, home.recording_summary(df, month=month).collect())) == want and want
+    distinct = {}
+    for s, m, label, av, speaker, _, _, word in rows:
+        distinct.setdefault((s, m, label, av), (set(), set(), set()))
+        speakers, words, own = distinct[s, m, label, av]
+        speakers.add(speaker), words.add(word), speaker == "CHI" and own.add(word)
+    got = {(r.subj, r.month, r.SubjectNumber, r.audio_video): (r.numspeakers, r.numtypes, r.CHItypes) for r in whole.collect()}
+    assert got == {k: tuple(map(len, v)) for k, v in distinct.items()}

@@ -72,3 +72,15 @@ def test_scenarios_come_from_one_pass(t):
     words = looking.in_scenarios(t.counted, t.in_debt, "milk")
     one = plan(looking.without_item(t.counted, t.in_debt, "milk"))
     assert plan(words).count("Scan") == one.count("Scan")
+
+
+def test_recordings_make_no_row_to_be_counted(t):
+    for df in (t.recordings, t.recordings06):
+        assert "Expand" not in plan(df) and "ObjectHashAggregate" not in plan(df)
+
+
+def test_a_month_reads_on_only_its_words_and_own_words_of_the_child(t):
+    flat = plan(t.recordings06)
+    joins = [line for line in flat.split("\n") if "Join" in line]
+    # the join with the parts comes last, above the one with the orders that drops the other words
+    assert "= 06" not in joins[0] and any("= 06" in line and "= CHI" in line for line in joins[1:])
