@@ -1,12 +1,14 @@
 """Language-model scoring with a hierarchical Pitman-Yor model whose seating is sampled by Gibbs sweeps.
 
-Words are dishes. Each frequent word is a context with a restaurant of its own; the tables of all
-these restaurants are customers of one parent restaurant, which also seats, directly, the words that
-follow rarer words, and whose base is even over the known words and one unknown. A sweep seats the
-customers of every dish anew (each opens a table or joins one, by the Chinese-restaurant rule) given
-the tables of all the others as of the sweep before; predictive probabilities are averaged over the
-sweeps after the first. Counts, seating and predictions are tables dealt by word; a document's
-frequent words are looked up in the tasks in a table of checked size, all others by a join.
+Words are dishes. Every word that something follows is a context with a restaurant of its own; the
+tables of all these restaurants are customers of one parent restaurant, whose base is even over the known
+words and one unknown. A sweep seats the customers of every dish anew (each opens a table or joins one, by
+the Chinese-restaurant rule) given the tables of all the others as of the sweep before; predictive
+probabilities are averaged over the sweeps after the first. Frequent contexts, a bounded number, lie in
+arrays beside each word; those of all other contexts are rows of a table of pairs, joined by word and by
+context. A pair seen once has one table in every sweep, so only the others are seated. A document's
+frequent words after frequent contexts are looked up in the tasks in a table of checked size, all other
+tokens by joins.
 
 Cases: a null or empty text is its end token; a null id is never learned from and not held out;
 repeated rows are counted and scored each; without documents to learn from every token is unknown
@@ -20,10 +22,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from lexigaze.llm.common import SPACED, bucket, discard, mix, pieces, signed, spread, texts, word_hashes, written
+from lexigaze.llm.common import SPACED, bucket, discard, mix, numbered, pieces, signed, spread, texts, word_hashes, written
 
 END = np.uint64(0x656E64)  # the end token; words have well mixed hashes
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -43,11 +44,17 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def contexts_of(stream: np.ndarray, sizes: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    """Number of the context (the word before; the end token before a first word), -1 for a rare one."""
+def words_before(stream: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The word before each token, the end token before a first word."""
     before = np.empty_like(stream)
     before[1:] = stream[:-1]
     before[np.concatenate(([0], np.cumsum(sizes)[:-1]))[:len(sizes)]] = END
+    return before
+
+
+def contexts_of(stream: np.ndarray, sizes: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """Number of the context (the word before; the end token before a first word), -1 for a rare one."""
+    before = words_before(stream, sizes)
     at = np.minimum(np.searchsorted(contexts, before), max(len(contexts) - 1, 0))
     return np.where(contexts[at] == before, at, -1) if len(contexts) else np.full(len(stream), -1)
 
@@ -82,38 +89,48 @@ def frequent_words(docs: DataFrame, share: float) -> np.ndarray:
     return np.unique(np.append(np.array(found, np.int64).view(np.uint64), END))
 
 
-def seat_counts(docs: DataFrame, contexts: np.ndarray) -> DataFrame:
-    """word, contexts, counts: how often each word stands after each context; -1 gathers the rare ones."""
+def pair_counts(docs: DataFrame, contexts: np.ndarray) -> DataFrame:
+    """word, context, before, n: how often each word stands after each word before it.
+
+    ``context`` is the number of a frequent context, whose ``before`` is 0, and -1 for every other one.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def merged() -> pa.RecordBatch:
-            words, before, counts = (np.concatenate(x) for x in zip(*held))
-            _, counts, at = _counted(_pair(words, before), counts)
-            return pa.RecordBatch.from_arrays([pa.array(signed(words[at])), pa.array(before[at].astype(np.int32)), pa.array(counts)], ["word", "context", "n"])
+            words, before, at, counts = (np.concatenate(x) for x in zip(*held))
+            _, counts, one = _counted(_pair(words, before), counts)
+            return pa.RecordBatch.from_arrays([pa.array(signed(words[one])), pa.array(at[one].astype(np.int32)), pa.array(signed(np.where(at[one] < 0, before[one], np.uint64(0)))),
+                                               pa.array(counts)], ["word", "context", "before", "n"])
 
         for batch in pieces(batches):
             stream, sizes = tokens(batch.column("text"))
-            before = contexts_of(stream, sizes, contexts)
-            _, counts, at = _counted(_pair(stream, before), np.ones(len(stream), np.int64))
-            held.append((stream[at], before[at], counts))
-            size += len(at)
+            before = words_before(stream, sizes)
+            at = contexts_of(stream, sizes, contexts)
+            _, counts, one = _counted(_pair(stream, before), np.ones(len(stream), np.int64))
+            held.append((stream[one], before[one], at[one], counts))
+            size += len(one)
             if size > 1_500_000:
                 yield merged()
                 held, size = [], 0
         if held:
             yield merged()
 
-    pairs = docs.select("text").mapInArrow(run, "word long, context int, n long")
-    # dealt by word once; both sums use that, and a word has at most as many rows as there are contexts
-    return pairs.repartition("word").groupBy("word", "context").agg(F.sum("n").alias("n")).groupBy("word").agg(
-        F.sum("n").alias("count"), F.sort_array(F.collect_list(F.struct("context", "n"))).alias("seats")).select(
-        "word", "count", F.col("seats.context").alias("contexts"), F.col("seats.n").alias("counts"))
+    return docs.select("text").mapInArrow(run, "word long, context int, before long, n long").groupBy("word", "context", "before").agg(F.sum("n").alias("n"))
+
+
+def seat_counts(pairs: DataFrame) -> DataFrame:
+    """A row per word: its count, how often it stands after each frequent context (-1 gathers the others), how many others there are, its guests at the parent."""
+    # a word has at most as many rows as there are frequent contexts
+    return pairs.groupBy("word", "context").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).groupBy("word").agg(
+        F.sum("n").alias("count"), F.sort_array(F.collect_list(F.struct("context", "n"))).alias("seats"),
+        F.sum(F.when(F.col("context") < 0, F.col("kinds")).otherwise(0)).cast("double").alias("others"), F.sum("kinds").cast("double").alias("guests")).select(
+        "word", "count", F.col("seats.context").alias("contexts"), F.col("seats.n").alias("counts"), "others", "guests", F.lit(1.0).alias("parent_tables"))
 
 
 def _pair(words: np.ndarray, before: np.ndarray) -> np.ndarray:
-    return mix(words + (before + 2).astype(np.uint64) * _GOLDEN)
+    return mix(words + mix(before + np.uint64(2)) * _GOLDEN)
 
 
 # ------------------------------------------------------------------- seating
@@ -169,7 +186,7 @@ def seat(customers: np.ndarray, new: np.ndarray, discount: float, base: np.ndarr
     return tables
 
 
-_SEATS = ("word long, count long, contexts array<int>, counts array<bigint>, tables array<double>, parent_tables double, "
+_SEATS = ("word long, count long, contexts array<int>, counts array<bigint>, others double, guests double, tables array<double>, parent_tables double, "
           "sums array<double>, parents array<double>")
 
 
@@ -199,13 +216,14 @@ def _sweep(state: State, turn: int, predict: bool, reseat: bool):
             owner = np.repeat(np.arange(len(word)), sizes)
             inner = before >= 0
             counts = counts.astype(np.float64)
-            direct = np.bincount(owner[~inner], counts[~inner], len(word))
+            fresh = batch.column("fresh").to_numpy().astype(np.float64)
+            guests = batch.column("guests").to_numpy().astype(np.float64)
             first = turn == 0
             tables = np.where(inner, 1.0, 0.0) if first else _lists(batch.column("tables"))[0].astype(np.float64)
-            own = np.ones(len(word)) if first else batch.column("parent_tables").to_numpy().astype(np.float64)
+            own = batch.column("parent_tables").to_numpy().astype(np.float64)
             sums = np.zeros(len(counts)) if first else _lists(batch.column("sums"))[0].copy()
             parents = np.zeros((len(word), 0)) if first else _lists(batch.column("parents"))[0].reshape(len(word), -1)
-            parent = state.parent(direct + np.bincount(owner, tables, len(word)), own)
+            parent = state.parent(guests, own)
             u = np.where(inner, before, 0)
             if predict:
                 rest = state.strength[1] + state.customers[u]
@@ -217,28 +235,45 @@ def _sweep(state: State, turn: int, predict: bool, reseat: bool):
                 base = parent[owner[some]]
                 others = np.maximum(state.tables[u[some]] - tables[some], 0)
                 tables[some] = seat(counts[some], (state.strength[1] + state.discount[1] * others) * base, state.discount[1], base, keys, turn)
-                guests = direct + np.bincount(owner, tables, len(word))
+                guests = fresh + np.bincount(owner, tables, len(word))
                 even = np.full(len(word), 1.0 / (state.words + 1))
                 others = np.maximum(state.parent_tables - own, 0)
                 own = seat(guests, (state.strength[0] + state.discount[0] * others) * even, state.discount[0], even, mix(word), turn)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), batch.column("count"), batch.column("contexts"), batch.column("counts"), _listed(tables, sizes, pa.float64()),
+                [batch.column("word"), batch.column("count"), batch.column("contexts"), batch.column("counts"), batch.column("others"), pa.array(guests), _listed(tables, sizes, pa.float64()),
                  pa.array(own), _listed(sums, sizes, pa.float64()), _listed(parents.reshape(-1), np.full(len(word), parents.shape[1]), pa.float64())],
                 _NAMES)
             total = np.bincount(u[inner], tables[inner], places)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([[]], pa.list_(pa.int32())), pa.array([[]], pa.list_(pa.int64())),
+                [pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([[]], pa.list_(pa.int32())), pa.array([[]], pa.list_(pa.int64())), pa.array([0.0]), pa.array([guests.sum()]),
                  pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([own.sum()]),
-                 pa.array([[direct.sum() + tables[inner].sum()]], pa.list_(pa.float64())), pa.array([[]], pa.list_(pa.float64()))], _NAMES)
+                 pa.array([[]], pa.list_(pa.float64())), pa.array([[]], pa.list_(pa.float64()))], _NAMES)
     return run
 
 
-_NAMES = ["word", "count", "contexts", "counts", "tables", "parent_tables", "sums", "parents"]
+_NAMES = ["word", "count", "contexts", "counts", "others", "guests", "tables", "parent_tables", "sums", "parents"]
+
+
+def _pair_sweep(state: State, turn: int, predict: bool):
+    """The same for the pairs of the other contexts that were seen more than once; ``total`` sums the tables of the samples."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, before = (batch.column(c).to_numpy().view(np.uint64) for c in ("word", "before"))
+            n, tables, total, guests, own, there = (batch.column(c).to_numpy().astype(np.float64) for c in ("n", "tables", "total", "guests", "parent_tables", "there"))
+            base = state.parent(guests, own)
+            if predict:
+                total = total + tables
+            tables = seat(n, (state.strength[1] + state.discount[1] * np.maximum(there - tables, 0)) * base, state.discount[1], base, _pair(word, before), turn)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("before"), batch.column("n"), pa.array(tables), pa.array(total)], ["word", "before", "n", "tables", "total"])
+    return run
+
+
+_PAIRS = "word long, before long, n long, tables double, total double"
 
 
 def _next(state: State, seats: DataFrame) -> State:
     places = len(state.customers)
-    row = seats.where("word IS NULL").agg(F.sum("parent_tables").alias("own"), F.sum(F.col("sums")[0]).alias("guests"),
+    row = seats.where("word IS NULL").agg(F.sum("parent_tables").alias("own"), F.sum("guests").alias("guests"),
                                           *[F.sum(F.col("tables")[i]).alias(f"t{i}") for i in range(places)]).first()
     tables = np.array([row[f"t{i}"] or 0.0 for i in range(places)])
     return State(state.words, state.discount, state.strength, state.customers, tables, row.guests or 0.0, row.own or 0.0)
@@ -257,38 +292,65 @@ class Model:
     samples: int
     back_offs: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # samples x (contexts and, last, none)
     unknown: np.ndarray = field(default_factory=lambda: np.zeros(0))  # samples
+    pairs: DataFrame | None = None  # word, before, count, p: all pairs of the contexts that are no numbers
+    places: DataFrame | None = None  # before, customers, backs (a back-off weight for every sample): those contexts
 
 
 def fit(docs: DataFrame, context_share: float = 0.005, samples: int = 2, strength: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """The model of all ``docs``. Contexts are the words of at least ``context_share`` of all tokens: 1 / context_share at most."""
+    """The model of all ``docs``. The contexts kept as arrays are the words of at least ``context_share`` of all tokens, 1 / context_share at most; all others are joined rows."""
     contexts = frequent_words(docs, context_share)
-    counts = written(seat_counts(docs, contexts))
+    counted = written(pair_counts(docs, contexts))
+    counts = written(seat_counts(counted))
     places = len(contexts)
     sizes = counts.agg(F.count(F.lit(1)).alias("words"), F.sum("count").alias("n"), F.count_if(F.col("count") == 1).alias("once"), F.count_if(F.col("count") == 2).alias("twice")).first()
-    pairs = {r.context: r for r in counts.select(F.explode(F.arrays_zip("contexts", "counts")).alias("s")).groupBy(F.col("s.contexts").alias("context")).agg(
-        F.sum("s.counts").alias("n"), F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("s.counts") == 1).alias("once"), F.count_if(F.col("s.counts") == 2).alias("twice")).collect()}
+    pairs = {r.context: r for r in counted.groupBy("context").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect()}
     customers = np.array([float(pairs[i].n) if i in pairs else 0.0 for i in range(places)])
     kinds = np.array([float(pairs[i].kinds) if i in pairs else 0.0 for i in range(places)])
-    inner = [r for i, r in pairs.items() if i >= 0]
     discount = tuple(min(max(a / (a + 2 * b), 0.05), 0.95) if a else 0.5 for a, b in (
-        (sizes.once, sizes.twice), (sum(r.once for r in inner), sum(r.twice for r in inner))))
-    direct = float(pairs[-1].n) if -1 in pairs else 0.0
-    state = State(sizes.words, discount, strength, customers, kinds, direct + kinds.sum(), float(sizes.words))
+        (sizes.once, sizes.twice), (sum(r.once for r in pairs.values()), sum(r.twice for r in pairs.values()))))
+    state = State(sizes.words, discount, strength, customers, kinds, float(sum(r.kinds for r in pairs.values())), float(sizes.words))
     model = Model(contexts, counts, sizes.n or 0, sizes.words, samples)
+    rare = counted.where("context < 0")
+    places = written(rare.groupBy("before").agg(F.sum("n").cast("double").alias("customers"), F.count(F.lit(1)).cast("double").alias("kinds")).select(
+        "before", "customers", "kinds", F.col("kinds").alias("there"), F.array().cast("array<double>").alias("backs")))
+    many = rare.where("n > 1").select("word", "before", "n", F.lit(1.0).alias("tables"), F.lit(0.0).alias("total"))
     seats, back_offs, unknown = counts, [], []
     for turn in range(samples + 2):
         predict, reseat = turn >= 2, turn <= samples
+        older = [seats, places, many] if turn else [seats, places]
+        words = seats.where("word IS NOT NULL")
         if predict:
             back_offs.append(np.append(state.back_off(), 1.0))
             unknown.append(float(state.parent(np.zeros(1), np.zeros(1))[0]))
-        older, seats = seats, written(seats.where("word IS NOT NULL").mapInArrow(_sweep(state, turn, predict, reseat), _SEATS))
-        discard(older)
+        # tables of the pairs first, then those of the words and contexts that they add up to
+        many = written(many.join(words.select("word", "guests", "parent_tables"), "word").join(places.select("before", "there"), "before").mapInArrow(
+            _pair_sweep(state, turn, predict), _PAIRS)) if reseat else written(many.withColumn("total", F.col("total") + F.col("tables")))
+        back = (strength[1] + discount[1] * F.col("there")) / (strength[1] + F.col("customers"))
+        more = many.groupBy("before").agg(F.sum(F.col("tables") - 1).alias("more"))
+        places = written(places.join(more, "before", "left").select(
+            "before", "customers", "kinds", (F.col("kinds") + F.coalesce("more", F.lit(0.0))).alias("there"), (F.array_append("backs", back) if predict else F.col("backs")).alias("backs")))
+        extra = many.groupBy("word").agg(F.sum(F.col("tables") - 1).alias("extra"))
+        fresh = words.join(extra, "word", "left").withColumn("fresh", F.col("others") + F.coalesce("extra", F.lit(0.0))).drop("extra")
+        seats = written(fresh.mapInArrow(_sweep(state, turn, predict, reseat), _SEATS))
+        for table in older:
+            discard(table)
         if reseat:
             state = _next(state, seats)
-    model.seats, model.back_offs, model.unknown = seats.where("word IS NOT NULL"), np.array(back_offs), np.array(unknown)
+    model.seats, model.back_offs, model.unknown, model.places = seats.where("word IS NOT NULL"), np.array(back_offs), np.array(unknown), places
+    seen = rare.where("n = 1").select("word", "before", "n", F.lit(float(samples)).alias("total")).unionByName(many.select("word", "before", "n", "total"))
+    own = (F.col("n") - discount[1] * F.col("total") / samples) / (strength[1] + F.col("customers"))
+    model.pairs = written(seen.join(model.seats.select("word", "count", "parents"), "word").join(places.select("before", "customers", "backs"), "before").select(
+        "word", "before", "count", (own + _mean_product("backs", "parents", samples)).alias("p")))
+    discard(counted), discard(many)
     return model
 
 
+def _mean_product(a: str, b: str, samples: int):
+    parts = [F.get(a, F.lit(s)) * F.get(b, F.lit(s)) for s in range(samples)]
+    return sum(parts[1:], parts[0]) / samples
+
+
 # ------------------------------------------------------------------- scoring
 
 @dataclass
@@ -328,15 +390,14 @@ def _scored(model_contexts: np.ndarray, table, back_offs: np.ndarray, samples: i
     """A row per text with the sums over its frequent words, and one for each of its other tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot: Frequent = table.value
-        context = TaskContext.get()
-        row = (context.partitionId() if context else 0) << 40
-        names = ["word", "context", "row", "doc_id", "tokens", "known", "base", "score"]
+        names = ["word", "context", "before", "row", "doc_id", "tokens", "known", "base", "score"]
         for batch in pieces(batches):
             stream, sizes = tokens(batch.column("text"))
             before = contexts_of(stream, sizes, model_contexts)
+            ahead = words_before(stream, sizes)
             text = np.repeat(np.arange(len(sizes)), sizes)
             at = np.minimum(np.searchsorted(hot.words, stream), max(len(hot.words) - 1, 0))
-            found = hot.words[at] == stream if len(hot.words) else np.zeros(len(stream), bool)
+            found = (hot.words[at] == stream) & (before >= 0) if len(hot.words) else np.zeros(len(stream), bool)
             f, u = at[found], before[found]
             # seen after this context: the average; else the parent's part of every sample
             p = (back_offs[:, u].T * hot.parents[f]).sum(1) / samples if len(f) else np.zeros(0)
@@ -346,17 +407,16 @@ def _scored(model_contexts: np.ndarray, table, back_offs: np.ndarray, samples: i
             p[seen] = hot.means[place[seen]]
             n = len(sizes)
             base = np.log10((hot.counts[f] + ADDED) / (total + ADDED * (words + 1)))
-            rows = row + np.arange(n)
-            row += n
+            rows = batch.column("row").to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(mix(rows.astype(np.uint64)))), pa.array(np.full(n, -2, np.int32)), pa.array(rows), batch.column("doc_id"), pa.array(sizes),
+                [pa.array(signed(mix(rows.astype(np.uint64)))), pa.array(np.full(n, -2, np.int32)), pa.array(np.zeros(n, np.int64)), pa.array(rows), batch.column("doc_id"), pa.array(sizes),
                  pa.array(np.bincount(text[found], minlength=n)), pa.array(np.bincount(text[found], base, n).astype(np.float64)),
                  pa.array(np.bincount(text[found], np.log10(p), n).astype(np.float64))], names)
             rest = ~found
             m = int(rest.sum())
             zeros = pa.array(np.zeros(m, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(stream[rest])), pa.array(before[rest].astype(np.int32)), pa.array(rows[text[rest]]), pa.nulls(m, pa.int64()), zeros, zeros,
+                [pa.array(signed(stream[rest])), pa.array(before[rest].astype(np.int32)), pa.array(signed(ahead[rest])), pa.array(rows[text[rest]]), pa.nulls(m, pa.int64()), zeros, zeros,
                  pa.array(np.zeros(m)), pa.array(np.zeros(m))], names)
     return run
 
@@ -366,21 +426,34 @@ def score(docs: DataFrame, model: Model, share: float = 1e-6, most_pairs: int =
     hot, least = frequent_table(model, share, most_pairs)
     table = docs.sparkSession.sparkContext.broadcast(hot)
     total, words, samples = model.train_tokens, model.words, model.samples
-    rows = texts(docs).mapInArrow(_scored(model.contexts, table, model.back_offs, samples, total, words),
-                                  "word long, context int, row long, doc_id long, tokens long, known long, base double, score double")
+    rows = numbered(docs).mapInArrow(_scored(model.contexts, table, model.back_offs, samples, total, words),
+                                  "word long, context int, before long, row long, doc_id long, tokens long, known long, base double, score double")
+    # the same conditions in both branches of a join, so that what is dealt for one serves the other
+    rows = rows.where("word IS NOT NULL AND before IS NOT NULL")
+    base = F.log10((F.coalesce("count", F.lit(0)) + ADDED) / F.lit(total + ADDED * (words + 1)))
+    unknown = F.array(*[F.lit(float(u)) for u in model.unknown])
+    known = F.col("count").isNotNull().cast("long")
+    none = [F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("tokens")]
+
+    # after frequent contexts, and the rows that stand for whole texts
     rare = model.seats.where(F.col("count") < least).select(F.col("word").alias("w"), "count", "contexts", "sums", "parents")
-    joined = rows.join(rare, F.col("word") == F.col("w"), "left")
-    number = F.when(F.col("context") >= 0, F.col("context")).otherwise(F.lit(len(model.contexts)))
-    parts = [F.lit(model.back_offs[s].tolist())[number] * F.coalesce(F.get("parents", F.lit(s)), F.lit(float(model.unknown[s]))) for s in range(samples)]
-    unseen = sum(parts[1:], parts[0]) / samples
+    joined = rows.where("context <> -1").join(rare, F.col("word") == F.col("w"), "left")
+    parts = [F.lit(model.back_offs[s].tolist())[F.col("context")] * F.coalesce(F.get("parents", F.lit(s)), F.lit(float(model.unknown[s]))) for s in range(samples)]
     place = F.array_position("contexts", F.col("context"))
-    seen = (F.col("context") >= 0) & F.coalesce(place > 0, F.lit(False))
-    p = F.when(seen, F.get("sums", (place - 1).cast("int")) / samples).otherwise(unseen)
+    p = F.when(F.coalesce(place > 0, F.lit(False)), F.get("sums", (place - 1).cast("int")) / samples).otherwise(sum(parts[1:], parts[0]) / samples)
     own = F.col("context") == -2
-    base = F.log10((F.coalesce("count", F.lit(0)) + ADDED) / F.lit(total + ADDED * (words + 1)))
-    return joined.select(
-        "row", "doc_id", "tokens", F.when(own, F.col("known")).otherwise(F.col("count").isNotNull().cast("long")).alias("known"),
-        F.when(own, F.col("base")).otherwise(base).alias("base"), F.when(own, F.col("score")).otherwise(F.log10(p)).alias("score")).groupBy("row").agg(
+    frequent = joined.select(
+        "row", "doc_id", "tokens", F.when(own, F.col("known")).otherwise(known).alias("known"),
+        F.when(own, F.col("base")).otherwise(base).alias("base"), F.when(own, F.col("score")).otherwise(F.log10(p)).alias("score"))
+
+    # after all other contexts: pairs that were learned, and pairs that were not
+    others = rows.where("context = -1").select("word", "before", "row")
+    seen = others.join(model.pairs, ["word", "before"]).select("row", *none, known.alias("known"), base.alias("base"), F.log10("p").alias("score"))
+    new = others.join(model.pairs.select("word", "before"), ["word", "before"], "left_anti").join(model.seats.select("word", "count", "parents"), "word", "left").join(
+        model.places.select("before", "backs"), "before", "left").withColumns(
+        {"parents": F.coalesce("parents", unknown), "backs": F.coalesce("backs", F.array(*[F.lit(1.0)] * samples))})
+    unseen = new.select("row", *none, known.alias("known"), base.alias("base"), F.log10(_mean_product("backs", "parents", samples)).alias("score"))
+    return frequent.unionByName(seen).unionByName(unseen).groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"),
         F.sum("base").alias("base_score"), F.sum("score").alias("score")).drop("row")
 

@@ -235,3 +235,19 @@ def test_gradients():
         down = loss()
         flat[i] = old
         assert g.reshape(-1)[i] == pytest.approx((up - down) / 2e-2, rel=0.15, abs=1e-3)
+
+
+def test_every_word_is_a_context(spark):
+    """Predictions after words that are rare, all known words and the unknown one, sum to one; a seen follower gains."""
+    docs = table(spark, "documents", "0.001").limit(40)
+    model = pitman_yor.fit(docs, context_share=0.05)
+    parents = {r.word: r.parents for r in model.seats.collect()}
+    after = {}
+    for r in model.pairs.collect():
+        after.setdefault(r.before, {})[r.word] = r.p
+    places = {r.before: r.backs for r in model.places.collect()}
+    assert set(after) == set(places) and len(model.contexts) + len(places) == len(parents)
+    for u in sorted(after)[::max(len(after) // 20, 1)]:
+        mean = lambda x: sum(b * v for b, v in zip(places[u], x)) / model.samples
+        assert mean(model.unknown) + sum(after[u].get(w, mean(x)) for w, x in parents.items()) == pytest.approx(1.0, abs=1e-6)
+        assert all(p > mean(parents[w]) for w, p in after[u].items())
