@@ -4,11 +4,10 @@ Words are dishes. Every word that something follows is a context with a restaura
 tables of all these restaurants are customers of one parent restaurant, whose base is even over the known
 words and one unknown. A sweep seats the customers of every dish anew (each opens a table or joins one, by
 the Chinese-restaurant rule) given the tables of all the others as of the sweep before; predictive
-probabilities are averaged over the sweeps after the first. Frequent contexts, a bounded number, lie in
-arrays beside each word; those of all other contexts are rows of a table of pairs, joined by word and by
-context. A pair seen once has one table in every sweep, so only the others are seated. A document's
-frequent words after frequent contexts are looked up in the tasks in a table of checked size, all other
-tokens by joins.
+probabilities are averaged over the sweeps after the first. Pairs of word and context are dealt by word into
+parts, whose rows hold packed arrays. What holds for a frequent context, a bounded number, is sent to the
+tasks; what holds for any other is joined by context. A pair seen once has one table in every sweep, so only
+the others are seated. To be scored, tokens are dealt by word, too, and meet the pairs of their part.
 
 Cases: a null or empty text is its end token; a null id is never learned from and not held out;
 repeated rows are counted and scored each; without documents to learn from every token is unknown
@@ -18,18 +17,20 @@ repeated rows are counted and scored each; without documents to learn from every
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexigaze.llm.common import SPACED, bucket, discard, mix, numbered, pieces, signed, spread, texts, word_hashes, written
+from lexigaze.llm.common import SPACED, bucket, discard, mix, pieces, signed, spread, texts, word_hashes, written
 
 END = np.uint64(0x656E64)  # the end token; words have well mixed hashes
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 FOLDS = 10
 ADDED = 0.1
+CHUNK = 700_000  # tokens that a task packs at once
+PARTS, PART_TOKENS = 24, 8_000_000  # at least so many parts, and one for so many tokens
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -44,93 +45,279 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def words_before(stream: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The word before each token, the end token before a first word."""
-    before = np.empty_like(stream)
-    before[1:] = stream[:-1]
-    before[np.concatenate(([0], np.cumsum(sizes)[:-1]))[:len(sizes)]] = END
+def words_before(w: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
+    """The number of the word before each token, that of the end token before a first word."""
+    before = np.empty_like(w)
+    before[1:] = w[:-1]
+    before[np.concatenate(([0], np.cumsum(sizes)[:-1]))[:len(sizes)]] = end
     return before
 
 
-def contexts_of(stream: np.ndarray, sizes: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    """Number of the context (the word before; the end token before a first word), -1 for a rare one."""
-    before = words_before(stream, sizes)
-    at = np.minimum(np.searchsorted(contexts, before), max(len(contexts) - 1, 0))
-    return np.where(contexts[at] == before, at, -1) if len(contexts) else np.full(len(stream), -1)
+def contexts_of(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """Number of the frequent context that a word is, -1 for a rare one."""
+    at = np.minimum(np.searchsorted(contexts, words), max(len(contexts) - 1, 0))
+    return np.where(contexts[at] == words, at, -1) if len(contexts) else np.full(len(words), -1)
 
 
-def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, int)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts, order[first]
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 # -------------------------------------------------------------------- counts
 
-def frequent_words(docs: DataFrame, share: float) -> np.ndarray:
-    """Words that make up ``share`` of all tokens, counted in the tasks where they make up a quarter of that; at most 4 / share rows each."""
+def frequent_words(docs: DataFrame, share: float, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Up to ``most`` frequent words, and words that make up ``share`` of all tokens (counted in the tasks where they
+    make up a quarter of that) in ascending order; which of them make up ``share``; how many tokens there are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, n, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        every, times = have, n
+        later: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in pieces(batches):
             stream, _ = tokens(batch.column("text"))
             total += len(stream)
-            words, counts, _ = _counted(stream, np.ones(len(stream), np.int64))
+            words, counts = np.unique(stream, return_counts=True)
             some = counts * 8 >= share * len(stream)
-            have, n, _ = _counted(np.concatenate((have, words[some])), np.concatenate((n, counts[some])))
+            have, n = _counted(np.concatenate((have, words[some])), np.concatenate((n, counts[some])))
+            later.append((words, counts))
+            if sum(len(x) for x, _ in later) > CHUNK:
+                every, times = _counted(*(np.concatenate(x) for x in zip((every, times), *later)))
+                later = []
+                if len(every) > 8 * most:  # the list is a choice of speed alone
+                    every, times = every[times > 1], times[times > 1]
+        every, times = _counted(*(np.concatenate(x) for x in zip((every, times), *later)))
         some = n * 4 >= share * total
-        yield pa.RecordBatch.from_arrays([pa.array(signed(have[some])), pa.array(n[some]), pa.array(np.zeros(some.sum(), np.int64))], ["word", "n", "all"])
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([total], pa.int64())], ["word", "n", "all"])
-
-    rows = docs.select("text").mapInArrow(run, "word long, n long, all long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
-    rows = written(rows)
+        more = times > 1
+        zeros = lambda k: pa.array(np.zeros(k, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(signed(have[some])), pa.array(n[some]), zeros(some.sum()), zeros(some.sum())], ["word", "n", "times", "all"])
+        yield pa.RecordBatch.from_arrays([pa.array(signed(every[more])), zeros(more.sum()), pa.array(times[more]), zeros(more.sum())], ["word", "n", "times", "all"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), zeros(1), zeros(1), pa.array([total], pa.int64())], ["word", "n", "times", "all"])
+
+    rows = written(docs.select("text").mapInArrow(run, "word long, n long, times long, all long").groupBy("word").agg(
+        F.sum("n").alias("n"), F.sum("times").alias("times"), F.sum("all").alias("all")))
     total = rows.agg(F.sum("all")).first()[0] or 0
-    found = [r.word for r in rows.where((F.col("n") > 0) & (F.col("n") >= share * total)).collect()]
-    return np.unique(np.append(np.array(found, np.int64).view(np.uint64), END))
+    rows = rows.where("word IS NOT NULL")
+    large = np.array([r.word for r in rows.where((F.col("n") > 0) & (F.col("n") >= share * total)).collect()], np.int64).view(np.uint64)
+    large = np.unique(np.append(large, END))
+    found = rows.orderBy(F.desc("times"), "word").limit(most).select("word").toArrow().column(0).to_numpy().view(np.uint64)
+    discard(rows)
+    found = np.union1d(found, large)
+    return found, np.isin(found, large), total
 
 
-def pair_counts(docs: DataFrame, contexts: np.ndarray) -> DataFrame:
-    """word, context, before, n: how often each word stands after each word before it.
+def _pair(words: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return mix(words + mix(before + np.uint64(2)) * _GOLDEN)
 
-    ``context`` is the number of a frequent context, whose ``before`` is 0, and -1 for every other one.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
 
-        def merged() -> pa.RecordBatch:
-            words, before, at, counts = (np.concatenate(x) for x in zip(*held))
-            _, counts, one = _counted(_pair(words, before), counts)
-            return pa.RecordBatch.from_arrays([pa.array(signed(words[one])), pa.array(at[one].astype(np.int32)), pa.array(signed(np.where(at[one] < 0, before[one], np.uint64(0)))),
-                                               pa.array(counts)], ["word", "context", "before", "n"])
+# --------------------------------------------------------------------- parts
+
+#: Rows of a part: packed arrays of one ``kind``; ``place`` is the row number of a chunk's first text.
+_ROWS = "part int, kind int, place long, data array<binary>"
+_PAIRS, _SEATS, _TOKENS, _TEXTS, _SUMS, _RARE = range(6)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """An array by planes of bytes, compressed."""
+    values = np.ascontiguousarray(values)
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T
+    return values.dtype.char.encode() + len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    kind, n = np.dtype(chr(data[0])), int.from_bytes(data[1:9], "little")
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(data[9:], n * kind.itemsize, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind).reshape(n)
+
+
+def _small(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.int32 if not len(values) or values.max() < 1 << 31 else np.int64)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    """(part, kind, place, arrays) as rows."""
+    part, kind, place, data = zip(*rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(place, pa.int64()), pa.array([[packed(x) for x in d] for d in data], pa.list_(pa.binary()))],
+        ["part", "kind", "place", "data"])
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, list[np.ndarray]]]:
+    for batch in batches:
+        data = batch.column("data")
+        for at, (part, kind, place) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "place")))):
+            yield part, kind, place, [unpacked(x) for x in data[at].as_py()]
+
+
+def _firsts(sizes: np.ndarray) -> np.ndarray:
+    return (np.cumsum(sizes) - sizes)[sizes > 0]
+
 
+def _steps(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Ascending numbers of each group as steps from one to the next, the first as it is."""
+    out = np.diff(values, prepend=0)
+    first = _firsts(sizes)
+    out[first] = values[first]
+    return out.astype(np.int32)
+
+
+def _walked(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    total, first = np.cumsum(steps, dtype=np.int64), _firsts(sizes)
+    return total - np.repeat(total[first] - steps[first], sizes[sizes > 0])
+
+
+def _owners(sizes: np.ndarray) -> np.ndarray:
+    return np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where equal neighbours begin."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
+
+
+def _summed(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, first) if len(first) else values[:0]
+
+
+def _dealt(docs: DataFrame, contexts, parts: int, count: bool) -> DataFrame:
+    """Tokens by parts of the words: how often each pair stands there, or else the text of each token.
+
+    Arrays of a row: words; how many entries each has after frequent contexts, these contexts' numbers, counts or
+    texts; how many after others, those contexts, counts or texts.
+    """
+    def chunk(held: list[tuple]) -> list[tuple]:
+        stream, sizes, rows, ids, nulls = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        places = len(contexts.value)
+        words, w = np.unique(stream, return_inverse=True)
+        before = words_before(w, sizes, int(np.searchsorted(words, END)))
+        at = contexts_of(words, contexts.value)[before]
+        inner = at >= 0
+        if count:
+            key = np.sort(w[inner] * places + at[inner])
+            first = _runs(key)
+            own, context, value = key[first] // places, key[first] % places, np.diff(first, append=len(key))
+            key = np.sort(w[~inner] * len(words) + before[~inner])
+            first = _runs(key)
+            other, ahead, value_2 = key[first] // len(words), words[key[first] % len(words)], np.diff(first, append=len(key))
+        else:
+            text = _owners(sizes)
+            key, value = np.divmod(np.sort((w[inner] * places + at[inner]) * len(sizes) + text[inner]), len(sizes))
+            own, context = np.divmod(key, places)
+            some = np.flatnonzero(~inner)
+            some = some[np.argsort(w[some], kind="stable")]
+            other, ahead, value_2 = w[some], words[before[some]], text[some]
+        n, n_2 = np.bincount(own, minlength=len(words)), np.bincount(other, minlength=len(words))
+        edges = np.searchsorted((words >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+        cut, cut_2 = (np.concatenate(([0], np.cumsum(x)))[edges] for x in (n, n_2))
+        place = int(rows[0]) if len(rows) else 0
+        out = [(p, _TOKENS, place, (words[a:b], _small(n[a:b]), _steps(context[cut[p]:cut[p + 1]], n[a:b]), _small(value[cut[p]:cut[p + 1]]),
+                                    _small(n_2[a:b]), ahead[cut_2[p]:cut_2[p + 1]], _small(value_2[cut_2[p]:cut_2[p + 1]])))
+               for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if a < b]
+        return out if count else out + [(place % parts, _TEXTS, place, (ids, nulls, _small(sizes)))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in pieces(batches):
             stream, sizes = tokens(batch.column("text"))
-            before = words_before(stream, sizes)
-            at = contexts_of(stream, sizes, contexts)
-            _, counts, one = _counted(_pair(stream, before), np.ones(len(stream), np.int64))
-            held.append((stream[one], before[one], at[one], counts))
-            size += len(one)
-            if size > 1_500_000:
-                yield merged()
-                held, size = [], 0
+            none = np.zeros(0, np.int64)
+            ids = batch.column("doc_id") if not count else None
+            held.append((stream, sizes, none if count else batch.column("row").to_numpy(),
+                         none if count else ids.fill_null(0).to_numpy(), none.astype(bool) if count else ids.is_null().to_numpy(zero_copy_only=False)))
+            size += len(stream)
+            if size > CHUNK:
+                yield _rows(chunk(held))
+                size = 0
         if held:
-            yield merged()
+            yield _rows(chunk(held))
 
-    return docs.select("text").mapInArrow(run, "word long, context int, before long, n long").groupBy("word", "context", "before").agg(F.sum("n").alias("n"))
+    # the texts of a chunk stand together, so its first row number gives those of all
+    rows = docs.select("text") if count else docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return rows.mapInArrow(run, _ROWS)
 
 
-def seat_counts(pairs: DataFrame) -> DataFrame:
-    """A row per word: its count, how often it stands after each frequent context (-1 gathers the others), how many others there are, its guests at the parent."""
-    # a word has at most as many rows as there are frequent contexts
-    return pairs.groupBy("word", "context").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).groupBy("word").agg(
-        F.sum("n").alias("count"), F.sort_array(F.collect_list(F.struct("context", "n"))).alias("seats"),
-        F.sum(F.when(F.col("context") < 0, F.col("kinds")).otherwise(0)).cast("double").alias("others"), F.sum("kinds").cast("double").alias("guests")).select(
-        "word", "count", F.col("seats.context").alias("contexts"), F.col("seats.n").alias("counts"), "others", "guests", F.lit(1.0).alias("parent_tables"))
+def _by_part(rows: DataFrame, parts: int) -> DataFrame:
+    return rows.repartition(3 * parts, "part").sortWithinPartitions("part", "kind")  # so that few parts meet in a task
 
 
-def _pair(words: np.ndarray, before: np.ndarray) -> np.ndarray:
-    return mix(words + mix(before + np.uint64(2)) * _GOLDEN)
+def pair_counts(docs: DataFrame, contexts, parts: int) -> DataFrame:
+    """The pairs of each part, the seats before the first sweep, and what frequent contexts, other contexts and all words add up to."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = len(contexts.value)
+
+        def merged(part: int, held: list) -> pa.RecordBatch:
+            words, sizes, context, n, sizes_2, before, n_2 = (np.concatenate(x) for x in zip(*held))
+            words, at = np.unique(words, return_inverse=True)
+            key = np.repeat(at, sizes) * places + context
+            order = np.argsort(key)
+            key = key[order]
+            first = _runs(key)
+            n, own, context = _summed(n[order].astype(np.int64), first), key[first] // places, key[first] % places
+            other = np.repeat(at, sizes_2)
+            order = np.lexsort((before, other))
+            other, before = other[order], before[order]
+            first = _runs(other, before)
+            n_2, other, before = _summed(n_2[order].astype(np.int64), first), other[first], before[first]
+            k = len(words)
+            sums = lambda x, y=None: np.bincount(x, y, k).astype(np.int64)
+            count = sums(own, n) + sums(other, n_2)
+            # pairs seen once are only counted, the others are seated; a word seen once has one guest and one table
+            more, more_2, often = n > 1, n_2 > 1, count > 1
+            alone, sizes, sizes_2 = (x[often] for x in (sums(own[~more]) + sums(other[~more_2]), sums(own[more]), sums(other[more_2])))
+            nils = lambda x: np.zeros(x.sum(), np.int32)
+            rare = np.argsort(before)
+            start = _runs(before[rare])
+            return _rows([
+                (part, _PAIRS, 0, (words, _small(count), _small(sums(own)), _steps(context, sums(own)), _small(n), _small(sums(other)), before, _small(n_2))),
+                (part, _SEATS, 0, (words[often], _small(alone), _small(sizes), _steps(context[more], sizes), _small(n[more]),
+                                   _small(sizes_2), before[more_2], _small(n_2[more_2]), nils(more) + 1, nils(more), nils(more_2) + 1, nils(more_2), nils(often) + 1)),
+                (part, _SUMS, 0, (_small(np.bincount(context, n, places)), _small(np.bincount(context, minlength=places)), np.array(
+                    [k, count.sum(), (count == 1).sum(), (count == 2).sum(), (n == 1).sum() + (n_2 == 1).sum(), (n == 2).sum() + (n_2 == 2).sum(), len(n) + len(n_2)]))),
+                (part, _RARE, 0, (before[rare][start], _summed(n_2[rare], start), np.diff(start, append=len(rare))))])
+
+        held, last = [], None
+        for part, _, _, (words, sizes, steps, *rest) in _read(batches):
+            if held and part != last:
+                yield merged(last, held)
+                held = []
+            last = part
+            held.append((words, sizes, _walked(steps, sizes), *rest))
+        if held:
+            yield merged(last, held)
+
+    return written(_by_part(_dealt(docs, contexts, parts, True), parts).mapInArrow(run, _ROWS))
+
+
+def _unrolled(rows: DataFrame, kind: int, schema: str) -> DataFrame:
+    """A row for each place of the arrays of one kind."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, _, _, arrays in _read(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(arrays[0]), part, np.int32))] + [pa.array(signed(x) if x.dtype == np.uint64 else x.astype(np.int64)) for x in arrays[:len(names)]],
+                                             ["part", *names])
+    return rows.where(F.col("kind") == kind).mapInArrow(run, f"part int, {schema}")
+
+
+def _sums(rows: DataFrame, places: tuple[int, ...]) -> list[np.ndarray]:
+    """Sums over all parts: numbers for each frequent context, and a few for all."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for *_, arrays in _read(batches):
+            total = [x.astype(np.int64) + (0 if total is None else y) for x, y in zip(arrays, total or arrays)]
+        if total:
+            yield _rows([(0, _SUMS, 0, total)])
+
+    found = rows.where(F.col("kind") == _SUMS).mapInArrow(run, _ROWS).select("data").toLocalIterator()
+    out = [np.zeros(n) for n in places]
+    for row in found:
+        out = [x + unpacked(y) for x, y in zip(out, row.data)]
+    return out
 
 
 # ------------------------------------------------------------------- seating
@@ -142,6 +329,8 @@ class State:
     words: int  # known words
     discount: tuple[float, float]  # parent, contexts
     strength: tuple[float, float]
+    contexts: np.ndarray  # the frequent ones
+    numbers: np.ndarray  # of those whose draws go by number, -1 for the others
     customers: np.ndarray  # of each context
     tables: np.ndarray  # of each context
     parent_customers: float = 0.0
@@ -186,274 +375,305 @@ def seat(customers: np.ndarray, new: np.ndarray, discount: float, base: np.ndarr
     return tables
 
 
-_SEATS = ("word long, count long, contexts array<int>, counts array<bigint>, others double, guests double, tables array<double>, parent_tables double, "
-          "sums array<double>, parents array<double>")
+def _sweep(shared, turn: int, predict: bool):
+    """One pass over the seats: keep the present seating as a sample, then seat anew.
 
-
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat, np.diff(column.offsets.to_numpy())
-
-
-def _listed(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values, kind))
-
-
-def _sweep(state: State, turn: int, predict: bool, reseat: bool):
-    """One pass over all words: add the predictions of the present seating, then seat anew.
-
-    The row without a word in each batch carries the batch's tables per context, for the next state.
+    Arrays of a row: words seen more than once, their pairs seen once, their pairs (frequent contexts, counts; others, counts), tables of
+    each pair and their sum over the samples, tables at the parent, and of each sample the guests and tables there.
     """
-    places = len(state.customers)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: State = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            word = batch.column("word").to_numpy().view(np.uint64)
-            before, sizes = _lists(batch.column("contexts"))
-            counts, _ = _lists(batch.column("counts"))
-            owner = np.repeat(np.arange(len(word)), sizes)
-            inner = before >= 0
-            counts = counts.astype(np.float64)
-            fresh = batch.column("fresh").to_numpy().astype(np.float64)
-            guests = batch.column("guests").to_numpy().astype(np.float64)
-            first = turn == 0
-            tables = np.where(inner, 1.0, 0.0) if first else _lists(batch.column("tables"))[0].astype(np.float64)
-            own = batch.column("parent_tables").to_numpy().astype(np.float64)
-            sums = np.zeros(len(counts)) if first else _lists(batch.column("sums"))[0].copy()
-            parents = np.zeros((len(word), 0)) if first else _lists(batch.column("parents"))[0].reshape(len(word), -1)
-            parent = state.parent(guests, own)
-            u = np.where(inner, before, 0)
-            if predict:
-                rest = state.strength[1] + state.customers[u]
-                sums = sums + np.where(inner, (counts - state.discount[1] * tables) / rest + state.back_off()[u] * parent[owner], 0.0)
-                parents = np.concatenate([parents, parent[:, None]], 1)
-            if reseat:
-                some = np.flatnonzero(inner)
-                keys = mix(word[owner[some]] + (u[some] + 2).astype(np.uint64) * _GOLDEN)
-                base = parent[owner[some]]
-                others = np.maximum(state.tables[u[some]] - tables[some], 0)
-                tables[some] = seat(counts[some], (state.strength[1] + state.discount[1] * others) * base, state.discount[1], base, keys, turn)
-                guests = fresh + np.bincount(owner, tables, len(word))
-                even = np.full(len(word), 1.0 / (state.words + 1))
+            for at, (part, _, _, arrays) in enumerate(_read([batch.select(["part", "kind", "place", "data"])])):
+                words, alone, sizes, steps, n, sizes_2, before, n_2, tables, total, tables_2, total_2, own, *past = arrays
+                context = _walked(steps, sizes)
+                w, w_2 = _owners(sizes), _owners(sizes_2)
+                guests = alone + np.bincount(w, tables, len(words)) + np.bincount(w_2, tables_2, len(words))
+                parent = state.parent(guests, own.astype(np.float64))
+                if predict:
+                    total, total_2 = total + tables, total_2 + tables_2
+                    past += [_small(guests), own]
+                discount, strength = state.discount[1], state.strength[1]
+                number = state.numbers[context]
+                keys = np.where(number >= 0, mix(words[w] + (number + 2).astype(np.uint64) * _GOLDEN), _pair(words[w], state.contexts[context]))
+                others = np.maximum(state.tables[context] - tables, 0)
+                tables = seat(n.astype(np.float64), (strength + discount * others) * parent[w], discount, parent[w], keys, turn)
+                if len(before):
+                    known, there = batch.column("befores")[at].values.to_numpy().view(np.uint64), batch.column("theres")[at].values.to_numpy()
+                    order = np.argsort(known)
+                    others = np.maximum(there[order][np.searchsorted(known[order], before)] - tables_2, 0)
+                    tables_2 = seat(n_2.astype(np.float64), (strength + discount * others) * parent[w_2], discount, parent[w_2], _pair(words[w_2], before), turn)
+                guests = alone + np.bincount(w, tables, len(words)) + np.bincount(w_2, tables_2, len(words))
+                even = np.full(len(words), 1.0 / (state.words + 1))
                 others = np.maximum(state.parent_tables - own, 0)
-                own = seat(guests, (state.strength[0] + state.discount[0] * others) * even, state.discount[0], even, mix(word), turn)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), batch.column("count"), batch.column("contexts"), batch.column("counts"), batch.column("others"), pa.array(guests), _listed(tables, sizes, pa.float64()),
-                 pa.array(own), _listed(sums, sizes, pa.float64()), _listed(parents.reshape(-1), np.full(len(word), parents.shape[1]), pa.float64())],
-                _NAMES)
-            total = np.bincount(u[inner], tables[inner], places)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([[]], pa.list_(pa.int32())), pa.array([[]], pa.list_(pa.int64())), pa.array([0.0]), pa.array([guests.sum()]),
-                 pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([own.sum()]),
-                 pa.array([[]], pa.list_(pa.float64())), pa.array([[]], pa.list_(pa.float64()))], _NAMES)
+                own = _small(seat(guests, (state.strength[0] + state.discount[0] * others) * even, state.discount[0], even, mix(words), turn))
+                order = np.argsort(before)
+                first = _runs(before[order])
+                yield _rows([
+                    (part, _SEATS, 0, (words, alone, sizes, steps, n, sizes_2, before, n_2, _small(tables), total, _small(tables_2), total_2, own, *past)),
+                    (part, _SUMS, 0, (_small(np.bincount(context, tables - 1, len(state.contexts))), np.array([guests.sum(), own.sum()]).astype(np.int64))),
+                    (part, _RARE, 0, (before[order][first], _small(_summed(tables_2[order] - 1, first))))])
     return run
 
 
-_NAMES = ["word", "count", "contexts", "counts", "others", "guests", "tables", "parent_tables", "sums", "parents"]
+# --------------------------------------------------------------------- model
+
+@dataclass
+class Model:
+    """Sampled seating by parts (two written tables), its sizes and, for every sample, what holds for unseen words."""
+
+    state: State
+    counted: DataFrame
+    seated: DataFrame
+    parts: int
+    train_tokens: int
+    words: int
+    samples: int
+    back_offs: np.ndarray  # samples x (contexts and, last, none)
+    unknown: np.ndarray  # samples
+    levels: list[State]  # of each sample; only sizes of the parent are read
+    places: DataFrame  # before, customers, backs (a back-off weight for every sample): the contexts that are no numbers
 
+    @property
+    def contexts(self) -> np.ndarray:
+        return self.state.contexts
 
-def _pair_sweep(state: State, turn: int, predict: bool):
-    """The same for the pairs of the other contexts that were seen more than once; ``total`` sums the tables of the samples."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            word, before = (batch.column(c).to_numpy().view(np.uint64) for c in ("word", "before"))
-            n, tables, total, guests, own, there = (batch.column(c).to_numpy().astype(np.float64) for c in ("n", "tables", "total", "guests", "parent_tables", "there"))
-            base = state.parent(guests, own)
-            if predict:
-                total = total + tables
-            tables = seat(n, (state.strength[1] + state.discount[1] * np.maximum(there - tables, 0)) * base, state.discount[1], base, _pair(word, before), turn)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("before"), batch.column("n"), pa.array(tables), pa.array(total)], ["word", "before", "n", "tables", "total"])
-    return run
+    def rows(self) -> DataFrame:
+        return self.counted.where(F.col("kind") == _PAIRS).unionByName(self.seated.where(F.col("kind") == _SEATS))
 
+    @property
+    def seats(self) -> DataFrame:
+        """word, count, contexts, sums (of the samples' predictions after each of them), parents."""
+        return self._unrolled(_Part.seats, "word long, count long, contexts array<long>, sums array<double>, parents array<double>")
 
-_PAIRS = "word long, before long, n long, tables double, total double"
+    @property
+    def pairs(self) -> DataFrame:
+        """word, before, count, p: all pairs of the contexts that are no numbers."""
+        rows = self._unrolled(_Part.rare_pairs, "word long, before long, count long, own double, parents array<double>")
+        return rows.join(self.places, "before").select("word", "before", "count", _after_rare(F.col("own"), "parents", self).alias("p"))
 
+    def _unrolled(self, what, schema: str) -> DataFrame:
+        shared = self.counted.sparkSession.sparkContext.broadcast(self.known())
 
-def _next(state: State, seats: DataFrame) -> State:
-    places = len(state.customers)
-    row = seats.where("word IS NULL").agg(F.sum("parent_tables").alias("own"), F.sum("guests").alias("guests"),
-                                          *[F.sum(F.col("tables")[i]).alias(f"t{i}") for i in range(places)]).first()
-    tables = np.array([row[f"t{i}"] or 0.0 for i in range(places)])
-    return State(state.words, state.discount, state.strength, state.customers, tables, row.guests or 0.0, row.own or 0.0)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, pairs = shared.value, None
+            for _, kind, _, arrays in _read(batches):
+                if kind == _SEATS:
+                    yield what(_Part(known, pairs, arrays))
+                pairs = arrays
+        return _by_part(self.rows(), self.parts).mapInArrow(run, schema)
 
+    def known(self) -> Known:
+        return Known(self.state, self.levels, self.back_offs, self.unknown, self.train_tokens, self.words, self.samples)
 
-# --------------------------------------------------------------------- model
 
 @dataclass
-class Model:
-    """Sampled seating (``seats``: a written table), its sizes and, for every sample, what holds for unseen words."""
+class Known:
+    """What every task of the scoring reads."""
 
-    contexts: np.ndarray
-    seats: DataFrame
+    state: State
+    levels: list[State]
+    back_offs: np.ndarray
+    unknown: np.ndarray
     train_tokens: int
     words: int
     samples: int
-    back_offs: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # samples x (contexts and, last, none)
-    unknown: np.ndarray = field(default_factory=lambda: np.zeros(0))  # samples
-    pairs: DataFrame | None = None  # word, before, count, p: all pairs of the contexts that are no numbers
-    places: DataFrame | None = None  # before, customers, backs (a back-off weight for every sample): those contexts
 
 
-def fit(docs: DataFrame, context_share: float = 0.005, samples: int = 2, strength: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """The model of all ``docs``. The contexts kept as arrays are the words of at least ``context_share`` of all tokens, 1 / context_share at most; all others are joined rows."""
-    contexts = frequent_words(docs, context_share)
-    counted = written(pair_counts(docs, contexts))
-    counts = written(seat_counts(counted))
+class _Part:
+    """The learned words and pairs of a part."""
+
+    def __init__(self, known: Known, pairs: list[np.ndarray] | None, seats: list[np.ndarray] | None):
+        self.known, places, samples = known, len(known.state.contexts), known.samples
+        if pairs is None:
+            none = np.zeros(0, np.int64)
+            pairs, seats = [none.view(np.uint64), none, none, none, none, none, none.view(np.uint64), none], [none] * (13 + 2 * (samples - 1))
+        self.words, self.count, self.sizes, steps, n, self.sizes_2, self.before, n_2 = pairs
+        words, alone, sizes, _, _, sizes_2, _, _, tables, total, tables_2, total_2, own, *past = seats
+        past += [alone + np.bincount(_owners(sizes), tables, len(words)) + np.bincount(_owners(sizes_2), tables_2, len(words)), own]
+        self.context = _walked(steps, self.sizes)
+        self.keys = _owners(self.sizes) * places + self.context
+        self.own = self._own(n, total + tables) / (known.state.strength[1] + known.state.customers[self.context])
+        self.own_2 = self._own(n_2, total_2 + tables_2)
+        # past the last word stands the unknown one
+        at_parent = np.ones((2 * samples, len(self.words)))
+        for x, values in zip(at_parent, past):
+            x[self.count > 1] = values
+        self.parents = np.stack([np.append(level.parent(at_parent[2 * s], at_parent[2 * s + 1]), known.unknown[s]) for s, level in enumerate(known.levels)])
+
+    def _own(self, n: np.ndarray, total: np.ndarray) -> np.ndarray:
+        tables = np.full(len(n), self.known.samples, np.float64)
+        tables[n > 1] = total
+        return n - self.known.state.discount[1] * tables / self.known.samples
+
+    def seats(self) -> pa.RecordBatch:
+        w, known = _owners(self.sizes), self.known
+        sums = self.own * known.samples + (known.back_offs[:, self.context] * self.parents[:, w]).sum(0)
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(self.sizes))), pa.int32()), pa.array(x))
+        return pa.RecordBatch.from_arrays([pa.array(signed(self.words)), pa.array(self.count.astype(np.int64)), lists(self.context), lists(sums), _doubles(self.parents[:, :-1])],
+                                          ["word", "count", "contexts", "sums", "parents"])
+
+    def rare_pairs(self) -> pa.RecordBatch:
+        w = _owners(self.sizes_2)
+        return pa.RecordBatch.from_arrays([pa.array(signed(self.words[w])), pa.array(signed(self.before)), pa.array(self.count[w].astype(np.int64)), pa.array(self.own_2), _doubles(self.parents[:, w])],
+                                          ["word", "before", "count", "own", "parents"])
+
+    def found(self, words: np.ndarray) -> np.ndarray:
+        """Number of each word, that past the last for an unknown one."""
+        if not len(self.words):
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, at, len(self.words))
+
+    def after_frequent(self, w: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Probability of each word after its context."""
+        p = (self.known.back_offs[:, context] * self.parents[:, w]).sum(0) / self.known.samples
+        if len(self.keys):
+            key = w * len(self.known.state.contexts) + context
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            p += np.where(self.keys[at] == key, self.own[at], 0.0)
+        return p
+
+    def own_after_rare(self, w: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """What a pair's own customers add to its probability, before it is divided by those of the context."""
+        if not len(self.before):
+            return np.zeros(len(w))
+        if not hasattr(self, "rare"):
+            of = _owners(self.sizes_2)
+            keys = _pair(self.words[of], self.before)
+            self.order = np.argsort(keys)
+            self.rare = keys[self.order]
+            self.rare_word = of[self.order]
+        words = np.append(self.words, END)[w]
+        at = np.minimum(np.searchsorted(self.rare, _pair(words, before)), len(self.rare) - 1)
+        return np.where((self.rare_word[at] == w) & (self.before[self.order[at]] == before), self.own_2[self.order[at]], 0.0)
+
+
+def _doubles(parents: np.ndarray) -> pa.Array:
+    samples, n = parents.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * samples, pa.int32()), pa.array(np.ascontiguousarray(parents.T).reshape(-1)))
+
+
+def fit(docs: DataFrame, context_share: float = 0.005, samples: int = 2, strength: tuple[float, float] = (1.0, 1.0), most_contexts: int = 1 << 19) -> Model:
+    """The model of all ``docs``. The contexts sent to the tasks are the ``most_contexts`` most frequent words and those of at least ``context_share`` of all tokens; all others are joined rows."""
+    context = docs.sparkSession.sparkContext
+    contexts, large, total = frequent_words(docs, context_share, most_contexts)
     places = len(contexts)
-    sizes = counts.agg(F.count(F.lit(1)).alias("words"), F.sum("count").alias("n"), F.count_if(F.col("count") == 1).alias("once"), F.count_if(F.col("count") == 2).alias("twice")).first()
-    pairs = {r.context: r for r in counted.groupBy("context").agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect()}
-    customers = np.array([float(pairs[i].n) if i in pairs else 0.0 for i in range(places)])
-    kinds = np.array([float(pairs[i].kinds) if i in pairs else 0.0 for i in range(places)])
-    discount = tuple(min(max(a / (a + 2 * b), 0.05), 0.95) if a else 0.5 for a, b in (
-        (sizes.once, sizes.twice), (sum(r.once for r in pairs.values()), sum(r.twice for r in pairs.values()))))
-    state = State(sizes.words, discount, strength, customers, kinds, float(sum(r.kinds for r in pairs.values())), float(sizes.words))
-    model = Model(contexts, counts, sizes.n or 0, sizes.words, samples)
-    rare = counted.where("context < 0")
-    places = written(rare.groupBy("before").agg(F.sum("n").cast("double").alias("customers"), F.count(F.lit(1)).cast("double").alias("kinds")).select(
-        "before", "customers", "kinds", F.col("kinds").alias("there"), F.array().cast("array<double>").alias("backs")))
-    many = rare.where("n > 1").select("word", "before", "n", F.lit(1.0).alias("tables"), F.lit(0.0).alias("total"))
-    seats, back_offs, unknown = counts, [], []
-    for turn in range(samples + 2):
-        predict, reseat = turn >= 2, turn <= samples
-        older = [seats, places, many] if turn else [seats, places]
-        words = seats.where("word IS NOT NULL")
+    parts = max(PARTS, total // PART_TOKENS)
+    counted = pair_counts(docs, context.broadcast(contexts), parts)
+    customers, kinds, found = _sums(counted, (places, places, 7))
+    words, n, once, twice, pairs_once, pairs_twice, pairs = (int(x) for x in found)
+    discount = tuple(min(max(a / (a + 2 * b), 0.05), 0.95) if a else 0.5 for a, b in ((once, twice), (pairs_once, pairs_twice)))
+    numbers = np.where(large, np.cumsum(large) - 1, -1)
+    state = State(words, discount, strength, contexts, numbers, customers, kinds, float(pairs), float(words))
+    rare = written(_unrolled(counted, _RARE, "before long, customers long, kinds long").groupBy("before").agg(
+        F.sum("customers").cast("double").alias("customers"), F.sum("kinds").cast("double").alias("kinds")))
+    seats = counted
+    # contexts beyond the frequent ones whose tables change, and the parts that ask for them
+    asking = written(_asking(counted))
+    moving = written(rare.join(asking.select("before").distinct(), "before").select("*", F.col("kinds").alias("there"), F.array().cast("array<double>").alias("backs")))
+    levels, back_offs, unknown = [], [], []
+    back = lambda there: (strength[1] + discount[1] * F.col(there)) / (strength[1] + F.col("customers"))
+
+    def sample() -> None:
+        levels.append(replace(state, contexts=contexts[:0], numbers=numbers[:0], customers=customers[:0], tables=customers[:0]))
+        back_offs.append(np.append(state.back_off(), 1.0))
+        unknown.append(float(state.parent(np.zeros(1), np.zeros(1))[0]))
+
+    for turn in range(samples + 1):
+        predict = turn >= 2
         if predict:
-            back_offs.append(np.append(state.back_off(), 1.0))
-            unknown.append(float(state.parent(np.zeros(1), np.zeros(1))[0]))
-        # tables of the pairs first, then those of the words and contexts that they add up to
-        many = written(many.join(words.select("word", "guests", "parent_tables"), "word").join(places.select("before", "there"), "before").mapInArrow(
-            _pair_sweep(state, turn, predict), _PAIRS)) if reseat else written(many.withColumn("total", F.col("total") + F.col("tables")))
-        back = (strength[1] + discount[1] * F.col("there")) / (strength[1] + F.col("customers"))
-        more = many.groupBy("before").agg(F.sum(F.col("tables") - 1).alias("more"))
-        places = written(places.join(more, "before", "left").select(
-            "before", "customers", "kinds", (F.col("kinds") + F.coalesce("more", F.lit(0.0))).alias("there"), (F.array_append("backs", back) if predict else F.col("backs")).alias("backs")))
-        extra = many.groupBy("word").agg(F.sum(F.col("tables") - 1).alias("extra"))
-        fresh = words.join(extra, "word", "left").withColumn("fresh", F.col("others") + F.coalesce("extra", F.lit(0.0))).drop("extra")
-        seats = written(fresh.mapInArrow(_sweep(state, turn, predict, reseat), _SEATS))
+            sample()
+        told = asking.join(moving.select("before", "there"), "before").groupBy("part").agg(F.collect_list(F.struct("before", "there")).alias("x")).select(
+            "part", F.col("x.before").alias("befores"), F.col("x.there").alias("theres"))
+        older = [seats, moving] if turn else [moving]
+        seats = written(seats.where(F.col("kind") == _SEATS).join(told, "part", "left").mapInArrow(_sweep(context.broadcast(state), turn, predict), _ROWS))
+        more = _unrolled(seats, _RARE, "before long, more long").groupBy("before").agg(F.sum("more").alias("more"))
+        moving = written(moving.join(more, "before", "left").select(
+            "before", "customers", "kinds", (F.col("kinds") + F.coalesce("more", F.lit(0))).alias("there"), (F.array_append("backs", back("there")) if predict else F.col("backs")).alias("backs")))
         for table in older:
             discard(table)
-        if reseat:
-            state = _next(state, seats)
-    model.seats, model.back_offs, model.unknown, model.places = seats.where("word IS NOT NULL"), np.array(back_offs), np.array(unknown), places
-    seen = rare.where("n = 1").select("word", "before", "n", F.lit(float(samples)).alias("total")).unionByName(many.select("word", "before", "n", "total"))
-    own = (F.col("n") - discount[1] * F.col("total") / samples) / (strength[1] + F.col("customers"))
-    model.pairs = written(seen.join(model.seats.select("word", "count", "parents"), "word").join(places.select("before", "customers", "backs"), "before").select(
-        "word", "before", "count", (own + _mean_product("backs", "parents", samples)).alias("p")))
-    discard(counted), discard(many)
-    return model
+        added, at_parent = _sums(seats, (places, 2))
+        state = replace(state, tables=kinds + added, parent_customers=at_parent[0] + once, parent_tables=at_parent[1] + once)
+    sample()
+    last = moving.select("before", F.array_append("backs", back("there")).alias("backs"))
+    still = F.array(*[back("kinds")] * samples)
+    beyond = written(rare.join(last, "before", "left").select("before", "customers", F.coalesce("backs", still).alias("backs")))
+    discard(rare), discard(asking), discard(moving)
+    return Model(state, counted, seats, parts, n, words, samples, np.array(back_offs), np.array(unknown), levels, beyond)
+
+
+def _asking(counted: DataFrame) -> DataFrame:
+    """part, before: whose pairs with other than frequent contexts are seated."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, _, _, arrays in _read(batches):
+            before = np.unique(arrays[6])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(before), part, np.int32)), pa.array(signed(before))], ["part", "before"])
+    return counted.where(F.col("kind") == _SEATS).mapInArrow(run, "part int, before long")
 
 
-def _mean_product(a: str, b: str, samples: int):
-    parts = [F.get(a, F.lit(s)) * F.get(b, F.lit(s)) for s in range(samples)]
-    return sum(parts[1:], parts[0]) / samples
+def _after_rare(own, parents: str, model: Model):
+    parts = [F.get("backs", F.lit(s)) * F.get(parents, F.lit(s)) for s in range(model.samples)]
+    return own / (model.state.strength[1] + F.col("customers")) + sum(parts[1:], parts[0]) / model.samples
 
 
 # ------------------------------------------------------------------- scoring
 
-@dataclass
-class Frequent:
-    """Predictions for the most frequent words, small enough to be sent to the tasks."""
-
-    words: np.ndarray
-    counts: np.ndarray
-    parents: np.ndarray  # words x samples
-    pairs: np.ndarray  # word number * places + context, sorted
-    means: np.ndarray
-
-
-def frequent_table(model: Model, share: float, most_pairs: int) -> tuple[Frequent, float]:
-    """Words of at least ``share`` of the tokens; the limit is doubled until no more than ``most_pairs`` numbers are sent."""
-    least = max(share * model.train_tokens, 2.0)
-    while (model.seats.where(F.col("count") >= least).agg(F.sum(F.size("contexts") + 4)).first()[0] or 0) > most_pairs:
-        least *= 2
-    got = model.seats.where(F.col("count") >= least).select("word", "count", "contexts", "sums", "parents").toArrow().combine_chunks()
-    if not got.num_rows:
-        return Frequent(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, model.samples)), np.zeros(0, np.int64), np.zeros(0)), least
-    column = lambda c: got.column(c).combine_chunks() if isinstance(got.column(c), pa.ChunkedArray) else got.column(c)
-    words = column("word").to_numpy().view(np.uint64)
-    order = np.argsort(words)
-    rank = np.empty(len(words), np.int64)
-    rank[order] = np.arange(len(words))
-    before, sizes = _lists(column("contexts"))
-    sums, _ = _lists(column("sums"))
-    pairs = np.repeat(rank, sizes) * (len(model.contexts) + 1) + before
-    some = before >= 0
-    by = np.argsort(pairs[some])
-    parents = _lists(column("parents"))[0].reshape(len(words), -1)
-    return Frequent(words[order], column("count").to_numpy()[order], parents[order], pairs[some][by], sums[some][by] / model.samples), least
-
-
-def _scored(model_contexts: np.ndarray, table, back_offs: np.ndarray, samples: int, total: float, words: int):
-    """A row per text with the sums over its frequent words, and one for each of its other tokens."""
+_FOUND = "row long, doc_id long, tokens long, known long, base double, score double, before long, own double, parents array<double>"
+
+
+def _scored(shared):
+    """A row per text, a row per text and chunk of a part with the sums over its tokens after frequent contexts, and one for each other token."""
+    def table(row: np.ndarray, doc_id=None, tokens=None, known=None, base=None, score=None, before=None, own=None, parents=None) -> pa.RecordBatch:
+        n = len(row)
+        whole = lambda x: pa.array(np.zeros(n, np.int64) if x is None else x.astype(np.int64))
+        real = lambda x: pa.array(np.zeros(n) if x is None else x.astype(np.float64))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(row), pa.nulls(n, pa.int64()) if doc_id is None else doc_id, whole(tokens), whole(known), real(base), real(score),
+             pa.nulls(n, pa.int64()) if before is None else pa.array(signed(before)), real(own), pa.nulls(n, pa.list_(pa.float64())) if parents is None else _doubles(parents)],
+            [x.split()[0] for x in _FOUND.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot: Frequent = table.value
-        names = ["word", "context", "before", "row", "doc_id", "tokens", "known", "base", "score"]
-        for batch in pieces(batches):
-            stream, sizes = tokens(batch.column("text"))
-            before = contexts_of(stream, sizes, model_contexts)
-            ahead = words_before(stream, sizes)
-            text = np.repeat(np.arange(len(sizes)), sizes)
-            at = np.minimum(np.searchsorted(hot.words, stream), max(len(hot.words) - 1, 0))
-            found = (hot.words[at] == stream) & (before >= 0) if len(hot.words) else np.zeros(len(stream), bool)
-            f, u = at[found], before[found]
-            # seen after this context: the average; else the parent's part of every sample
-            p = (back_offs[:, u].T * hot.parents[f]).sum(1) / samples if len(f) else np.zeros(0)
-            key = f * (len(model_contexts) + 1) + u
-            place = np.minimum(np.searchsorted(hot.pairs, key), max(len(hot.pairs) - 1, 0))
-            seen = (hot.pairs[place] == key) & (u >= 0) if len(hot.pairs) else np.zeros(len(f), bool)
-            p[seen] = hot.means[place[seen]]
-            n = len(sizes)
-            base = np.log10((hot.counts[f] + ADDED) / (total + ADDED * (words + 1)))
-            rows = batch.column("row").to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(mix(rows.astype(np.uint64)))), pa.array(np.full(n, -2, np.int32)), pa.array(np.zeros(n, np.int64)), pa.array(rows), batch.column("doc_id"), pa.array(sizes),
-                 pa.array(np.bincount(text[found], minlength=n)), pa.array(np.bincount(text[found], base, n).astype(np.float64)),
-                 pa.array(np.bincount(text[found], np.log10(p), n).astype(np.float64))], names)
-            rest = ~found
-            m = int(rest.sum())
-            zeros = pa.array(np.zeros(m, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(stream[rest])), pa.array(before[rest].astype(np.int32)), pa.array(signed(ahead[rest])), pa.array(rows[text[rest]]), pa.nulls(m, pa.int64()), zeros, zeros,
-                 pa.array(np.zeros(m)), pa.array(np.zeros(m))], names)
+        known: Known = shared.value
+        last, pairs, learned = None, None, None
+        total = known.train_tokens + ADDED * (known.words + 1)
+        for part, kind, place, arrays in _read(batches):
+            if part != last:
+                last, pairs, learned = part, None, None
+            if kind == _PAIRS:
+                pairs = arrays
+            elif kind == _SEATS:
+                learned = _Part(known, pairs, arrays)
+                pairs = None
+            elif kind == _TEXTS:
+                ids, nulls, sizes = arrays
+                yield table(place + np.arange(len(sizes)), pa.array(ids, mask=nulls), sizes)
+            else:
+                words, sizes, steps, text, sizes_2, before, text_2 = arrays
+                learned = learned or _Part(known, None, None)
+                w = learned.found(words)
+                count = np.append(learned.count, 0)[w]
+                base = np.log10((count + ADDED) / total)
+                own, other = _owners(sizes), _owners(sizes_2)
+                score = np.log10(learned.after_frequent(w[own], _walked(steps, sizes)))
+                k = max(text.max(initial=-1), text_2.max(initial=-1)) + 1
+                some = np.flatnonzero(np.bincount(text, minlength=k) + np.bincount(text_2, minlength=k))
+                sums = lambda x: np.bincount(text, x[own], k)[some] + np.bincount(text_2, x[other], k)[some]
+                yield table(place + some, known=sums((count > 0).astype(np.float64)), base=sums(base), score=np.bincount(text, score, k)[some])
+                if len(other):
+                    yield table(place + text_2.astype(np.int64), before=before, own=learned.own_after_rare(w[other], before), parents=learned.parents[:, w[other]])
     return run
 
 
-def score(docs: DataFrame, model: Model, share: float = 1e-6, most_pairs: int = 4_000_000) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score (log10 of the text's probability), one row per row of ``docs``."""
-    hot, least = frequent_table(model, share, most_pairs)
-    table = docs.sparkSession.sparkContext.broadcast(hot)
-    total, words, samples = model.train_tokens, model.words, model.samples
-    rows = numbered(docs).mapInArrow(_scored(model.contexts, table, model.back_offs, samples, total, words),
-                                  "word long, context int, before long, row long, doc_id long, tokens long, known long, base double, score double")
-    # the same conditions in both branches of a join, so that what is dealt for one serves the other
-    rows = rows.where("word IS NOT NULL AND before IS NOT NULL")
-    base = F.log10((F.coalesce("count", F.lit(0)) + ADDED) / F.lit(total + ADDED * (words + 1)))
-    unknown = F.array(*[F.lit(float(u)) for u in model.unknown])
-    known = F.col("count").isNotNull().cast("long")
-    none = [F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("tokens")]
-
-    # after frequent contexts, and the rows that stand for whole texts
-    rare = model.seats.where(F.col("count") < least).select(F.col("word").alias("w"), "count", "contexts", "sums", "parents")
-    joined = rows.where("context <> -1").join(rare, F.col("word") == F.col("w"), "left")
-    parts = [F.lit(model.back_offs[s].tolist())[F.col("context")] * F.coalesce(F.get("parents", F.lit(s)), F.lit(float(model.unknown[s]))) for s in range(samples)]
-    place = F.array_position("contexts", F.col("context"))
-    p = F.when(F.coalesce(place > 0, F.lit(False)), F.get("sums", (place - 1).cast("int")) / samples).otherwise(sum(parts[1:], parts[0]) / samples)
-    own = F.col("context") == -2
-    frequent = joined.select(
-        "row", "doc_id", "tokens", F.when(own, F.col("known")).otherwise(known).alias("known"),
-        F.when(own, F.col("base")).otherwise(base).alias("base"), F.when(own, F.col("score")).otherwise(F.log10(p)).alias("score"))
-
-    # after all other contexts: pairs that were learned, and pairs that were not
-    others = rows.where("context = -1").select("word", "before", "row")
-    seen = others.join(model.pairs, ["word", "before"]).select("row", *none, known.alias("known"), base.alias("base"), F.log10("p").alias("score"))
-    new = others.join(model.pairs.select("word", "before"), ["word", "before"], "left_anti").join(model.seats.select("word", "count", "parents"), "word", "left").join(
-        model.places.select("before", "backs"), "before", "left").withColumns(
-        {"parents": F.coalesce("parents", unknown), "backs": F.coalesce("backs", F.array(*[F.lit(1.0)] * samples))})
-    unseen = new.select("row", *none, known.alias("known"), base.alias("base"), F.log10(_mean_product("backs", "parents", samples)).alias("score"))
-    return frequent.unionByName(seen).unionByName(unseen).groupBy("row").agg(
+    context = docs.sparkSession.sparkContext
+    dealt = _dealt(texts(docs), context.broadcast(model.contexts), model.parts, False)
+    found = written(_by_part(model.rows().unionByName(dealt), model.parts).mapInArrow(_scored(context.broadcast(model.known())), _FOUND))
+    ones = F.array(*[F.lit(1.0)] * model.samples)
+    rare = found.where("before IS NOT NULL").join(model.places, "before", "left").withColumns({"customers": F.coalesce("customers", F.lit(0.0)), "backs": F.coalesce("backs", ones)}).select(
+        "row", F.lit(None).cast("long").alias("doc_id"), *[F.lit(0).cast("long").alias(c) for c in ("tokens", "known")], F.lit(0.0).alias("base"), F.log10(_after_rare(F.col("own"), "parents", model)).alias("score"))
+    return found.where("before IS NULL").select(*rare.columns).unionByName(rare).groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"),
         F.sum("base").alias("base_score"), F.sum("score").alias("score")).drop("row")
 
@@ -461,6 +681,8 @@ def score(docs: DataFrame, model: Model, share: float = 1e-6, most_pairs: int =
 def score_held_out(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     """Scores of all documents by the model of those outside fold 0."""
     model = fit(texts(docs).where(bucket("doc_id", folds) != 0))
-    return score(docs, model).select(
+    scores = score(docs, model)
+    discard(model.counted), discard(model.seated)
+    return scores.select(
         "doc_id", F.coalesce(bucket("doc_id", folds) == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
         F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

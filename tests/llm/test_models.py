@@ -1,13 +1,14 @@
 """Learned operators: counts against plain Python, held-out accuracy, edge rows."""
 
 import math
+import os
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
-from lexigaze.llm import conv, language_id, pitman_yor, quality_model
+from lexigaze.llm import common, conv, language_id, pitman_yor, quality_model
 from pyspark.sql import functions as F
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -251,3 +252,32 @@ def test_every_word_is_a_context(spark):
         mean = lambda x: sum(b * v for b, v in zip(places[u], x)) / model.samples
         assert mean(model.unknown) + sum(after[u].get(w, mean(x)) for w, x in parents.items()) == pytest.approx(1.0, abs=1e-6)
         assert all(p > mean(parents[w]) for w, p in after[u].items())
+
+
+def test_how_pairs_lie_changes_no_score(spark, monkeypatch):
+    """All contexts sent to the tasks, or none but those of a share, in few parts or many and small chunks: the same model and scores."""
+    docs = table(spark, "documents", "0.001").select("doc_id", "text").limit(60)
+    learned = docs.where("doc_id % 3 <> 0")
+    want, contexts = None, []
+    for most, parts, chunk in ((1 << 19, 24, 700_000), (0, 24, 700_000), (50, 3, 500)):
+        monkeypatch.setattr(pitman_yor, "PARTS", parts)
+        monkeypatch.setattr(pitman_yor, "CHUNK", chunk)
+        model = pitman_yor.fit(learned, most_contexts=most)
+        got = sorted((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in pitman_yor.score(docs, model).collect())
+        contexts.append(len(model.contexts))
+        want = want or got
+        assert len(got) == len(want) and all(a == pytest.approx(b, rel=1e-9) for a, b in zip(got, want))
+    assert contexts[1] < 50 <= contexts[2] < contexts[0]
+
+
+def test_pitman_yor_writes_little(spark, monkeypatch):
+    """All tables of a run together take less than ten times the bytes of the texts, stored the same way (they are short, with many copies)."""
+    tables = []
+    monkeypatch.setattr(pitman_yor, "written", lambda df, **options: tables.append(size(out := common.written(df, **options))) or out)
+
+    def size(df):
+        return sum(os.path.getsize(f.removeprefix("file:").replace("///", "/")) for f in df.inputFiles())
+
+    docs = table(spark, "documents").select("doc_id", "text")
+    assert pitman_yor.score_held_out(docs).count() == docs.count()
+    assert sum(tables) < 10 * size(common.written(docs))
