@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexigaze.llm.common import SPACED, bucket, discard, mix, pieces, signed, spread, texts, word_hashes, written
+from lexigaze.llm.common import SPACED, bucket, discard, mix, pieces, signed, small_batches, spread, texts, word_hashes, written
 
 END = np.uint64(0x656E64)  # the end token; words have well mixed hashes
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -31,6 +31,7 @@ FOLDS = 10
 ADDED = 0.1
 CHUNK = 700_000  # tokens that a task packs at once
 PARTS, PART_TOKENS = 24, 8_000_000  # at least so many parts, and one for so many tokens
+JOINED, RANGE = 1_000_000, 300_000  # counts of a part that wait to be joined, and those joined at once
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -152,6 +153,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, li
             yield part, kind, place, [unpacked(x) for x in data[at].as_py()]
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    with small_batches(rows.sparkSession):
+        return written(rows)
+
+
 def _firsts(sizes: np.ndarray) -> np.ndarray:
     return (np.cumsum(sizes) - sizes)[sizes > 0]
 
@@ -245,24 +251,50 @@ def _by_part(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(3 * parts, "part").sortWithinPartitions("part", "kind")  # so that few parts meet in a task
 
 
+def _entries(chunk: tuple) -> int:
+    return len(chunk[2]) + len(chunk[5])
+
+
+def _joined(held: list[tuple]) -> tuple:
+    """The counts of several chunks of a part as one, joined over a range of words at a time. ``held`` is emptied."""
+    words, weights = np.concatenate([x[0] for x in held]), np.concatenate([x[1].astype(np.int64) + x[4] for x in held])
+    order = np.argsort(words)
+    words, weights = words[order], np.cumsum(weights[order])
+    ranges = max(sum(map(_entries, held)) // RANGE, 1)
+    cuts = np.unique(words[np.searchsorted(weights, weights[-1] * np.arange(1, ranges) // ranges)])
+    del words, weights, order
+
+    def range_of(chunk: tuple, low: int, high: int) -> tuple:
+        words, sizes, context, n, sizes_2, before, n_2 = chunk
+        a, b = (0 if low < 0 else int(np.searchsorted(words, cuts[low])), len(words) if high == len(cuts) else int(np.searchsorted(words, cuts[high])))
+        (i, j), (i_2, j_2) = ((int(x[:a].sum()), int(x[:b].sum())) for x in (sizes, sizes_2))
+        return words[a:b], sizes[a:b], context[i:j], n[i:j], sizes_2[a:b], before[i_2:j_2], n_2[i_2:j_2]
+
+    def joined(at: int) -> tuple:
+        words, sizes, context, n, sizes_2, before, n_2 = (np.concatenate(x) for x in zip(*(range_of(x, at - 1, at) for x in held)))
+        words, w = np.unique(words, return_inverse=True)
+        out = [words]
+        for ahead, times, size in ((context, n, sizes), (before, n_2, sizes_2)):
+            own = np.repeat(w, size)
+            order = np.lexsort((ahead, own)) if ahead is before else np.argsort(own * (int(ahead.max(initial=0)) + 1) + ahead)
+            own, ahead = own[order], ahead[order]
+            first = _runs(own, ahead)
+            out += [_small(np.bincount(own[first], minlength=len(words))), ahead[first], _small(_summed(times[order].astype(np.int64), first))]
+        return tuple(out)
+
+    out = [joined(at) for at in range(len(cuts) + 1)]
+    held.clear()
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def pair_counts(docs: DataFrame, contexts, parts: int) -> DataFrame:
     """The pairs of each part, the seats before the first sweep, and what frequent contexts, other contexts and all words add up to."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = len(contexts.value)
 
         def merged(part: int, held: list) -> pa.RecordBatch:
-            words, sizes, context, n, sizes_2, before, n_2 = (np.concatenate(x) for x in zip(*held))
-            words, at = np.unique(words, return_inverse=True)
-            key = np.repeat(at, sizes) * places + context
-            order = np.argsort(key)
-            key = key[order]
-            first = _runs(key)
-            n, own, context = _summed(n[order].astype(np.int64), first), key[first] // places, key[first] % places
-            other = np.repeat(at, sizes_2)
-            order = np.lexsort((before, other))
-            other, before = other[order], before[order]
-            first = _runs(other, before)
-            n_2, other, before = _summed(n_2[order].astype(np.int64), first), other[first], before[first]
+            words, sizes, context, n, sizes_2, before, n_2 = _joined(held)
+            own, other = _owners(sizes), _owners(sizes_2)
             k = len(words)
             sums = lambda x, y=None: np.bincount(x, y, k).astype(np.int64)
             count = sums(own, n) + sums(other, n_2)
@@ -278,19 +310,24 @@ def pair_counts(docs: DataFrame, contexts, parts: int) -> DataFrame:
                                    _small(sizes_2), before[more_2], _small(n_2[more_2]), nils(more) + 1, nils(more), nils(more_2) + 1, nils(more_2), nils(often) + 1)),
                 (part, _SUMS, 0, (_small(np.bincount(context, n, places)), _small(np.bincount(context, minlength=places)), np.array(
                     [k, count.sum(), (count == 1).sum(), (count == 2).sum(), (n == 1).sum() + (n_2 == 1).sum(), (n == 2).sum() + (n_2 == 2).sum(), len(n) + len(n_2)]))),
-                (part, _RARE, 0, (before[rare][start], _summed(n_2[rare], start), np.diff(start, append=len(rare))))])
+                (part, _RARE, 0, (before[rare][start], _summed(n_2[rare].astype(np.int64), start), np.diff(start, append=len(rare))))])
 
-        held, last = [], None
+        held, size, most, last = [], 0, JOINED, None
         for part, _, _, (words, sizes, steps, *rest) in _read(batches):
             if held and part != last:
                 yield merged(last, held)
-                held = []
+                held, size, most = [], 0, JOINED
             last = part
-            held.append((words, sizes, _walked(steps, sizes), *rest))
+            held.append((words, sizes, _walked(steps, sizes).astype(np.int32), *rest))
+            size += _entries(held[-1])
+            if size > most:  # at least as many came as stay
+                held = [_joined(held)]
+                size = _entries(held[0])
+                most = 2 * size + JOINED
         if held:
             yield merged(last, held)
 
-    return written(_by_part(_dealt(docs, contexts, parts, True), parts).mapInArrow(run, _ROWS))
+    return _written(_by_part(_dealt(docs, contexts, parts, True), parts).mapInArrow(run, _ROWS))
 
 
 def _unrolled(rows: DataFrame, kind: int, schema: str) -> DataFrame:
@@ -313,10 +350,11 @@ def _sums(rows: DataFrame, places: tuple[int, ...]) -> list[np.ndarray]:
         if total:
             yield _rows([(0, _SUMS, 0, total)])
 
-    found = rows.where(F.col("kind") == _SUMS).mapInArrow(run, _ROWS).select("data").toLocalIterator()
+    found = rows.where(F.col("kind") == _SUMS).mapInArrow(run, _ROWS).select("data")
     out = [np.zeros(n) for n in places]
-    for row in found:
-        out = [x + unpacked(y) for x, y in zip(out, row.data)]
+    with small_batches(rows.sparkSession):
+        for row in found.toLocalIterator():
+            out = [x + unpacked(y) for x, y in zip(out, row.data)]
     return out
 
 
@@ -491,9 +529,10 @@ class _Part:
         self.words, self.count, self.sizes, steps, n, self.sizes_2, self.before, n_2 = pairs
         words, alone, sizes, _, _, sizes_2, _, _, tables, total, tables_2, total_2, own, *past = seats
         past += [alone + np.bincount(_owners(sizes), tables, len(words)) + np.bincount(_owners(sizes_2), tables_2, len(words)), own]
-        self.context = _walked(steps, self.sizes)
-        self.keys = _owners(self.sizes) * places + self.context
-        self.own = self._own(n, total + tables) / (known.state.strength[1] + known.state.customers[self.context])
+        self.keys = _walked(steps, self.sizes)
+        self.own = self._own(n, total + tables)
+        self.own /= known.state.strength[1] + known.state.customers[self.keys]
+        self.keys += _owners(self.sizes) * places
         self.own_2 = self._own(n_2, total_2 + tables_2)
         # past the last word stands the unknown one
         at_parent = np.ones((2 * samples, len(self.words)))
@@ -508,9 +547,10 @@ class _Part:
 
     def seats(self) -> pa.RecordBatch:
         w, known = _owners(self.sizes), self.known
-        sums = self.own * known.samples + (known.back_offs[:, self.context] * self.parents[:, w]).sum(0)
+        context = self.keys - w * len(known.state.contexts)
+        sums = self.own * known.samples + (known.back_offs[:, context] * self.parents[:, w]).sum(0)
         lists = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(self.sizes))), pa.int32()), pa.array(x))
-        return pa.RecordBatch.from_arrays([pa.array(signed(self.words)), pa.array(self.count.astype(np.int64)), lists(self.context), lists(sums), _doubles(self.parents[:, :-1])],
+        return pa.RecordBatch.from_arrays([pa.array(signed(self.words)), pa.array(self.count.astype(np.int64)), lists(context), lists(sums), _doubles(self.parents[:, :-1])],
                                           ["word", "count", "contexts", "sums", "parents"])
 
     def rare_pairs(self) -> pa.RecordBatch:
@@ -566,12 +606,12 @@ def fit(docs: DataFrame, context_share: float = 0.005, samples: int = 2, strengt
     discount = tuple(min(max(a / (a + 2 * b), 0.05), 0.95) if a else 0.5 for a, b in ((once, twice), (pairs_once, pairs_twice)))
     numbers = np.where(large, np.cumsum(large) - 1, -1)
     state = State(words, discount, strength, contexts, numbers, customers, kinds, float(pairs), float(words))
-    rare = written(_unrolled(counted, _RARE, "before long, customers long, kinds long").groupBy("before").agg(
+    rare = _written(_unrolled(counted, _RARE, "before long, customers long, kinds long").groupBy("before").agg(
         F.sum("customers").cast("double").alias("customers"), F.sum("kinds").cast("double").alias("kinds")))
     seats = counted
     # contexts beyond the frequent ones whose tables change, and the parts that ask for them
-    asking = written(_asking(counted))
-    moving = written(rare.join(asking.select("before").distinct(), "before").select("*", F.col("kinds").alias("there"), F.array().cast("array<double>").alias("backs")))
+    asking = _written(_asking(counted))
+    moving = _written(rare.join(asking.select("before").distinct(), "before").select("*", F.col("kinds").alias("there"), F.array().cast("array<double>").alias("backs")))
     levels, back_offs, unknown = [], [], []
     back = lambda there: (strength[1] + discount[1] * F.col(there)) / (strength[1] + F.col("customers"))
 
@@ -587,9 +627,9 @@ def fit(docs: DataFrame, context_share: float = 0.005, samples: int = 2, strengt
         told = asking.join(moving.select("before", "there"), "before").groupBy("part").agg(F.collect_list(F.struct("before", "there")).alias("x")).select(
             "part", F.col("x.before").alias("befores"), F.col("x.there").alias("theres"))
         older = [seats, moving] if turn else [moving]
-        seats = written(seats.where(F.col("kind") == _SEATS).join(told, "part", "left").mapInArrow(_sweep(context.broadcast(state), turn, predict), _ROWS))
+        seats = _written(seats.where(F.col("kind") == _SEATS).join(told, "part", "left").mapInArrow(_sweep(context.broadcast(state), turn, predict), _ROWS))
         more = _unrolled(seats, _RARE, "before long, more long").groupBy("before").agg(F.sum("more").alias("more"))
-        moving = written(moving.join(more, "before", "left").select(
+        moving = _written(moving.join(more, "before", "left").select(
             "before", "customers", "kinds", (F.col("kinds") + F.coalesce("more", F.lit(0))).alias("there"), (F.array_append("backs", back("there")) if predict else F.col("backs")).alias("backs")))
         for table in older:
             discard(table)
@@ -598,7 +638,7 @@ def fit(docs: DataFrame, context_share: float = 0.005, samples: int = 2, strengt
     sample()
     last = moving.select("before", F.array_append("backs", back("there")).alias("backs"))
     still = F.array(*[back("kinds")] * samples)
-    beyond = written(rare.join(last, "before", "left").select("before", "customers", F.coalesce("backs", still).alias("backs")))
+    beyond = _written(rare.join(last, "before", "left").select("before", "customers", F.coalesce("backs", still).alias("backs")))
     discard(rare), discard(asking), discard(moving)
     return Model(state, counted, seats, parts, n, words, samples, np.array(back_offs), np.array(unknown), levels, beyond)
 
@@ -644,7 +684,7 @@ def _scored(shared):
                 pairs = arrays
             elif kind == _SEATS:
                 learned = _Part(known, pairs, arrays)
-                pairs = None
+                pairs = arrays = None
             elif kind == _TEXTS:
                 ids, nulls, sizes = arrays
                 yield table(place + np.arange(len(sizes)), pa.array(ids, mask=nulls), sizes)
@@ -669,7 +709,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score (log10 of the text's probability), one row per row of ``docs``."""
     context = docs.sparkSession.sparkContext
     dealt = _dealt(texts(docs), context.broadcast(model.contexts), model.parts, False)
-    found = written(_by_part(model.rows().unionByName(dealt), model.parts).mapInArrow(_scored(context.broadcast(model.known())), _FOUND))
+    found = _written(_by_part(model.rows().unionByName(dealt), model.parts).mapInArrow(_scored(context.broadcast(model.known())), _FOUND))
     ones = F.array(*[F.lit(1.0)] * model.samples)
     rare = found.where("before IS NOT NULL").join(model.places, "before", "left").withColumns({"customers": F.coalesce("customers", F.lit(0.0)), "backs": F.coalesce("backs", ones)}).select(
         "row", F.lit(None).cast("long").alias("doc_id"), *[F.lit(0).cast("long").alias(c) for c in ("tokens", "known")], F.lit(0.0).alias("base"), F.log10(_after_rare(F.col("own"), "parents", model)).alias("score"))

@@ -3,8 +3,10 @@
 import math
 import os
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -281,3 +283,44 @@ def test_pitman_yor_writes_little(spark, monkeypatch):
     docs = table(spark, "documents").select("doc_id", "text")
     assert pitman_yor.score_held_out(docs).count() == docs.count()
     assert sum(tables) < 10 * size(common.written(docs))
+
+
+def test_pairs_of_a_part_are_joined_as_they_come(spark, monkeypatch):
+    """Whatever the number of chunks, a task holds little more than the pairs that stay."""
+    class Taken:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    for name, value in (("_dealt", None), ("_by_part", Taken()), ("written", None), ("_written", None)):
+        monkeypatch.setattr(pitman_yor, name, lambda x, *_, value=value: value or x, raising=False)
+    monkeypatch.setattr(pitman_yor, "JOINED", 100_000, raising=False)
+    monkeypatch.setattr(pitman_yor, "RANGE", 10_000, raising=False)
+    contexts = SimpleNamespace(value=np.arange(500, dtype=np.uint64))
+    random = np.random.default_rng(1)
+    names = np.sort(pitman_yor.mix(np.arange(1, 201, dtype=np.uint64)))
+    frequent, rare = Counter(), Counter()
+
+    def chunks():
+        for _ in range(60):
+            words = np.sort(random.choice(names, 150, replace=False))
+            ahead = [np.sort(random.choice(500, k, replace=False)) for k in random.integers(0, 300, 150)]
+            ahead_2 = [np.sort(random.choice(900, k, replace=False)).astype(np.uint64) + np.uint64(1000) for k in random.integers(0, 30, 150)]
+            sizes, sizes_2 = (np.array([len(x) for x in a]) for a in (ahead, ahead_2))
+            n, n_2 = random.integers(1, 9, sizes.sum()), random.integers(1, 9, sizes_2.sum())
+            for c, a, times in ((frequent, ahead, n), (rare, ahead_2, n_2)):
+                for (w, x), t in zip(((w, x) for w, xs in zip(words.tolist(), a) for x in xs.tolist()), times.tolist()):
+                    c[w, x] += t
+            small = pitman_yor._small
+            yield pitman_yor._rows([(0, pitman_yor._TOKENS, 0, (words, small(sizes), pitman_yor._steps(np.concatenate(ahead), sizes), small(n), small(sizes_2), np.concatenate(ahead_2), small(n_2)))])
+
+    held = list(chunks())
+    tracemalloc.start()
+    rows = list(pitman_yor._read(pitman_yor.pair_counts(None, contexts, 1)(iter(held))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    words, count, sizes, steps, n, sizes_2, before, n_2 = next(a for _, kind, _, a in rows if kind == pitman_yor._PAIRS)
+    w, w_2 = np.repeat(words, sizes).tolist(), np.repeat(words, sizes_2).tolist()
+    assert dict(zip(zip(w, pitman_yor._walked(steps, sizes).tolist()), n.tolist())) == frequent and len(w) == len(frequent)
+    assert dict(zip(zip(w_2, before.tolist()), n_2.tolist())) == rare and len(w_2) == len(rare)
+    assert count.sum() == frequent.total() + rare.total()
+    assert peak < 30e6, peak
