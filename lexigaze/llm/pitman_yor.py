@@ -413,6 +413,11 @@ def seat(customers: np.ndarray, new: np.ndarray, discount: float, base: np.ndarr
     return tables
 
 
+def _sliced(run, n: int) -> np.ndarray:
+    """Whole numbers that ``run`` makes for ``n`` places, made for some of them at a time."""
+    return np.concatenate([_small(run(slice(a, min(a + RANGE, n)))) for a in range(0, max(n, 1), RANGE)])
+
+
 def _sweep(shared, turn: int, predict: bool):
     """One pass over the seats: keep the present seating as a sample, then seat anew.
 
@@ -432,15 +437,27 @@ def _sweep(shared, turn: int, predict: bool):
                     total, total_2 = total + tables, total_2 + tables_2
                     past += [_small(guests), own]
                 discount, strength = state.discount[1], state.strength[1]
-                number = state.numbers[context]
-                keys = np.where(number >= 0, mix(words[w] + (number + 2).astype(np.uint64) * _GOLDEN), _pair(words[w], state.contexts[context]))
-                others = np.maximum(state.tables[context] - tables, 0)
-                tables = seat(n.astype(np.float64), (strength + discount * others) * parent[w], discount, parent[w], keys, turn)
+
+                def frequent(at: slice) -> np.ndarray:
+                    number, word, base = state.numbers[context[at]], words[w[at]], parent[w[at]]
+                    keys = np.where(number >= 0, mix(word + (number + 2).astype(np.uint64) * _GOLDEN), _pair(word, state.contexts[context[at]]))
+                    others = np.maximum(state.tables[context[at]] - held[at], 0)
+                    return seat(n[at].astype(np.float64), (strength + discount * others) * base, discount, base, keys, turn)
+
+                held = tables
+                tables = _sliced(frequent, len(n))
                 if len(before):
                     known, there = batch.column("befores")[at].values.to_numpy().view(np.uint64), batch.column("theres")[at].values.to_numpy()
                     order = np.argsort(known)
-                    others = np.maximum(there[order][np.searchsorted(known[order], before)] - tables_2, 0)
-                    tables_2 = seat(n_2.astype(np.float64), (strength + discount * others) * parent[w_2], discount, parent[w_2], _pair(words[w_2], before), turn)
+                    known, there = known[order], there[order]
+
+                    def other(at: slice) -> np.ndarray:
+                        others = np.maximum(there[np.searchsorted(known, before[at])] - held_2[at], 0)
+                        base = parent[w_2[at]]
+                        return seat(n_2[at].astype(np.float64), (strength + discount * others) * base, discount, base, _pair(words[w_2[at]], before[at]), turn)
+
+                    held_2 = tables_2
+                    tables_2 = _sliced(other, len(n_2))
                 guests = alone + np.bincount(w, tables, len(words)) + np.bincount(w_2, tables_2, len(words))
                 even = np.full(len(words), 1.0 / (state.words + 1))
                 others = np.maximum(state.parent_tables - own, 0)
