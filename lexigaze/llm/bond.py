@@ -11,9 +11,11 @@ once its upper bound is below the k-th best lower bound. The second looks for ro
 labels whose score lies in a window below each positive's; a row goes once its bounds miss all
 windows, or its upper bound is below what k rows of the window are known to have.
 
-Anchors are grouped, too, and meet the blocks in a grid of cells: a task holds one block and one
-group, whatever the size of the table. Cells of one group that fall into the same task hand on
-the best scores found so far.
+Anchors are grouped, too, and meet the blocks in a grid of cells, one block beside one group.
+Blocks are dealt to tasks once; the groups are sent to all of them, in rounds of bounded bytes, so
+neither the driver nor a task holds more anchors than a round has, whatever the size of the table.
+Cells of one group that fall into the same task hand on the best rows found so far, and the task
+gives them out once at its end.
 
 Cases: rows with a null label, a null vector, or a null or non-finite component take no part; a
 null vec_id is no anchor and comes last among ties; rows that share a vec_id are rows of their
@@ -25,16 +27,18 @@ table gives an empty result; further columns are left behind.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lexigaze.llm.common import LARGE_ROWS, written
+from lexigaze.llm.common import LARGE_ROWS, small_batches, written
 
 SCALE = 256
 BLOCK_ROWS, GROUP_ANCHORS = 2048, 512
-STRIPE_BLOCKS = 4
+STRIPE_BLOCKS, STRIPES = 16, 96  # blocks of a task, but rather fewer of them than fewer tasks than STRIPES
+ROUND_BYTES = 8 << 20  # of anchors sent to all tasks at a time
 READ = 8  # columns read between two looks at the bounds
 LAST = np.iinfo(np.int64).max  # sorts a null id behind all others
 _BLOCK = "block long, n int, dims int, ids binary, nulls binary, labels binary, columns binary"
@@ -79,7 +83,9 @@ class _Block:
         self.nulls = np.frombuffer(row["nulls"], np.bool_)
         wide = len(row["columns"]) == 8 * self.n * self.dims
         self.columns = np.frombuffer(row["columns"], np.int64 if wide else np.int32).reshape(self.dims, self.n)
+        self.real = self.columns.astype(np.float64)
         self.low, self.high = (self.columns.min(1).astype(np.int64), self.columns.max(1).astype(np.int64)) if self.n and self.dims else (np.zeros(self.dims, np.int64),) * 2
+        self.most = np.maximum(np.abs(self.low.astype(np.float64)), np.abs(self.high.astype(np.float64)))
 
     def fitted(self, vector: np.ndarray) -> np.ndarray:
         """The anchor's components for the dimensions of this block."""
@@ -94,24 +100,28 @@ class _Block:
         vector = self.fitted(vector)
         order = np.argsort(-np.abs(vector), kind="stable")
         a = vector[order]
+        exact = np.abs(a.astype(np.float64)) @ self.most[order] < 1 << 52  # every sum is a whole number that a float holds
+        columns, factors = (self.real, a.astype(np.float64)) if exact else (self.columns, a)
         one, two = a * self.low[order], a * self.high[order]
         # what the columns from each place on can still add
         least = np.concatenate((np.cumsum(np.minimum(one, two)[::-1])[::-1], [0]))
         most = np.concatenate((np.cumsum(np.maximum(one, two)[::-1])[::-1], [0]))
         rows = np.flatnonzero(alive)
-        score = np.zeros(len(rows), np.int64)
+        whole = True  # while most rows are left, columns are summed as they lie
+        score = np.zeros(self.n, factors.dtype)
         for at in range(0, self.dims, READ):
+            if not len(rows):
+                break
+            if whole and 2 * len(rows) < self.n:
+                whole, score = False, score[rows]
             dims = order[at:at + READ]
-            part = self.columns[dims] if len(rows) == self.n else self.columns[dims[:, None], rows]
             end = min(at + READ, self.dims)
-            for k in range(len(dims)):
-                score += a[at + k] * part[k]
-            left = keep(score + least[end], score + most[end])
+            score += factors[at:end] @ (columns[dims] if whole else columns[dims[:, None], rows])
+            now = score[rows] if whole else score
+            left = keep(now + least[end], now + most[end])
             if not left.all():
-                rows, score = rows[left], score[left]
-            if not len(rows):
-                break
-        return rows, score
+                rows, score = rows[left], score if whole else score[left]
+        return rows, (score[rows] if whole else score).astype(np.int64)
 
 
 def anchor_rows(blocks: DataFrame, every: int) -> DataFrame:
@@ -127,19 +137,11 @@ def anchor_rows(blocks: DataFrame, every: int) -> DataFrame:
     return blocks.mapInArrow(run, _ANCHORS)
 
 
-def _grid(blocks: DataFrame, anchors: DataFrame, n_blocks: int, n_anchors: int) -> DataFrame:
-    """Every block beside every group of anchors. Blocks are dealt into stripes; a group has a copy for each stripe."""
-    stripes, groups = -(-n_blocks // STRIPE_BLOCKS), max(1, -(-n_anchors // GROUP_ANCHORS))
-    grouped = anchors.withColumn("group", F.pmod(F.xxhash64("anchor"), F.lit(groups)).cast("int")).groupBy("group").agg(
-        F.collect_list(F.struct(*anchors.columns)).alias("anchors"))  # about GROUP_ANCHORS of them
-    left = blocks.withColumn("stripe", (F.col("block") % stripes).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = grouped.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
-    return left.join(right, ["group", "stripe"]).drop("stripe")
-
-
-def _first(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best: highest score, then least id."""
-    return np.lexsort((ids, -scores))[:k]
+def _grid(blocks: DataFrame, anchors: DataFrame, n_blocks: int) -> DataFrame:
+    """Every block beside every group of a round's anchors. The groups go to all tasks, a block to one of them."""
+    stripes = max(min(n_blocks, STRIPES), -(-n_blocks // STRIPE_BLOCKS))
+    grouped = anchors.groupBy("group").agg(F.collect_list(F.struct(*(c for c in anchors.columns if c != "group"))).alias("anchors"))
+    return blocks.repartition(stripes, "block").crossJoin(F.broadcast(grouped))
 
 
 def _kth(values: np.ndarray, k: int, floor: int) -> int:
@@ -148,64 +150,105 @@ def _kth(values: np.ndarray, k: int, floor: int) -> int:
 
 
 _LEAST = np.iinfo(np.int64).min
+_NONE = np.zeros((4, 0), np.int64)
+
+
+def _first(best: np.ndarray, block: _Block, rows: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """The k best of ``best`` and some rows of a block: score, id, whether it is null, row; highest score first, then least id."""
+    if not len(rows):
+        return best
+    all_ = np.concatenate((best, np.stack((scores, block.ids[rows], block.nulls[rows], block.number << 32 | rows))), axis=1)
+    return all_[:, np.lexsort((all_[3], all_[1], all_[2], -all_[0]))[:k]]
+
 
+def _floor(best: np.ndarray, k: int, floor: int) -> int:
+    """What a row must reach to be among the k best, beside what has been found."""
+    return floor if best.shape[1] < k else max(floor, int(best[0, -1]))
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Block, list[dict]]]:
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Block, list[dict]]]:
+    block = None
     for batch in batches:
         for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
-            yield row["group"], _Block(row), row["anchors"]
+            if block is None or batch.column("block")[i].as_py() != block.number:
+                block = _Block({name: batch.column(name)[i].as_py() for name in batch.schema.names if name != "anchors"})
+            yield block, batch.column("anchors")[i].as_py()
+
+
+def _given(keys: list[tuple], best: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """A row for each one found: its key, then id, score and row. A null is a key's ``None``."""
+    counts = [b.shape[1] for b in best]
+    all_ = np.concatenate(best, axis=1) if best else _NONE
+    repeated = [pa.array([k[c] for k in keys], pa.int64()).take(pa.array(np.repeat(np.arange(len(keys)), counts))) for c in range(len(names))]
+    return pa.RecordBatch.from_arrays(
+        [*repeated, pa.array(all_[1], pa.int64(), mask=all_[2].astype(bool)), pa.array(all_[0], pa.int64()), pa.array(all_[3], pa.int64())], [*names, "id", "score", "row"])
+
+
+GIVEN = 1 << 14  # results in a batch
+
+
+def _out(found: dict, key, names: list[str]) -> Iterator[pa.RecordBatch]:
+    keys, best = [], []
+    for at, b in found.items():
+        keys.append(key(at))
+        best.append(b)
+        if len(keys) == GIVEN:
+            yield _given(keys, best, names)
+            keys, best = [], []
+    yield _given(keys, best, names)
+
+
+_POSITIVE = ["anchor"]
+_NEGATIVE = ["anchor", "rank", "anchor_id", "positive_id", "positive_score"]
+_schema = lambda names: ", ".join(f"{n} long" for n in [*names, "id", "score", "row"])
 
 
 def _positives(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, best = None, {}
-        for cell_group, block, anchors in _cells(batches):
-            if cell_group != group:
-                group, best = cell_group, {}
-            out = []
+        best: dict[int, np.ndarray] = {}
+        for block, anchors in _cells(batches):
             for anchor in anchors:
+                number = anchor["anchor"]
                 alive = block.labels == anchor["label"]
-                if anchor["anchor"] >> 32 == block.number:
-                    alive[anchor["anchor"] & 0xFFFFFFFF] = False
-                seen = best.get(anchor["anchor"], np.zeros(0, np.int64))
-                floor = _kth(seen, k, _LEAST)
+                if number >> 32 == block.number:
+                    alive[number & 0xFFFFFFFF] = False
+                seen = best.get(number, _NONE)
+                floor = _floor(seen, k, _LEAST)
                 rows, scores = block.scan(np.frombuffer(anchor["vector"], np.int64), alive, lambda low, high: high >= _kth(low, k, floor))
-                first = _first(scores, block.ids[rows], k)
-                best[anchor["anchor"]] = np.sort(np.concatenate((seen, scores[first])))[-k:]
-                out += [(anchor["anchor"], None if block.nulls[rows[i]] else int(block.ids[rows[i]]), int(scores[i]), block.number << 32 | int(rows[i])) for i in first]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(4)], ["anchor", "id", "score", "row"])
+                if len(rows):
+                    best[number] = _first(seen, block, rows, scores, k)
+        yield from _out(best, lambda number: (number,), _POSITIVE)
     return run
 
 
 def _negatives(k: int, lowest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, best = None, {}
-        for cell_group, block, anchors in _cells(batches):
-            if cell_group != group:
-                group, best = cell_group, {}
-            out = []
+        best: dict[tuple, np.ndarray] = {}
+        for block, anchors in _cells(batches):
             for anchor in anchors:
-                ranks = [p["rank"] for p in anchor["positives"]]
-                tops = [p["score"] for p in anchor["positives"]]
-                bottoms = [-(-lowest * p // 100) for p in tops]
-                seen = best.setdefault(anchor["anchor"], [np.zeros(0, np.int64)] * len(tops))
+                windows = [((anchor["anchor"], p["rank"], anchor["anchor_id"], p["id"], p["score"]), -(-lowest * p["score"] // 100), p["score"])
+                           for p in anchor["positives"]]
+                windows = [(key, bottom, top, best.get(key, _NONE)) for key, bottom, top in windows if bottom <= top]
+                if not windows:
+                    continue
+                floors = [_floor(seen, k, bottom) for _, bottom, _, seen in windows]
+                lowest_bottom, lowest_floor = min(w[1] for w in windows), min(floors)
 
                 def keep(low, high):
+                    if low.max() < lowest_bottom:  # no row is sure to lie in a window, and none above one
+                        return high >= lowest_floor
                     left = np.zeros(len(low), bool)
-                    for top, bottom, known in zip(tops, bottoms, seen):
-                        if bottom <= top:
-                            within = low[(low >= bottom) & (high <= top)]  # sure to lie in the window
-                            left |= (high >= _kth(within, k, _kth(known, k, bottom))) & (low <= top)
+                    for (_, bottom, top, _), floor in zip(windows, floors):
+                        within = low[(low >= bottom) & (high <= top)]  # sure to lie in the window
+                        left |= (high >= _kth(within, k, floor)) & (low <= top)
                     return left
 
                 rows, scores = block.scan(np.frombuffer(anchor["vector"], np.int64), block.labels != anchor["label"], keep)
-                for at, (top, bottom) in enumerate(zip(tops, bottoms)):
+                for key, bottom, top, seen in windows if len(rows) else ():
                     there = np.flatnonzero((scores >= bottom) & (scores <= top))
-                    first = there[_first(scores[there], block.ids[rows[there]], k)]
-                    seen[at] = np.sort(np.concatenate((seen[at], scores[first])))[-k:]
-                    out += [(anchor["anchor"], ranks[at], None if block.nulls[rows[i]] else int(block.ids[rows[i]]), int(scores[i]), block.number << 32 | int(rows[i])) for i in first]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(5)], ["anchor", "rank", "id", "score", "row"])
+                    if len(there):
+                        best[key] = _first(seen, block, rows[there], scores[there], k)
+        yield from _out(best, lambda key: key, _NEGATIVE)
     return run
 
 
@@ -225,17 +268,21 @@ def hard_negatives(vectors: DataFrame, every: int = 100, positives: int = 5, neg
     n_blocks = max(1, -(-vectors.count() // block_rows))
     blocks = written(numbered.withColumn("block", F.pmod(F.xxhash64("number"), F.lit(n_blocks))).groupBy("block").applyInArrow(_packed, _BLOCK), **LARGE_ROWS)
     anchors = written(anchor_rows(blocks, every))
-    n_anchors = anchors.count()
-    near = _grid(blocks, anchors, n_blocks, n_anchors).mapInArrow(_positives(positives), "anchor long, id long, score long, row long")
-    near = written(_best(near, ["anchor"], positives, "rank").drop("row"))
-    held = near.groupBy("anchor").agg(F.collect_list(F.struct("rank", "score")).alias("positives"))
-    asked = anchors.join(held, "anchor").select("anchor", "label", "vector", "positives")
-    far = _grid(blocks, asked, n_blocks, n_anchors).mapInArrow(
-        _negatives(negatives, lowest), "anchor long, rank long, id long, score long, row long")
-    far = _best(far, ["anchor", "rank"], negatives, "place")
-    out = far.select("anchor", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"), "place").join(
-        near.withColumnsRenamed({"id": "positive_id", "score": "positive_score"}), ["anchor", "rank"]).join(anchors.select("anchor", "anchor_id"), "anchor")
-    return out.select("anchor_id", "positive_id", F.col("place").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")
+    n_anchors, bytes_ = anchors.agg(F.count("anchor"), F.coalesce(F.max(F.length("vector")), F.lit(0))).first()
+    groups = max(1, -(-n_anchors // GROUP_ANCHORS))  # about GROUP_ANCHORS of them in each
+    at_once = max(1, ROUND_BYTES // (GROUP_ANCHORS * (bytes_ + 256)))  # groups of a round
+    grouped = anchors.withColumn("group", F.pmod(F.xxhash64("anchor"), F.lit(groups)).cast("int"))
+    found = []
+    with small_batches(vectors.sparkSession):
+        for first in range(0, groups, at_once):
+            asked = grouped.where(F.col("group").between(first, first + at_once - 1))
+            near = _grid(blocks, asked, n_blocks).mapInArrow(_positives(positives), _schema(_POSITIVE))
+            near = written(_best(near, ["anchor"], positives, "rank").groupBy("anchor").agg(F.collect_list(F.struct("rank", "id", "score")).alias("positives")))
+            far = _grid(blocks, asked.join(near, "anchor"), n_blocks).mapInArrow(_negatives(negatives, lowest), _schema(_NEGATIVE))
+            far = _best(far, ["anchor", "rank"], negatives, "place")
+            found.append(written(far.select("anchor_id", "positive_id", F.col("place").cast("int").alias("rank"), F.col("id").alias("negative_id"),
+                                            "positive_score", F.col("score").alias("negative_score"))))
+    return reduce(DataFrame.union, found)
 
 
 def relabelled(rows: DataFrame) -> DataFrame:

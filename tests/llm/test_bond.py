@@ -58,6 +58,39 @@ def test_ties_repeats_and_nulls(spark):
     assert got == want
 
 
+def nodes(node):
+    """Every node of a plan that ran, with those below its stages."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return nodes(node.executedPlan())
+    below = [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+    return [(kind, node), *(x for child in below for x in nodes(child))]
+
+
+def test_what_is_sent_to_all_tasks_does_not_grow_with_the_blocks(spark, monkeypatch):
+    ran, write = [], bond.written
+    monkeypatch.setattr(bond, "written", lambda df, **options: ran.append(df) or write(df, **options))
+    rows = vectors(600, 8, 5)
+    got, want = found(spark, rows, every=5, block_rows=1)  # 120 anchors beside 600 blocks
+    assert got == want and want
+    sent = []
+    for df in ran:
+        df.collect()
+        sent += [node.metrics().get("dataSize").get().value() for kind, node in nodes(df._jdf.queryExecution().executedPlan()) if kind == "BroadcastExchangeExec"]
+    assert sent and max(sent) <= 1 << 21  # a hash table of long keys has 1 MB, however few they are
+
+
+def test_anchors_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(bond, "GROUP_ANCHORS", 8)
+    rows = vectors(300, 5, 9) + [(None, [0.5] * 5, 1), (100, [0.5] * 5, 1), (100, [0.5] * 5, 1), (None, [0.5] * 5, 2), (100, [0.5] * 5, 2)]
+    whole, want = found(spark, rows, every=7, block_rows=30)
+    sizes, grid = [], bond._grid
+    monkeypatch.setattr(bond, "ROUND_BYTES", 8 * (5 * 8 + 256) * 2)  # two groups
+    monkeypatch.setattr(bond, "_grid", lambda blocks, anchors, n: sizes.append(anchors.select("group").distinct().count()) or grid(blocks, anchors, n))
+    got, _ = found(spark, rows, every=7, block_rows=30)
+    assert got == whole == want and len(sizes) > 2 and max(sizes) <= 2
+
+
 def test_negative_scores_have_an_empty_window(spark):
     got, want = found(spark, [(100, [1.0], 1), (1, [-0.5], 1), (2, [-0.6], 2), (200, [1.0], 3), (201, [0.0], 3), (202, [0.0], 4)])
     assert got == want and all(r[4] >= 0 for r in got)
